@@ -45,7 +45,8 @@ def running_totals(
     sums: list[str],
     bounded: bool = False,
 ) -> DataFrame:
-    """Add ``<sum>_upto`` (inclusive) and ``<sum>_total`` per key in ascending ``order``.
+    """Add ``<sum>_upto`` (inclusive) and ``<sum>_total`` per key in ascending ``order``,
+    and ``<order>_next``, the key's next value or NULL.
 
     ``(keys, order)`` must be unique and ``keys`` not NULL.  Rows are range-partitioned
     by (keys, order) and written once; each slice is summed on its own and the small
@@ -62,13 +63,16 @@ def running_totals(
             {
                 **{f"{s}_upto": F.sum(s).over(ahead) for s in sums},
                 **{f"{s}_total": F.sum(s).over(whole) for s in sums},
+                f"{order}_next": F.lead(order).over(Window.partitionBy(*keys).orderBy(order)),
             }
         )
 
     sliced = stage(
         cells.repartitionByRange(*keys, order).withColumn("__slice", F.spark_partition_id())
     )
-    slices = sliced.groupBy(*keys, "__slice").agg(*[F.sum(s).alias(f"__{s}") for s in sums])
+    slices = sliced.groupBy(*keys, "__slice").agg(
+        *[F.sum(s).alias(f"__{s}") for s in sums], F.min(order).alias("__first")
+    )
     before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     offsets = slices.select(
@@ -76,12 +80,19 @@ def running_totals(
         "__slice",
         *[F.coalesce(F.sum(f"__{s}").over(before), F.lit(0)).alias(f"__{s}_before") for s in sums],
         *[F.sum(f"__{s}").over(whole).alias(f"{s}_total") for s in sums],
+        F.lead("__first").over(Window.partitionBy(*keys).orderBy("__slice")).alias("__after"),
     )
     inside = Window.partitionBy(*keys, "__slice").orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
+    step = Window.partitionBy(*keys, "__slice").orderBy(order)
     return (
         sliced.join(offsets, [*keys, "__slice"])
-        .withColumns({f"{s}_upto": F.col(f"__{s}_before") + F.sum(s).over(inside) for s in sums})
-        .drop("__slice", *[f"__{s}_before" for s in sums])
+        .withColumns(
+            {
+                **{f"{s}_upto": F.col(f"__{s}_before") + F.sum(s).over(inside) for s in sums},
+                f"{order}_next": F.coalesce(F.lead(order).over(step), F.col("__after")),
+            }
+        )
+        .drop("__slice", "__after", *[f"__{s}_before" for s in sums])
     )
