@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.metrics import summary
+from riskloom.operators.metrics import auc, summary
 from riskloom.operators.prefix import running_totals
 from riskloom.plans.staging import is_small, stage
 from riskloom.settings import (
@@ -115,8 +115,12 @@ def split_candidates(cells: DataFrame, bounded: bool = False) -> DataFrame:
     between neighbouring values seen in the node; both sides keep ``min_leaf`` rows.
     """
     keys = ["run", "node", "feature"]
+    seen = cells.filter("n > 0")
+    if bounded:
+        # few cells: one shuffle by node serves the aggregations and the windows alike
+        seen = seen.repartition("run", "node")
     flat = (
-        cells.filter("n > 0")
+        seen
         .select("run", "node", "min_leaf", *_FIT, F.posexplode("x").alias("feature", "value"))
         .groupBy(*keys, "value")
         .agg(F.max("min_leaf").alias("min_leaf"), *[F.sum(s).alias(s) for s in _FIT])
@@ -178,12 +182,17 @@ def leaf_minimum(rows: Column, share: float = LEAF_SHARE) -> Column:
     return F.floor(F.lit(share) * rows).cast("long")
 
 
-def root_cells(cells: DataFrame, min_leaf: DataFrame | None = None) -> DataFrame:
-    """Cells at the root with the run's least leaf size: 5 % of its fitting rows, or given."""
-    if min_leaf is None:
-        min_leaf = cells.groupBy("run").agg(leaf_minimum(F.sum("n")).alias("min_leaf"))
-    # one row per configured run
-    return cells.join(F.broadcast(min_leaf), "run").withColumn("node", F.lit(1))
+def leaf_minimums(cells: DataFrame) -> dict:
+    """``{run: least leaf size}``, 5 % of the run's fitting rows; one number per run."""
+    sizes = cells.groupBy("run").agg(leaf_minimum(F.sum("n")).alias("min_leaf"))
+    return {r["run"]: r["min_leaf"] for r in sizes.collect()}
+
+
+def root_cells(cells: DataFrame, min_leaf: dict) -> DataFrame:
+    """Cells at the root, with the least leaf size of their run."""
+    pairs = [F.lit(item) for pair in min_leaf.items() for item in pair]
+    size = F.try_element_at(F.create_map(*pairs), F.col("run")) if pairs else F.lit(1)
+    return cells.withColumns({"node": F.lit(1), "min_leaf": size.cast("long")})
 
 
 def grow(
@@ -191,12 +200,12 @@ def grow(
     runs: Sequence[ModelRun],
     roles: Roles = DEFAULT_ROLES,
     max_depth: int = 4,
-    min_leaf: DataFrame | None = None,
+    min_leaf: dict | None = None,
 ) -> GrownTrees:
     """Grow all trees level by level.  A node without an admissible cut stays a leaf."""
-    current = stage(cells)
-    bounded = is_small(current, BOUNDED_CELLS)
-    current = root_cells(current, min_leaf)
+    start = stage(cells)
+    bounded = is_small(start, BOUNDED_CELLS)
+    current = root_cells(start, leaf_minimums(start) if min_leaf is None else min_leaf)
     levels = []
     for depth in range(max_depth):
         open_nodes = current.filter(F.col("node") >= 2**depth)
@@ -215,7 +224,6 @@ def grow(
             )
             .drop("feature", "threshold")
         )
-    current = stage(current)
     inner = levels[0]
     for more in levels[1:]:
         inner = inner.unionByName(more)
@@ -410,12 +418,11 @@ def grid_search_depth(
     """
     cells = stage(model_cells(df, runs, roles, folds=fold, n_folds=n_folds))
     model = F.substring_index("run", "/", 1)
-    whole = cells.filter(F.col("run").endswith("/all")).groupBy(model.alias("model")).agg(
-        leaf_minimum(F.sum("n")).alias("min_leaf")
-    )
-    min_leaf = cells.select("run").distinct().join(
-        F.broadcast(whole), F.substring_index("run", "/", 1) == F.col("model")
-    ).select("run", "min_leaf")
+    whole = leaf_minimums(cells.filter(F.col("run").endswith("/all")))
+    ways = ["all", *map(str, range(n_folds))]
+    min_leaf = {
+        f"{name.split('/')[0]}/{way}": size for name, size in whole.items() for way in ways
+    }
     trees = grow(cells, runs, roles, max(depths), min_leaf)
 
     parts = [
@@ -426,8 +433,6 @@ def grid_search_depth(
     cells_by_depth = parts[0]
     for more in parts[1:]:
         cells_by_depth = cells_by_depth.unionByName(more)
-    from riskloom.operators.metrics import auc
-
     folds = auc(cells_by_depth, ["run", "max_depth"], bounded=True)
     mean = folds.groupBy(model.alias("run"), "max_depth").agg(F.avg("auc").alias("auc"))
     top = mean.groupBy("run").agg(
