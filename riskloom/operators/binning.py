@@ -179,7 +179,7 @@ def _search(counts: DataFrame, edges: DataFrame, keys, limits: BinningLimits) ->
 
 
 def _edge_text(number: Column) -> Column:
-    return F.format_string("%.2f", number)
+    return F.format_string("%.2f", F.round(number, 2))
 
 
 def _bin_texts(splits: Column) -> Column:

@@ -13,6 +13,12 @@ def sample_hash(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
 
 
+def fold_number(key: str, n_folds: int, seed: int = 17) -> Column:
+    """Reproducible fold 0 .. n_folds - 1 from a hash of ``key``."""
+    head = F.conv(F.substring(sample_hash(key, seed), 1, 8), 16, 10).cast("long")
+    return F.pmod(head, F.lit(n_folds)).cast("int")
+
+
 def sample_fraction(df: DataFrame, fraction: float, key: str, seed: int = 13) -> DataFrame:
     """Exactly ``int(fraction * rows)`` rows: those with the smallest hash of ``key``.
 

@@ -93,11 +93,11 @@ def _raw_ranges(trees: GrownTrees) -> DataFrame:
     bounds = leaf_conditions(trees)
     shown = F.concat(
         F.when(F.col("lo").isNull(), F.lit("(-inf")).otherwise(
-            F.concat(F.lit("("), F.format_string("%.2f", "lo"))
+            F.concat(F.lit("("), F.format_string("%.2f", F.round("lo", 2)))
         ),
         F.lit(", "),
         F.when(F.col("hi").isNull(), F.lit("inf)")).otherwise(
-            F.concat(F.format_string("%.2f", "hi"), F.lit("]"))
+            F.concat(F.format_string("%.2f", F.round("hi", 2)), F.lit("]"))
         ),
     )
     raw = None
