@@ -19,7 +19,7 @@ from riskloom.operators import (  # noqa: E402
 from riskloom.operators.quantiles import quantiles  # noqa: E402
 from riskloom.plans.profiling_transform import transform  # noqa: E402
 from riskloom.plans.scorecard import event_counts, with_woe  # noqa: E402
-from riskloom.plans.staging import fresh_path  # noqa: E402
+from riskloom.plans.staging import fresh_path, stage  # noqa: E402
 from riskloom.settings import (  # noqa: E402
     FIXTURE_LIMITS, FIXTURE_ROLES, GRID_RUNS, MODEL_RUNS, PROFILE_RUNS, RULES_FA_CE_ORIGINAL,
     RULES_FA_SE_ORIGINAL, WOE_MAPS,
@@ -73,6 +73,11 @@ def _base(spark: SparkSession, folder: str) -> DataFrame:
     return cohort.modelling_base(_recent(spark, folder), ROLES, LIMITS)
 
 
+def _narrow(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The needed columns of the base, written once for operators that read them repeatedly."""
+    return stage(_base(spark, folder).select(*IDS, *columns))
+
+
 def _woe_base(spark: SparkSession, folder: str) -> DataFrame:
     return with_woe(_base(spark, folder), ROLES)
 
@@ -137,7 +142,7 @@ def class_weights(spark, folder):
 # --- outliers and profiling --------------------------------------------------------
 def winsorize(spark, folder):
     capped, _ = outliers.winsorize(
-        _base(spark, folder), ROLES.winsorized, approx_rel_error=0, inplace=False,
+        _narrow(spark, folder, *ROLES.winsorized), ROLES.winsorized, approx_rel_error=0, inplace=False,
         verbose=False, by=ROLES.segment,
     )
     return capped.select(*IDS, *ROLES.winsorized, *[f"{c}_win" for c in ROLES.winsorized])
@@ -150,13 +155,13 @@ def hard_cap(spark, folder):
 
 def eda_profile(spark, folder):
     return _rounded(
-        profiling.eda_profile(_base(spark, folder), PROFILED, keys=SEGMENT, rel_error=0)
+        profiling.eda_profile(_narrow(spark, folder, *PROFILED), PROFILED, keys=SEGMENT, rel_error=0)
     )
 
 
 def eda_outliers(spark, folder):
     return _rounded(
-        profiling.eda_outliers(_base(spark, folder), MEASURED, keys=SEGMENT, rel_error=0)
+        profiling.eda_outliers(_narrow(spark, folder, *MEASURED), MEASURED, keys=SEGMENT, rel_error=0)
     )
 
 
@@ -238,9 +243,8 @@ def optbin_splits(spark, folder):
 
 def optbin_sketch(spark, folder):
     """The default fit: sketched prebins, two scans, no large shuffle."""
-    return _rounded(
-        binning.fit_bins(_base(spark, folder), SEGMENT, MEASURED, ROLES.label).table
-    )
+    rows = _narrow(spark, folder, ROLES.label, *MEASURED)
+    return _rounded(binning.fit_bins(rows, SEGMENT, MEASURED, ROLES.label).table)
 
 
 def iv_ranking(spark, folder):
@@ -255,8 +259,9 @@ def iv_strength_query(spark, folder):
 
 
 def discretize(spark, folder):
-    fitted = _exact_fit(spark, folder).split_lists()
-    binned = binning.discretize(_base(spark, folder), fitted, ROLES.segment, suffix="_num")
+    base = _narrow(spark, folder, ROLES.label, *MEASURED)
+    fitted = binning.fit_bins(base, SEGMENT, MEASURED, ROLES.label, EXACT_BINS).split_lists()
+    binned = binning.discretize(base, fitted, ROLES.segment, suffix="_num")
     names = [f"{c}_num" for c in MEASURED]
     return binned.select(
         *IDS,
@@ -309,7 +314,7 @@ def min_leaf_5pct(spark, folder):
 
 
 def tree_split_search(spark, folder):
-    cells = tree.stage(tree.model_cells(_woe_base(spark, folder), MODEL_RUNS, ROLES))
+    cells = stage(tree.model_cells(_woe_base(spark, folder), MODEL_RUNS, ROLES))
     roots = tree.root_cells(cells, tree.leaf_minimums(cells))
     best = tree.best_splits(tree.split_candidates(roots), ("run", "feature"))
     return _rounded(best.select("run", "feature", "threshold", "gain", "n_left"))
@@ -332,8 +337,12 @@ def tree_rules(spark, folder):
 
 
 def score_proba(spark, folder):
-    base = _woe_base(spark, folder)
     runs = [RUNS["T3"], RUNS["T4"]]
+    base = stage(
+        _woe_base(spark, folder).select(
+            *IDS, ROLES.part, ROLES.label, ROLES.weight, f"{ROLES.balance}_woe", f"{ROLES.score}_woe"
+        )
+    )
     scored = tree.score_proba(base, tree.fit_trees(base, runs, ROLES), runs)
     return _rounded(scored.select(*IDS, ROLES.part, "p_malo"))
 
@@ -343,7 +352,11 @@ def model_compare(spark, folder):
 
 
 def _grid(spark, folder):
-    sampled = sampling.sample_fraction(_woe_base(spark, folder), 0.1, ROLES.row_id)
+    needed = [*IDS, ROLES.part, ROLES.label, ROLES.weight, ROLES.score]
+    base = stage(
+        _woe_base(spark, folder).select(*needed, f"{ROLES.tenure}_woe", f"{ROLES.balance}_woe")
+    )
+    sampled = sampling.sample_fraction(base, 0.1, ROLES.row_id)
     return tree.grid_search_depth(sampled, sampling.fold_number(ROLES.row_id, 3), GRID_RUNS, ROLES)
 
 

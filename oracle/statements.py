@@ -409,7 +409,7 @@ def grown(depth: int, min_leaf: str) -> list[str]:
     inner = " union all ".join(
         f"select run, node, n, bad, w, wb, feature, threshold, decrease from mejor{d}" for d in range(depth)
     )
-    ctes.append(f"""nodos as materialized (select *, length(bin(node)) - 1 as depth, wb / w as p_bad,
+    ctes.append(f"""nodos as materialized (select *, cast(length(bin(node)) - 1 as int) as depth, round(wb / w, 12) as p_bad,
       feature is null as is_leaf from ({inner} union all
       select run, node, cast(sum(n) as bigint), cast(sum(bad) as bigint), sum(w), sum(wb), null, null, null
       from c{depth} group by run, node having sum(n) > 0))""")

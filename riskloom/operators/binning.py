@@ -267,10 +267,8 @@ def fit_bins(
     if limits.rel_error > 0:
         exact, rows = None, _row_cells(df, keys, variables, label)
     else:
-        base = {"events": F.col(label).cast("long")}
-        exact = stage(value_cells(df, keys, variables, base))
-        absent = _row_cells(df, keys, variables, label).filter(F.col("value").isNull())
-        rows = exact.unionByName(absent)
+        events = {"events": F.col(label).cast("long")}
+        rows = exact = stage(value_cells(df, keys, variables, events))
     edges = _prebin_edges(df, keys, variables, limits, exact)
     counts = stage(_prebin_counts(rows, edges, keys, limits.prebins))
     splits = stage(_search(counts, edges, keys, limits))

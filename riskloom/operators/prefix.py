@@ -13,7 +13,8 @@ def value_cells(
     df: DataFrame, keys: list[str], columns: list[str], sums: dict | None = None,
     variable: str = "variable", value: str = "value",
 ) -> DataFrame:
-    """Distinct values per key and variable with their row count and optional sums.
+    """Distinct values per key and variable with their row count and optional sums; the
+    NULLs of a variable form one cell.
 
     Equal values are merged on the map side, so a value that fills a third of the
     table is one small row per map task by the time it is shuffled.
@@ -23,10 +24,8 @@ def value_cells(
     flat = df.select(*keys, *extras, *[clean(c, df).alias(c) for c in columns]).unpivot(
         [*keys, "n", *sums], columns, variable, value
     )
-    return (
-        flat.filter(F.col(value).isNotNull())
-        .groupBy(*keys, variable, value)
-        .agg(*[F.sum(name).alias(name) for name in ["n", *sums]])
+    return flat.groupBy(*keys, variable, value).agg(
+        *[F.sum(name).alias(name) for name in ["n", *sums]]
     )
 
 

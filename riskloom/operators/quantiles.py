@@ -45,7 +45,8 @@ def quantile_rows(
 
     if cells is None:
         cells = value_cells(df, keys, columns)
-    ranked = running_totals(cells, [*keys, "variable"], "value", ["n"])
+    seen = cells.filter(F.col("value").isNotNull())
+    ranked = running_totals(seen, [*keys, "variable"], "value", ["n"])
     picks = [
         F.min(F.when(F.col("n_upto") >= _rank(p, "n_total"), F.col("value"))) for p in probs
     ]

@@ -244,7 +244,8 @@ def grow(
             {
                 "variable": F.get(names, F.col("feature")),
                 "depth": depth_of(F.col("node")),
-                "p_bad": F.try_divide(F.col("wb"), F.col("w")),
+                # equal up to the order of summation means equal
+                "p_bad": F.round(F.try_divide(F.col("wb"), F.col("w")), 12),
                 "is_leaf": F.col("feature").isNull(),
             }
         )
