@@ -73,10 +73,12 @@ def _row_cells(df, keys, variables, label) -> DataFrame:
     """Every row as its own cell, NULLs included; nothing is shuffled for it."""
     return df.select(
         *keys,
-        F.lit(1).cast("long").alias("n"),
-        F.col(label).cast("long").alias("events"),
+        F.lit(1).cast("long").alias("__n"),
+        F.col(label).cast("long").alias("__events"),
         *[clean(v, df).alias(v) for v in variables],
-    ).unpivot([*keys, "n", "events"], variables, "variable", "value")
+    ).unpivot([*keys, "__n", "__events"], variables, "variable", "value").withColumnsRenamed(
+        {"__n": "n", "__events": "events"}
+    )
 
 
 def _search(counts: DataFrame, edges: DataFrame, keys, limits: BinningLimits) -> DataFrame:

@@ -20,12 +20,15 @@ def value_cells(
     table is one small row per map task by the time it is shuffled.
     """
     sums = sums or {}
-    extras = [F.lit(1).cast("long").alias("n"), *[c.alias(name) for name, c in sums.items()]]
-    flat = df.select(*keys, *extras, *[clean(c, df).alias(c) for c in columns]).unpivot(
-        [*keys, "n", *sums], columns, variable, value
-    )
+    names = ["n", *sums]
+    carried = [F.lit(1).cast("long"), *sums.values()]
+    flat = df.select(
+        *keys,
+        *[c.alias(f"__{name}") for name, c in zip(names, carried)],
+        *[clean(c, df).alias(c) for c in columns],
+    ).unpivot([*keys, *[f"__{name}" for name in names]], columns, variable, value)
     return flat.groupBy(*keys, variable, value).agg(
-        *[F.sum(name).alias(name) for name in ["n", *sums]]
+        *[F.sum(f"__{name}").alias(name) for name in names]
     )
 
 
