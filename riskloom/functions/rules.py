@@ -1,11 +1,17 @@
-"""First-match rule tables over a score and a balance, as Column expressions."""
+"""First-match rule tables over a score and a balance, as Column expressions.
+
+A table of rules is constant between its limits, so it is laid out once as a small grid
+(table x score position x balance position -> result).  A row then needs one comparison
+per distinct limit and one array lookup, instead of a CASE arm with four comparisons per
+rule; the generated code stays small enough for the JIT with all tables in one projection.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +43,25 @@ class Band:
             found.append(value <= self.high if self.high_closed else value < self.high)
         return found
 
+    def holds(self, value) -> bool:
+        """Whether a value lies inside; None only does if the band has no end."""
+        if value is None:
+            return self.low is None and self.high is None
+        above = self.low is None or value > self.low or (self.low_closed and value == self.low)
+        below = self.high is None or value < self.high or (self.high_closed and value == self.high)
+        return above and below
+
+    @property
+    def steps(self) -> list[tuple]:
+        """Where the band's truth can change: at (limit, 0) ">= limit" starts to hold, at
+        (limit, 1) "> limit" does."""
+        found = []
+        if self.low is not None:
+            found.append((float(self.low), 0 if self.low_closed else 1))
+        if self.high is not None:
+            found.append((float(self.high), 1 if self.high_closed else 0))
+        return found
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -63,6 +88,10 @@ class Rule:
             within = within | balance.isNull()
         return _all([*self.score.tests(score), within])
 
+    def holds(self, score, balance) -> bool:
+        within = self.balance.holds(balance) or (self.null_balance and balance is None)
+        return self.score.holds(score) and within
+
 
 def _all(tests: list[Column]) -> Column:
     return reduce(and_, tests) if tests else F.lit(True)
@@ -72,30 +101,74 @@ def parse_rules(rows) -> list[Rule]:
     return [row if isinstance(row, Rule) else Rule.parse(row) for row in rows]
 
 
+def _axis(bands: list[Band]) -> list[tuple]:
+    return sorted({step for band in bands for step in band.steps})
+
+
+def _points(steps: list[tuple]) -> list:
+    """One value per position of an axis: before the first step, after each step, NULL."""
+    if not steps:
+        return [0.0, None]
+    points = [steps[0][0] - 1.0]
+    for (limit, strict), after in zip(steps, [*steps[1:], (steps[-1][0] + 2.0, 0)]):
+        points.append((limit + after[0]) / 2 if strict else limit)
+    return [*points, None]
+
+
+def _position(value: Column, steps: list[tuple]) -> Column:
+    """Index into :func:`_points`: the number of steps passed; NULL comes after the last."""
+    known = F.coalesce(value.cast("double"), F.lit(float("nan")))   # NaN passes every step
+    passed = [(known > at if strict else known >= at).cast("int") for at, strict in steps]
+    return reduce(add, passed, value.isNull().cast("int"))
+
+
+def _grid_lookup(score, balance, tables: list, result, table: Column | None = None) -> Column:
+    """``result(rules that hold)`` for each row; ``table`` is the index of the row's table."""
+    parsed = [parse_rules(rows) for rows in tables]
+    every = [rule for rules in parsed for rule in rules]
+    score_axis = _axis([rule.score for rule in every])
+    balance_axis = _axis([rule.balance for rule in every])
+    scores, balances = _points(score_axis), _points(balance_axis)
+    cells = [
+        result([rule for rule in rules if rule.holds(s, b)])
+        for rules in parsed for s in scores for b in balances
+    ]
+    index = _position(score, score_axis) * len(balances) + _position(balance, balance_axis)
+    if table is not None:
+        index = table * (len(scores) * len(balances)) + index
+    return F.get(F.array(*[F.lit(cell) for cell in cells]), index)
+
+
+def _label_or(default: str):
+    return lambda held: held[0].label if held else default
+
+
 def first_match(score: Column, balance: Column, rules, default: str = NO_PROFILE) -> Column:
     """Label of the first rule that holds, else ``default``."""
-    parsed = parse_rules(rules)
-    if not parsed:
-        return F.lit(default)
-    head, *rest = parsed
-    chain = F.when(head.condition(score, balance), F.lit(head.label))
-    for rule in rest:
-        chain = chain.when(rule.condition(score, balance), F.lit(rule.label))
-    return chain.otherwise(F.lit(default))
+    return _grid_lookup(score, balance, [rules], _label_or(default))
 
 
 def match_count(score: Column, balance: Column, rules) -> Column:
     """How many rules hold: 0 is a gap, more than 1 an overlap."""
-    held = [
-        F.coalesce(rule.condition(score, balance), F.lit(False)).cast("int")
-        for rule in parse_rules(rules)
-    ]
-    return reduce(lambda a, b: a + b, held, F.lit(0))
+    return _grid_lookup(score, balance, [rules], len)
+
+
+def has_experience(model_type: Column) -> Column:
+    """Whether a model type ends in CE; NULL does not."""
+    return F.coalesce(model_type.endswith("CE"), F.lit(False))
+
+
+def _table_index(model_type: Column) -> Column:
+    return F.lit(1) - has_experience(model_type).cast("int")
+
+
+def first_match_by_type(model_type, score, balance, ce, se, default: str = NO_PROFILE) -> Column:
+    """First match in the CE table for types that end in CE, else in the SE table."""
+    return _grid_lookup(score, balance, [ce, se], _label_or(default), _table_index(model_type))
 
 
-def by_model_type(model_type: Column, with_experience: Column, without: Column) -> Column:
-    """``with_experience`` for types that end in CE; any other or NULL type gets ``without``."""
-    return F.when(model_type.endswith("CE"), with_experience).otherwise(without)
+def match_count_by_type(model_type, score, balance, ce, se) -> Column:
+    return _grid_lookup(score, balance, [ce, se], len, _table_index(model_type))
 
 
 RULE_SCHEMA = T.StructType(

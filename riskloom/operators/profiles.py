@@ -7,16 +7,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.rules import by_model_type, first_match, match_count
+from riskloom.functions.rules import (
+    first_match_by_type, has_experience, match_count_by_type,
+)
 from riskloom.settings import NO_PROFILE, PROFILE_RUNS, ProfileRun
 
 
 def profile_column(run: ProfileRun, default: str = NO_PROFILE) -> Column:
-    score, balance = F.col(run.score), F.col(run.balance)
-    return by_model_type(
-        F.col(run.model_type),
-        first_match(score, balance, run.ce, default),
-        first_match(score, balance, run.se, default),
+    return first_match_by_type(
+        F.col(run.model_type), F.col(run.score), F.col(run.balance), run.ce, run.se, default
     )
 
 
@@ -42,23 +41,27 @@ def rule_audit(df: DataFrame, runs: Mapping[str, ProfileRun] = PROFILE_RUNS) ->
     Counts rows per table, branch, number of matching rules and resulting profile: 0 matches
     is a gap, more than 1 an overlap.  Works on data rows or on a grid of boundary points.
     """
+    columns: dict = {}
     records = []
     for name, run in runs.items():
         score, balance, kind = F.col(run.score), F.col(run.balance), F.col(run.model_type)
+        found = {
+            "rama": F.when(has_experience(kind), "CE").otherwise("SE"),
+            "con_nulos": score.isNull() | balance.isNull(),
+            "coincidencias": match_count_by_type(kind, score, balance, run.ce, run.se),
+            "perfil": profile_column(run),
+        }
+        columns.update({f"__{name}_{part}": value for part, value in found.items()})
         records.append(
             F.struct(
                 F.lit(name).alias("tabla"),
-                by_model_type(kind, F.lit("CE"), F.lit("SE")).alias("rama"),
-                (score.isNull() | balance.isNull()).alias("con_nulos"),
-                by_model_type(
-                    kind, match_count(score, balance, run.ce), match_count(score, balance, run.se)
-                ).alias("coincidencias"),
-                profile_column(run).alias("perfil"),
+                *[F.col(f"__{name}_{part}").alias(part) for part in found],
             )
         )
     keys = ["tabla", "rama", "con_nulos", "coincidencias", "perfil"]
     return (
-        df.select(F.explode(F.array(*records)).alias("r"))
+        df.select(*[value.alias(name) for name, value in columns.items()])
+        .select(F.explode(F.array(*records)).alias("r"))
         .select("r.*")
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("filas"))
