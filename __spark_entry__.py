@@ -182,11 +182,13 @@ def reshape_unpivot(spark, folder):
     return rows.unpivot(IDS, MEASURED, "variable", "valor")
 
 
+def set_union_all(spark, folder):
+    return _rounded(profiling.summary_rows(_narrow(spark, folder, *PROFILED), PROFILED, SEGMENT))
+
+
 def reshape_pivot(spark, folder):
-    rows = reshape_unpivot(spark, folder)
-    return _rounded(
-        rows.groupBy(ROLES.segment).pivot("variable", MEASURED).agg(F.sum("valor"))
-    )
+    rows = profiling.summary_rows(_narrow(spark, folder, *PROFILED), PROFILED, SEGMENT)
+    return _rounded(profiling.summary_pivot(rows, SEGMENT))
 
 
 # --- binning, WOE, IV ----------------------------------------------------------------
@@ -364,6 +366,10 @@ def grid_search_depth(spark, folder):
     return _rounded(_grid(spark, folder).scores)
 
 
+def grid_importance(spark, folder):
+    return _rounded(tree.best_importance(_grid(spark, folder)))
+
+
 # --- metrics on a fixed score -------------------------------------------------------------
 def _score_cells(spark, folder):
     """1000 - score as a risk score; rows without a score are left out."""
@@ -443,12 +449,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         cohort_maturity, cohort_dedupe, segment_experience, split_out_of_time, flag_evident_bad,
         modelling_base, class_weights, winsorize, hard_cap, eda_profile, eda_outliers,
-        agg_null_count, agg_summary, agg_approx_quantile, reshape_unpivot, reshape_pivot,
+        agg_null_count, agg_summary, agg_approx_quantile, reshape_unpivot, set_union_all,
+        reshape_pivot,
         bin_label, woe_apply, woe_category, udf_woe, bin_table, calc_iv, calc_iv_bins,
         optbin_fit, optbin_splits, optbin_sketch, iv_ranking, discretize,
         profile_all, profile_rules_original, profile_rule_audit,
         train_matrix, min_leaf_5pct, tree_split_search, tree_fit, feature_importance, tree_rules,
-        score_proba, model_compare, grid_search_depth,
+        score_proba, model_compare, grid_search_depth, grid_importance,
         metric_auc, metric_gini, metric_roc_curve, metric_youden_cut,
         leaf_segments, leaf_share_check, woe_cut_to_bins, risk_grid, risk_grid_cells,
         sample_fraction, snk_csv, snk_show,

@@ -585,7 +585,7 @@ def score_proba() -> str:
     )
 
 
-def grid_search() -> str:
+def grid_steps() -> list[str]:
     """Folds 0-2 and the refit 'all' of both grids, cut off at depths 3, 4 and 5."""
     depth_rows = " union all ".join(
         f"""select c.run, {d} as max_depth, n.p_bad as score, c.test_n as n, c.test_bad as bad
@@ -594,10 +594,7 @@ def grid_search() -> str:
         where not ends_with(c.run, '/all')"""
         for d in (3, 4, 5)
     )
-    return with_steps(
-        f"""select run, max_depth, {r('m')} as mean_auc,
-          row_number() over (partition by run order by round(m, 10) desc, max_depth) = 1 as is_best
-        from (select split_part(run, '/', 1) as run, max_depth, avg(auc) as m from aucs group by all)""",
+    return [
         "woe as materialized (" + WOE_BASE[WOE_BASE.index("(") + 1:-1]
         + """ qualify row_number() over (order by md5(row_id || ':13')) <=
             cast(floor(cast(0.1 as double) * count(*) over ()) as bigint))""",
@@ -614,7 +611,11 @@ def grid_search() -> str:
             from celdas where ends_with(run, '/all') group by all) b on b.modelo = split_part(a.run, '/', 1)"""),
         f"puntajes as (select run, max_depth, score, sum(n) as n, sum(bad) as bad from ({depth_rows}) group by all having sum(n) > 0)",
         f"aucs as ({auc_select('puntajes', 'run, max_depth')})",
-    )
+        "medias as (select split_part(run, '/', 1) as run, max_depth, avg(auc) as m from aucs group by all)",
+        """notas as (select run, max_depth, m, row_number() over (partition by run
+            order by round(m, 10) desc, max_depth) = 1 as is_best from medias)""",
+        names_cte(GRID_RUNS),
+    ]
 
 
 def statements() -> dict[str, str]:
@@ -675,8 +676,18 @@ def statements() -> dict[str, str]:
             unnest(quantile_disc(v, [0.02, 0.5, 0.98])) as q from largo where v is not null group by experiencia, variable)""",
         f"largo as ({stacked('base', MEASURED, 'v')})")
     found["reshape_unpivot"] = with_steps(stacked("base", MEASURED, "valor", "row_id, experiencia"))
+    measures = ["nulos", "count", "mean", "stddev", "min", "max"]
+    moment_steps = (
+        f"largo as ({stacked('base', PROFILED, 'v')})",
+        f"momentos as (select experiencia, variable, {_MOMENTS} from largo group by all)")
+    found["set_union_all"] = with_steps(
+        " union all ".join(
+            f"select experiencia, variable, '{m}' as medida, {r(f'cast({chr(34)}{m}{chr(34)} as double)')} as valor from momentos"
+            for m in measures), *moment_steps)
     found["reshape_pivot"] = with_steps(
-        "select experiencia, " + ", ".join(f"{r(f'sum({c})')} as {c}" for c in MEASURED) + " from base group by all")
+        "select experiencia, variable, " + ", ".join(
+            f"{r(f'cast({chr(34)}{m}{chr(34)} as double)')} as {chr(34)}{m}{chr(34)}" for m in measures)
+        + " from momentos", *moment_steps)
 
     # bins, WOE, IV
     found["bin_label"] = with_steps(
@@ -747,7 +758,14 @@ def statements() -> dict[str, str]:
         from aucs join ({youden_select('curva', 'run, particion')}) using (run, particion)""",
         *tree_steps(), scores_cte(), f"aucs as ({auc_select('puntajes', 'run, particion')})",
         f"curva as ({roc_select('puntajes', 'run, particion')})")
-    found["grid_search_depth"] = grid_search()
+    found["grid_search_depth"] = with_steps(
+        f"select run, max_depth, {r('m')} as mean_auc, is_best from notas", *grid_steps())
+    found["grid_importance"] = with_steps(
+        f"""select n.run, variable, {r('coalesce(dec / nullif(sum(dec) over (partition by n.run), 0), 0)')} as importancia
+        from nombres n left join (
+          select split_part(d.run, '/', 1) as run, feature, sum(decrease) as dec
+          from nodos d join notas b on d.run = b.run || '/all' and is_best and depth < max_depth
+          where not is_leaf group by all) g on g.run = n.run and g.feature = n.feature""", *grid_steps())
 
     # metrics
     found["metric_auc"] = with_steps(

@@ -165,6 +165,22 @@ def eda_outliers(
     return limits.join(outlier_counts(df, variables, limits, keys), on)
 
 
-def profile_stacked(parts: list[DataFrame]) -> DataFrame:
-    """Several profiles below each other, matched by column name."""
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def summary_rows(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:
+    """NULL counts and moments below each other: keys, variable, medida, valor (all double)."""
+    on = [*keys, "variable"]
+    parts = [
+        null_counts(df, columns, keys).select(*on, F.col("nulos").cast("double")),
+        moments(df, columns, keys).select(*on, *[F.col(m).cast("double") for m in _MOMENTS]),
+    ]
+    return reduce(
+        lambda a, b: a.unionByName(b),
+        [
+            part.unpivot(on, [c for c in part.columns if c not in on], "medida", "valor")
+            for part in parts
+        ],
+    )
+
+
+def summary_pivot(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """One column per measure; the measures are known, so no job looks them up."""
+    return rows.groupBy(*keys, "variable").pivot("medida", ["nulos", *_MOMENTS]).agg(F.sum("valor"))

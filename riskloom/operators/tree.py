@@ -270,25 +270,25 @@ def fit_trees(
     return grow(model_cells(df, runs, roles), runs, roles, max_depth)
 
 
-def feature_importance(trees: GrownTrees) -> DataFrame:
-    """Normalised impurity decrease per run and feature; an unused feature has 0."""
-    gained = trees.nodes.filter(~F.col("is_leaf")).groupBy("run", "feature").agg(
-        F.sum("decrease").alias("decrease")
-    )
-    every = (
-        trees.nodes.filter("node = 1")
-        .select("run", F.posexplode(_feature_names(trees.runs, trees.roles)).alias("feature", "variable"))
-    )
-    whole = trees.nodes.filter(~F.col("is_leaf")).groupBy("run").agg(F.sum("decrease").alias("all"))
+def _importances(splits: DataFrame, roots: DataFrame, trees: GrownTrees) -> DataFrame:
+    gained = splits.groupBy("run", "feature").agg(F.sum("decrease").alias("decrease"))
+    whole = splits.groupBy("run").agg(F.sum("decrease").alias("all"))
+    names = F.posexplode(_feature_names(trees.runs, trees.roles)).alias("feature", "variable")
     share = F.coalesce(F.try_divide(F.col("decrease"), F.col("all")), F.lit(0.0))
     return (
-        every.join(gained, ["run", "feature"], "left")
+        roots.select("run", names)
+        .join(gained, ["run", "feature"], "left")
         .join(whole, "run", "left")
         .select("run", "variable", share.alias("importancia"))
         .orderBy("run", F.col("importancia").desc(), "variable")
     )
 
 
+def feature_importance(trees: GrownTrees) -> DataFrame:
+    """Normalised impurity decrease per run and feature; an unused feature has 0."""
+    return _importances(trees.nodes.filter(~F.col("is_leaf")), trees.nodes.filter("node = 1"), trees)
+
+
 def leaf_conditions(trees: GrownTrees) -> DataFrame:
     """Bounds per leaf and used feature: lo < value <= hi, an open end is NULL."""
     leaves = trees.nodes.filter("is_leaf and depth > 0").select(
@@ -444,3 +444,15 @@ def grid_search_depth(
         (F.col("max_depth") == F.col("best_depth")).alias("is_best"),
     )
     return DepthSearch(scores, trees)
+
+
+def best_importance(search: DepthSearch) -> DataFrame:
+    """Importances of each model refitted on all rows at its best depth."""
+    best = search.scores.filter("is_best").select(
+        F.concat("run", F.lit("/all")).alias("run"), "max_depth"
+    )
+    refit = search.trees.nodes.join(best, "run").filter("depth < max_depth")
+    found = _importances(
+        refit.filter(~F.col("is_leaf")), refit.filter("node = 1"), search.trees
+    )
+    return found.withColumn("run", F.substring_index("run", "/", 1))
