@@ -33,13 +33,15 @@ def code_value(value: Column, table: CodeMap) -> Column:
     return chain.otherwise(F.lit(table.default))
 
 
-def per_segment(segment: Column, choices: Mapping[str, Column]) -> Column:
-    """Pick one of several columns by segment; an unknown segment gives NULL."""
+def per_segment(
+    segment: Column, choices: Mapping[str, Column], otherwise: Column | None = None
+) -> Column:
+    """Pick one of several columns by segment; an unknown segment gets ``otherwise`` or NULL."""
     items = list(choices.items())
     chain = F.when(segment == items[0][0], items[0][1])
     for name, column in items[1:]:
         chain = chain.when(segment == name, column)
-    return chain
+    return chain if otherwise is None else chain.otherwise(otherwise)
 
 
 def hard_cap(value: Column, lower: float | None, upper: float | None) -> Column:

@@ -20,6 +20,9 @@ from pyspark.sql import types as T
 from riskloom.settings import NO_PROFILE
 
 
+_SEPARATOR = "\x1f"
+
+
 @dataclass(frozen=True)
 class Band:
     """A numeric interval; each end may be absent, and each may be open or closed."""
@@ -136,7 +139,9 @@ def _grid_lookup(score, balance, tables: list, result, table: Column | None = No
     index = _position(score, score_axis) * len(balances) + _position(balance, balance_axis)
     if table is not None:
         index = table * (len(scores) * len(balances)) + index
-    return F.get(F.array(*[F.lit(cell) for cell in cells]), index)
+    # one text literal that the optimizer folds to an array, instead of hundreds of literals
+    texts = F.split(F.lit(_SEPARATOR.join(map(str, cells))), _SEPARATOR)
+    return F.get(texts, index)
 
 
 def _label_or(default: str):
@@ -150,7 +155,7 @@ def first_match(score: Column, balance: Column, rules, default: str = NO_PROFILE
 
 def match_count(score: Column, balance: Column, rules) -> Column:
     """How many rules hold: 0 is a gap, more than 1 an overlap."""
-    return _grid_lookup(score, balance, [rules], len)
+    return _grid_lookup(score, balance, [rules], len).cast("int")
 
 
 def has_experience(model_type: Column) -> Column:
@@ -168,7 +173,7 @@ def first_match_by_type(model_type, score, balance, ce, se, default: str = NO_PR
 
 
 def match_count_by_type(model_type, score, balance, ce, se) -> Column:
-    return _grid_lookup(score, balance, [ce, se], len, _table_index(model_type))
+    return _grid_lookup(score, balance, [ce, se], len, _table_index(model_type)).cast("int")
 
 
 RULE_SCHEMA = T.StructType(

@@ -299,6 +299,7 @@ def discretize(df: DataFrame, fitted: dict, segment: str | None, suffix: str = "
     """Replace each variable that has more than one split by its bin number.
 
     ``fitted`` is :meth:`FittedBins.split_lists`; NULL gets the number of the Missing bin.
+    Where only some segments have usable cuts, the others get NULL.
     """
     variables = list(dict.fromkeys(key[-1] for key in fitted))
     changed = {}
