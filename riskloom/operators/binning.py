@@ -43,7 +43,9 @@ def _prebin_edges(df, keys, variables, limits: BinningLimits, cells) -> DataFram
     probs = [i / limits.prebins for i in range(1, limits.prebins)]
     rows = quantile_rows(df, keys, variables, probs, limits.rel_error, cells)
     return stage(
-        rows.select(*keys, "variable", F.array_sort(F.array_distinct("q")).alias("edges"))
+        rows.select(
+            *keys, "variable", F.array_sort(F.array_distinct(F.array_compact("q"))).alias("edges")
+        )
     )
 
 

@@ -33,7 +33,7 @@ def quantile_rows(
     ``rel_error`` > 0 uses the mergeable sketch behind ``percentile_approx``: one scan,
     a few kilobytes shuffled.  ``rel_error`` = 0 is exact: distinct values are counted
     and ranked with range-partitioned running totals.  NULL and NaN are left out; a
-    column without any value gives a NULL array.
+    column without any value keeps its row, without numbers.
     """
     if rel_error > 0:
         marks = F.array(*[F.lit(float(p)) for p in probs])
@@ -45,7 +45,8 @@ def quantile_rows(
 
     if cells is None:
         cells = value_cells(df, keys, columns)
-    seen = cells.filter(F.col("value").isNotNull())
+    # the NULL cell weighs nothing, but keeps a column that has no other
+    seen = cells.withColumn("n", F.when(F.col("value").isNull(), 0).otherwise(F.col("n")))
     ranked = running_totals(seen, [*keys, "variable"], "value", ["n"])
     picks = [
         F.min(F.when(F.col("n_upto") >= _rank(p, "n_total"), F.col("value"))) for p in probs

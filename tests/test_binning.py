@@ -146,3 +146,13 @@ def test_compatible_iv_drops_and_nulls(spark):
 def test_round_splits(spark):
     df = spark.createDataFrame([([1.005, 2.344],)], "splits array<double>")
     assert binning.round_splits(df).first()["splits"] == [1.01, 2.34]
+
+
+@pytest.mark.parametrize("rel_error", [0, 1e-4])
+def test_all_null_variable_stays_listed(spark, rel_error):
+    rows = [("a", None, float(i), int(i % 4 == 0)) for i in range(80)]
+    df = spark.createDataFrame(rows, "seg string, gone double, x double, y int")
+    fitted = binning.fit_bins(df, ["seg"], ["gone", "x"], limits=binning.BinningLimits(rel_error=rel_error))
+    got = {(r["variable"], r["bin"]): (r["count"], r["event"], r["iv"]) for r in fitted.table.collect()}
+    assert got[("gone", "(-inf, inf)")] == (0, 0, 0.0) and got[("gone", "Missing")] == (80, 20, 0.0)
+    assert not {r["variable"]: r["usable"] for r in binning.iv_totals(fitted.table).collect()}["gone"]

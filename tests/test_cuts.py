@@ -92,3 +92,22 @@ def test_bad_tables_are_refused():
         CutMap((1, 2), (0.1, 0.2), None)
     with pytest.raises(ValueError):
         CutMap((2, 1), (0.1, 0.2, 0.3), None)
+
+
+def test_woe_rows_rebuild_the_map(spark):
+    from riskloom.operators.woe import woe_frame
+
+    rows = woe_frame(spark).filter("segmento = 'SE' and variable = 'score'").orderBy("posicion").collect()
+    table = WOE_MAPS[("SE", "score")]
+    assert tuple(r["woe"] for r in rows[:-1]) == table.values and rows[-1]["woe"] == table.missing
+    assert tuple(r["hi"] for r in rows[:-2]) == tuple(map(float, table.cuts))
+    assert {r["closed"] for r in rows} == {"left"}
+
+
+def test_caps_leave_other_segments_alone(spark):
+    from riskloom.operators.outliers import hard_cap as cap_frame
+
+    df = spark.createDataFrame(
+        [("CE", 1e6, 500.0), ("SE", -1.0, None), ("XX", 1e6, 500.0)],
+        "experiencia string, saldoCuentas double, antiguedadBuroSBS double")
+    assert [tuple(r)[1:] for r in cap_frame(df).collect()] == [(9855.32, 227.0), (0.0, None), (1e6, 500.0)]

@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.functions.rules import first_match, match_count, rules_frame, rules_from_rows
+from riskloom.functions.rules import (
+    first_match, match_count, parse_rules, rules_frame, rules_from_rows,
+)
 from riskloom.operators.profiles import profile_all, profile_rules, rule_audit
 from riskloom.plans.profiling_transform import transform
 from riskloom.settings import (
@@ -137,3 +139,21 @@ def test_rules_survive_the_round_trip_through_rows(spark):
         differ = df.filter(
             first_match(F.col("s"), F.col("b"), back) != first_match(F.col("s"), F.col("b"), table))
         assert differ.count() == 0
+
+
+@pytest.mark.parametrize("name", TABLES)
+def test_grid_equals_a_case_chain_of_the_conditions(spark, name):
+    """The lookup grid against the rules' own Column conditions, first match by order."""
+    rules = parse_rules(TABLES[name])
+    points = boundary_points(TABLES[name], seed=3) + [(900, float("nan")), (900, float("inf"))]
+    df = spark.createDataFrame(points, "s int, b double")
+    s, b = F.col("s"), F.col("b")
+    chain = F.coalesce(*[F.when(r.condition(s, b), r.label) for r in rules], F.lit(NO_PROFILE))
+    assert df.filter(chain != first_match(s, b, rules)).count() == 0
+
+
+def test_empty_and_unlimited_rules(spark):
+    df = spark.createDataFrame([(1, 1.0), (None, None)], "s int, b double")
+    s, b = F.col("s"), F.col("b")
+    got = df.select(first_match(s, b, [], "none"), first_match(s, b, [(None, None, None, None, False, "all")])).collect()
+    assert [tuple(r) for r in got] == [("none", "all"), ("none", "all")]
