@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from riskloom.functions.cuts import bin_number, per_segment, woe_of
 from riskloom.operators.prefix import clean, value_cells
 from riskloom.operators.quantiles import quantile_rows
-from riskloom.plans.staging import small_side, stage
+from riskloom.plans.staging import BROADCAST_ROWS, stage, stage_counted
 
 
 @dataclass(frozen=True)
@@ -38,21 +38,21 @@ class FittedBins:
         return {tuple(r[k] for k in self.keys) + (r["variable"],): list(r["splits"]) for r in rows}
 
 
-def _prebin_edges(df, keys, variables, limits: BinningLimits, cells) -> DataFrame:
-    """Distinct lower edges of the prebins, one small row per (keys, variable)."""
+def _prebin_edges(df, keys, variables, limits: BinningLimits, cells) -> tuple[DataFrame, int]:
+    """Distinct lower edges of the prebins, one row per (keys, variable), and the row count."""
     probs = [i / limits.prebins for i in range(1, limits.prebins)]
     rows = quantile_rows(df, keys, variables, probs, limits.rel_error, cells)
-    return stage(
+    return stage_counted(
         rows.select(
             *keys, "variable", F.array_sort(F.array_distinct(F.array_compact("q"))).alias("edges")
         )
     )
 
 
-def _prebin_counts(cells: DataFrame, edges: DataFrame, keys, count: int) -> DataFrame:
+def _prebin_counts(cells: DataFrame, edges: DataFrame, small: bool, keys, count: int) -> DataFrame:
     """Rows and events per prebin; prebin i holds values in [edge i, edge i + 1).
 
-    The prebin number is a sum of comparisons against the broadcast edges, so it stays
+    The prebin number is a sum of comparisons against the joined edges, so it stays
     in generated code; each map task sends at most ``count`` + 1 rows per variable.
     """
     on = [*keys, "variable"]
@@ -65,7 +65,7 @@ def _prebin_counts(cells: DataFrame, edges: DataFrame, keys, count: int) -> Data
         start=F.lit(0),
     )
     return (
-        cells.join(small_side(wide), on)
+        cells.join(F.broadcast(wide) if small else wide, on)
         .groupBy(*on, F.when(F.col("value").isNotNull(), number).alias("prebin"))
         .agg(F.sum("n").alias("n"), F.sum("events").alias("events"))
     )
@@ -273,8 +273,9 @@ def fit_bins(
     else:
         events = {"events": F.col(label).cast("long")}
         rows = exact = stage(value_cells(df, keys, variables, events))
-    edges = _prebin_edges(df, keys, variables, limits, exact)
-    counts = stage(_prebin_counts(rows, edges, keys, limits.prebins))
+    edges, edge_rows = _prebin_edges(df, keys, variables, limits, exact)
+    small = edge_rows <= BROADCAST_ROWS
+    counts = stage(_prebin_counts(rows, edges, small, keys, limits.prebins))
     splits = stage(_search(counts, edges, keys, limits))
     return FittedBins(tuple(keys), splits, _fitted_table(counts, splits, edges, keys))
 

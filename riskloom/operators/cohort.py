@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskloom.functions.cuts import per_segment
-from riskloom.plans.staging import small_side, stage
+from riskloom.plans.staging import broadcast_side
 from riskloom.settings import CE, CLASS_WEIGHTS, DEFAULT_LIMITS, DEFAULT_ROLES, SE, CohortLimits, Roles
 
 
@@ -82,7 +82,7 @@ def balanced_weights(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
 
 
 def with_balanced_weights(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
-    table = small_side(stage(balanced_weights(df, roles).drop("n")))
+    table = broadcast_side(balanced_weights(df, roles).drop("n"))
     return df.join(table, [roles.segment, roles.label])
 
 

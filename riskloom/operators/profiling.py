@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.prefix import clean
 from riskloom.operators.quantiles import quantile_rows
-from riskloom.plans.staging import small_side, stage
+from riskloom.plans.staging import broadcast_side, stage
 
 STATISTICS = (
     "count", "mean", "stddev", "min",
@@ -74,7 +74,7 @@ def outlier_counts(
         wide = limits.groupBy(*keys).pivot("variable", columns).agg(
             F.first(F.struct("bandaInferior", "bandaSuperior"))
         ).withColumnsRenamed({c: f"__lim_{c}" for c in columns})
-        narrow = narrow.join(small_side(stage(wide)), keys)
+        narrow = narrow.join(broadcast_side(wide), keys)
         low = {c: F.col(f"__lim_{c}.bandaInferior") for c in columns}
         high = {c: F.col(f"__lim_{c}.bandaSuperior") for c in columns}
     else:

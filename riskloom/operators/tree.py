@@ -8,7 +8,7 @@ Nodes are numbered like a heap: the root is 1, the children of i are 2i and 2i +
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.metrics import auc, summary
 from riskloom.operators.prefix import running_totals
-from riskloom.plans.staging import is_small, stage
+from riskloom.plans.staging import stage, stage_counted
 from riskloom.settings import (
     DEFAULT_ROLES, GRID_DEPTHS, GRID_RUNS, LEAF_SHARE, RAW_SCORE_MISSING, ModelRun, Roles,
 )
@@ -200,12 +200,15 @@ def grow(
     runs: Sequence[ModelRun],
     roles: Roles = DEFAULT_ROLES,
     max_depth: int = 4,
-    min_leaf: dict | None = None,
+    minimums: Callable[[DataFrame], dict] | None = None,
 ) -> GrownTrees:
-    """Grow all trees level by level.  A node without an admissible cut stays a leaf."""
-    start = stage(cells)
-    bounded = is_small(start, BOUNDED_CELLS)
-    current = root_cells(start, leaf_minimums(start) if min_leaf is None else min_leaf)
+    """Grow all trees level by level.  A node without an admissible cut stays a leaf.
+
+    ``minimums`` maps the cells to the least leaf size of each run (5 % by default).
+    """
+    start, count = stage_counted(cells)
+    bounded = count <= BOUNDED_CELLS
+    current = root_cells(start, (minimums or leaf_minimums)(start))
     levels = []
     for depth in range(max_depth):
         open_nodes = current.filter(F.col("node") >= 2**depth)
@@ -417,14 +420,17 @@ def grid_search_depth(
     largest depth and scored at every depth.  The least leaf size is 5 % of all fitting
     rows in every fold.  All folds of all runs grow together.
     """
-    cells = stage(model_cells(df, runs, roles, folds=fold, n_folds=n_folds))
     model = F.substring_index("run", "/", 1)
-    whole = leaf_minimums(cells.filter(F.col("run").endswith("/all")))
-    ways = ["all", *map(str, range(n_folds))]
-    min_leaf = {
-        f"{name.split('/')[0]}/{way}": size for name, size in whole.items() for way in ways
-    }
-    trees = grow(cells, runs, roles, max(depths), min_leaf)
+
+    def fold_minimums(cells: DataFrame) -> dict:
+        whole = leaf_minimums(cells.filter(F.col("run").endswith("/all")))
+        ways = ["all", *map(str, range(n_folds))]
+        return {
+            f"{name.split('/')[0]}/{way}": size for name, size in whole.items() for way in ways
+        }
+
+    cells = model_cells(df, runs, roles, folds=fold, n_folds=n_folds)
+    trees = grow(cells, runs, roles, max(depths), fold_minimums)
 
     parts = [
         leaf_scores(trees, d).withColumn("max_depth", F.lit(d))

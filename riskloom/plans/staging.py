@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
@@ -36,15 +36,19 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def stage_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Stage ``df`` and return its row count, observed while it is written."""
+    seen = Observation()
+    staged = stage(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return staged, seen.get["rows"]
 
 
-def is_small(staged: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a staged table has at most ``rows`` rows; reads no more than needed."""
-    return staged.limit(rows + 1).count() <= rows
+def broadcast_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Stage one side of a join and hint its broadcast if it turned out to have at most
+    ``rows`` rows; a larger one is left to the optimizer."""
+    staged, count = stage_counted(df)
+    return F.broadcast(staged) if count <= rows else staged
 
 
-def small_side(staged: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if the staged table is small; else leave the join to the optimizer."""
-    return F.broadcast(staged) if is_small(staged, rows) else staged
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -89,9 +89,14 @@ def test_fixture_counts(spark):
 
 def test_staging_reads_the_named_folder(spark):
     assert staging.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
-    kept = staging.stage(spark.range(10))
-    assert kept.count() == 10 and staging.is_small(kept, 10) and not staging.is_small(kept, 9)
-    assert staging.small_side(kept, 9) is kept
+    kept, rows = staging.stage_counted(spark.range(10).repartition(3))
+    assert kept.count() == rows == 10
+
+    def plan(limit):
+        joined = spark.range(5000).join(staging.broadcast_side(spark.range(10), limit), "id")
+        return joined._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "broadcast" in plan(10) and "broadcast" not in plan(9)
 
 
 def test_csv_round_trip(spark, tmp_path):
