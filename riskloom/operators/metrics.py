@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.prefix import running_totals
@@ -27,54 +27,63 @@ def _ranked(cells: DataFrame, keys: list[str], bounded: bool) -> DataFrame:
     )
 
 
-def auc(cells: DataFrame, keys: list[str], bounded: bool = False) -> DataFrame:
-    """Unweighted ROC-AUC and GINI per key; NULL where only one class occurs.
-
-    Every bad counts the goods with a lower score, and half of those with its own.
-    """
+def _area() -> list[Column]:
+    """n, bad and auc: every bad counts the goods with a lower score, and half of its own."""
     below = F.col("good_upto") - F.col("good")
     pairs = F.col("bad").cast("double") * (below + F.col("good") / 2)
     both = F.max("bad_total").cast("double") * F.max("good_total").cast("double")
+    return [
+        F.max("n_total").alias("n"),
+        F.max("bad_total").alias("bad"),
+        F.try_divide(F.sum(pairs), both).alias("auc"),
+    ]
+
+
+def _rate(kind: str) -> Column:
+    """Share of a class with this score or a higher one."""
+    reached = F.col(f"{kind}_total") - F.col(f"{kind}_upto") + F.col(kind)
+    return F.try_divide(reached.cast("double"), F.col(f"{kind}_total").cast("double"))
+
+
+def _best_distance(tpr: Column, fpr: Column, threshold: Column) -> Column:
+    """Largest TPR - FPR with its threshold, the highest threshold on ties."""
+    return F.max(F.struct(F.round(tpr - fpr, 12).alias("ks"), threshold.alias("threshold")))
+
+
+def _cut(best: str) -> list[Column]:
+    ks = F.col(f"{best}.ks")
+    return [ks.alias("ks"), F.when(ks > 0, F.col(f"{best}.threshold")).alias("cut")]
+
+
+def auc(cells: DataFrame, keys: list[str], bounded: bool = False) -> DataFrame:
+    """Unweighted ROC-AUC and GINI per key; NULL where only one class occurs."""
     return (
         _ranked(cells, keys, bounded)
         .groupBy(*keys)
-        .agg(
-            F.max("n_total").alias("n"),
-            F.max("bad_total").alias("bad"),
-            F.try_divide(F.sum(pairs), both).alias("auc"),
-        )
+        .agg(*_area())
         .withColumn("gini", 2 * F.col("auc") - 1)
     )
 
 
 def roc_curve(cells: DataFrame, keys: list[str], bounded: bool = False) -> DataFrame:
     """FPR and TPR of the rule "score >= threshold" at every distinct score."""
-    at_or_above = {
-        "tpr": ("bad", F.col("bad_total") - F.col("bad_upto") + F.col("bad")),
-        "fpr": ("good", F.col("good_total") - F.col("good_upto") + F.col("good")),
-    }
     return _ranked(cells, keys, bounded).select(
-        *keys,
-        F.col("score").alias("threshold"),
-        *[
-            F.try_divide(count.cast("double"), F.col(f"{kind}_total").cast("double")).alias(name)
-            for name, (kind, count) in at_or_above.items()
-        ],
+        *keys, F.col("score").alias("threshold"), _rate("bad").alias("tpr"), _rate("good").alias("fpr")
     )
 
 
 def youden_cut(curve: DataFrame, keys: list[str]) -> DataFrame:
     """Threshold with the largest TPR - FPR, the highest one on ties; NULL when none separates."""
-    distance = F.round(F.col("tpr") - F.col("fpr"), 12)
-    best = curve.groupBy(*keys).agg(F.max(F.struct(distance.alias("ks"), "threshold")).alias("b"))
-    return best.select(
-        *keys,
-        F.col("b.ks").alias("ks"),
-        F.when(F.col("b.ks") > 0, F.col("b.threshold")).alias("cut"),
-    )
+    best = _best_distance(F.col("tpr"), F.col("fpr"), F.col("threshold"))
+    return curve.groupBy(*keys).agg(best.alias("b")).select(*keys, *_cut("b"))
 
 
 def summary(cells: DataFrame, keys: list[str], bounded: bool = False) -> DataFrame:
-    """AUC, GINI, KS and the KS cut side by side."""
-    cut = youden_cut(roc_curve(cells, keys, bounded), keys)
-    return auc(cells, keys, bounded).join(cut, keys)
+    """AUC, GINI, KS and the KS cut side by side, from one ranking."""
+    best = _best_distance(_rate("bad"), _rate("good"), F.col("score"))
+    return (
+        _ranked(cells, keys, bounded)
+        .groupBy(*keys)
+        .agg(*_area(), best.alias("b"))
+        .select(*keys, "n", "bad", "auc", (2 * F.col("auc") - 1).alias("gini"), *_cut("b"))
+    )

@@ -6,7 +6,7 @@ arguments, so another portfolio only needs another set of tables.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, replace
 
 CE = "CE"
 SE = "SE"
@@ -340,7 +340,3 @@ GRID_RUNS = [
 GRID_DEPTHS = (3, 4, 5)
 LEAF_SHARE = 0.05
 RAW_SCORE_MISSING = 0.0
-
-
-def role_names() -> list[str]:
-    return [f.name for f in fields(Roles)]
