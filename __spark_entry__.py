@@ -55,6 +55,15 @@ ORIGINAL = replace(
 )
 RUNS = {run.model_id: run for run in MODEL_RUNS}
 
+# The training-text operators and their pipeline may be taken away; the rest works without them.
+try:
+    import corpus_pipeline
+    from riskloom.llm import queries as text_queries
+except ImportError as missing:
+    if not (missing.name or "").startswith(("corpus_pipeline", "riskloom.llm")) and "riskloom.llm" not in str(missing):
+        raise
+    corpus_pipeline = text_queries = None
+
 
 # --- shared inputs ------------------------------------------------------------
 def _table(spark: SparkSession, folder: str) -> DataFrame:
@@ -463,10 +472,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {fn.__name__: fn for fn in named}
     found["iv_strength"] = iv_strength_query
     found.update({f"profile_{name}": _profile(name) for name in PROFILES})
+    if text_queries is not None:
+        found.update(text_queries.queries())
+        found["pipeline"] = corpus_pipeline.run
     return found
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle.statements import statements
 
-    return statements()
+    found = statements()
+    if text_queries is not None:
+        found.update(text_queries.oracle_sql())
+        if corpus_pipeline.ORACLE_SQL is not None:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
