@@ -29,9 +29,11 @@ import zlib
 from functools import cache
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from riskloom.llm.frames import column, per_batch, rows_of, texts_of
 
@@ -159,8 +161,8 @@ def scan(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> Data
     return rows.mapInArrow(per_batch(make, _SCHEMA), f"doc_id long, {kinds}, base_sha256 string, spans string")
 
 
-@F.pandas_udf("string")
-def _redacted(texts):
+@F.pandas_udf(StringType())
+def _redacted(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else redact(t, spans(t)))
 
 
