@@ -1,10 +1,10 @@
 """Quality rules by weak supervision, in DataFrame functions only.
 
 Each rule votes for (1) or against (-1) a document or abstains (0). The votes of all documents
-are counted by pattern: seven rules have at most 3^7 = 2,187 patterns, whatever the table's
-size. Expectation-maximisation over these counts estimates how often each rule is right and how
-common good documents are; a document stays if its posterior probability of being good reaches
-the threshold and it passes the base rules.
+are counted by pattern: nine rules have at most 3^9 = 19,683 patterns, whatever the table's
+size. Expectation-maximisation over these counts estimates how common good documents are and,
+for each rule, how often its votes are right on good and on bad documents; a document stays if
+its posterior probability of being good reaches the threshold and it passes the base rules.
 
 A null text counts as empty. Empty texts have no words and fail the base rules. Repeated rows
 are judged each on its own; an empty table gives an empty result. Windows of three words are
@@ -16,7 +16,7 @@ whose name is chosen so that it clashes with none.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +51,8 @@ RULES = (
     Rule("length", "n_words", (60.0, INF), (50.0, INF)),
     Rule("word_length", "chars_per_word", (2.5, 9.0), (1.8, 13.0)),
     Rule("symbols", "symbols_per_word", (0.0, 0.06), (0.0, 0.25)),
+    Rule("marks", "marks_per_char", (0.0, 0.12), (0.0, 0.25)),
+    Rule("letters", "letterless_share", (0.0, 0.1), (0.0, 0.3)),
     Rule("capitals", "capitals_per_char", (0.0, 0.12), (0.0, 0.35)),
     Rule("repeats", "repeat_share", (0.0, 0.25), (0.0, 0.5)),
     Rule("lines", "dup_line_share", (0.0, 0.25), (0.0, 0.5)),
@@ -64,17 +66,24 @@ class Limits:
     max_repeat_percent: int = 50
     threshold: float = 0.5
     rounds: int = 30
-    start_accuracy: float = 0.75
-    #: a rule is never held to be worse than a coin, which keeps "good" and "bad" apart
-    accuracy_range: tuple[float, float] = (0.55, 0.99)
+    #: how often votes are right before the first round: rules seldom speak against good
+    #: documents, and a bad document offends some of the rules only
+    start_good: float = 0.97
+    start_bad: float = 0.3
+    #: a vote never tells less than these, which keeps "good" and "bad" apart
+    good_range: tuple[float, float] = (0.8, 0.999)
+    bad_range: tuple[float, float] = (0.02, 0.999)
     prior_range: tuple[float, float] = (0.02, 0.98)
     smoothing: float = 1.0
 
 
 @dataclass(frozen=True)
 class Fitted:
+    """Share of good documents; by rule, the share of right votes on good and on bad ones."""
+
     prior: float
-    accuracies: dict[str, float] = field(default_factory=dict)
+    good: dict[str, float]
+    bad: dict[str, float]
 
 
 def measured(docs: DataFrame, text: str, into: str) -> DataFrame:
@@ -124,6 +133,8 @@ def measured(docs: DataFrame, text: str, into: str) -> DataFrame:
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
         F.regexp_count(whole, F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
         F.regexp_count(whole, F.lit(r"[.?!]")).cast("long").alias("n_stops"),
+        F.regexp_count(whole, F.lit(r"[^\p{L}\s]")).cast("long").alias("n_marks"),
+        F.regexp_count(whole, F.lit(r"(?<!\S)[^\p{L}\s]+(?!\S)")).cast("long").alias("n_letterless"),
     ))).alias(into))
     m = column(into)
     share = lambda a, b: F.coalesce(F.try_divide(m[a].cast("double"), m[b].cast("double")), F.lit(0.0))
@@ -131,6 +142,7 @@ def measured(docs: DataFrame, text: str, into: str) -> DataFrame:
         "chars_per_word": ("word_chars", "n_words"), "symbols_per_word": ("n_symbols", "n_words"),
         "capitals_per_char": ("n_capitals", "word_chars"), "repeat_share": ("n_repeat_words", "n_words"),
         "dup_line_share": ("n_dup_lines", "n_lines"), "stops_per_word": ("n_stops", "n_words"),
+        "marks_per_char": ("n_marks", "word_chars"), "letterless_share": ("n_letterless", "n_words"),
     }
     return counts.withColumn(into, _with(m, {k: share(*of) for k, of in ratios.items()}))
 
@@ -155,40 +167,42 @@ def posterior(pattern: Column, fitted: Fitted, rules: tuple[Rule, ...] = RULES)
     """Probability of a good document: prior odds times the odds of each vote."""
     score = F.lit(math.log(fitted.prior / (1 - fitted.prior)))
     for r in rules:
-        a = fitted.accuracies[r.name]
-        score = score + pattern[r.name] * F.lit(math.log(a / (1 - a)))
+        good, bad = fitted.good[r.name], fitted.bad[r.name]
+        score = score + (
+            F.when(pattern[r.name] == 1, math.log(good / (1 - bad)))
+            .when(pattern[r.name] == -1, math.log((1 - good) / bad)).otherwise(0.0)
+        )
     return 1 / (1 + F.exp(-score))
 
 
 def fit(patterns: DataFrame, limits: Limits = Limits(), rules: tuple[Rule, ...] = RULES) -> Fitted:
     """Expectation-maximisation over ``patterns`` (a struct ``votes`` and a count ``n``, one row
     per pattern). Each round is one aggregation to a single row."""
-    fitted = Fitted(0.5, {r.name: limits.start_accuracy for r in rules})
+    fitted = Fitted(0.5, {r.name: limits.start_good for r in rules}, {r.name: limits.start_bad for r in rules})
     clip = lambda x, low, high: min(max(x, low), high)
+    s = limits.smoothing
     for _ in range(limits.rounds):
         q, n = posterior(F.col("votes"), fitted, rules), F.col("n").cast("double")
         sums = [F.sum(n).alias("n_"), F.sum(n * q).alias("good_")]
         for k, r in enumerate(rules):
-            v = F.col("votes")[r.name]
-            sums += [
-                F.sum(F.when(v != 0, n).otherwise(0.0)).alias(f"cast_{k}"),
-                F.sum(n * F.when(v == 1, q).when(v == -1, 1 - q).otherwise(0.0)).alias(f"right_{k}"),
-            ]
+            for sign, name in ((1, "for"), (-1, "against")):
+                cast = F.when(F.col("votes")[r.name] == sign, n).otherwise(0.0)
+                sums += [F.sum(cast * q).alias(f"{name}_good_{k}"), F.sum(cast * (1 - q)).alias(f"{name}_bad_{k}")]
         got = patterns.agg(*sums).first()
         if not got["n_"]:
             return fitted
-        s, start = limits.smoothing, limits.start_accuracy
+        rate = lambda right, wrong, start: (got[right] + s * start) / (got[right] + got[wrong] + s)
         new = Fitted(
             clip(got["good_"] / got["n_"], *limits.prior_range),
-            {
-                r.name: clip((got[f"right_{k}"] + s * start) / (got[f"cast_{k}"] + s), *limits.accuracy_range)
-                for k, r in enumerate(rules)
-            },
-        )
-        moved = max(
-            abs(new.prior - fitted.prior),
-            *(abs(new.accuracies[x] - fitted.accuracies[x]) for x in new.accuracies),
+            {r.name: clip(rate(f"for_good_{k}", f"against_good_{k}", limits.start_good), *limits.good_range)
+             for k, r in enumerate(rules)},
+            {r.name: clip(rate(f"against_bad_{k}", f"for_bad_{k}", limits.start_bad), *limits.bad_range)
+             for k, r in enumerate(rules)},
         )
+        moved = max(abs(a - b) for a, b in zip(
+            [new.prior, *new.good.values(), *new.bad.values()],
+            [fitted.prior, *fitted.good.values(), *fitted.bad.values()],
+        ))
         fitted = new
         if moved < 1e-6:
             break
