@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import quality_rules, secrets, simhash
+from riskloom.llm import packing, quality_rules, secrets, simhash
 from riskloom.llm.frames import table
 
 
+def op3_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), with_ids=False)
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality(table(spark, folder, "documents")).select(
         "doc_id",
@@ -27,7 +31,7 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_quality_rules, op7_secret_scan, op8_simhash_near_dedup)}
+    return {f.__name__: f for f in (op3_mixture_packing, op6_quality_rules, op7_secret_scan, op8_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
