@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import packing, quality_rules, secrets, simhash
+from riskloom.llm import packing, pu_classifier, quality_rules, secrets, simhash
 from riskloom.llm.frames import table
 
 
@@ -30,8 +30,12 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op9_pu_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return pu_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixture_packing, op6_quality_rules, op7_secret_scan, op8_simhash_near_dedup)}
+    return {f.__name__: f for f in (op3_mixture_packing, op6_quality_rules, op7_secret_scan, op8_simhash_near_dedup, op9_pu_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
