@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import html_extract, packing, pu_classifier, quality_rules, secrets, simhash, topk
+from riskloom.llm import (
+    html_extract, license_scan, packing, pu_classifier, quality_rules, secrets, simhash, topk, warc,
+)
 from riskloom.llm.frames import table
 
 
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.find_licenses(table(spark, folder, "documents"))
+
+
 def op2_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_extract.extract(table(spark, folder, "pages"))
 
@@ -18,6 +24,10 @@ def op3_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), with_ids=False)
 
 
+def op4_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, folder, "pages")), ("page_id",))
+
+
 def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"))
 
@@ -44,8 +54,8 @@ def op9_pu_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ours = (
-        op2_html_main_text, op3_mixture_packing, op5_exact_top_k, op6_quality_rules, op7_secret_scan,
-        op8_simhash_near_dedup, op9_pu_quality_classifier,
+        op1_license_scan, op2_html_main_text, op3_mixture_packing, op4_warc_derivatives, op5_exact_top_k,
+        op6_quality_rules, op7_secret_scan, op8_simhash_near_dedup, op9_pu_quality_classifier,
     )
     return {f.__name__: f for f in ours}
 
