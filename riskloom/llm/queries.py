@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm import (
-    html_extract, license_scan, packing, pu_classifier, quality_rules, secrets, simhash, topk, warc,
+    html_extract, license_scan, packing, pu_classifier, quality_rules, secrets, sentencepiece_scan, simhash, topk,
+    warc,
 )
 from riskloom.llm.frames import table
 
@@ -52,10 +53,15 @@ def op9_pu_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return pu_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op10_sentencepiece_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepiece_scan.digests(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ours = (
         op1_license_scan, op2_html_main_text, op3_mixture_packing, op4_warc_derivatives, op5_exact_top_k,
         op6_quality_rules, op7_secret_scan, op8_simhash_near_dedup, op9_pu_quality_classifier,
+        op10_sentencepiece_scan,
     )
     return {f.__name__: f for f in ours}
 
