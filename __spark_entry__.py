@@ -35,6 +35,7 @@ LABELLED = [f"{ROLES.balance}_bin", f"{ROLES.tenure}_bin"]
 EXACT_BINS = binning.BinningLimits(rel_error=0)
 IDS = [ROLES.row_id, ROLES.segment]
 
+# fixed values: columns of the host's profiling
 _PROFILE_INPUTS = {
     "tipoModeloFA": "tipo_modelo_fa", "scoreBuroFA": ROLES.score, "saldoCuentasFA": ROLES.balance,
     "tipoModelo12D": "tipo_modelo_12d", "scoreBuro12D": "score_12d", "saldoCuentas12D": "saldo_12d",
@@ -96,8 +97,9 @@ def _trees(spark: SparkSession, folder: str, *models: str) -> tree.GrownTrees:
     return tree.fit_trees(_woe_base(spark, folder), runs, ROLES)
 
 
-def _exact_fit(spark: SparkSession, folder: str) -> binning.FittedBins:
-    return binning.fit_bins(_base(spark, folder), SEGMENT, MEASURED, ROLES.label, EXACT_BINS)
+def _fit(spark: SparkSession, folder: str) -> binning.FittedBins:
+    """The default fit: sketched prebins, two scans, no large shuffle."""
+    return binning.fit_bins(_narrow(spark, folder, ROLES.label, *MEASURED), SEGMENT, MEASURED, ROLES.label)
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -239,12 +241,13 @@ def calc_iv_bins(spark, folder):
 
 
 def optbin_fit(spark, folder):
-    table = _exact_fit(spark, folder).table
-    return _rounded(binning.by_event_rate(table, ROLES.segment, "variable"))
+    """The exact fit, every distinct value ranked."""
+    exact = binning.fit_bins(_base(spark, folder), SEGMENT, MEASURED, ROLES.label, EXACT_BINS)
+    return _rounded(binning.by_event_rate(exact.table, ROLES.segment, "variable"))
 
 
 def optbin_splits(spark, folder):
-    splits = binning.round_splits(_exact_fit(spark, folder).splits)
+    splits = binning.round_splits(_fit(spark, folder).splits)
     listed = splits.select(
         *SEGMENT, "variable", F.size("splits").cast("long").alias("n_splits"), "search_iv",
         "feasible", F.posexplode_outer("splits").alias("orden", "corte"),
@@ -253,17 +256,15 @@ def optbin_splits(spark, folder):
 
 
 def optbin_sketch(spark, folder):
-    """The default fit: sketched prebins, two scans, no large shuffle."""
-    rows = _narrow(spark, folder, ROLES.label, *MEASURED)
-    return _rounded(binning.fit_bins(rows, SEGMENT, MEASURED, ROLES.label).table)
+    return _rounded(binning.by_event_rate(_fit(spark, folder).table, ROLES.segment, "variable"))
 
 
 def iv_ranking(spark, folder):
-    return _rounded(binning.iv_totals(_exact_fit(spark, folder).table, SEGMENT))
+    return _rounded(binning.iv_totals(_fit(spark, folder).table, SEGMENT))
 
 
 def iv_strength_query(spark, folder):
-    ranking = binning.iv_totals(_exact_fit(spark, folder).table, SEGMENT)
+    ranking = binning.iv_totals(_fit(spark, folder).table, SEGMENT)
     return _rounded(ranking.withColumn("fuerza", iv_strength(F.col("iv_sum")))).select(
         *SEGMENT, "variable", "iv_sum", "fuerza"
     )
@@ -271,12 +272,12 @@ def iv_strength_query(spark, folder):
 
 def discretize(spark, folder):
     base = _narrow(spark, folder, ROLES.label, *MEASURED)
-    fitted = binning.fit_bins(base, SEGMENT, MEASURED, ROLES.label, EXACT_BINS).split_lists()
+    fitted = binning.fit_bins(base, SEGMENT, MEASURED, ROLES.label).split_lists()
     binned = binning.discretize(base, fitted, ROLES.segment, suffix="_num")
     names = [f"{c}_num" for c in MEASURED]
     return binned.select(
         *IDS,
-        *[(F.col(c) if c in binned.columns else F.lit(None).cast("int")).alias(c) for c in names],
+        *[(F.col(c) if c in binned.columns else F.col(v).cast("double")).alias(c) for v, c in zip(MEASURED, names)],
     )
 
 
@@ -381,7 +382,7 @@ def grid_importance(spark, folder):
 
 # --- metrics on a fixed score -------------------------------------------------------------
 def _score_cells(spark, folder):
-    """1000 - score as a risk score; rows without a score are left out."""
+    """1000 - score as a risk score; rows without a score are counted apart."""
     base = _base(spark, folder).withColumn("riesgo", (1000 - F.col(ROLES.score)) / F.lit(1024.0))
     return metrics.score_cells(base, [ROLES.segment, ROLES.part], "riesgo", ROLES.label)
 

@@ -618,6 +618,13 @@ def grid_steps() -> list[str]:
     ]
 
 
+def importance(run: str, source: str) -> str:
+    share = f"coalesce(dec / nullif(sum(dec) over (partition by {run}), 0), 0)"
+    return f"""select run, variable, {r('share')} as importancia, cast(row_number() over (
+      partition by run order by round(share, 12) desc, variable) as int) as rank
+    from (select {run} as run, variable, {share} as share from {source})"""
+
+
 def statements() -> dict[str, str]:
     found: dict[str, str] = {}
     mdt_only = f"with mdt as ({MDT}) "
@@ -707,7 +714,10 @@ def statements() -> dict[str, str]:
     found["calc_iv"] = with_steps(
         f"select experiencia, variable, {r('sum(iv)')} as iv from iv_bins group by experiencia, variable",
         LABELLED, BIN_ROWS, IV_ROWS)
-    found["optbin_fit"] = with_steps(measured_bins("filas", _MARCO), *OPTBIN)
+    found["optbin_fit"] = with_steps(
+        f"""select *, cast(row_number() over (partition by experiencia, variable
+          order by event_rate nulls last, bin_no) as int) as rank from ({measured_bins("filas", _MARCO)})""", *OPTBIN)
+    found["optbin_sketch"] = found["optbin_fit"]   # below the sketch's accuracy both are exact
     found["optbin_splits"] = with_steps(
         f"""select experiencia, variable, n_splits, {r('search_iv')} as search_iv, feasible, orden, corte from (
           select experiencia, variable, cast(len(splits) as bigint) as n_splits, search_iv, feasible,
@@ -715,14 +725,17 @@ def statements() -> dict[str, str]:
             unnest(case when len(splits) = 0 then [null] else list_transform(splits, lambda s: round(s, 2)) end) as corte
           from elegidos)""", *OPTBIN)
     found["iv_ranking"] = with_steps(
-        f"select experiencia, variable, {r('iv_sum')} as iv_sum, n_splits, usable from ranking", *OPTBIN, IV_SUM)
+        f"""select experiencia, variable, {r('iv_sum')} as iv_sum, n_splits, usable, cast(row_number() over (
+          partition by experiencia order by round(iv_sum, 12) desc, variable) as int) as rank from ranking""",
+        *OPTBIN, IV_SUM)
     found["iv_strength"] = with_steps(
         f"select experiencia, variable, {r('iv_sum')} as iv_sum, {_STRENGTH} as fuerza from ranking", *OPTBIN, IV_SUM)
     found["discretize"] = with_steps(
         "select row_id, experiencia, " + ", ".join(
-            f"cast(max(numero) filter (where variable = '{c}') as int) as {c}_num" for c in MEASURED)
-        + """ from (select row_id, experiencia, variable, case when len(splits) > 1 then
-            case when v is null then len(splits) + 1 else len(list_filter(splits, lambda s: s <= v)) end end as numero
+            f"max(numero) filter (where variable = '{c}') as {c}_num" for c in MEASURED)
+        + """ from (select row_id, experiencia, variable, case when len(splits) > 1 then cast(
+            case when v is null then len(splits) + 1 else len(list_filter(splits, lambda s: s <= v)) end as double)
+            else v end as numero
           from largo join elegidos using (experiencia, variable)) group by row_id, experiencia""", *OPTBIN)
 
     # profiles
@@ -748,9 +761,9 @@ def statements() -> dict[str, str]:
           {r('w')} as w, {r('wb')} as wb, {r('p_bad')} as p_bad, is_leaf
         from nodos d left join nombres m on m.run = d.run and m.feature = d.feature""", *tree_steps())
     found["feature_importance"] = with_steps(
-        f"""select m.run, variable, {r('coalesce(dec / nullif(sum(dec) over (partition by m.run), 0), 0)')} as importancia
-        from nombres m left join (select run, feature, sum(decrease) as dec from nodos where not is_leaf group by all) d
-          on d.run = m.run and d.feature = m.feature""", *tree_steps())
+        importance("m.run", """nombres m left join (
+          select run, feature, sum(decrease) as dec from nodos where not is_leaf group by all) d
+          on d.run = m.run and d.feature = m.feature"""), *tree_steps())
     found["tree_rules"] = tree_rules()
     found["score_proba"] = score_proba()
     found["model_compare"] = with_steps(
@@ -761,15 +774,16 @@ def statements() -> dict[str, str]:
     found["grid_search_depth"] = with_steps(
         f"select run, max_depth, {r('m')} as mean_auc, is_best from notas", *grid_steps())
     found["grid_importance"] = with_steps(
-        f"""select n.run, variable, {r('coalesce(dec / nullif(sum(dec) over (partition by n.run), 0), 0)')} as importancia
-        from nombres n left join (
+        importance("n.run", """nombres n left join (
           select split_part(d.run, '/', 1) as run, feature, sum(decrease) as dec
           from nodos d join notas b on d.run = b.run || '/all' and is_best and depth < max_depth
-          where not is_leaf group by all) g on g.run = n.run and g.feature = n.feature""", *grid_steps())
+          where not is_leaf group by all) g on g.run = n.run and g.feature = n.feature"""), *grid_steps())
 
     # metrics
     found["metric_auc"] = with_steps(
-        f"select {_SP}, n, bad, {r('auc')} as auc from ({auc_select('puntajes', _SP)})", SCORED)
+        f"""select {_SP}, n, bad, {r('auc')} as auc, unscored from ({auc_select('puntajes', _SP)})
+        right join (select {_SP}, count(*) filter (where score_buro is null) as unscored from base group by all)
+          using ({_SP})""", SCORED)
     found["metric_gini"] = with_steps(
         f"select {_SP}, {r('2 * auc - 1')} as gini from ({auc_select('puntajes', _SP)})", SCORED)
     found["metric_roc_curve"] = with_steps(

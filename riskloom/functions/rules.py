@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 from riskloom.settings import NO_PROFILE
 
 
-_SEPARATOR = "\x1f"
 
 
 @dataclass(frozen=True)
@@ -139,9 +138,7 @@ def _grid_lookup(score, balance, tables: list, result, table: Column | None = No
     index = _position(score, score_axis) * len(balances) + _position(balance, balance_axis)
     if table is not None:
         index = table * (len(scores) * len(balances)) + index
-    # one text literal that the optimizer folds to an array, instead of hundreds of literals
-    texts = F.split(F.lit(_SEPARATOR.join(map(str, cells))), _SEPARATOR)
-    return F.get(texts, index)
+    return F.get(F.lit(cells), index)   # the optimizer folds the array to one literal
 
 
 def _label_or(default: str):

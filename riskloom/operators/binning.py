@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql.window import Window
 from riskloom.functions.cuts import bin_number, per_segment, woe_of
 from riskloom.operators.prefix import clean, value_cells
 from riskloom.operators.quantiles import quantile_rows
-from riskloom.plans.staging import BROADCAST_ROWS, stage, stage_counted
+from riskloom.plans.staging import fits_broadcast, stage, stage_counted
 
 
 @dataclass(frozen=True)
@@ -196,10 +198,14 @@ def _bin_texts(splits: Column) -> Column:
 def bin_statistics(bins: DataFrame, keys: list[str]) -> DataFrame:
     """Event rate, WOE, IV and JS per bin from ``n`` and ``events``; totals include missing.
 
-    A bin without goods or without bads has WOE, IV and JS 0.  ``keys`` hold a handful of
-    bins each, so their totals come from a window.
+    A bin without goods or without bads has WOE, IV and JS 0.  Totals per key are summed on the
+    map side and joined, so a key may have any number of bins.
     """
-    whole = Window.partitionBy(*keys)
+    totals = bins.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(
+        F.nullif(F.sum("n"), F.lit(0)).alias("__n"),
+        F.nullif(F.sum("events"), F.lit(0)).alias("__b"),
+        F.nullif(F.sum(F.col("n") - F.col("events")), F.lit(0)).alias("__g"),
+    )
     good, bad = F.col("non_event") / F.col("__g"), F.col("event") / F.col("__b")
     mixed = (F.col("event") > 0) & (F.col("non_event") > 0)
     middle = (good + bad) / 2
@@ -210,13 +216,7 @@ def bin_statistics(bins: DataFrame, keys: list[str]) -> DataFrame:
             F.col("events").alias("event"),
             (F.col("n") - F.col("events")).alias("non_event"),
         )
-        .withColumns(
-            {
-                "__n": F.nullif(F.sum("n").over(whole), F.lit(0)),
-                "__b": F.nullif(F.sum("event").over(whole), F.lit(0)),
-                "__g": F.nullif(F.sum("non_event").over(whole), F.lit(0)),
-            }
-        )
+        .join(totals, reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]))
         .withColumns(
             {
                 "count_share": F.col("n") / F.col("__n"),
@@ -230,7 +230,7 @@ def bin_statistics(bins: DataFrame, keys: list[str]) -> DataFrame:
                 ).otherwise(zero),
             }
         )
-        .drop("__n", "__b", "__g", "events")
+        .drop("__n", "__b", "__g", "events", *[f"__{k}" for k in keys])
         .withColumnRenamed("n", "count")
     )
 
@@ -274,7 +274,7 @@ def fit_bins(
         events = {"events": F.col(label).cast("long")}
         rows = exact = stage(value_cells(df, keys, variables, events))
     edges, edge_rows = _prebin_edges(df, keys, variables, limits, exact)
-    small = edge_rows <= BROADCAST_ROWS
+    small = fits_broadcast(edges, edge_rows)
     counts = stage(_prebin_counts(rows, edges, small, keys, limits.prebins))
     splits = stage(_search(counts, edges, keys, limits))
     return FittedBins(tuple(keys), splits, _fitted_table(counts, splits, edges, keys))
@@ -285,24 +285,29 @@ def round_splits(splits: DataFrame, digits: int = 2) -> DataFrame:
 
 
 def by_event_rate(table: DataFrame, *first: str) -> DataFrame:
-    return table.orderBy(*first, F.col("event_rate").asc_nulls_last())
+    """The bin table by rising event rate, empty bins last; ``rank`` is the place in that order."""
+    rate = F.col("event_rate").asc_nulls_last()
+    place = F.row_number().over(Window.partitionBy(*first).orderBy(rate, "bin_no"))
+    return table.withColumn("rank", place).orderBy(*first, "rank")
 
 
 def iv_totals(table: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """IV per variable, highest first; ``usable`` marks variables with more than one split."""
+    """IV per variable, highest first, with its ``rank``; ``usable`` marks variables with more
+    than one split."""
+    highest = Window.partitionBy(*keys).orderBy(F.round("iv_sum", 12).desc(), "variable")
     return (
         table.groupBy(*keys, "variable")
         .agg(F.sum("iv").alias("iv_sum"), F.max("n_splits").alias("n_splits"))
-        .withColumn("usable", F.col("n_splits") > 1)
-        .orderBy(*keys, F.col("iv_sum").desc(), "variable")
+        .withColumns({"usable": F.col("n_splits") > 1, "rank": F.row_number().over(highest)})
+        .orderBy(*keys, "rank")
     )
 
 
 def discretize(df: DataFrame, fitted: dict, segment: str | None, suffix: str = "") -> DataFrame:
-    """Replace each variable that has more than one split by its bin number.
+    """Replace each variable that has more than one split by its bin number, as a double.
 
     ``fitted`` is :meth:`FittedBins.split_lists`; NULL gets the number of the Missing bin.
-    Where only some segments have usable cuts, the others get NULL.
+    Where only some segments have usable cuts, the others keep the value itself.
     """
     variables = list(dict.fromkeys(key[-1] for key in fitted))
     changed = {}
@@ -315,10 +320,14 @@ def discretize(df: DataFrame, fitted: dict, segment: str | None, suffix: str = "
         value = clean(name, df)
         if segment is None:
             cuts = usable[()]
-            changed[name + suffix] = bin_number(value, cuts, len(cuts) + 1)
+            changed[name + suffix] = bin_number(value, cuts, len(cuts) + 1).cast("double")
         else:
             changed[name + suffix] = per_segment(
                 F.col(segment),
-                {key[0]: bin_number(value, cuts, len(cuts) + 1) for key, cuts in usable.items()},
+                {
+                    key[0]: bin_number(value, cuts, len(cuts) + 1).cast("double")
+                    for key, cuts in usable.items()
+                },
+                otherwise=F.col(name).cast("double"),
             )
     return df.withColumns(changed) if changed else df

@@ -9,16 +9,16 @@ from riskloom.operators.prefix import running_totals
 
 
 def score_cells(df: DataFrame, keys: list[str], score: str, label: str = "y") -> DataFrame:
-    """Row and bad count per distinct score; rows without a score are left out."""
+    """Row and bad count per distinct score; rows without a score form a cell of their own, which
+    :func:`auc` counts and no measure uses."""
     return (
-        df.filter(F.col(score).isNotNull())
-        .groupBy(*keys, F.col(score).cast("double").alias("score"))
+        df.groupBy(*keys, F.col(score).cast("double").alias("score"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("bad"))
     )
 
 
 def _ranked(cells: DataFrame, keys: list[str], bounded: bool) -> DataFrame:
-    return running_totals(cells, keys, "score", ["n", "bad"], bounded).withColumns(
+    return running_totals(cells.filter("score is not null"), keys, "score", ["n", "bad"], bounded).withColumns(
         {
             "good": F.col("n") - F.col("bad"),
             "good_upto": F.col("n_upto") - F.col("bad_upto"),
@@ -56,11 +56,15 @@ def _cut(best: str) -> list[Column]:
 
 
 def auc(cells: DataFrame, keys: list[str], bounded: bool = False) -> DataFrame:
-    """Unweighted ROC-AUC and GINI per key; NULL where only one class occurs."""
+    """Unweighted ROC-AUC and GINI per key over the rows with a score, and the number ``unscored``
+    of those without; NULL where only one class occurs or no row has a score."""
+    if not keys:
+        return auc(cells.withColumn("__all", F.lit(0)), ["__all"], bounded).drop("__all")
+    areas = _ranked(cells, keys, bounded).groupBy(*keys).agg(*_area())
+    missing = F.sum(F.when(F.col("score").isNull(), F.col("n")).otherwise(0)).alias("unscored")
     return (
-        _ranked(cells, keys, bounded)
-        .groupBy(*keys)
-        .agg(*_area())
+        cells.groupBy(*keys).agg(missing)
+        .join(areas, keys, "left")
         .withColumn("gini", 2 * F.col("auc") - 1)
     )
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,7 +53,7 @@ def running_totals(
     """Add ``<sum>_upto`` (inclusive) and ``<sum>_total`` per key in ascending ``order``,
     and ``<order>_next``, the key's next value or NULL.
 
-    ``(keys, order)`` must be unique and ``keys`` not NULL.  Rows are range-partitioned
+    ``(keys, order)`` must be unique; a NULL key is a key like others.  Rows are range-partitioned
     by (keys, order) and written once; each slice is summed on its own and the small
     table of slice totals supplies the offset.  No key is ever gathered in one task.
     ``bounded`` says that every key has few rows by construction, where the plain
@@ -78,8 +81,8 @@ def running_totals(
     before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     offsets = slices.select(
-        *keys,
-        "__slice",
+        *[F.col(k).alias(f"__{k}") for k in keys],
+        F.col("__slice").alias("__of"),
         *[F.coalesce(F.sum(f"__{s}").over(before), F.lit(0)).alias(f"__{s}_before") for s in sums],
         *[F.sum(f"__{s}").over(whole).alias(f"{s}_total") for s in sums],
         F.lead("__first").over(Window.partitionBy(*keys).orderBy("__slice")).alias("__after"),
@@ -88,13 +91,14 @@ def running_totals(
         Window.unboundedPreceding, Window.currentRow
     )
     step = Window.partitionBy(*keys, "__slice").orderBy(order)
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     return (
-        sliced.join(offsets, [*keys, "__slice"])
+        sliced.join(offsets, reduce(and_, same, F.col("__slice") == F.col("__of")))
         .withColumns(
             {
                 **{f"{s}_upto": F.col(f"__{s}_before") + F.sum(s).over(inside) for s in sums},
                 f"{order}_next": F.coalesce(F.lead(order).over(step), F.col("__after")),
             }
         )
-        .drop("__slice", "__after", *[f"__{s}_before" for s in sums])
+        .drop("__slice", "__of", "__after", *[f"__{k}" for k in keys], *[f"__{s}_before" for s in sums])
     )

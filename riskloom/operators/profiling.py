@@ -11,6 +11,7 @@ from riskloom.operators.prefix import clean
 from riskloom.operators.quantiles import quantile_rows
 from riskloom.plans.staging import broadcast_side, stage
 
+# fixed values: names of the statistics
 STATISTICS = (
     "count", "mean", "stddev", "min",
     "1%", "5%", "10%", "25%", "50%", "75%", "90%", "95%", "99%", "max",
@@ -24,10 +25,11 @@ def _prob(name: str) -> float:
 
 
 def null_counts(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:
-    """Row and NULL count per column in one pass: keys, variable, registros, nulos."""
+    """Row and NULL count per column in one pass: keys, variable, registros, nulos.  A NaN counts
+    as a NULL."""
     pairs = [
         F.struct(
-            F.count(F.lit(1)).alias("registros"), F.count_if(F.col(c).isNull()).alias("nulos")
+            F.count(F.lit(1)).alias("registros"), F.count_if(clean(c, df).isNull()).alias("nulos")
         ).alias(c)
         for c in columns
     ]
@@ -45,7 +47,7 @@ def moments(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFram
     records = [
         F.struct(
             F.count(F.lit(1)).alias("registros"),
-            F.count_if(F.col(c).isNull()).alias("nulos"),
+            F.count_if(clean(c, df).isNull()).alias("nulos"),
             *[fn(clean(c, df)).alias(name) for name, fn in _MOMENTS.items()],
         ).alias(c)
         for c in columns

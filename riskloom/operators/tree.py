@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from riskloom.operators.metrics import auc, summary
 from riskloom.operators.prefix import running_totals
@@ -283,7 +284,10 @@ def _importances(splits: DataFrame, roots: DataFrame, trees: GrownTrees) -> Data
         .join(gained, ["run", "feature"], "left")
         .join(whole, "run", "left")
         .select("run", "variable", share.alias("importancia"))
-        .orderBy("run", F.col("importancia").desc(), "variable")
+        .withColumn("rank", F.row_number().over(
+            Window.partitionBy("run").orderBy(F.round("importancia", 12).desc(), "variable")
+        ))
+        .orderBy("run", "rank")
     )
 
 

@@ -1,29 +1,35 @@
-"""Staging of intermediate results and size-checked broadcasts."""
+"""Staging of intermediate results and size-checked broadcasts.
+
+Staged data lie in the folder named by ``spark.checkpoint.dir``, which every executor can reach.
+Where that is unset, a folder of the session's own below ``spark.sql.warehouse.dir`` takes its place
+and is deleted when the session's JVM ends. With
+``spark.cleaner.referenceTracking.cleanCheckpoints=true`` Spark removes each staged result as soon
+as nothing refers to it any more.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BROADCAST_ROWS = 100_000
+#: most bytes of one side that is broadcast
+BROADCAST_BYTES = 16 << 20
+_WIDTH = {"string": 64, "binary": 64, "decimal": 16}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder for staged data; see above."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="riskloom-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged-{uuid.uuid4().hex}"
+    spark.sparkContext.setCheckpointDir(own)
+    place = spark._jvm.org.apache.hadoop.fs.Path(own)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return own
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -43,11 +49,25 @@ def stage_counted(df: DataFrame) -> tuple[DataFrame, int]:
     return staged, seen.get["rows"]
 
 
-def broadcast_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Stage one side of a join and hint its broadcast if it turned out to have at most
-    ``rows`` rows; a larger one is left to the optimizer."""
+def row_width(kind: T.DataType, items: int = 32) -> int:
+    """Bytes of a row of this type, roughly; arrays are taken to hold ``items``."""
+    if isinstance(kind, T.StructType):
+        return 8 + sum(row_width(f.dataType, items) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return 16 + items * row_width(kind.elementType, items)
+    return _WIDTH.get(kind.typeName(), 8)
+
+
+def fits_broadcast(df: DataFrame, rows: int) -> bool:
+    """Whether ``rows`` rows of ``df`` stay below BROADCAST_BYTES."""
+    return rows * row_width(df.schema) <= BROADCAST_BYTES
+
+
+def broadcast_side(df: DataFrame) -> DataFrame:
+    """Stage one side of a join and hint its broadcast if it turned out small; a larger one
+    is left to the optimizer."""
     staged, count = stage_counted(df)
-    return F.broadcast(staged) if count <= rows else staged
+    return F.broadcast(staged) if fits_broadcast(staged, count) else staged
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from riskloom.operators.profiles import profile_all
-from riskloom.plans.staging import fresh_path
 from riskloom.settings import PROFILE_RUNS
 
 
@@ -15,13 +14,12 @@ def profile_stream(stream: DataFrame, runs=PROFILE_RUNS) -> DataFrame:
     return profile_all(stream, runs)
 
 
-def write_available(stream: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Append everything that is available to parquet, exactly once per checkpoint."""
-    place = checkpoint or fresh_path(stream.sparkSession, "stream-checkpoint")
+def write_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append everything that is available to parquet, exactly once per ``checkpoint`` folder."""
     return (
         stream.writeStream.format("parquet")
         .outputMode("append")
-        .option("checkpointLocation", place)
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start(path)
     )

@@ -116,6 +116,14 @@ def test_discretize_and_ranking(labelled):
     assert all(r["usable"] == (r["n_splits"] > 1) for r in ranking)
 
 
+def test_discretize_keeps_values_without_usable_cuts(spark):
+    rows = [("CE", 0.1), ("CE", 1.0), ("CE", None), ("SE", 7.5), ("SE", None), ("XX", 3.0)]
+    df = spark.createDataFrame(rows, "seg string, x double")
+    fitted = {("CE", "x"): [0.5, 2.0], ("SE", "x"): [3.0]}
+    out = binning.discretize(df, fitted, "seg")
+    assert [r["x"] for r in out.collect()] == [0.0, 1.0, 3.0, 7.5, None, 3.0]
+
+
 def test_sorted_by_event_rate_with_empty_missing_last(labelled):
     fitted = binning.fit_bins(labelled, [], ["noise"])
     rates = [r["event_rate"] for r in binning.by_event_rate(fitted.table).collect()]

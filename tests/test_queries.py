@@ -27,7 +27,8 @@ def shown(rows):
 
 def test_every_statement_has_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"optbin_sketch"}
+    text = {name for name in QUERIES if name.startswith("op") and name[2:3].isdigit()} | {"pipeline"}
+    assert set(QUERIES) - set(SQL) <= text
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

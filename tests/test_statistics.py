@@ -95,9 +95,22 @@ def test_winsorize_keeps_null_and_nan(skewed):
     before = skewed.agg(F.count_if(F.col("x").isNull()).alias("n"), F.count_if(F.isnan("x")).alias("m")).first()
     after = out.agg(F.count_if(F.col("x").isNull()).alias("n"), F.count_if(F.isnan("x")).alias("m")).first()
     assert before == after and before["m"] == 1
-    for seg, (low, high) in marks["x"].items():
-        ends = out.filter((F.col("seg") == seg) & ~F.isnan("x")).agg(F.min("x"), F.max("x")).first()
-        assert tuple(ends) == (low, high)
+    for r in marks.filter("variable = 'x'").collect():
+        ends = out.filter((F.col("seg") == r["seg"]) & ~F.isnan("x")).agg(F.min("x"), F.max("x")).first()
+        assert tuple(ends) == (r["low"], r["high"])
+
+
+def test_winsorize_by_many_values_and_null(spark):
+    rows = [(None if k % 7 == 0 else k % 300, float(k)) for k in range(9000)] + [(400, None)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    out, marks = outliers.winsorize(df, ["x"], 0.1, 0.9, 0, verbose=False, by="g")
+    assert out.columns == df.columns and out.count() == len(rows) and marks.count() == 301
+    by = {}
+    for g, x in rows:
+        by.setdefault(g, []).append(x)
+    for r in out.groupBy("g").agg(F.min("x").alias("a"), F.max("x").alias("b")).collect():
+        if r["g"] != 400:
+            assert (r["a"], r["b"]) == (nearest_rank(by[r["g"]], 0.1), nearest_rank(by[r["g"]], 0.9))
 
 
 def test_observation_cases(spark):
@@ -146,10 +159,21 @@ def test_sample_has_the_exact_size_and_is_repeatable(skewed, fraction):
 
 def test_sample_narrows_large_groups(skewed, monkeypatch):
     monkeypatch.setattr(sampling, "_DIGITS", 1)
-    monkeypatch.setattr(sampling, "_SMALL", 3)
     assert sampling.sample_fraction(skewed, 0.1, "id").count() == 600
 
 
+def test_sample_is_exact_for_null_and_repeated_keys(spark):
+    rows = [(k % 3, k) for k in range(90)] + [(None, k) for k in range(5)] + [(1, 7)] * 5
+    df = spark.createDataFrame(rows, "k int, v int")
+    for fraction in (0.1, 0.33, 0.5, 0.95):
+        got = sampling.sample_fraction(df, fraction, "k").collect()
+        assert len(got) == int(fraction * 100)
+        assert sorted(got, key=str) == sorted(sampling.sample_fraction(df, fraction, "k").collect(), key=str)
+    same = spark.createDataFrame([(None, None)] * 50, "k int, v int")
+    assert sampling.sample_fraction(same, 0.3, "k").count() == 15
+    assert sampling.sample_fraction(df.limit(0), 0.3, "k").count() == 0
+
+
 def test_folds_are_near_even(skewed):
     sizes = [r["count"] for r in skewed.groupBy(sampling.fold_number("id", 3)).count().collect()]
     assert len(sizes) == 3 and min(sizes) > 1800
