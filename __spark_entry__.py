@@ -6,6 +6,7 @@ import os
 import sys
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ SEGMENT = [ROLES.segment]
 MEASURED = [ROLES.tenure, ROLES.balance, ROLES.balance_u3m, ROLES.balance_u6m]
 PROFILED = [ROLES.score, *MEASURED, ROLES.label]
 LABELLED = [f"{ROLES.balance}_bin", f"{ROLES.tenure}_bin"]
+#: share of each segment's labelled rows that the grid search fits on
+GRID_SHARE = 0.1
 EXACT_BINS = binning.BinningLimits(rel_error=0)
 IDS = [ROLES.row_id, ROLES.segment]
 
@@ -311,10 +314,11 @@ def profile_rule_audit(spark, folder):
 
 # --- trees ------------------------------------------------------------------------------
 def train_matrix(spark, folder):
-    """Features of the two-variable score trees, label and weight of the train part."""
-    base = _woe_base(spark, folder).filter(F.col(ROLES.part) == "train")
-    return base.select(
-        *IDS, f"{ROLES.balance}_woe", f"{ROLES.score}_woe", ROLES.label, ROLES.weight
+    """Every model's features, label and weight, for both parts."""
+    woes = [f"{ROLES.column(role)}_woe" for role in dict.fromkeys(r for _, r in WOE_MAPS)]
+    return _woe_base(spark, folder).select(
+        *IDS, ROLES.part, *woes, f"{ROLES.rating}_woe", ROLES.score, ROLES.tenure, ROLES.balance,
+        ROLES.label, ROLES.weight,
     )
 
 
@@ -349,14 +353,15 @@ def tree_rules(spark, folder):
 
 
 def score_proba(spark, folder):
-    runs = [RUNS["T3"], RUNS["T4"]]
-    base = stage(
-        _woe_base(spark, folder).select(
-            *IDS, ROLES.part, ROLES.label, ROLES.weight, f"{ROLES.balance}_woe", f"{ROLES.score}_woe"
-        )
-    )
-    scored = tree.score_proba(base, tree.fit_trees(base, runs, ROLES), runs)
-    return _rounded(scored.select(*IDS, ROLES.part, "p_malo"))
+    """P(bad) of every row under each model of its segment."""
+    base = stage(_woe_base(spark, folder))
+    trees, names = tree.fit_trees(base, MODEL_RUNS, ROLES), [run.model_id for run in MODEL_RUNS]
+    scored = base.select("*", *[
+        F.when(F.col(ROLES.segment) == run.segment, tree.score_column(trees, run)).alias(run.model_id)
+        for run in MODEL_RUNS
+    ])
+    long = scored.select(*IDS, ROLES.part, *names).unpivot([*IDS, ROLES.part], names, "run", "p_malo")
+    return _rounded(long.filter("p_malo is not null"))
 
 
 def model_compare(spark, folder):
@@ -368,8 +373,12 @@ def _grid(spark, folder):
     base = stage(
         _woe_base(spark, folder).select(*needed, f"{ROLES.tenure}_woe", f"{ROLES.balance}_woe")
     )
-    sampled = sampling.sample_fraction(base, 0.1, ROLES.row_id)
-    return tree.grid_search_depth(sampled, sampling.fold_number(ROLES.row_id, 3), GRID_RUNS, ROLES)
+    sampled = reduce(DataFrame.unionByName, [
+        sampling.sample_fraction(base.filter(F.col(ROLES.segment) == s), GRID_SHARE, ROLES.row_id)
+        for s in sorted({run.segment for run in GRID_RUNS})
+    ])
+    folded = sampling.with_folds(sampled, [ROLES.segment, ROLES.part, ROLES.label], ROLES.row_id, 3)
+    return tree.grid_search_depth(folded, F.col("fold"), GRID_RUNS, ROLES)
 
 
 def grid_search_depth(spark, folder):

@@ -575,13 +575,12 @@ def risk_grid_cells() -> str:
 
 
 def score_proba() -> str:
-    runs = [run for run in MODEL_RUNS if run.model_id in ("T3", "T4")]
     return with_steps(
-        f"""select row_id, experiencia, particion, {r('d.p_bad')} as p_malo
-        from woe join c4 c on c.run = case experiencia when 'CE' then 'T4' else 'T3' end
-          and c.x0 = saldo_cuentas_woe and c.x1 = score_buro_woe
+        f"""select row_id, experiencia, f.particion, f.run, {r('d.p_bad')} as p_malo
+        from filas_con_id f join c4 c on c.run = f.run and c.x0 is not distinct from f.x0
+          and c.x1 is not distinct from f.x1 and c.x2 is not distinct from f.x2
         join nodos d on d.run = c.run and d.node = c.node""",
-        *tree_steps(runs),
+        *tree_steps(), f"filas_con_id as ({model_rows(MODEL_RUNS, ', row_id, experiencia')})",
     )
 
 
@@ -596,10 +595,10 @@ def grid_steps() -> list[str]:
     )
     return [
         "woe as materialized (" + WOE_BASE[WOE_BASE.index("(") + 1:-1]
-        + """ qualify row_number() over (order by md5(row_id || ':13')) <=
-            cast(floor(cast(0.1 as double) * count(*) over ()) as bigint))""",
+        + """ qualify row_number() over (partition by experiencia order by md5(row_id || ':13')) <=
+            cast(floor(cast(0.1 as double) * count(*) over (partition by experiencia)) as bigint))""",
         "filas_modelo as (" + model_rows(
-            GRID_RUNS, ", cast(('0x' || substr(md5(row_id || ':17'), 1, 8)) as bigint) % 3 as fold"
+            GRID_RUNS, ", (row_number() over (partition by particion, y order by md5(row_id || ':17')) - 1) % 3 as fold"
         ) + ")",
         """filas_cv as (select * replace (run || '/' || case when via < 0 then 'all' else cast(via as varchar) end as run),
             particion = 'train' and (via < 0 or via <> fold) as ajusta,
@@ -747,7 +746,8 @@ def statements() -> dict[str, str]:
 
     # trees
     found["train_matrix"] = with_steps(
-        "select row_id, experiencia, saldo_cuentas_woe, score_buro_woe, y, weight from woe where particion = 'train'",
+        "select row_id, experiencia, particion, " + ", ".join(f"{c}_woe" for c in COLUMN.values())
+        + ", clasificacion_woe, score_buro, antiguedad_buro, saldo_cuentas, y, weight from woe",
         WOE_BASE)
     found["min_leaf_5pct"] = with_steps(
         "select experiencia, count(*) as n_train, cast(floor(cast(0.05 as double) * count(*)) as bigint) as min_leaf "

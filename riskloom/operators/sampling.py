@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.operators.prefix import running_totals
+
 #: hexadecimal digits counted in one pass: at most 16 ** _DIGITS counts come to the driver
 _DIGITS = 4
 _LENGTH = 32
@@ -22,6 +24,17 @@ def fold_number(key: str, n_folds: int, seed: int = 17) -> Column:
     return F.pmod(head, F.lit(n_folds)).cast("int")
 
 
+def with_folds(
+    df: DataFrame, strata: list[str], key: str, n_folds: int, seed: int = 17, output: str = "fold"
+) -> DataFrame:
+    """``df`` with a reproducible fold 0 .. n_folds - 1, dealt in turn along the hash of ``key``
+    within each stratum, so that folds of a stratum differ by one row at most."""
+    hashed = df.withColumns({"__h": sample_hash(key, seed), "__one": F.lit(1).cast("long")})
+    ranked = running_totals(hashed, strata, "__h", ["__one"])
+    turn = F.pmod(F.col("__one_upto") - 1, F.lit(n_folds)).cast("int")
+    return ranked.withColumn(output, turn).select(*df.columns, output)
+
+
 def _cut_off(df: DataFrame, digest: Column, fraction: float, wanted: int | None) -> tuple[str, int, int]:
     """The shortest prefix at which the ``wanted`` smallest digests end, how many of the rows with
     it still belong to them, and how many there are. ``wanted`` None: ``fraction`` of the rows."""

@@ -436,15 +436,18 @@ def grid_search_depth(
     cells = model_cells(df, runs, roles, folds=fold, n_folds=n_folds)
     trees = grow(cells, runs, roles, max(depths), fold_minimums)
 
-    parts = [
-        leaf_scores(trees, d).withColumn("max_depth", F.lit(d))
-        .filter((F.col("particion") == "test") & ~F.col("run").endswith("/all"))
-        for d in depths
-    ]
-    cells_by_depth = parts[0]
-    for more in parts[1:]:
-        cells_by_depth = cells_by_depth.unionByName(more)
-    folds = auc(cells_by_depth, ["run", "max_depth"], bounded=True)
+    # cells collapse to leaves once; each leaf row then stands for itself at every depth
+    leaves = trees.cells.filter(~F.col("run").endswith("/all")).groupBy("run", "node").agg(
+        F.sum("test_n").alias("n"), F.sum("test_bad").alias("bad")
+    )
+    deeper = F.greatest(depth_of(F.col("node")) - F.col("max_depth"), F.lit(0))
+    cut = leaves.filter("n > 0").withColumn("max_depth", F.explode(F.array(*map(F.lit, depths))))
+    scored = cut.withColumn("node", F.call_function("shiftright", F.col("node"), deeper)).join(
+        F.broadcast(trees.nodes.select("run", "node", F.col("p_bad").alias("score"))),  # <= runs * 2^6
+        ["run", "node"],
+    )
+    by_score = scored.groupBy("run", "max_depth", "score").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    folds = auc(by_score, ["run", "max_depth"], bounded=True)
     mean = folds.groupBy(model.alias("run"), "max_depth").agg(F.avg("auc").alias("auc"))
     top = mean.groupBy("run").agg(
         F.min(F.struct((-F.round("auc", 10)).alias("a"), "max_depth")).alias("t")

@@ -174,6 +174,15 @@ def test_sample_is_exact_for_null_and_repeated_keys(spark):
     assert sampling.sample_fraction(df.limit(0), 0.3, "k").count() == 0
 
 
+def test_stratified_folds_differ_by_one_row(spark):
+    df = spark.createDataFrame([(k, k % 2, int(k % 11 == 0)) for k in range(500)], "id long, seg int, y int")
+    counts = sampling.with_folds(df, ["seg", "y"], "id", 3).groupBy("seg", "y", "fold").count().collect()
+    for seg in (0, 1):
+        for y in (0, 1):
+            sizes = [r["count"] for r in counts if (r["seg"], r["y"]) == (seg, y)]
+            assert len(sizes) == 3 and max(sizes) - min(sizes) <= 1
+
+
 def test_folds_are_near_even(skewed):
     sizes = [r["count"] for r in skewed.groupBy(sampling.fold_number("id", 3)).count().collect()]
     assert len(sizes) == 3 and min(sizes) > 1800
