@@ -1,23 +1,25 @@
 """SentencePiece encoding and decoding by a max-plus parallel scan.
 
-A text's encoding is the split into pieces of the vocabulary with the largest sum of piece scores.
-A giant text is split into chunks that tasks work on apart. The only thing one chunk has to know of
-the text before it is how far the last piece reaches over the cut, so a chunk is a matrix: entry
-(i, o) is the best score of a way through it that starts i characters in and ends o characters
-over its end. Matrices multiply associatively in (max, +); the products from the left give each
-chunk the best scores of its entries. From these every chunk, on its own again, traces its best
-paths back from each exit: they share one trunk and differ in a few last pieces. Which exit is
-taken follows from the chunks' (exit to entry) maps, read from the right.
+Encoding picks one way through a text's lattice of pieces: for a "unigram" vocabulary the way with
+the largest sum of scores, for a "bpe" one the way that merging neighbours by rank ends in. The
+latter is the only way of which each two neighbouring pieces, taken by themselves, are encoded as
+these two pieces (a merge across a boundary would depend on its two sides alone); such a pair adds 0
+to a sum, any other minus infinity, so both kinds are a largest sum.
+
+A giant text is split into chunks that tasks work on apart. All that a chunk has to know of the
+text before it is its state: how far the last piece reaches over the cut and, for bpe, how long it
+is. So a chunk is a matrix: an entry holds the best sum of a way from one state at its start to one
+at its end. Matrices multiply associatively in (max, +); the products from the left give each
+chunk the best sums of its start states. From these every chunk, on its own again, traces its best
+ways back from each end state: they share one trunk and differ in a few last pieces. Which end state
+is taken follows from the chunks' (end to start) maps, read from the right.
 
 No piece of the vocabulary goes on after a letter with a new word's mark, so words are encoded
-once and remembered within a task; a vocabulary that has such pieces is scanned character
-by character. Characters outside the vocabulary become their UTF-8 bytes' pieces, at a score below
-that of every piece. Of equal sums the split whose last piece is longest is taken, then the last
-but one, and so on; sums are exact, as scores are whole numbers in doubles.
-
-This is what the library does for a vocabulary marked "unigram" (tests hold them equal). For one
-marked "bpe", as the given file is, the library merges pairs by rank instead; its ids can differ
-from the best sum, and decode to the same text.
+once and remembered within a task, and a state is forgotten where a word begins; a vocabulary that
+has such pieces is scanned character by character. Characters outside the vocabulary become the
+pieces of their UTF-8 bytes; in sums they count less than any piece. Of equal sums the way whose
+last piece is longest is taken, then the last but one, and so on; sums are exact, as scores are whole
+numbers in doubles. Tests hold ids equal to the library's for both kinds.
 
 A null text counts as empty and has no pieces. Very long texts are read whole; a text is one row
 and so at most 2 GB, which bounds its chunks' matrices to a few hundred MB. Repeated rows are encoded
@@ -26,6 +28,7 @@ each on its own; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -51,7 +54,7 @@ _NONE = float("-inf")
 class Scan:
     model: str = public_tokenizers.path("piece_bpe_32k.model")
     chunk: int = 32_768  # characters; no less than the longest piece
-    remembered: int = 400_000
+    remembered: int = 500_000
 
 
 class Vocabulary:
@@ -59,7 +62,15 @@ class Vocabulary:
 
     def __init__(self, scan: Scan):
         import sentencepiece
-
+        from sentencepiece import sentencepiece_model_pb2
+
+        model = sentencepiece_model_pb2.ModelProto()
+        with open(scan.model, "rb") as f:
+            model.ParseFromString(f.read())
+        kinds = model.trainer_spec
+        if kinds.model_type not in (kinds.UNIGRAM, kinds.BPE):
+            raise ValueError("the vocabulary is neither unigram nor bpe")
+        self.by_rank = kinds.model_type == kinds.BPE
         sp = sentencepiece.SentencePieceProcessor(model_file=scan.model)
         size = range(sp.get_piece_size())
         plain = [k for k in size if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k) or sp.is_byte(k))]
@@ -78,6 +89,7 @@ class Vocabulary:
         self.by_word = not any(MARK in p.lstrip(MARK) for p in self.scores)
         self.word = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if self.by_word else None
         self.limit, self.known = scan.remembered, {}
+        self.pairs: dict[tuple[str, str], bool] = {}
 
     def normal(self, text: str) -> str:
         """Blanks as marks, with one in front."""
@@ -117,8 +129,56 @@ class Vocabulary:
             return [k]
         return [self.bytes.get(b, self.unknown) for b in piece.encode()] if self.bytes else [self.unknown]
 
+    def merged(self, s: str) -> list[str]:
+        """The pieces that merging neighbours ends in: highest score first, then leftmost."""
+        scores, n = self.scores, len(s)
+        if n <= 256:  # for words a list is quicker than a heap
+            parts = list(s)
+            gains = [scores.get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+            while gains and (most := max(gains)) > _NONE:
+                k = gains.index(most)
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                del gains[k]
+                if k < len(gains):
+                    gains[k] = scores.get(parts[k] + parts[k + 1], _NONE)
+                if k:
+                    gains[k - 1] = scores.get(parts[k - 1] + parts[k], _NONE)
+            return parts
+        ends = list(range(1, n + 1))  # of the piece that begins at a place; 0 once it is merged away
+        begins = list(range(-1, n - 1))  # of the piece before
+        heap = [(-scores[s[k : k + 2]], k, k + 2) for k in range(n - 1) if s[k : k + 2] in scores]
+        heapq.heapify(heap)
+        while heap:
+            _, at, end = heapq.heappop(heap)
+            middle = ends[at]
+            if not middle or middle >= n or ends[middle] != end or middle == end:
+                continue
+            ends[at], ends[middle] = end, 0
+            if end < n:
+                begins[end] = at
+                if (score := scores.get(s[at : ends[end]])) is not None:
+                    heapq.heappush(heap, (-score, at, ends[end]))
+            if (before := begins[at]) >= 0 and (score := scores.get(s[before:end])) is not None:
+                heapq.heappush(heap, (-score, before, end))
+        out, at = [], 0
+        while at < n:
+            out.append(s[at : ends[at]])
+            at = ends[at]
+        return out
+
+    def fit(self, a: str, b: str) -> bool:
+        """Whether pieces a and b stay as they are beside each other."""
+        got = self.pairs.get((a, b))
+        if got is None:
+            if len(self.pairs) >= self.limit:
+                self.pairs.clear()
+            got = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+        return got
+
     def split(self, s: str) -> tuple[float, list[int]]:
         """Best sum and ids of a whole string."""
+        if self.by_rank:
+            return 0.0, [k for p in self.merged(s) for k in self.of_piece(p)]
         best, back = self.forward(s, len(s), {0: 0.0})
         at, pieces = len(s), []
         while at > 0:
@@ -163,82 +223,128 @@ class Vocabulary:
         text = "".join(out).replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
-    # a chunk: its own ``size`` characters and what follows them, as far as a piece may reach
-    def _bounds(self, s: str, size: int) -> tuple[int, int]:
-        """First and last place in the chunk where a word begins; (size, size) if there is none."""
+    # A chunk is given with ``lead`` characters before its own ``size`` ones, and with some after
+    # them, each as many as a piece may reach. A state is (place, length of the piece that ends
+    # there); the length is 0 where it does not matter.
+    def _steps(self, s: str, at: int, lengths):
+        """(length before, end, length, score) of the pieces that may go on from a place."""
+        single = False
+        for end in range(at + 1, min(len(s), at + self.longest) + 1):
+            piece = s[at:end]
+            score = self.table.get(piece, False)
+            if isinstance(score, float) or self.by_rank and end == at + 1:
+                single |= end == at + 1
+                if not self.by_rank:
+                    yield 0, end, 0, score
+                elif self.fit("", piece):
+                    for n in lengths:
+                        if not n or self.fit(s[at - n : at], piece):
+                            yield n, end, end - at, 0.0
+            if score is False:
+                break
+        if not single and not self.by_rank:
+            yield 0, at + 1, 0, self.unknown_score
+
+    def _word_starts(self, s: str, lead: int, size: int) -> tuple[int, int]:
+        """First and last place of the chunk behind its start where a word begins; (size, size) if none."""
         if self.word is None:
             return size, size
-        begins = lambda k: s[k] == MARK and s[k - 1] != MARK
+        begins = lambda k: s[lead + k] == MARK and s[lead + k - 1] != MARK
         first = next((k for k in range(1, size) if begins(k)), size)
         last = next((k for k in range(size - 1, first, -1) if begins(k)), first)
         return first, last
 
-    def _ends(self, best: list[float], size: int) -> np.ndarray:
-        found = best[size : size + self.longest]
-        return np.array(found + [_NONE] * (self.longest - len(found)))
-
-    def matrix(self, s: str, size: int) -> np.ndarray:
-        first, last = self._bounds(s, size)
-        width = self.longest
-        out = np.full((width, width), _NONE)
-        if first >= size:
-            for i in range(min(width, size + 1)):
-                best, _ = self.forward(s, size, {i: 0.0})
-                out[i] = self._ends(best, size)
-            for i in range(size + 1, width):  # a piece that spans the whole chunk
-                out[i, i - size] = 0.0
-            return out
-        inner = sum(score for score, _ in self.words(s[first:last]))
-        tail, _ = self.forward(s[last:], size - last, {0: 0.0})
-        ends = self._ends(tail, size - last)
-        for i in range(min(width, first + 1)):
-            head, _ = self.forward(s[:first], first, {i: 0.0})
-            out[i] = head[first] + inner + ends
-        return out
+    def _reach(self, s: str, lead: int, low: int, high: int, values: dict[tuple[int, int], np.ndarray]) -> dict:
+        """Sums, for each start at once, of the states at or after ``high`` reached from ``values``."""
+        by_place: dict[int, dict[int, np.ndarray]] = {}
+        for (at, n), x in values.items():
+            by_place.setdefault(at, {})[n] = x
+        for at in range(low, high):
+            here = by_place.pop(at, None)
+            if not here:
+                continue
+            for before, end, n, score in self._steps(s, lead + at, here):
+                there = by_place.setdefault(end - lead, {})
+                x = here[before] + score
+                there[n] = np.maximum(there[n], x) if n in there else x
+        return {(at, n): x for at, states in by_place.items() for n, x in states.items()}
+
+    def starts(self, s: str, lead: int, size: int) -> list[tuple[int, int]]:
+        """Every state that the text before may leave at the chunk's start."""
+        if not lead:
+            return [(0, 0)]
+        over = range(min(self.longest, len(s) - lead + 1))
+        if not self.by_rank:
+            return [(i, 0) for i in over]
+        return [
+            (i, n) for i in over for n in range(max(1, i), min(self.longest, lead + i) + 1)
+            if (n > i or not i) and (n == 1 or s[lead + i - n : lead + i] in self.scores) and self.fit("", s[lead + i - n : lead + i])
+        ]
 
-    def paths(self, s: str, size: int, entry: np.ndarray) -> tuple[list[int], dict[int, tuple[int, list[int]]]]:
-        """The ids that all best paths from ``entry`` share, and for each exit the place of
-        entry and the ids that come after the shared ones."""
-        starts = {i: float(x) for i, x in enumerate(entry) if x > _NONE}
-        first, last = self._bounds(s, size)
-        over = {i - size: (i, []) for i in starts if i > size}
-        within = {i: x for i, x in starts.items() if i <= size}
+    def matrix(self, s: str, lead: int, size: int) -> np.ndarray:
+        """Rows (start place, start length, end place, end length, best sum)."""
+        states = self.starts(s, lead, size)
+        unit = np.where(np.eye(len(states), dtype=bool), 0.0, _NONE)
+        first, last = self._word_starts(s, lead, size)
+        found = self._reach(s, lead, 0, first, {state: unit[k] for k, state in enumerate(states)})
         if first < size:
-            head, back = self.forward(s[:first], first, {i: x for i, x in within.items() if i <= first})
-            at, pieces = first, []
-            while back[at] >= 0:
-                pieces.append(s[back[at] : at])
-                at = back[at]
-            trunk = [k for p in reversed(pieces) for k in self.of_piece(p)]
-            trunk += [k for _, ids in self.words(s[first:last]) for k in ids]
-            begin, s, size = at, s[last:], size - last
-            within = {0: head[first]}
+            # all ways meet at the first word's start; states past it are none of a real text
+            met = [x for (at, _), x in found.items() if at == first]
+            if not met:
+                return np.empty((0, 5))
+            inner = sum(score for score, _ in self.words(s[lead + first : lead + last]))
+            tail = self._reach(s, lead, last, size, {(last, 0): np.zeros(1)})
+            head = np.max(met, axis=0) + inner
+            found = {state: head + x[0] for state, x in tail.items()}
+        return np.array([
+            (*states[k], at - size, n, x[k]) for (at, n), x in found.items() for k in np.flatnonzero(x > _NONE)
+        ]).reshape(-1, 5)
+
+    def _trace(self, s: str, lead: int, low: int, high: int, values: dict[tuple[int, int], float]):
+        """Best sums of all states reached from ``values``, and the state before each."""
+        best, back, by_place = dict(values), {}, {}
+        for at, n in values:
+            by_place.setdefault(at, []).append(n)
+        for at in range(low, high):
+            for before, end, n, score in self._steps(s, lead + at, by_place.get(at, ())) if at in by_place else ():
+                state, x = (end - lead, n), best[at, before] + score
+                if state not in best:
+                    by_place.setdefault(end - lead, []).append(n)
+                if x > best.get(state, _NONE):
+                    best[state], back[state] = x, (at, before)
+        return best, back
+
+    def paths(self, s: str, lead: int, size: int, entry: dict[tuple[int, int], float]):
+        """The ids that all best ways from ``entry`` share, and for each end state its start
+        state and the ids that come after the shared ones."""
+        first, last = self._word_starts(s, lead, size)
+
+        def walk(back, state):
+            places = [state]
+            while places[-1] in back:
+                places.append(back[places[-1]])
+            return places[::-1]
+
+        ids = lambda w: [k for (a, _), (b, _) in zip(w, w[1:]) for k in self.of_piece(s[lead + a : lead + b])]
+        trunk, begin = [], None
+        if first < size:
+            best, back = self._trace(s, lead, 0, first, entry)
+            way = walk(back, max((x for x in best if x[0] == first), key=lambda x: best[x]))
+            trunk, begin = ids(way), way[0]
+            trunk += [k for _, w in self.words(s[lead + first : lead + last]) for k in w]
+            best, back = self._trace(s, lead, last, size, {(last, 0): best[way[-1]]})
         else:
-            begin, trunk = None, []
-        best, back = self.forward(s, size, within)
-        walks = {}
-        for o in range(self.longest):
-            if size + o >= len(best) or best[size + o] == _NONE:
-                continue
-            at, places = size + o, [size + o]
-            while back[at] >= 0:
-                at = back[at]
-                places.append(at)
-            walks[o] = places[::-1]
-        if walks and first >= size and begin is None:
+            best, back = self._trace(s, lead, 0, size, entry)
+        walks = {state: walk(back, state) for state in best if state[0] >= size}
+        if begin is None and walks:
             shared = set.intersection(*map(set, walks.values()))
-            meet = max((p for p in shared if p <= size), default=None)
-            if meet is not None and not over:
+            meet = max((p for p in shared if p[0] <= size), default=None)
+            if meet is not None:
                 common = next(iter(walks.values()))
                 common = common[: common.index(meet) + 1]
-                begin = common[0]
-                trunk = [k for a, b in zip(common, common[1:]) for k in self.of_piece(s[a:b])]
-                walks = {o: w[w.index(meet) :] for o, w in walks.items()}
-        exits = {
-            o: (w[0] if begin is None else begin, [k for a, b in zip(w, w[1:]) for k in self.of_piece(s[a:b])])
-            for o, w in walks.items()
-        }
-        return trunk, over | exits
+                trunk, begin = ids(common), common[0]
+                walks = {state: w[w.index(meet) :] for state, w in walks.items()}
+        return trunk, {(at - size, n): (begin or w[0], ids(w)) for (at, n), w in walks.items()}
 
 
 @lru_cache(maxsize=2)
@@ -246,32 +352,37 @@ def vocabulary(scan: Scan = Scan()) -> Vocabulary:
     return Vocabulary(scan)
 
 
-def chunks_of(s: str, scan: Scan, longest: int) -> Iterator[tuple[int, int, str]]:
-    """(number, size, characters with what a piece may reach beyond) of a normalised text."""
+def chunks_of(s: str, scan: Scan, longest: int) -> Iterator[tuple[int, int, int, str]]:
+    """(number, lead, size, characters with what a piece may reach on either side)."""
     for number, at in enumerate(range(0, len(s), scan.chunk)):
-        size = min(scan.chunk, len(s) - at)
-        yield number, size, s[at : at + size + longest]
+        lead, size = min(at, longest), min(scan.chunk, len(s) - at)
+        yield number, lead, size, s[at - lead : at + size + longest]
 
 
-def entries(matrices: list[np.ndarray]) -> list[np.ndarray]:
-    """Best sums at the entries of each chunk: the products of the matrices before it."""
-    out, now = [], None
+def entries(matrices: list[np.ndarray]) -> list[dict[tuple[int, int], float]]:
+    """Best sums of each chunk's start states: the products of the matrices before it."""
+    out, now = [], {(0, 0): 0.0}
     for m in matrices:
-        if now is None:
-            now = np.full(len(m), _NONE)
-            now[0] = 0.0
         out.append(now)
-        now = (now[:, None] + m).max(axis=0)
+        after: dict[tuple[int, int], float] = {}
+        for i, before, o, n, score in m.tolist():
+            x = now.get((i, before), _NONE) + score
+            if x > after.get((o, n), _NONE):
+                after[int(o), int(n)] = x
         # only differences matter inside a text, and small numbers stay exact
-        now = now - now[now > _NONE].max()
+        top = max(after.values(), default=0.0)
+        now = {state: x - top for state, x in after.items()}
     return out
 
 
-def joined(parts: list[tuple[list[int], dict[int, tuple[int, list[int]]]]]) -> list[int]:
-    """The ids of a text from its chunks' paths: exits are read from the right."""
-    exit_, out = 0, []
+def joined(parts) -> list[int]:
+    """The ids of a text from its chunks' paths: end states are read from the right, where
+    the last piece ends with the text."""
+    out, state = [], None
     for trunk, exits in reversed(parts):
-        exit_, tail = exits[exit_]
+        if state is None:
+            state = next(x for x in exits if x[0] == 0)
+        state, tail = exits[state]
         out.append([*trunk, *tail])
     return [k for ids in reversed(out) for k in ids]
 
@@ -298,9 +409,8 @@ def _short(docs: DataFrame, scan: Scan) -> DataFrame:
 
 def _long(docs: DataFrame, scan: Scan) -> DataFrame:
     """row and ids of the texts of ``docs`` by the scan."""
-    cut_schema = pa.schema([
-        ("row", pa.int64()), ("number", pa.int32()), ("size", pa.int32()), ("s", pa.string())
-    ])
+    names = ("number", "lead", "size", "s")
+    cut_schema = pa.schema([("row", pa.int64()), *((c, pa.int32()) for c in names[:3]), ("s", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(scan)
@@ -309,22 +419,23 @@ def _long(docs: DataFrame, scan: Scan) -> DataFrame:
                 parts = list(chunks_of(known.normal(text), scan, known.longest))
                 for at in range(0, len(parts), 256):
                     some = parts[at : at + 256]
-                    yield pa.RecordBatch.from_pydict({
-                        "row": [row] * len(some), **{c: [p[k] for p in some] for k, c in enumerate(("number", "size", "s"))},
-                    }, schema=cut_schema)
+                    columns = {c: [p[k] for p in some] for k, c in enumerate(names)}
+                    yield pa.RecordBatch.from_pydict({"row": [row] * len(some), **columns}, schema=cut_schema)
+
+    def chunks(batch):
+        return zip(*(rows_of(batch, c) for c in ("s", "lead", "size")))
 
     def matrices():
         known = vocabulary(scan)
         return lambda batch: {
             "row": rows_of(batch, "row"), "number": rows_of(batch, "number"),
-            "m": [known.matrix(s, n).astype("<f8").tobytes() for s, n in zip(rows_of(batch, "s"), rows_of(batch, "size"))],
+            "m": [known.matrix(*chunk).astype("<f8").tobytes() for chunk in chunks(batch)],
         }
 
     def scanned(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("number")
-        found = [np.frombuffer(m, "<f8") for m in group["m"]]
-        width = int(len(found[0]) ** 0.5)
-        group["entry"] = [e.astype("<f8").tobytes() for e in entries([m.reshape(width, width) for m in found])]
+        found = entries([np.frombuffer(m, "<f8").reshape(-1, 5) for m in group["m"]])
+        group["entry"] = [np.array([(*state, x) for state, x in e.items()], "<f8").tobytes() for e in found]
         return group[["row", "number", "entry"]]
 
     def traced():
@@ -332,10 +443,11 @@ def _long(docs: DataFrame, scan: Scan) -> DataFrame:
 
         def columns(batch):
             trunks, exits = [], []
-            for s, n, e in zip(rows_of(batch, "s"), rows_of(batch, "size"), rows_of(batch, "entry")):
-                trunk, ways = known.paths(s, n, np.frombuffer(e, "<f8"))
+            for chunk, e in zip(chunks(batch), rows_of(batch, "entry")):
+                entry = {(int(i), int(n)): x for i, n, x in np.frombuffer(e, "<f8").reshape(-1, 3).tolist()}
+                trunk, ways = known.paths(*chunk, entry)
                 trunks.append(trunk)
-                exits.append([{"o": o, "i": i, "ids": ids} for o, (i, ids) in ways.items()])
+                exits.append([{"end": [*end], "start": [*start], "ids": ids} for end, (start, ids) in ways.items()])
             return {"row": rows_of(batch, "row"), "number": rows_of(batch, "number"), "trunk": trunks, "exits": exits}
 
         return columns
@@ -343,20 +455,23 @@ def _long(docs: DataFrame, scan: Scan) -> DataFrame:
     def whole(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("number")
         parts = [
-            (list(t), {x["o"]: (x["i"], list(x["ids"])) for x in ways}) for t, ways in zip(group["trunk"], group["exits"])
+            (list(t), {tuple(map(int, x["end"])): (tuple(map(int, x["start"])), list(x["ids"])) for x in ways})
+            for t, ways in zip(group["trunk"], group["exits"])
         ]
         return pd.DataFrame({"row": [group["row"].iloc[0]], "ids": [joined(parts)]})
 
     # dealt by chunk: one giant text occupies as many tasks as it has chunks
-    pieces = stage(docs.mapInArrow(cut, "row long, number int, size int, s string").repartition("row", "number"))
+    cut_kinds = "row long, number int, lead int, size int, s string"
+    pieces = stage(docs.mapInArrow(cut, cut_kinds).repartition("row", "number"))
     m_schema = pa.schema([("row", pa.int64()), ("number", pa.int32()), ("m", pa.binary())])
     made = pieces.mapInArrow(per_batch(matrices, m_schema), "row long, number int, m binary")
     entry = made.groupBy("row").applyInPandas(scanned, "row long, number int, entry binary")
-    way = pa.struct([("o", pa.int32()), ("i", pa.int32()), ("ids", _IDS)])
+    way = pa.struct([("end", _IDS), ("start", _IDS), ("ids", _IDS)])
     t_schema = pa.schema([("row", pa.int64()), ("number", pa.int32()), ("trunk", _IDS), ("exits", pa.list_(way))])
     ways = pieces.join(entry, ["row", "number"]).mapInArrow(
         per_batch(traced, t_schema),
-        "row long, number int, trunk array<int>, exits array<struct<o: int, i: int, ids: array<int>>>",
+        "row long, number int, trunk array<int>, "
+        "exits array<struct<end: array<int>, start: array<int>, ids: array<int>>>",
     )
     return ways.groupBy("row").applyInPandas(whole, "row long, ids array<int>")
 
