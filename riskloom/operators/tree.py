@@ -25,6 +25,7 @@ from riskloom.settings import (
 _FIT = ("n", "bad", "w", "wb")
 _HELD = ("test_n", "test_bad")
 BOUNDED_CELLS = 200_000
+MAX_DEPTH = 10   # bounds the nodes of a level, which are broadcast
 
 
 def feature_vector(run: ModelRun, roles: Roles, missing: float = RAW_SCORE_MISSING) -> Column:
@@ -207,6 +208,8 @@ def grow(
 
     ``minimums`` maps the cells to the least leaf size of each run (5 % by default).
     """
+    if max_depth > MAX_DEPTH:
+        raise ValueError(f"trees are at most {MAX_DEPTH} levels deep")
     start, count = stage_counted(cells)
     bounded = count <= BOUNDED_CELLS
     current = root_cells(start, (minimums or leaf_minimums)(start))
