@@ -309,7 +309,10 @@ def profile_rules_original(spark, folder):
 
 
 def profile_rule_audit(spark, folder):
-    return profiles.rule_audit(_table(spark, folder), {**PROFILES, "original": ORIGINAL})
+    """Matches of the rules on the data rows, and on every pair of limits for each model type."""
+    rows, runs = _table(spark, folder), {**PROFILES, "original": ORIGINAL}
+    on_rows = profiles.rule_audit(rows, runs).withColumn("origen", F.lit("datos"))
+    return on_rows.unionByName(profiles.limit_audit(rows, runs).withColumn("origen", F.lit("limites")))
 
 
 # --- trees ------------------------------------------------------------------------------
@@ -429,7 +432,7 @@ def woe_cut_to_bins(spark, folder):
 
 
 def risk_grid(spark, folder):
-    wanted = ["T4", "T5", "T6"]
+    wanted = ["T3", "T4", "T5", "T6", "T7", "T8"]
     trees = _trees(spark, folder, *wanted)
     return segments.risk_grid(trees, [RUNS[m] for m in wanted])
 

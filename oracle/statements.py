@@ -178,19 +178,32 @@ def profile_select(*names: str) -> str:
     return f"with mdt as ({MDT}) select row_id, {shown} from mdt"
 
 
+def limits_of(rows, places) -> str:
+    found = {x[0] if isinstance(x, tuple) else x for r in rows for x in (r[i] for i in places)}
+    shown = [num(float(x)) for x in sorted(x for x in found if x is not None)]
+    return ", ".join(f"({x})" for x in [*shown, "cast(null as double)"])
+
+
 def audit() -> str:
     parts = []
     for name, (kind, score, balance, _, ce, se) in PROFILE_TABLES.items():
-        parts.append(
-            f"select '{name}' as tabla, case when {kind} like '%CE' then 'CE' else 'SE' end as rama, "
-            f"({score} is null or {balance} is null) as con_nulos, "
-            f"cast(case when {kind} like '%CE' then {rule_count(ce, score, balance)} "
-            f"else {rule_count(se, score, balance)} end as int) as coincidencias, "
-            f"{profile_case(name)} as perfil from mdt"
+        limits = (
+            f"(select * from (select distinct {kind} from mdt) "
+            f"cross join (values {limits_of([*ce, *se], (0, 1))}) a({score}) "
+            f"cross join (values {limits_of([*ce, *se], (2, 3))}) b({balance}))"
         )
+        for origin, source in (("datos", "mdt"), ("limites", limits)):
+            parts.append(
+                f"select '{origin}' as origen, '{name}' as tabla, "
+                f"case when {kind} like '%CE' then 'CE' else 'SE' end as rama, "
+                f"({score} is null or {balance} is null) as con_nulos, "
+                f"cast(case when {kind} like '%CE' then {rule_count(ce, score, balance)} "
+                f"else {rule_count(se, score, balance)} end as int) as coincidencias, "
+                f"{profile_case(name)} as perfil from {source}"
+            )
     return (
         f"with mdt as ({MDT}), puntos as ({' union all '.join(parts)}) "
-        "select tabla, rama, con_nulos, coincidencias, perfil, count(*) as filas from puntos group by all"
+        "select origen, tabla, rama, con_nulos, coincidencias, perfil, count(*) as filas from puntos group by all"
     )
 
 
@@ -552,9 +565,10 @@ def tree_rules() -> str:
 
 
 def risk_grid() -> str:
-    runs = [run for run in MODEL_RUNS if run.model_id in ("T4", "T5", "T6")]
-    columns = [b["text"] for b in bins_of(WOE_MAPS[("CE", "score")])]
-    shown = ", ".join(f"max(grupo) filter (where c.bin = '{t}') as \"{t}\"" for t in columns)
+    runs = [run for run in MODEL_RUNS if run.model_id not in ("T1", "T2")]
+    columns = list(dict.fromkeys(b["text"] for s in ("SE", "CE") for b in bins_of(WOE_MAPS[(s, "score")])))
+    cell = "grupo || ' ' || printf('%.4f', round(p_bad, 4))"
+    shown = ", ".join(f"max({cell}) filter (where c.bin = '{t}') as \"{t}\"" for t in columns)
     return with_steps(
         f"""select f.run, f.position as fila_pos, f.bin as fila_bin, {shown}
         from hoja_tramos f join hoja_tramos c on c.run = f.run and c.leaf = f.leaf and f.feature = 0 and c.feature = 1

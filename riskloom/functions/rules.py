@@ -103,6 +103,14 @@ def parse_rules(rows) -> list[Rule]:
     return [row if isinstance(row, Rule) else Rule.parse(row) for row in rows]
 
 
+def limit_points(rows) -> tuple[list, list]:
+    """The limits of a rule table on scores and on balances, each with NULL."""
+    parsed = parse_rules(rows)
+    axes = [[rule.score for rule in parsed], [rule.balance for rule in parsed]]
+    scores, balances = (sorted({float(at) for at, _ in _axis(bands)}) for bands in axes)
+    return [*scores, None], [*balances, None]
+
+
 def _axis(bands: list[Band]) -> list[tuple]:
     return sorted({step for band in bands for step in band.steps})
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.rules import (
-    first_match_by_type, has_experience, match_count_by_type,
+    first_match_by_type, has_experience, limit_points, match_count_by_type,
 )
+from riskloom.plans.staging import stage
 from riskloom.settings import NO_PROFILE, PROFILE_RUNS, ProfileRun
 
 
@@ -66,3 +68,23 @@ def rule_audit(df: DataFrame, runs: Mapping[str, ProfileRun] = PROFILE_RUNS) ->
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("filas"))
     )
+
+
+def limit_audit(df: DataFrame, runs: Mapping[str, ProfileRun] = PROFILE_RUNS) -> DataFrame:
+    """:func:`rule_audit` where a score limit meets a balance limit, for each model type in ``df``.
+
+    Gaps and overlaps at a limit rarely show in data rows. Types are grouped before the few limits
+    are exploded, so no row is multiplied.
+    """
+    kinds = list(dict.fromkeys(run.model_type for run in runs.values()))
+    types = stage(df.select(*kinds).distinct())
+    audits = []
+    for name, run in runs.items():
+        scores, balances = limit_points([*run.ce, *run.se])
+        points = types.select(run.model_type).distinct().select(
+            run.model_type, F.explode(F.lit(scores).cast("array<double>")).alias(run.score)
+        ).select(
+            run.model_type, run.score, F.explode(F.lit(balances).cast("array<double>")).alias(run.balance)
+        )
+        audits.append(rule_audit(points, {name: run}))
+    return reduce(DataFrame.unionByName, audits)

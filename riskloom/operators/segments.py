@@ -186,20 +186,19 @@ def grid_cells(trees: GrownTrees, rows: int = 0, columns: int = 1, maps=WOE_MAPS
 
 
 def risk_grid(trees: GrownTrees, runs: Sequence[ModelRun], maps=WOE_MAPS) -> DataFrame:
-    """Balance bins as rows and score bins as columns; each cell names the group.
+    """Balance bins as rows and score bins as columns; each cell names the group and its P(bad).
 
-    The runs must share a segment, so that they share the score bins.
+    Runs of several segments stand below each other; a score bin that a segment lacks is NULL.
     """
-    segments = {run.segment for run in runs}
-    if len(segments) != 1:
-        raise ValueError("a grid needs runs of one segment")
-    columns = [b["text"] for b in bins_of(maps[(segments.pop(), "score")])]
+    by_segment = [bins_of(maps[(s, "score")]) for s in dict.fromkeys(run.segment for run in runs)]
+    columns = list(dict.fromkeys(b["text"] for bins in by_segment for b in bins))
     wanted = [run.model_id for run in runs]
+    shown = F.concat("grupo", F.lit(" "), F.format_string("%.4f", F.round("p_bad", 4)))
     return (
         grid_cells(trees, maps=maps)
         .filter(F.col("run").isin(wanted))
         .groupBy("run", "fila_pos", "fila_bin")
         .pivot("columna_bin", columns)
-        .agg(F.first("grupo"))
+        .agg(F.first(shown))
         .orderBy("run", "fila_pos")
     )

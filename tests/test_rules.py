@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.rules import (
     first_match, match_count, parse_rules, rules_frame, rules_from_rows,
 )
-from riskloom.operators.profiles import profile_all, profile_rules, rule_audit
+from riskloom.operators.profiles import limit_audit, profile_all, profile_rules, rule_audit
 from riskloom.plans.profiling_transform import transform
 from riskloom.settings import (
     NO_PROFILE, PROFILE_RUNS, RULES_FA_CE, RULES_FA_CE_ORIGINAL, RULES_FA_SE, RULES_FA_SE_ORIGINAL,
@@ -157,3 +157,21 @@ def test_empty_and_unlimited_rules(spark):
     s, b = F.col("s"), F.col("b")
     got = df.select(first_match(s, b, [], "none"), first_match(s, b, [(None, None, None, None, False, "all")])).collect()
     assert [tuple(r) for r in got] == [("none", "all"), ("none", "all")]
+
+
+def test_limit_audit_counts_every_pair_of_limits(spark):
+    run = PROFILE_RUNS["fa"]
+    df = spark.createDataFrame(
+        [("MOD_CE", 1, 1.0), ("MOD_SE", 1, 1.0)] * 50, f"{run.model_type} string, {run.score} int, {run.balance} double"
+    )
+    got = limit_audit(df, {"fa": run}).collect()
+    table = [*run.ce, *run.se]
+    scores, balances = ([*edges(table, places), None] for places in ((0, 1), (2, 3)))
+    wanted = {}
+    for kind, rules in (("CE", run.ce), ("SE", run.se)):
+        for s in scores:
+            for b in balances:
+                held = matching(rules, s, b)
+                key = (kind, s is None or b is None, len(held), held[0] if held else NO_PROFILE)
+                wanted[key] = wanted.get(key, 0) + 1
+    assert {(r["rama"], r["con_nulos"], r["coincidencias"], r["perfil"]): r["filas"] for r in got} == wanted

@@ -237,9 +237,13 @@ def test_cut_sides_follow_woe_values(trees):
         assert r["lado"] == ("izquierda" if r["woe"] <= r["threshold"] else "derecha")
 
 
-def test_grid_needs_one_segment(trees):
-    with pytest.raises(ValueError):
-        segments.risk_grid(trees, RUNS)
+def test_grid_of_several_segments_has_every_score_bin(trees):
+    whole = segments.risk_grid(trees, RUNS)
+    for run in RUNS:
+        part = segments.risk_grid(trees, [run])
+        assert set(part.columns) <= set(whole.columns)
+        same = whole.filter(F.col("run") == run.model_id).select(*[f"`{c}`" for c in part.columns])
+        assert sorted(map(tuple, same.collect()), key=str) == sorted(map(tuple, part.collect()), key=str)
 
 
 def test_metrics_on_ties_one_class_and_no_separation(spark):
