@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.frames import column, per_batch, rows_of, texts_of
-from riskloom.plans.staging import stage
+from riskloom.plans.staging import fits_broadcast, stage, stage_counted
 
 _FRACTION = 16  # bits after the point of a credit per round
 
@@ -132,7 +132,7 @@ def queued(tokens: DataFrame, packing: Packing, targets: dict[str, float] | None
         "source", "part", "n", F.coalesce("queue", tail).alias("queue")
     )
     earlier = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    placed = stage(with_queue.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))))
+    placed, rows = stage_counted(with_queue.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))))
     sizes = placed.groupBy("queue").agg(F.sum("n").alias("n"), F.min("source").alias("source")).collect()
     total, weight = [0] * (len(own) + packing.tails), [0.0] * (len(own) + packing.tails)
     given = targets or {}
@@ -142,7 +142,9 @@ def queued(tokens: DataFrame, packing: Packing, targets: dict[str, float] | None
         total[r.queue] = r.n
         listed = r.queue < len(own) and r.source in given
         weight[r.queue] = given[r.source] if listed else (rest if given else 1.0) * r.n / max(1, free)
-    return placed.drop("n"), total, weight
+    placed = placed.drop("n")
+    # a row per source and partition: mostly small enough to spare the token ids a shuffle
+    return F.broadcast(placed) if fits_broadcast(placed, rows) else placed, total, weight
 
 
 class Rounds:
