@@ -190,7 +190,7 @@ def _narrowed(queries: DataFrame, counts: DataFrame, search: Search) -> DataFram
     found = reached.groupBy("block", "query").agg(F.max("bin").alias("bin"))
     listed = found.groupBy("block").agg(F.collect_list(F.struct("query", "bin")).alias("found"))
 
-    def step(low: bytes, width: int, found) -> bytes:
+    def step(low, width, found):
         moved = np.frombuffer(low, "<i8").copy()
         for f in found if found is not None else ():
             moved[f["query"]] = int(moved[f["query"]]) + f["bin"] * width
