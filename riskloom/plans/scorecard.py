@@ -25,7 +25,7 @@ class Scorecard:
     """Reports and models of one modelling run; every member is a DataFrame or small."""
 
     base: DataFrame
-    thresholds: dict
+    thresholds: DataFrame
     profile: DataFrame
     bins: binning.FittedBins
     iv_ranking: DataFrame

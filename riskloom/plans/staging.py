@@ -58,16 +58,16 @@ def row_width(kind: T.DataType, items: int = 32) -> int:
     return _WIDTH.get(kind.typeName(), 8)
 
 
-def fits_broadcast(df: DataFrame, rows: int) -> bool:
-    """Whether ``rows`` rows of ``df`` stay below BROADCAST_BYTES."""
-    return rows * row_width(df.schema) <= BROADCAST_BYTES
+def fits_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_BYTES) -> bool:
+    """Whether ``rows`` rows of ``df`` take at most ``most`` bytes."""
+    return rows * row_width(df.schema) <= most
 
 
-def broadcast_side(df: DataFrame) -> DataFrame:
+def broadcast_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """Stage one side of a join and hint its broadcast if it turned out small; a larger one
     is left to the optimizer."""
     staged, count = stage_counted(df)
-    return F.broadcast(staged) if fits_broadcast(staged, count) else staged
+    return F.broadcast(staged) if fits_broadcast(staged, count, most) else staged
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

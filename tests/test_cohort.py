@@ -92,11 +92,11 @@ def test_staging_reads_the_named_folder(spark):
     kept, rows = staging.stage_counted(spark.range(10).repartition(3))
     assert kept.count() == rows == 10
 
-    def plan(limit):
-        joined = spark.range(5000).join(staging.broadcast_side(spark.range(10), limit), "id")
+    def plan(most):
+        joined = spark.range(5000).join(staging.broadcast_side(spark.range(10), most), "id")
         return joined._jdf.queryExecution().optimizedPlan().toString()
 
-    assert "broadcast" in plan(10) and "broadcast" not in plan(9)
+    assert "broadcast" in plan(160) and "broadcast" not in plan(159)
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -115,7 +115,7 @@ def test_whole_modelling_run(spark, folder):
     result = modelling_run(modelling_table(spark, folder), FIXTURE_ROLES, FIXTURE_LIMITS,
                            runs=[r for r in MODEL_RUNS if r.model_id in ("T3", "T4")])
     try:
-        assert set(result.thresholds) == {"antiguedad_buro", "saldo_cuentas"}
+        assert {r["variable"] for r in result.thresholds.collect()} == {"antiguedad_buro", "saldo_cuentas"}
         assert result.profile.count() == 2 * 6
         assert result.iv_ranking.count() == 2 * 4 and result.calc_iv.count() == 2 * 2
         assert result.comparison.count() == 2 * 2
