@@ -14,9 +14,9 @@ chunk the best sums of its start states. From these every chunk, on its own agai
 ways back from each end state: they share one trunk and differ in a few last pieces. Which end state
 is taken follows from the chunks' (end to start) maps, read from the right.
 
-No piece of the vocabulary goes on after a letter with a new word's mark, so words are encoded
-once and remembered within a task, and a state is forgotten where a word begins; a vocabulary that
-has such pieces is scanned character by character. Characters outside the vocabulary become the
+No piece of the vocabulary goes on after a letter with a new word's mark, so a state is forgotten
+where a word begins and whole words in between are split on their own; a vocabulary that has such
+pieces is scanned character by character. Characters outside the vocabulary become the
 pieces of their UTF-8 bytes; in sums they count less than any piece. Of equal sums the way whose
 last piece is longest is taken, then the last but one, and so on; sums are exact, as scores are whole
 numbers in doubles. Tests hold ids equal to the library's for both kinds.
@@ -54,7 +54,7 @@ _NONE = float("-inf")
 class Scan:
     model: str = public_tokenizers.path("piece_bpe_32k.model")
     chunk: int = 32_768  # characters; no less than the longest piece
-    remembered: int = 500_000
+    remembered: int = 300_000  # words and pairs within a task
 
 
 class Vocabulary:
@@ -71,7 +71,7 @@ class Vocabulary:
         if kinds.model_type not in (kinds.UNIGRAM, kinds.BPE):
             raise ValueError("the vocabulary is neither unigram nor bpe")
         self.by_rank = kinds.model_type == kinds.BPE
-        sp = sentencepiece.SentencePieceProcessor(model_file=scan.model)
+        sp = self.library = sentencepiece.SentencePieceProcessor(model_file=scan.model)
         size = range(sp.get_piece_size())
         plain = [k for k in size if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k) or sp.is_byte(k))]
         self.pieces = [sp.id_to_piece(k) for k in size]
@@ -187,7 +187,12 @@ class Vocabulary:
         return best[len(s)], [k for p in reversed(pieces) for k in self.of_piece(p)]
 
     def words(self, s: str) -> list[tuple[float, list[int]]]:
-        """The split of ``s``, which begins and ends where words do, word by word."""
+        """The split of ``s``, which begins and ends where words do, in one or more parts.
+
+        Merging by rank inside such a stretch is left to the library. Its sums of scores are in
+        single precision, so those are made here, word by word."""
+        if self.by_rank and self.by_word and s[:1] == MARK:
+            return [(0.0, self.library.encode(s[1:]))]  # it puts the first mark back
         if self.word is None:
             return [self.split(s)] if s else []
         out, known = [], self.known
@@ -292,7 +297,7 @@ class Vocabulary:
             met = [x for (at, _), x in found.items() if at == first]
             if not met:
                 return np.empty((0, 5))
-            inner = sum(score for score, _ in self.words(s[lead + first : lead + last]))
+            inner = 0.0 if self.by_rank else sum(score for score, _ in self.words(s[lead + first : lead + last]))
             tail = self._reach(s, lead, last, size, {(last, 0): np.zeros(1)})
             head = np.max(met, axis=0) + inner
             found = {state: head + x[0] for state, x in tail.items()}
@@ -390,25 +395,8 @@ def joined(parts) -> list[int]:
 _IDS = pa.list_(pa.int32())
 
 
-def _short(docs: DataFrame, scan: Scan) -> DataFrame:
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("ids", _IDS)])
-
-    def make():
-        known = vocabulary(scan)
-
-        def columns(batch):
-            texts = texts_of(batch, "text")
-            return {
-                "row": rows_of(batch, "row"), "doc_id": rows_of(batch, "doc_id"), "text": texts,
-                "ids": [known.encode(t) for t in texts],
-            }
-        return columns
-
-    return docs.mapInArrow(per_batch(make, schema), "row long, doc_id long, text string, ids array<int>")
-
-
-def _long(docs: DataFrame, scan: Scan) -> DataFrame:
-    """row and ids of the texts of ``docs`` by the scan."""
+def _long(docs: DataFrame, scan: Scan, finish, kinds: str) -> DataFrame:
+    """row and what ``finish(row, ids)`` makes of each text of ``docs``, by the scan."""
     names = ("number", "lead", "size", "s")
     cut_schema = pa.schema([("row", pa.int64()), *((c, pa.int32()) for c in names[:3]), ("s", pa.string())])
 
@@ -458,7 +446,7 @@ def _long(docs: DataFrame, scan: Scan) -> DataFrame:
             (list(t), {tuple(map(int, x["end"])): (tuple(map(int, x["start"])), list(x["ids"])) for x in ways})
             for t, ways in zip(group["trunk"], group["exits"])
         ]
-        return pd.DataFrame({"row": [group["row"].iloc[0]], "ids": [joined(parts)]})
+        return finish(int(group["row"].iloc[0]), joined(parts))
 
     # dealt by chunk: one giant text occupies as many tasks as it has chunks
     cut_kinds = "row long, number int, lead int, size int, s string"
@@ -473,20 +461,37 @@ def _long(docs: DataFrame, scan: Scan) -> DataFrame:
         "row long, number int, trunk array<int>, "
         "exits array<struct<end: array<int>, start: array<int>, ids: array<int>>>",
     )
-    return ways.groupBy("row").applyInPandas(whole, "row long, ids array<int>")
+    return ways.groupBy("row").applyInPandas(whole, f"row long, {kinds}")
 
 
-def encode(docs: DataFrame, scan: Scan = Scan(), text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """doc_id, text (a null one empty) and ids of every row. Rows are told apart by their number
-    in the scan, so ``docs`` has to give its rows in the same order each time, as tables do."""
+def _told_apart(docs: DataFrame, scan: Scan, text: str, id_column: str) -> tuple[DataFrame, DataFrame]:
+    """row, doc_id and text of the short texts and of the giant ones."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), column(id_column).cast("long").alias("doc_id"),
         F.coalesce(column(text).cast("string"), F.lit("")).alias("text"),
     )
     giant = F.length("text") >= scan.chunk
-    long_rows = rows.filter(giant)
-    done = long_rows.join(_long(long_rows.select("row", "text"), scan), "row")
-    return _short(rows.filter(~giant), scan).unionByName(done).drop("row")
+    return rows.filter(~giant), rows.filter(giant)
+
+
+def encode(docs: DataFrame, scan: Scan = Scan(), text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """doc_id, text (a null one empty) and ids of every row. Rows are told apart by their number
+    in the scan, so ``docs`` has to give its rows in the same order each time, as tables do."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ids", _IDS)])
+
+    def make():
+        known = vocabulary(scan)
+
+        def columns(batch):
+            texts = texts_of(batch, "text")
+            return {"doc_id": rows_of(batch, "doc_id"), "text": texts, "ids": [known.encode(t) for t in texts]}
+        return columns
+
+    short, giant = _told_apart(docs, scan, text, id_column)
+    finish = lambda row, ids: pd.DataFrame({"row": [row], "ids": [ids]})
+    done = giant.join(_long(giant.select("row", "text"), scan, finish, "ids array<int>"), "row")
+    made = short.mapInArrow(per_batch(make, schema), "doc_id long, text string, ids array<int>")
+    return made.unionByName(done.drop("row"))
 
 
 def decode(pieces: DataFrame, scan: Scan = Scan(), ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -500,22 +505,30 @@ def decode(pieces: DataFrame, scan: Scan = Scan(), ids: str = "ids", text: str =
 
 def digests(docs: DataFrame, scan: Scan = Scan(), text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Per row: doc_id, n_pieces, ids_crc32 (unsigned 32-bit ids, little-endian) and decodes,
-    whether the pieces decode to the text."""
+    whether the pieces decode to the text. Of giant texts only checksums are compared, so that
+    they are not moved once more."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("decodes", pa.bool_())])
+    summed = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
 
     def make():
         known = vocabulary(scan)
 
         def columns(batch):
-            lists = batch.column(batch.schema.get_field_index("ids"))
-            ids = [np.asarray(x.values) for x in lists]
-            return {
-                "doc_id": rows_of(batch, "doc_id"), "n_pieces": list(map(len, ids)),
-                "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids],
-                "decodes": [known.decode(x.tolist()) == t for x, t in zip(ids, rows_of(batch, "text"))],
-            }
+            out = {name: [] for name in schema.names}
+            for doc, t in zip(rows_of(batch, "doc_id"), texts_of(batch, "text")):
+                ids = known.encode(t)
+                for name, x in zip(schema.names, (doc, len(ids), summed(ids), known.decode(ids) == t)):
+                    out[name].append(x)
+            return out
         return columns
 
-    return encode(docs, scan, text, id_column).mapInArrow(
-        per_batch(make, schema), "doc_id long, n_pieces long, ids_crc32 long, decodes boolean"
-    )
+    def finish(row: int, ids: list[int]) -> pd.DataFrame:
+        back = zlib.crc32(vocabulary(scan).decode(ids).encode())
+        return pd.DataFrame({"row": [row], "n_pieces": [len(ids)], "ids_crc32": [summed(ids)], "back": [back]})
+
+    short, giant = _told_apart(docs, scan, text, id_column)
+    done = _long(giant.select("row", "text"), scan, finish, "n_pieces long, ids_crc32 long, back long")
+    known = giant.select("row", "doc_id", F.crc32(F.encode("text", "utf-8")).alias("sum"))
+    rest = known.join(done, "row").select("doc_id", "n_pieces", "ids_crc32", (F.col("back") == F.col("sum")).alias("decodes"))
+    kinds = "doc_id long, n_pieces long, ids_crc32 long, decodes boolean"
+    return short.mapInArrow(per_batch(make, schema), kinds).unionByName(rest)
