@@ -64,8 +64,11 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * ones.ravel() > n).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """doc_id, row_id (a number of the row in the scan) and fp of every row, staged."""
+def fingerprints(
+    docs: DataFrame, text: str = "text", id_column: str = "doc_id", row: str | None = None
+) -> DataFrame:
+    """doc_id, row_id (the column ``row``, else a number of the row in this scan) and fp of every
+    row, staged."""
     schema = pa.schema([("doc_id", pa.int64()), ("row_id", pa.int64()), ("fp", pa.int64())])
 
     def make():
@@ -76,9 +79,9 @@ def fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc_id")
             }
         return columns
 
+    number = column(row) if row else F.monotonically_increasing_id()
     rows = docs.select(
-        column(id_column).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"),
-        column(text).alias("text"),
+        column(id_column).cast("long").alias("doc_id"), number.alias("row_id"), column(text).alias("text"),
     )
     return stage(rows.mapInArrow(per_batch(make, schema), "doc_id long, row_id long, fp long"))
 
@@ -248,12 +251,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
 def one_of_each(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` without all but the first of each component, all columns.
 
-    Rows are told apart by their number in the scan, so ``docs`` has to be a table that gives
-    its rows in the same order each time, as the pipeline's written stages do."""
-    prints = fingerprints(docs, text, id_column)
+    Rows are told apart by a number that is staged with them: a second scan may be split
+    otherwise and would number them anew."""
     row = spare_name(docs, "row_id")
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()))
+    prints = fingerprints(numbered, text, id_column, row)
     others = prints.join(groups(prints), "fp").filter(
         ~F.struct("doc_id", "row_id").eqNullSafe(F.col("first"))
     ).select(F.col("row_id").alias(row))
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
     return numbered.join(others, row, "left_anti").drop(row)

@@ -97,3 +97,27 @@ def test_long_lists_look_up_near_words():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0 and simhash.one_of_each(docs).count() == 0
+
+
+def test_one_of_each_when_splits_change_between_scans(spark, tmp_path, monkeypatch):
+    rng = random.Random(11)
+    own = [" ".join(rng.choices(["w%d" % k for k in range(400)], k=80)) for _ in range(8)]
+    rows = [(k, own[k % 8]) for k in range(32)]
+    for k in range(16):  # two rows a file
+        spark.createDataFrame(rows[2 * k : 2 * k + 2], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    docs, real, name = spark.read.parquet(str(tmp_path / "docs")), simhash.groups, "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+
+    def changed(prints):
+        spark.conf.set(name, "4m")
+        return real(prints)
+
+    monkeypatch.setattr(simhash, "groups", changed)
+    spark.conf.set(name, "128m")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        kept = sorted(map(tuple, simhash.one_of_each(docs).collect()))
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert kept == rows[:8]
