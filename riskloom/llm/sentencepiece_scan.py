@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from riskloom.llm.frames import column, per_batch, rows_of, texts_of
+from riskloom.llm.frames import column, per_batch, rows_of
 from riskloom.plans.staging import stage
 
 MARK = "▁"
@@ -395,23 +395,34 @@ def joined(parts) -> list[int]:
 _IDS = pa.list_(pa.int32())
 
 
+#: characters of short texts that are encoded before their rows are sent on
+_AT_A_TIME = 1 << 21
+
+
 def _long(docs: DataFrame, scan: Scan, finish, kinds: str) -> DataFrame:
-    """row and what ``finish(row, ids)`` makes of each text of ``docs``, by the scan."""
+    """What ``finish(doc_id, text, ids)`` makes of each text of ``docs``, by the scan. Row numbers only
+    tell apart the chunks of one staged table, which carry all that is known of their row."""
     names = ("number", "lead", "size", "s")
-    cut_schema = pa.schema([("row", pa.int64()), *((c, pa.int32()) for c in names[:3]), ("s", pa.string())])
+    cut_schema = pa.schema([
+        ("row", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int32()) for c in names[:3]), ("s", pa.string()),
+    ])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(scan)
         for batch in batches:
-            for row, text in zip(rows_of(batch, "row"), rows_of(batch, "text")):
-                parts = list(chunks_of(known.normal(text), scan, known.longest))
+            for row, doc, text in zip(*(rows_of(batch, c) for c in ("row", "doc_id", "text"))):
+                # chunks hold the text as it is, so that it can be told from what the pieces decode to
+                parts = list(chunks_of(" " + text if text else "", scan, known.longest))
                 for at in range(0, len(parts), 256):
                     some = parts[at : at + 256]
                     columns = {c: [p[k] for p in some] for k, c in enumerate(names)}
-                    yield pa.RecordBatch.from_pydict({"row": [row] * len(some), **columns}, schema=cut_schema)
+                    yield pa.RecordBatch.from_pydict(
+                        {"row": [row] * len(some), "doc_id": [doc] * len(some), **columns}, schema=cut_schema
+                    )
 
     def chunks(batch):
-        return zip(*(rows_of(batch, c) for c in ("s", "lead", "size")))
+        for s, lead, size in zip(*(rows_of(batch, c) for c in ("s", "lead", "size"))):
+            yield s.replace(" ", MARK), lead, size
 
     def matrices():
         known = vocabulary(scan)
@@ -434,9 +445,11 @@ def _long(docs: DataFrame, scan: Scan, finish, kinds: str) -> DataFrame:
             for chunk, e in zip(chunks(batch), rows_of(batch, "entry")):
                 entry = {(int(i), int(n)): x for i, n, x in np.frombuffer(e, "<f8").reshape(-1, 3).tolist()}
                 trunk, ways = known.paths(*chunk, entry)
-                trunks.append(trunk)
+                trunks.append(np.array(trunk, np.int32))
                 exits.append([{"end": [*end], "start": [*start], "ids": ids} for end, (start, ids) in ways.items()])
-            return {"row": rows_of(batch, "row"), "number": rows_of(batch, "number"), "trunk": trunks, "exits": exits}
+            own = [s[lead : lead + size] for s, lead, size in zip(*(rows_of(batch, c) for c in ("s", "lead", "size")))]
+            kept = {c: rows_of(batch, c) for c in ("row", "doc_id", "number")}
+            return kept | {"own": own, "trunk": trunks, "exits": exits}
 
         return columns
 
@@ -446,52 +459,65 @@ def _long(docs: DataFrame, scan: Scan, finish, kinds: str) -> DataFrame:
             (list(t), {tuple(map(int, x["end"])): (tuple(map(int, x["start"])), list(x["ids"])) for x in ways})
             for t, ways in zip(group["trunk"], group["exits"])
         ]
-        return finish(int(group["row"].iloc[0]), joined(parts))
+        doc = group["doc_id"].iloc[0]
+        return finish(None if pd.isna(doc) else int(doc), "".join(group["own"])[1:], joined(parts))
 
     # dealt by chunk: one giant text occupies as many tasks as it has chunks
-    cut_kinds = "row long, number int, lead int, size int, s string"
-    pieces = stage(docs.mapInArrow(cut, cut_kinds).repartition("row", "number"))
+    cut_kinds = "row long, doc_id long, number int, lead int, size int, s string"
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    pieces = stage(numbered.mapInArrow(cut, cut_kinds).repartition("row", "number"))
     m_schema = pa.schema([("row", pa.int64()), ("number", pa.int32()), ("m", pa.binary())])
     made = pieces.mapInArrow(per_batch(matrices, m_schema), "row long, number int, m binary")
     entry = made.groupBy("row").applyInPandas(scanned, "row long, number int, entry binary")
     way = pa.struct([("end", _IDS), ("start", _IDS), ("ids", _IDS)])
-    t_schema = pa.schema([("row", pa.int64()), ("number", pa.int32()), ("trunk", _IDS), ("exits", pa.list_(way))])
+    t_schema = pa.schema([
+        ("row", pa.int64()), ("doc_id", pa.int64()), ("number", pa.int32()), ("own", pa.string()), ("trunk", _IDS),
+        ("exits", pa.list_(way)),
+    ])
     ways = pieces.join(entry, ["row", "number"]).mapInArrow(
         per_batch(traced, t_schema),
-        "row long, number int, trunk array<int>, "
+        "row long, doc_id long, number int, own string, trunk array<int>, "
         "exits array<struct<end: array<int>, start: array<int>, ids: array<int>>>",
     )
-    return ways.groupBy("row").applyInPandas(whole, f"row long, {kinds}")
+    return ways.groupBy("row").applyInPandas(whole, kinds)
 
 
 def _told_apart(docs: DataFrame, scan: Scan, text: str, id_column: str) -> tuple[DataFrame, DataFrame]:
-    """row, doc_id and text of the short texts and of the giant ones."""
+    """doc_id and text of the short texts and of the giant ones."""
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), column(id_column).cast("long").alias("doc_id"),
+        column(id_column).cast("long").alias("doc_id"),
         F.coalesce(column(text).cast("string"), F.lit("")).alias("text"),
     )
     giant = F.length("text") >= scan.chunk
     return rows.filter(~giant), rows.filter(giant)
 
 
-def encode(docs: DataFrame, scan: Scan = Scan(), text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """doc_id, text (a null one empty) and ids of every row. Rows are told apart by their number
-    in the scan, so ``docs`` has to give its rows in the same order each time, as tables do."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ids", _IDS)])
-
-    def make():
+def _each(docs: DataFrame, scan: Scan, text: str, id_column: str, schema: pa.Schema, kinds: str, of) -> DataFrame:
+    """The columns of ``schema`` that ``of(doc_id, text, ids)`` gives for each row, by name."""
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(scan)
-
-        def columns(batch):
-            texts = texts_of(batch, "text")
-            return {"doc_id": rows_of(batch, "doc_id"), "text": texts, "ids": [known.encode(t) for t in texts]}
-        return columns
+        for batch in batches:
+            out, held = [], 0
+            for doc, t in zip(batch.column(0), batch.column(1)):
+                t = t.as_py()
+                out.append(of(doc.as_py(), t, known.encode(t)))
+                held += len(t)
+                if held >= _AT_A_TIME:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     short, giant = _told_apart(docs, scan, text, id_column)
-    finish = lambda row, ids: pd.DataFrame({"row": [row], "ids": [ids]})
-    done = giant.join(_long(giant.select("row", "text"), scan, finish, "ids array<int>"), "row")
-    made = short.mapInArrow(per_batch(make, schema), "doc_id long, text string, ids array<int>")
-    return made.unionByName(done.drop("row"))
+    finish = lambda *row: pd.DataFrame({k: pd.Series([x], dtype=object) for k, x in of(*row).items()})
+    return short.mapInArrow(made, kinds).unionByName(_long(giant, scan, finish, kinds))
+
+
+def encode(docs: DataFrame, scan: Scan = Scan(), text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """doc_id, text (a null one empty) and ids of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ids", _IDS)])
+    of = lambda doc, t, ids: {"doc_id": doc, "text": t, "ids": np.array(ids, np.int32)}
+    return _each(docs, scan, text, id_column, schema, "doc_id long, text string, ids array<int>", of)
 
 
 def decode(pieces: DataFrame, scan: Scan = Scan(), ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -505,30 +531,14 @@ def decode(pieces: DataFrame, scan: Scan = Scan(), ids: str = "ids", text: str =
 
 def digests(docs: DataFrame, scan: Scan = Scan(), text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Per row: doc_id, n_pieces, ids_crc32 (unsigned 32-bit ids, little-endian) and decodes,
-    whether the pieces decode to the text. Of giant texts only checksums are compared, so that
-    they are not moved once more."""
+    whether the pieces decode to the text."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("decodes", pa.bool_())])
-    summed = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
-
-    def make():
-        known = vocabulary(scan)
 
-        def columns(batch):
-            out = {name: [] for name in schema.names}
-            for doc, t in zip(rows_of(batch, "doc_id"), texts_of(batch, "text")):
-                ids = known.encode(t)
-                for name, x in zip(schema.names, (doc, len(ids), summed(ids), known.decode(ids) == t)):
-                    out[name].append(x)
-            return out
-        return columns
-
-    def finish(row: int, ids: list[int]) -> pd.DataFrame:
-        back = zlib.crc32(vocabulary(scan).decode(ids).encode())
-        return pd.DataFrame({"row": [row], "n_pieces": [len(ids)], "ids_crc32": [summed(ids)], "back": [back]})
+    def of(doc, t, ids):
+        return {
+            "doc_id": doc, "n_pieces": len(ids), "ids_crc32": zlib.crc32(np.array(ids, "<u4").tobytes()),
+            "decodes": vocabulary(scan).decode(ids) == t,
+        }
 
-    short, giant = _told_apart(docs, scan, text, id_column)
-    done = _long(giant.select("row", "text"), scan, finish, "n_pieces long, ids_crc32 long, back long")
-    known = giant.select("row", "doc_id", F.crc32(F.encode("text", "utf-8")).alias("sum"))
-    rest = known.join(done, "row").select("doc_id", "n_pieces", "ids_crc32", (F.col("back") == F.col("sum")).alias("decodes"))
     kinds = "doc_id long, n_pieces long, ids_crc32 long, decodes boolean"
-    return short.mapInArrow(per_batch(make, schema), kinds).unionByName(rest)
+    return _each(docs, scan, text, id_column, schema, kinds, of)

@@ -136,3 +136,29 @@ def test_entries_keep_differences_only():
 
 def test_empty_table(spark):
     assert sc.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_giant_texts_when_splits_change_between_scans(spark, tmp_path, monkeypatch):
+    scan, rng, real, name = sc.Scan(chunk=50), random.Random(6), sc.stage, "spark.sql.files.maxPartitionBytes"
+    rows = [(k, f"{k} the end " * 20 + text(rng)) for k in range(16)]
+    for row in rows:  # each in a file of its own
+        spark.createDataFrame([row], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    docs, before = spark.read.parquet(str(tmp_path / "docs")), spark.conf.get(name)
+
+    def changed(df):
+        done = real(df)
+        spark.conf.set(name, "4m")
+        return done
+
+    monkeypatch.setattr(sc, "stage", changed)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    known = sc.Vocabulary(scan)
+    try:
+        encoded = sorted((r.doc_id, r.text, list(r.ids)) for r in sc.encode(docs, scan).collect())
+        spark.conf.set(name, before)
+        sums = sorted((r.doc_id, r.n_pieces, r.decodes) for r in sc.digests(docs, scan).collect())
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert encoded == [(d, t, known.encode(t)) for d, t in rows]
+    assert sums == [(d, len(known.encode(t)), True) for d, t in rows]
