@@ -530,15 +530,19 @@ def decode(pieces: DataFrame, scan: Scan = Scan(), ids: str = "ids", text: str =
 
 
 def digests(docs: DataFrame, scan: Scan = Scan(), text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, n_pieces, ids_crc32 (unsigned 32-bit ids, little-endian) and decodes,
-    whether the pieces decode to the text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("decodes", pa.bool_())])
+    """Per row: doc_id, n_pieces, ids_crc32 (unsigned 32-bit ids, little-endian), decodes (whether
+    the pieces decode to the text), the ids and the decoded text."""
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("decodes", pa.bool_()),
+        ("ids", _IDS), ("decoded", pa.string()),
+    ])
 
     def of(doc, t, ids):
+        back, ids = vocabulary(scan).decode(ids), np.array(ids, "<u4")
         return {
-            "doc_id": doc, "n_pieces": len(ids), "ids_crc32": zlib.crc32(np.array(ids, "<u4").tobytes()),
-            "decodes": vocabulary(scan).decode(ids) == t,
+            "doc_id": doc, "n_pieces": len(ids), "ids_crc32": zlib.crc32(ids.tobytes()), "decodes": back == t,
+            "ids": ids.astype(np.int32), "decoded": back,
         }
 
-    kinds = "doc_id long, n_pieces long, ids_crc32 long, decodes boolean"
+    kinds = "doc_id long, n_pieces long, ids_crc32 long, decodes boolean, ids array<int>, decoded string"
     return _each(docs, scan, text, id_column, schema, kinds, of)

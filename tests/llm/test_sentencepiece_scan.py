@@ -162,3 +162,17 @@ def test_giant_texts_when_splits_change_between_scans(spark, tmp_path, monkeypat
         spark.conf.unset("spark.sql.files.minPartitionNum")
     assert encoded == [(d, t, known.encode(t)) for d, t in rows]
     assert sums == [(d, len(known.encode(t)), True) for d, t in rows]
+
+
+def test_query_returns_ids_and_decoded_texts(spark):
+    scan, rng = sc.Scan(chunk=50), random.Random(7)
+    rows = [(k, text(rng, 90)) for k in range(20)] + [(None, "the end " * 50), (21, None), (22, "a▁b"), (23, "a▁b " * 30)]
+    known, got = sc.Vocabulary(scan), sc.digests(spark.createDataFrame(rows, "doc_id long, text string"), scan).collect()
+    wanted = []
+    for d, t in rows:
+        ids = known.encode(t or "")
+        back = known.decode(ids)
+        crc = __import__("zlib").crc32(np.array(ids, "<u4").tobytes())
+        wanted.append((d, len(ids), crc, back == (t or ""), ids, back))
+    assert sorted(((*r[:4], list(r.ids), r.decoded) for r in got), key=str) == sorted(wanted, key=str)
+    assert [r.decodes for r in got].count(False) == 2
