@@ -5,8 +5,8 @@ block outside menus, headers, footers, sidebars, notices, adverts, forms, commen
 passes points for its length and commas to its container, half of them to the next ancestor and
 less to those further up; elements start with points for what they are. Points are discounted by
 the share of text inside links. The best container, widened to the article or main element around
-it, is kept with those siblings that read like more of the same. What is dropped inside is only
-what the lists below name.
+it, is kept; where there is no such element, with every sibling that is not mostly links. What is
+dropped inside is only what the lists below name.
 
 Texts: character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined in page order by a blank line. A null or empty page has an empty text, as has a
@@ -246,8 +246,8 @@ def _text(page: _Page) -> str:
     for e in range(1, n):
         if parents[e] == parents[best] and e != best and chars[e] and not gone[e] and density(e) < 0.33:
             like = tags[e] == tags[best] and score(e) >= 0.2 * top or tags[e] in HEADINGS
-            loose = tags[best] not in ("article", "main") and (tags[e] == "p" or score(e) >= 0.2 * top)
-            if like or loose:
+            # without an article element a low score is no sign: short sections and lists are part of it
+            if like or tags[best] not in ("article", "main"):
                 kept.add(e)
     within = [False] * n
     for e in range(n):

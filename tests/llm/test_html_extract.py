@@ -71,3 +71,12 @@ def test_nulls_repeats_and_empty_tables(spark):
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted(r.text for r in got) == ["", "", "a", "a", "a"]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_unequal_sections_and_trailing_lists_without_article():
+    long = "".join(f"<p>{k} {'words, ' * 3}{'text ' * 54}</p>" for k in range(8))
+    short = f"<section><h2>Second</h2><p>{'short ' * 20}</p></section>"
+    got = main_text(f"<body><nav>n</nav><div class=content><section><h2>First</h2>{long}</section>{short}</div><div id=footer>f</div></body>")
+    assert got.startswith("First") and "Second" in got and got.endswith("short") and got.count("short") == 20
+    got = main_text(f"<body><div class=story>{long}</div><ul><li>one</li><li>two</li></ul><ul><li><a href=x>linked</a></li></ul></body>")
+    assert got.endswith("one\n\ntwo")
