@@ -69,3 +69,13 @@ def test_empty_tables(spark, prose):
     assert pu.classify(no_docs, no_labels).count() == 0
     docs = spark.createDataFrame([(1, prose(9))], "doc_id long, text string")
     assert [r.score for r in pu.classify(docs, no_labels).collect()] == [0.5]
+
+
+def test_unlabelled_text_counts(spark, prose):
+    """Bad text of a kind that no labelled row shows is learned from unlabelled rows alone."""
+    rows = [(k, prose(60) if k < 300 or k % 2 else "### $$$ " * 30) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(300)], "doc_id long, quality int")
+    model = pu.fit(pu.measured(docs), labels)
+    good, bad = (model.score(np.array([pu.measures(t)]))[0] for t in (rows[301][1], rows[302][1]))
+    assert good >= 0.3 > bad and model.prior < 0.85
