@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm import (
-    hard_negatives, html_extract, license_scan, packing, pu_classifier, quality_rules, secrets, sentencepiece_scan,
-    simhash, spelling_variants, topk, warc,
+    embedding_dedup, hard_negatives, html_extract, license_scan, packing, pu_classifier, quality_rules, secrets,
+    sentencepiece_scan, simhash, spelling_variants, topk, warc,
 )
 from riskloom.llm.frames import table
 
@@ -61,6 +61,10 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.mine(table(spark, folder, "embeddings"))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants.variants(table(spark, folder, "documents"))
 
@@ -69,7 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ours = (
         op1_license_scan, op2_html_main_text, op3_mixture_packing, op4_warc_derivatives, op5_exact_top_k,
         op6_quality_rules, op7_secret_scan, op8_simhash_near_dedup, op9_pu_quality_classifier,
-        op10_sentencepiece_scan, op11_hard_negatives, op13_spelling_variants,
+        op10_sentencepiece_scan, op11_hard_negatives, op12_embedding_near_dedup, op13_spelling_variants,
     )
     return {f.__name__: f for f in ours}
 
@@ -110,6 +114,23 @@ select anchor_id, positive_id, cast(place as int) as rank, negative_id, positive
 from ranked where place <= 5
 """
 
+EMBEDDING_DEDUP_SQL = """
+with recursive rows as (select row_number() over () as r, * from embeddings),
+v as (
+  select r, vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e
+  from rows where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.r, b.r as other from v a join v b on a.label = b.label and len(a.e) = len(b.e) and a.r <> b.r
+  where list_cosine_similarity(a.e, b.e) >= 0.98),
+reached as (select r, r as other from rows union select w.r, l.other from reached w join links l on w.other = l.r),
+firsts as (
+  select w.r, min(o.vec_id) as component_id from reached w join rows o on w.other = o.r group by w.r)
+select d.vec_id, coalesce(n.n, 0) as n_links, f.component_id, d.vec_id is not distinct from f.component_id as kept
+from rows d join firsts f on d.r = f.r left join (select r, count(*) as n from links group by r) n on d.r = n.r
+"""
+
 SPELLING_SQL = """
 with recursive letters as (
   select coalesce(cast(doc_id as varchar), '') as id,
@@ -156,5 +177,6 @@ def oracle_sql() -> dict[str, str]:
     """SQL of what SQL can express; tests hold the other queries against brute force."""
     return {
         "op5_exact_top_k": TOP_K_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL,
+        "op12_embedding_near_dedup": EMBEDDING_DEDUP_SQL,
         "op13_spelling_variants": SPELLING_SQL,
     }

@@ -20,6 +20,7 @@ COLUMNS = {
     "op8_simhash_near_dedup": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     "op11_hard_negatives": dict.fromkeys(
         ("anchor_id", "positive_id", "negative_id", "positive_score", "negative_score"), "bigint") | {"rank": "int"},
+    "op12_embedding_near_dedup": dict.fromkeys(("vec_id", "n_links", "component_id"), "bigint") | {"kept": "boolean"},
     "op13_spelling_variants": {"word": "string", "form": "string", "root": "string"}
     | dict.fromkeys(("n", "n_near", "form_n"), "bigint"),
     "op9_pu_quality_classifier": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
@@ -28,7 +29,7 @@ COLUMNS = {
 
 def test_one_query_for_each_operator():
     names = list(queries.queries())
-    assert len({n.split("_")[0] for n in names}) == len(names)
+    assert [n.split("_")[0] for n in names] == [f"op{n}" for n in range(1, 14)]
     assert {*names, "pipeline"} <= set(entry_file.queries())
 
 
@@ -37,9 +38,10 @@ def test_rows_and_columns(spark, name):
     df = queries.queries()[name](spark, FOLDER)
     types = dict(df.dtypes)
     assert COLUMNS.get(name, {}).items() <= types.items()
-    table = {"2": "pages", "4": "pages", "5": "embeddings", "11": "embeddings", "12": "embeddings"}.get(name[2:].split("_")[0], "documents")
+    tables = {"2": "pages", "4": "pages", "5": "embeddings", "11": "embeddings", "12": "embeddings"}
+    table = tables.get(name[2:].split("_")[0], "documents")
     rows, there = df.count(), spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
-    if name[2] in "26789" or name.startswith("op10"):
+    if name[2] in "26789" or name[:4] in ("op10", "op12"):
         assert rows == there
     elif name.startswith("op4"):
         assert rows == 2 * there
