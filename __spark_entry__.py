@@ -273,15 +273,21 @@ def iv_strength_query(spark, folder):
     )
 
 
-def discretize(spark, folder):
+def _measured_fit(spark, folder):
     base = _narrow(spark, folder, ROLES.label, *MEASURED)
-    fitted = binning.fit_bins(base, SEGMENT, MEASURED, ROLES.label).split_lists()
-    binned = binning.discretize(base, fitted, ROLES.segment, suffix="_num")
-    names = [f"{c}_num" for c in MEASURED]
-    return binned.select(
-        *IDS,
-        *[(F.col(c) if c in binned.columns else F.col(v).cast("double")).alias(c) for v, c in zip(MEASURED, names)],
-    )
+    return base, binning.fit_bins(base, SEGMENT, MEASURED, ROLES.label)
+
+
+def discretize(spark, folder):
+    base, fitted = _measured_fit(spark, folder)
+    return binning.discretize(base, fitted, suffix="_num").select(*IDS, *[f"{c}_num" for c in MEASURED])
+
+
+def woe_fitted(spark, folder):
+    """WOE and bin of the fit for every row, by the edge arrays of its segment."""
+    base, fitted = _measured_fit(spark, folder)
+    found = binning.fitted_values(binning.fitted_values(base, fitted), fitted, "bin", "_bin")
+    return _rounded(found.select(*IDS, *[f"{c}{end}" for c in MEASURED for end in ("_woe", "_bin")]))
 
 
 # --- profiles -------------------------------------------------------------------------
@@ -474,7 +480,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         agg_null_count, agg_summary, agg_approx_quantile, reshape_unpivot, set_union_all,
         reshape_pivot,
         bin_label, woe_apply, woe_category, udf_woe, bin_table, calc_iv, calc_iv_bins,
-        optbin_fit, optbin_splits, optbin_sketch, iv_ranking, discretize,
+        optbin_fit, optbin_splits, optbin_sketch, iv_ranking, discretize, woe_fitted,
         profile_all, profile_rules_original, profile_rule_audit,
         train_matrix, min_leaf_5pct, tree_split_search, tree_fit, feature_importance, tree_rules,
         score_proba, model_compare, grid_search_depth, grid_importance,

@@ -751,6 +751,19 @@ def statements() -> dict[str, str]:
             else v end as numero
           from largo join elegidos using (experiencia, variable)) group by row_id, experiencia""", *OPTBIN)
 
+    shown = ", ".join(
+        f"max(woe) filter (where variable = '{c}') as {c}_woe, max(bin) filter (where variable = '{c}') as {c}_bin"
+        for c in MEASURED
+    )
+    found["woe_fitted"] = with_steps(
+        f"""select row_id, experiencia, {shown} from (
+          select row_id, experiencia, variable, m.woe, m.bin from (
+            select row_id, experiencia, variable, cast(case when v is null then len(splits) + 1
+              else len(list_filter(splits, lambda s: s <= v)) end as int) as bin_no
+            from largo join elegidos using (experiencia, variable))
+          join medidas m using (experiencia, variable, bin_no)) group by row_id, experiencia""",
+        *OPTBIN, f"medidas as materialized ({measured_bins('filas', 'bin_no,')})")
+
     # profiles
     for name in ("fa", "12d", "u3m", "u6m"):
         found[f"profile_{name}"] = profile_select(name)

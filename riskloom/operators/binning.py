@@ -6,11 +6,14 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.functions.cuts import bin_number, per_segment, woe_of
+from riskloom.functions.cuts import woe_of
+from riskloom.operators import monotone
+from riskloom.operators.edges import with_cut_values
 from riskloom.operators.prefix import clean, value_cells
 from riskloom.operators.quantiles import quantile_rows
 from riskloom.plans.staging import fits_broadcast, stage, stage_counted
@@ -33,11 +36,39 @@ class FittedBins:
     keys: tuple
     splits: DataFrame
     table: DataFrame
+    variables: tuple = ()
+
+    @property
+    def _cuts(self) -> list:
+        return [*self.keys, "variable", F.col("splits").alias("edges")]
+
+    def number_table(self) -> DataFrame:
+        """Cut table (see ``operators.edges``) of bin numbers, for variables with more than one cut."""
+        size = F.size("splits")
+        numbers = F.transform(F.sequence(F.lit(0), size), lambda i: i.cast("double"))
+        return self.splits.filter(size > 1).select(
+            *self._cuts, numbers.alias("values"), (size + 1).cast("double").alias("missing"),
+            F.lit(False).alias("right_closed"),
+        )
+
+    def value_table(self, column: str = "woe") -> DataFrame:
+        """Cut table of a column of the bin table, such as WOE or the bin's text, for every variable."""
+        on = [*self.keys, "variable"]
+        listed = self.table.groupBy(*on).agg(
+            F.array_sort(F.collect_list(F.struct("bin_no", F.col(column).alias("value")))).alias("rows")
+        )
+        rows = F.transform("rows", lambda r: r["value"])
+        return null_safe_join(self.splits, listed, on).select(
+            *self._cuts, F.slice(rows, F.lit(1), F.size(rows) - 1).alias("values"),
+            F.element_at(rows, -1).alias("missing"), F.lit(False).alias("right_closed"),
+        )
 
-    def split_lists(self) -> dict:
-        """``{(key values..., variable): [cuts]}`` of fitted variables, for compiling columns."""
-        rows = self.splits.collect()
-        return {tuple(r[k] for k in self.keys) + (r["variable"],): list(r["splits"]) for r in rows}
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join by columns of one name, in which NULL equals NULL; they come from the left side."""
+    other = right.withColumnsRenamed({k: f"__{k}" for k in on})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in on])
+    return left.join(other, same).drop(*[f"__{k}" for k in on])
 
 
 def _prebin_edges(df, keys, variables, limits: BinningLimits, cells) -> tuple[DataFrame, int]:
@@ -86,101 +117,27 @@ def _row_cells(df, keys, variables, label) -> DataFrame:
 
 
 def _search(counts: DataFrame, edges: DataFrame, keys, limits: BinningLimits) -> DataFrame:
-    """Best cut list per (keys, variable) over all feasible groupings of the prebins.
-
-    A key has at most ``prebins`` rows here, so its cumulative counts fit one short array.
-    Groupings grow bin by bin with ``explode(sequence(...))``: each step appends the next
-    cut, drops groupings that break the size or the trend, and adds the bin's IV.  Both
-    trend directions are followed from the start.  There is no join and one shuffle.
-    """
+    """Best cut list per (keys, variable) over all feasible groupings of the prebins; see
+    ``operators.monotone``. A key is one row here, with one count for each prebin."""
     on = [*keys, "variable"]
     seen = counts.filter(F.col("prebin").isNotNull()).groupBy(*on).agg(
         F.array_sort(F.collect_list(F.struct("prebin", "n", "events"))).alias("bins")
     )
 
-    def cumulative(field: str) -> Column:
-        return F.expr(
-            f"transform(sequence(0, size(bins)), i -> "
-            f"aggregate(slice(bins, 1, i), 0L, (s, b) -> s + b.{field}))"
-        )
+    @F.pandas_udf(monotone.SEARCHED)
+    def searched(n: pd.Series, events: pd.Series) -> pd.DataFrame:
+        return monotone.search(n, events, limits.max_bins, limits.min_share)
 
-    start = (
-        seen.withColumns({"cum_n": cumulative("n"), "cum_e": cumulative("events")})
-        .withColumns(
-            {
-                "parts": F.size("bins"),
-                "all_n": F.get("cum_n", F.size("bins")),
-                "all_e": F.get("cum_e", F.size("bins")),
-                "trend": F.explode(F.array(F.lit(1), F.lit(-1))),
-                "cuts": F.array().cast("array<int>"),
-                "last": F.lit(0),
-                "rate": F.lit(None).cast("double"),
-                "iv": F.lit(0.0),
-            }
-        )
-        .filter("all_e > 0 and all_n > all_e")
-    )
-    grown = start
-    for _ in range(limits.max_bins):
-        step = grown.withColumn(
-            "next",
-            F.explode(
-                F.when(F.col("last") == F.col("parts"), F.array(F.col("parts"))).otherwise(
-                    F.sequence(F.least(F.col("last") + 1, F.col("parts")), F.col("parts"))
-                )
-            ),
-        )
-        closed = F.col("last") == F.col("parts")
-        step = step.withColumns(
-            {
-                "bin_n": F.get("cum_n", "next") - F.get("cum_n", "last"),
-                "bin_e": F.get("cum_e", "next") - F.get("cum_e", "last"),
-            }
-        )
-        bin_rate = F.try_divide(F.col("bin_e"), F.col("bin_n"))
-        fits = (
-            (F.col("bin_n") >= F.lit(limits.min_share) * F.col("all_n"))
-            & (F.col("bin_e") > 0)
-            & (F.col("bin_n") > F.col("bin_e"))
-            & (
-                F.col("rate").isNull()
-                | F.when(F.col("trend") == 1, bin_rate >= F.col("rate")).otherwise(
-                    bin_rate <= F.col("rate")
-                )
-            )
-        )
-        good = F.try_divide(F.col("bin_n") - F.col("bin_e"), F.col("all_n") - F.col("all_e"))
-        bad = F.try_divide(F.col("bin_e"), F.col("all_e"))
-        grown = step.filter(closed | fits).withColumns(
-            {
-                "iv": F.when(closed, F.col("iv")).otherwise(
-                    F.col("iv") + F.coalesce((good - bad) * woe_of(good, bad), F.lit(0.0))
-                ),
-                "rate": F.when(closed, F.col("rate")).otherwise(bin_rate),
-                "cuts": F.when(
-                    closed | (F.col("next") == F.col("parts")), F.col("cuts")
-                ).otherwise(F.array_append("cuts", F.col("next"))),
-                "last": F.col("next"),
-            }
-        ).drop("next", "bin_n", "bin_e")
-
-    ranked = F.struct(
-        (-F.round("iv", 12)).alias("neg_iv"), F.size("cuts").alias("n_cuts"), F.col("cuts")
-    )
-    best = grown.filter("last = parts").groupBy(*on).agg(
-        F.min(ranked).alias("best"),
-        F.first(F.col("bins.prebin")).alias("prebin_ids"),
-        F.countDistinct("cuts").alias("feasible"),
+    best = seen.select(
+        *on, F.col("bins.prebin").alias("prebin_ids"), searched("bins.n", "bins.events").alias("best")
     )
     # Cut c lies before the c-th prebin (0-based); prebin p starts at edges[p - 1].
-    cut_edges = F.expr(
-        "transform(best.cuts, c -> element_at(edges, element_at(prebin_ids, c + 1)))"
-    )
+    cut_edges = F.expr("transform(best.cuts, c -> element_at(edges, element_at(prebin_ids, c + 1)))")
     return edges.join(best, on, "left").select(
         *on,
         F.coalesce(cut_edges, F.array().cast("array<double>")).alias("splits"),
-        (-F.col("best.neg_iv")).alias("search_iv"),
-        F.coalesce("feasible", F.lit(0)).cast("long").alias("feasible"),
+        F.col("best.iv").alias("search_iv"),
+        F.coalesce("best.feasible", F.lit(0)).cast("long").alias("feasible"),
     )
 
 
@@ -277,7 +234,7 @@ def fit_bins(
     small = fits_broadcast(edges, edge_rows)
     counts = stage(_prebin_counts(rows, edges, small, keys, limits.prebins))
     splits = stage(_search(counts, edges, keys, limits))
-    return FittedBins(tuple(keys), splits, _fitted_table(counts, splits, edges, keys))
+    return FittedBins(tuple(keys), splits, _fitted_table(counts, splits, edges, keys), tuple(variables))
 
 
 def round_splits(splits: DataFrame, digits: int = 2) -> DataFrame:
@@ -288,7 +245,7 @@ def by_event_rate(table: DataFrame, *first: str) -> DataFrame:
     """The bin table by rising event rate, empty bins last; ``rank`` is the place in that order."""
     rate = F.col("event_rate").asc_nulls_last()
     place = F.row_number().over(Window.partitionBy(*first).orderBy(rate, "bin_no"))
-    return table.withColumn("rank", place).orderBy(*first, "rank")
+    return table.withColumn("rank", place)
 
 
 def iv_totals(table: DataFrame, keys: list[str] = ()) -> DataFrame:
@@ -299,35 +256,21 @@ def iv_totals(table: DataFrame, keys: list[str] = ()) -> DataFrame:
         table.groupBy(*keys, "variable")
         .agg(F.sum("iv").alias("iv_sum"), F.max("n_splits").alias("n_splits"))
         .withColumns({"usable": F.col("n_splits") > 1, "rank": F.row_number().over(highest)})
-        .orderBy(*keys, "rank")
     )
 
 
-def discretize(df: DataFrame, fitted: dict, segment: str | None, suffix: str = "") -> DataFrame:
-    """Replace each variable that has more than one split by its bin number, as a double.
+def discretize(df: DataFrame, fitted: FittedBins, suffix: str = "") -> DataFrame:
+    """Each fitted variable as its bin number, a double, where it has more than one cut in the row's
+    segment; NULL gets the number of the Missing bin. Elsewhere the value itself stays, as a double.
 
-    ``fitted`` is :meth:`FittedBins.split_lists`; NULL gets the number of the Missing bin.
-    Where only some segments have usable cuts, the others keep the value itself.
-    """
-    variables = list(dict.fromkeys(key[-1] for key in fitted))
-    changed = {}
-    for name in variables:
-        usable = {
-            key[:-1]: cuts for key, cuts in fitted.items() if key[-1] == name and len(cuts) > 1
-        }
-        if not usable:
-            continue
-        value = clean(name, df)
-        if segment is None:
-            cuts = usable[()]
-            changed[name + suffix] = bin_number(value, cuts, len(cuts) + 1).cast("double")
-        else:
-            changed[name + suffix] = per_segment(
-                F.col(segment),
-                {
-                    key[0]: bin_number(value, cuts, len(cuts) + 1).cast("double")
-                    for key, cuts in usable.items()
-                },
-                otherwise=F.col(name).cast("double"),
-            )
-    return df.withColumns(changed) if changed else df
+    Cuts meet the rows in one join, so there may be any number of segments."""
+    return with_cut_values(
+        df, fitted.number_table(), fitted.keys, fitted.variables, suffix,
+        otherwise={v: F.col(f"`{v}`").cast("double") for v in fitted.variables},
+    )
+
+
+def fitted_values(df: DataFrame, fitted: FittedBins, column: str = "woe", suffix: str = "_woe") -> DataFrame:
+    """Add what the fitted bin table says in ``column`` about each variable's bin; NULL where the row's
+    segment was not fitted."""
+    return with_cut_values(df, fitted.value_table(column), fitted.keys, fitted.variables, suffix)

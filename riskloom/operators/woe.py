@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.cuts import bins_of, code_value, cut_value, per_segment
+from riskloom.operators.edges import cut_frame, with_cut_values
 from riskloom.settings import BIN_LABELS, DEFAULT_ROLES, RATING_WOE, WOE_MAPS, Roles
 from riskloom.sources.tables import local_rows
 
@@ -42,6 +45,20 @@ def bin_label(df: DataFrame, roles: Roles = DEFAULT_ROLES, maps=BIN_LABELS) -> D
     return df.withColumns(_mapped(df, roles, maps, "_bin", None))
 
 
+def values_from_table(
+    df: DataFrame, table: DataFrame, variables: Sequence[str], suffix: str = "_woe", roles: Roles = DEFAULT_ROLES
+) -> DataFrame:
+    """``woe_apply`` and ``bin_label`` for any number of segments: the maps are a cut table (see
+    ``operators.edges``) keyed by the segment column, which the rows meet in one join."""
+    return with_cut_values(df, table, [roles.segment], variables, suffix)
+
+
+def map_table(spark: SparkSession, maps=WOE_MAPS, roles: Roles = DEFAULT_ROLES) -> DataFrame:
+    """Configured WOE or label maps as a cut table."""
+    kind = "string" if isinstance(next(iter(maps.values())).values[0], str) else "double"
+    return cut_frame(spark, maps, roles.segment, roles.column, kind)
+
+
 BIN_EDGE_SCHEMA = (
     "segmento string, variable string, closed string, posicion int, lo double, hi double, "
     "bin string, woe double, is_missing boolean"

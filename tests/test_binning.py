@@ -1,11 +1,15 @@
 import itertools
 import math
 import random
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import binning, iv
+from riskloom.operators import binning, iv, monotone
+from riskloom.operators.edges import cut_frame, with_cut_values
+from riskloom.settings import CutMap
 
 
 @pytest.fixture(scope="module")
@@ -106,12 +110,11 @@ def test_one_class_gives_no_split(spark):
 
 def test_discretize_and_ranking(labelled):
     fitted = binning.fit_bins(labelled, ["seg"], ["x", "noise"], limits=binning.BinningLimits(rel_error=0))
-    lists = fitted.split_lists()
-    out = binning.discretize(labelled, lists, "seg", suffix="_b")
+    out = binning.discretize(labelled, fitted, suffix="_b")
     counted = {(r["seg"], r["x_b"]): r["count"] for r in out.groupBy("seg", "x_b").count().collect()}
     for r in fitted.table.filter("variable = 'x' and count > 0").collect():
         assert counted[(r["seg"], r["bin_no"])] == r["count"]
-    ranking = binning.iv_totals(fitted.table, ["seg"]).collect()
+    ranking = binning.iv_totals(fitted.table, ["seg"]).orderBy("rank").collect()
     assert [r["variable"] for r in ranking if r["seg"] == "CE"][0] == "x"
     assert all(r["usable"] == (r["n_splits"] > 1) for r in ranking)
 
@@ -119,14 +122,141 @@ def test_discretize_and_ranking(labelled):
 def test_discretize_keeps_values_without_usable_cuts(spark):
     rows = [("CE", 0.1), ("CE", 1.0), ("CE", None), ("SE", 7.5), ("SE", None), ("XX", 3.0)]
     df = spark.createDataFrame(rows, "seg string, x double")
-    fitted = {("CE", "x"): [0.5, 2.0], ("SE", "x"): [3.0]}
-    out = binning.discretize(df, fitted, "seg")
-    assert [r["x"] for r in out.collect()] == [0.0, 1.0, 3.0, 7.5, None, 3.0]
+    splits = [("CE", "x", [0.5, 2.0]), ("SE", "x", [3.0])]
+    splits = spark.createDataFrame(splits, "seg string, variable string, splits array<double>")
+    out = binning.discretize(df, binning.FittedBins(("seg",), splits, None, ("x",)))
+    assert sorted(map(repr, (tuple(r) for r in out.collect()))) == sorted(map(repr, [
+        ("CE", 0.0), ("CE", 1.0), ("CE", 3.0), ("SE", 7.5), ("SE", None), ("XX", 3.0)]))
+
+
+def listed_groupings(n, events, max_bins, share):
+    """Best cuts, value and number of all feasible groupings, by listing them."""
+    total, bads = sum(n), sum(events)
+    found = []
+    for k in range(max_bins):
+        for cuts in itertools.combinations(range(1, len(n)), k):
+            ends = [0, *cuts, len(n)]
+            bins = [(sum(n[a:b]), sum(events[a:b])) for a, b in zip(ends, ends[1:])]
+            if any(c < share * total or e == 0 or c == e for c, e in bins):
+                continue
+            rates = [e / c for c, e in bins]
+            if rates != sorted(rates) and rates != sorted(rates, reverse=True):
+                continue
+            value = sum(((c - e) / (total - bads) - e / bads) * math.log(((c - e) / (total - bads)) / (e / bads))
+                        for c, e in bins)
+            found.append((-round(value, 12), len(cuts), cuts))
+    return (list(min(found)[2]), -min(found)[0], len(found)) if found else ([], None, 0)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_dynamic_programme_equals_listing(seed):
+    draw = random.Random(seed)
+    parts, bins = draw.randint(1, 11), draw.randint(1, 6)
+    n = [draw.choice([10, 20, 40]) for _ in range(parts)]
+    events = [draw.randint(0, c) if seed % 4 else c // 10 * draw.choice([1, 2]) for c in n]
+    share = draw.choice([0, 0.05, 0.2])
+    got = monotone.search(pd.Series([n]), pd.Series([events]), bins, share).iloc[0]
+    cuts, value, feasible = listed_groupings(n, events, bins, share) if 0 < sum(events) < sum(n) else ([], None, 0)
+    assert got["cuts"] == cuts and got["feasible"] == feasible
+    assert got["iv"] == pytest.approx(value, abs=1e-11) if value is not None else pd.isna(got["iv"])
+
+
+def test_fifty_prebins_and_eight_bins_are_fast():
+    draw = random.Random(1)
+    n = [200] * 50
+    events = [draw.randint(max(1, 60 - k), 90 - k) for k in range(50)]
+    started = time.perf_counter()
+    got = monotone.search(pd.Series([n] * 8), pd.Series([events] * 8), 8, 0.02)
+    assert time.perf_counter() - started < 10
+    assert got["feasible"][0] > 10**6 and len(got["cuts"][0]) <= 7
+    rates = [sum(events[a:b]) / sum(n[a:b]) for a, b in zip([0, *got["cuts"][0]], [*got["cuts"][0], 50])]
+    assert rates in (sorted(rates), sorted(rates, reverse=True))
+
+
+def test_prebins_of_one_rate_are_counted_not_listed():
+    got = monotone.search(pd.Series([[100] * 40]), pd.Series([[10] * 40]), 8, 0).iloc[0]
+    assert got["cuts"] == [] and got["feasible"] == sum(math.comb(39, k) for k in range(8))
+
+
+def test_a_hundred_thousand_segments_meet_their_cuts_in_a_join(spark, monkeypatch):
+    """Nothing per segment reaches the driver or the plan."""
+    count = 100_000
+    seg = F.concat(F.lit("s"), F.col("id"))
+    splits = spark.range(count).select(
+        seg.alias("seg"), F.explode(F.array(F.lit("x"), F.lit("z"))).alias("variable"),
+        F.transform(F.sequence(F.lit(0), (F.col("id") % 4).cast("int")), lambda i: (i + F.col("id") % 7).cast("double")).alias("splits"),
+    )
+    fitted = binning.FittedBins(("seg",), splits, None, ("x", "z"))
+    df = spark.range(200_000).select(
+        F.concat(F.lit("s"), F.col("id") % (count + 5)).alias("seg"), (F.col("id") % 13).cast("double").alias("x"),
+        F.when(F.col("id") % 11 > 0, F.col("id") % 5).cast("int").alias("z"), "id",
+    )
+    for name in ("collect", "toPandas", "toLocalIterator"):
+        monkeypatch.setattr(type(df), name, lambda *a: pytest.fail("rows reach the driver"))
+    out = binning.discretize(df, fitted, suffix="_b")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.undo()
+    assert len(plan) < 20_000
+
+    def number(seg, value):
+        edges = [i + seg % 7 for i in range(seg % 4 + 1)]
+        if seg >= count or len(edges) < 2:
+            return value
+        return float(len(edges) + 1 if value is None else sum(e <= value for e in edges))
+
+    rows = out.filter("id % 97 = 0").collect()
+    assert len(rows) == 2062
+    for r in rows:
+        s = int(r["seg"][1:])
+        assert r["x_b"] == number(s, r["x"]) and r["z_b"] == number(s, r["z"])
+
+
+@pytest.mark.parametrize("right_closed", [True, False])
+def test_binary_search_equals_counting(spark, right_closed):
+    draw = random.Random(3)
+    rows = []
+    for size in [*range(0, 20), 64, 255, 1000]:
+        cuts = sorted(draw.sample(range(2000), size))
+        for v in [None, float("nan"), -1.0, 5000.0, *(float(c) for c in cuts[:9]), *(c + 0.5 for c in cuts[-3:])]:
+            rows.append((len(rows), [float(c) for c in cuts], v))
+    df = spark.createDataFrame(rows, "id int, edges array<double>, v double")
+    table = df.select("id", F.lit("v").alias("variable"), "edges",
+                      F.transform(F.sequence(F.lit(0), F.size("edges")), lambda i: i.cast("string")).alias("values"),
+                      F.lit("gone").alias("missing"), F.lit(right_closed).alias("right_closed"))
+    got = {r["id"]: r["v_at"] for r in with_cut_values(df, table, ["id"], ["v"], "_at").collect()}
+    for i, cuts, v in rows:
+        if v is None or math.isnan(v):
+            assert got[i] == "gone"
+        else:
+            assert got[i] == str(sum(c < v if right_closed else c <= v for c in cuts))
+
+
+def test_tables_of_maps_and_null_keys(spark):
+    maps = {("CE", "x"): CutMap((1.0, 2.0), (-1.0, 0.5, 2.0), 9.0), ("SE", "x"): CutMap((5.0,), (0.1, 0.2), None, False)}
+    df = spark.createDataFrame([("CE", 1.0), ("CE", 1.5), ("CE", None), ("SE", 5.0), ("SE", None), (None, 1.0)], "seg string, x double")
+    out = with_cut_values(df, cut_frame(spark, maps, "seg"), ["seg"], ["x"], "_v")
+    assert {(r[0], r[1]): r[2] for r in out.collect()} == {
+        ("CE", 1.0): -1.0, ("CE", 1.5): 0.5, ("CE", None): 9.0, ("SE", 5.0): 0.2, ("SE", None): None, (None, 1.0): None}
+    table = spark.createDataFrame([(None, "x", [0.0], [1.0, 2.0], 3.0, True)],
+                                  "seg string, variable string, edges array<double>, values array<double>, missing double, right_closed boolean")
+    out = with_cut_values(df, table, ["seg"], ["x"], "_v").filter("seg is null").collect()
+    assert [r["x_v"] for r in out] == [2.0]
+    assert with_cut_values(df.drop("seg"), table.drop("seg"), [], ["x"], "_v").filter("x_v = 2").count() == 4
+
+
+def test_fitted_woe_equals_the_bin_table(labelled):
+    fitted = binning.fit_bins(labelled, ["seg"], ["x", "noise"])
+    out = binning.fitted_values(binning.fitted_values(labelled, fitted), fitted, "bin", "_bin")
+    seen = {(r["seg"], r["x_bin"]): (r["count"], r["woe"]) for r in
+            out.groupBy("seg", "x_bin").agg(F.count(F.lit(1)).alias("count"), F.first("x_woe").alias("woe")).collect()}
+    want = {(r["seg"], r["bin"]): (r["count"], r["woe"]) for r in
+            fitted.table.filter("variable = 'x' and count > 0").collect()}
+    assert seen == want
 
 
 def test_sorted_by_event_rate_with_empty_missing_last(labelled):
     fitted = binning.fit_bins(labelled, [], ["noise"])
-    rates = [r["event_rate"] for r in binning.by_event_rate(fitted.table).collect()]
+    rates = [r["event_rate"] for r in binning.by_event_rate(fitted.table).orderBy("rank").collect()]
     assert rates[-1] is None and rates[:-1] == sorted(rates[:-1])
 
 

@@ -111,3 +111,18 @@ def test_caps_leave_other_segments_alone(spark):
         [("CE", 1e6, 500.0), ("SE", -1.0, None), ("XX", 1e6, 500.0)],
         "experiencia string, saldoCuentas double, antiguedadBuroSBS double")
     assert [tuple(r)[1:] for r in cap_frame(df).collect()] == [(9855.32, 227.0), (0.0, None), (1e6, 500.0)]
+
+
+def test_maps_as_a_table_equal_maps_as_expressions(spark):
+    from riskloom.operators import woe
+    from riskloom.settings import BIN_LABELS, FIXTURE_ROLES as roles, WOE_MAPS
+
+    edges = sorted({c + d for m in WOE_MAPS.values() for c in m.cuts for d in (-0.01, 0, 0.01)}) + [None]
+    rows = [(s, *[None if v is None else float(v)] * 5) for s in ("CE", "SE", "XX", None) for v in edges]
+    named = [roles.score, roles.tenure, roles.balance, roles.balance_u3m, roles.balance_u6m]
+    df = spark.createDataFrame(rows, ", ".join([f"{roles.segment} string", *[f"{c} double" for c in named]]))
+    for maps, apply, suffix in ((WOE_MAPS, woe.woe_apply, "_woe"), (BIN_LABELS, woe.bin_label, "_bin")):
+        names = list(dict.fromkeys(roles.column(role) for _, role in maps))
+        plain = apply(df, roles).select(*df.columns, *[c + suffix for c in names])
+        joined = woe.values_from_table(df, woe.map_table(spark, maps, roles), names, suffix, roles).select(*plain.columns)
+        assert sorted(map(repr, joined.collect())) == sorted(map(repr, plain.collect()))
