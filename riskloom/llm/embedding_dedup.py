@@ -5,21 +5,25 @@ one row with a count. A rotation is learnt on a bounded sample (``Limits.sample`
 leading axes of the centred vectors are turned again and again so that signs lose least, which gives balanced
 binary codes. Codes are cut into substrings and each vector is posted in one Hamming table for each substring.
 
-Retrieval is exact, not only likely. The turned vectors x, y of a link are no farther apart than the link's largest distance d, so in
-at least one of m tables their parts are within d^2 / m, and the bits in which the substrings differ satisfy
-sum(x_i^2) <= d^2 / 2m or sum(y_i^2) <= d^2 / 2m over those bits. Hence each vector is posted under its own
-substring and, as a probe, under all substrings reached by flipping bits of so small a sum, and a link meets in
-the entry of one of its two ends. Squares are held in 250ths of the limit, rounded down, so all tasks decide alike
-and a link counts only in the first entry where it meets. There vectors are reranked: the cosine of the original
-vectors decides in double precision. Entries report counts and a spanning forest of their links, never pairs.
+Retrieval is exact, not only likely. The turned vectors x, y of a link are no farther apart than the link's
+largest distance d, so in at least one of m tables their parts are within d^2 / m. A bit in which the codes differ
+there is flipped on the side where its component is smaller; such flips of both sides have squares
+that sum up to d^2 / 4m at most. Hence each vector is posted under all substrings that it reaches by flipping bits
+of so small a sum, and every link meets in an entry. Squares are held in 250ths of the limit, rounded down, so all tasks decide alike.
+
+Entries are read twice. First with codes alone: of n bits in which the two codes of a link differ, at most k can have a
+square above d^2 / (k + 1) on either side, which three masks of each code tell; only members with a possible partner go on, a
+handful unless vectors are near. Then these are reranked: the cosine of the original vectors decides in double precision,
+and a link counts in the first table where it meets, under the one key that flips every bit on its smaller side. Entries report counts and a spanning
+forest of their links, never pairs.
 
 Hot groups. Where an entry holds far more vectors than balanced codes would give it, their mean becomes the centre of a ball: all
 vectors within half the link's angle of it link with each other by the triangle inequality, so their links are
 counted in one sum and the rest of the search leaves them out. Entries above ``Limits.cell`` vectors are cut
-into cells by ball; a cell meets the vectors of other cells, but not those of its own ball. So a group of near
-copies costs in proportion to its size.
+into cells by ball, after counts of every sixteenth vector; a cell meets the vectors of other cells, but not those of its own ball.
+So a group of near copies costs in proportion to its size.
 
-Vectors that crowd round the centre, or that lie outside what the sample spans, have more flips, 2^16 a table at
+Vectors that crowd round the centre, or that lie outside what the sample spans, have more flips, 2^13 a table at
 most: that costs time, loses nothing, and is done in bounded pieces.
 
 Vectors that are null, zero or hold null or non-finite components, and rows without a label, have no links and
@@ -44,6 +48,8 @@ from riskloom.plans.staging import broadcast_side, stage
 
 #: flipping bits is allowed up to this sum of weights; a weight is 255 at most
 _BUDGET = 250
+#: of the bits with a square above d^2 / (k + 1) at most k differ between the ends of a link
+_LEVELS = (0, 3, 9)
 _PAIRS = 1 << 14
 _CENTRE = 0.3
 #: sets of flips held at a time
@@ -55,15 +61,17 @@ class Limits:
     cosine: float = 0.98
     #: bits of a code, as far as vectors have components
     bits: int = 64
-    bits_per_table: int = 16
+    bits_per_table: int = 13
     #: distinct vectors that the rotation is learnt from, and rounds of learning
     sample: int = 8192
     rounds: int = 50
     #: an entry is hot with so many vectors, if that is also so many times what balanced codes give it
     hot: int = 128
     hot_times: int = 16
-    #: vectors of one entry that a task compares with all others of the entry at a time
+    #: vectors of one entry that a task compares with all others of the entry at a time, and the share of
+    #: vectors (one in so many) whose postings tell which entries are larger
     cell: int = 2048
+    counted: int = 16
 
     def tables(self, dim: int) -> int:
         return -(-min(self.bits, dim) // self.bits_per_table)
@@ -115,6 +123,13 @@ def learn(x: np.ndarray, bits: int, rounds: int) -> tuple[np.ndarray, np.ndarray
     return mean, axes @ turn
 
 
+def _bits(marks: np.ndarray) -> np.ndarray:
+    """Rows of marks as 64-bit words."""
+    whole = np.zeros((len(marks), 64), np.uint8)
+    whole[:, : marks.shape[1]] = marks
+    return np.packbits(whole, axis=1, bitorder="little").view("<u8").ravel()
+
+
 class Coder:
     """Codes and weights of unit rows, for any length."""
 
@@ -122,25 +137,24 @@ class Coder:
         self.limits, self.learnt = limits, dict(learnt)
 
     def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(codes as integers, weights [row, table, bit]): the weight of a bit is its square in parts of
-        the budget that one end of a link has for flips in one table."""
+        """(codes, weights [row, table, bit], masks [row, level]): the weight of a bit is its square in parts
+        of the budget that a link has for flips in one table; a mask has the bits of which at most ``_LEVELS`` can differ."""
         dim, per = x.shape[1], self.limits.bits_per_table
         if dim not in self.learnt:
             self.learnt[dim] = any_rotation(dim, min(self.limits.bits, dim))
         mean, axes = self.learnt[dim]
         turned = (x - mean) @ axes
         tables = self.limits.tables(dim)
-        most = (2 - 2 * self.limits.cosine) / tables / 2 * (1 + 1e-6) + 1e-12
+        farthest = (2 - 2 * self.limits.cosine) * (1 + 1e-6) + 1e-12
+        squares = turned * turned
         weights = np.full((len(x), tables * per), 255, np.uint8)
-        weights[:, : turned.shape[1]] = np.minimum(turned * turned / most * _BUDGET, 255)
-        bits = np.zeros((len(x), 64), np.uint8)
-        bits[:, : turned.shape[1]] = turned >= 0
-        codes = np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
-        return codes, weights.reshape(len(x), tables, per)
+        weights[:, : turned.shape[1]] = np.minimum(squares * (4 * tables * _BUDGET / farthest), 255)
+        masks = np.stack([_bits(squares > farthest / (level + 1)) for level in _LEVELS], axis=1)
+        return _bits(turned >= 0), weights.reshape(len(x), tables, per), masks
 
 
-def flips(weights: np.ndarray, first: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row + first, mask) of every set of bits whose weights [row, bit] sum up to the budget at most,
+def flips(weights: np.ndarray, first: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row + first, mask, sum) of every set of bits whose weights [row, bit] sum up to the budget at most,
     for some rows at a time, the empty sets first."""
     row, mask, total = np.arange(len(weights)), np.zeros(len(weights), np.int64), np.zeros(len(weights), np.int64)
     for bit in range(weights.shape[1]):
@@ -155,7 +169,8 @@ def flips(weights: np.ndarray, first: int = 0) -> Iterator[tuple[np.ndarray, np.
             yield from flips(weights[half:], first + half)
             return
     for at in range(0, len(row), _PAIRS):
-        yield row[at : at + _PAIRS] + first, mask[at : at + _PAIRS]
+        part = slice(at, at + _PAIRS)
+        yield row[part] + first, mask[part], total[part]
 
 
 def _fitted(nodes: DataFrame, limits: Limits) -> Coder:
@@ -171,9 +186,9 @@ def _fitted(nodes: DataFrame, limits: Limits) -> Coder:
 
 _CODED = pa.schema([
     ("node", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("n", pa.int64()), ("code", pa.int64()),
-    ("weights", pa.binary()), ("x", pa.binary()),
+    ("masks", pa.binary()), ("weights", pa.binary()), ("x", pa.binary()),
 ])
-_CODED_KINDS = "node long, label long, dim int, n long, code long, weights binary, x binary"
+_CODED_KINDS = "node long, label long, dim int, n long, code long, masks binary, weights binary, x binary"
 
 
 def coded(nodes: DataFrame, coder: Coder) -> DataFrame:
@@ -188,12 +203,12 @@ def coded(nodes: DataFrame, coder: Coder) -> DataFrame:
             for dim in np.unique(lengths):
                 own = np.flatnonzero(lengths == dim)
                 x = flat[starts[own][:, None] + np.arange(dim)[None, :]].astype(kind)
-                codes, weights = coder(unit(x))
+                codes, weights, masks = coder(unit(x))
                 taken = batch.take(pa.array(own))
                 yield pa.RecordBatch.from_arrays([
                     taken.column(0), taken.column(1), pa.array(np.full(len(own), dim), pa.int32()), taken.column(2),
-                    pa.array(codes), pa.array([w.tobytes() for w in weights], pa.binary()),
-                    pa.array([v.tobytes() for v in x], pa.binary()),
+                    pa.array(codes.view("<i8")),
+                    *(pa.array([v.tobytes() for v in part], pa.binary()) for part in (masks, weights, x)),
                 ], schema=_CODED)
 
     return nodes.select("node", "label", "n", "vector").mapInArrow(run, _CODED_KINDS)
@@ -286,113 +301,208 @@ def _packed_units(values: pa.Array, dim: int) -> np.ndarray:
     return unit(_matrix(values, f"<f{width}"))
 
 
+_POSTED = ["label", "dim", "slot", "node", "ball", "code", "spent", "mask0", "mask1", "mask2"]
 _POSTED_KINDS = (
-    "label long, dim int, slot int, own boolean, node long, ball long, n long, code long, weights binary, x binary"
+    "label long, dim int, slot int, node long, ball long, code long, spent short, mask0 long, mask1 long, mask2 long"
 )
 
 
 def postings(points: DataFrame, limits: Limits) -> DataFrame:
-    """Each of ``points`` under its own entries and, as probes, under all entries its flips reach."""
+    """The code and masks of each of ``points`` under all entries that its flips reach."""
     per = limits.bits_per_table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                dims, codes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 5))
+                dims, codes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 4))
+                masks = _matrix(batch.column(5), "<i8")
                 for dim in np.unique(dims):
                     own = np.flatnonzero(dims == dim)
                     tables = limits.tables(int(dim))
                     weights = _matrix(batch.column(6).take(pa.array(own)), "u1").reshape(len(own), tables, per)
                     for table in range(tables):
-                        for row, mask in flips(weights[:, table]):
-                            base = (codes[own[row]] >> (table * per)) & ((1 << per) - 1)
-                            slot = (table << per) + (base ^ mask)
-                            taken = batch.take(pa.array(own[row]))
+                        for row, mask, spent in flips(weights[:, table]):
+                            base = _part(codes[own[row]], table, per)
+                            of = own[row]
+                            taken = batch.take(pa.array(of))
                             yield pa.RecordBatch.from_arrays([
-                                taken.column(0), taken.column(1), pa.array(slot.astype(np.int32)), pa.array(mask == 0),
-                                *(taken.column(k) for k in range(2, 8)),
-                            ], ["label", "dim", "slot", "own", "node", "ball", "n", "code", "weights", "x"])
+                                taken.column(0), taken.column(1), pa.array(((table << per) + (base ^ mask)).astype(np.int32)),
+                                taken.column(2), taken.column(3), taken.column(4), pa.array(spent.astype(np.int16)),
+                                *(pa.array(masks[of, k]) for k in range(3)),
+                            ], _POSTED)
+
+    return points.select("label", "dim", "node", "ball", "code", "masks", "weights").mapInArrow(run, _POSTED_KINDS)
 
-    return points.select("label", "dim", "node", "ball", "n", "code", "weights", "x").mapInArrow(run, _POSTED_KINDS)
+
+def _part(codes: np.ndarray, table, per: int) -> np.ndarray:
+    """The substring of a table."""
+    return ((codes.view("<u8") >> np.asarray(table * per, "<u8")) & np.uint64((1 << per) - 1)).astype(np.int64)
 
 
 def _cells(points: DataFrame, limits: Limits) -> DataFrame:
-    """For entries of more than ``limits.cell`` vectors: the cells of each ball, and of those in none."""
-    by_ball = own_entries(points.select("label", "dim", "code", "ball"), limits).groupBy(*_ENTRY, "ball").agg(
-        F.count(F.lit(1)).alias("members")
-    )
+    """For entries of more than ``limits.cell`` vectors, by the count of one in ``limits.counted``: the cells
+    of each ball, after those (k0) of vectors in none."""
+    some = points.filter(F.pmod(F.xxhash64("node"), F.lit(limits.counted)) == 0)
+    by_ball = postings(some, limits).groupBy(*_ENTRY, "ball").agg((F.count(F.lit(1)) * limits.counted).alias("members"))
     whole = Window.partitionBy(*_ENTRY)
     before = whole.orderBy(F.col("ball").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    size = F.ceil(F.col("members") / limits.cell)
-    return by_ball.withColumns({"k": size, "all": F.sum("members").over(whole)}).withColumn(
-        "first", F.coalesce(F.sum("k").over(before), F.lit(0))
-    ).filter(F.col("all") > limits.cell).groupBy(*_ENTRY).agg(
-        F.collect_list(F.struct("ball", "first", "k")).alias("cells")
-    )
+    free = F.when(F.col("ball").isNull(), F.col("k"))
+    sized = by_ball.withColumns(
+        {"k": F.ceil(F.col("members") / limits.cell), "all": F.sum("members").over(whole)}
+    ).filter(F.col("all") > limits.cell).withColumns({
+        "k0": F.coalesce(F.sum(free).over(whole), F.lit(1)),
+        "ahead": F.coalesce(F.sum(F.when(F.col("ball").isNotNull(), F.col("k"))).over(before), F.lit(0)),
+    })
+    listed = F.when(F.col("ball").isNotNull(), F.struct("ball", (F.col("k0") + F.col("ahead")).alias("first"), "k"))
+    return sized.groupBy(*_ENTRY).agg(F.first("k0").alias("k0"), F.collect_list(listed).alias("cells"))
 
 
 def _dealt(posted: DataFrame, cells: DataFrame) -> DataFrame:
-    """Postings with their cell and whether they are resident there. Others pass through a cell: probes,
-    and vectors of later cells; none meets a cell of its own ball."""
-    mate = "(ball is not null and s.ball <=> ball)"
-    own_cell = "aggregate(cells, -1L, (a, s) -> if(own and s.ball <=> ball, s.first + pmod(xxhash64(node), s.k), a))"
-    # nested functions see the columns, not each other's sums, so the own cell is computed first
-    wanted = (
-        "flatten(transform(cells, s -> transform(filter(sequence(s.first, s.first + s.k - 1), c -> "
-        f"c = own_cell or (not {mate} and (own_cell < 0 or c < own_cell))), c -> struct(c as cell, c = own_cell as resident))))"
+    """Postings with their cell and whether they are resident there. Vectors of later cells pass through
+    earlier ones, but no vector passes through a cell of its own ball."""
+    own = F.expr(
+        "coalesce(get(transform(filter(cells, s -> s.ball = ball), s -> s.first + pmod(xxhash64(node), s.k)), 0), "
+        "pmod(xxhash64(node), k0))"
     )
-    plain = F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.col("own").alias("resident")))
-    met = posted.join(broadcast_side(cells), _ENTRY, "left").withColumn(
-        "own_cell", F.when(F.col("cells").isNotNull(), F.expr(own_cell))
-    ).withColumn("to", F.explode(F.when(F.col("cells").isNull(), plain).otherwise(F.expr(wanted))))
-    return met.select(
-        *_ENTRY, "to.cell", "to.resident", "node", "ball", "n", "code", "weights", "x"
+    to = F.expr(
+        "concat(filter(sequence(0L, k0 - 1), c -> c < own), flatten(transform(filter(cells, s -> not (s.ball <=> ball)), "
+        "s -> filter(sequence(s.first, s.first + s.k - 1), c -> c < own))), array(own))"
     )
+    spread = posted.join(broadcast_side(cells), _ENTRY, "left").withColumn("own", F.when(F.col("k0").isNotNull(), own))
+    one = F.array(F.lit(0).cast("long"))
+    met = spread.withColumn("cell", F.explode(F.when(F.col("k0").isNull(), one).otherwise(to)))
+    resident = F.col("own").isNull() | (F.col("cell") == F.col("own"))
+    return met.select(*_ENTRY, "cell", resident.alias("resident"), *_POSTED[3:])
 
 
 # --- links --------------------------------------------------------------------------
 class _Rows:
-    """Rows of vectors of one length, in the order of their cells, residents first."""
-
-    def __init__(self, batch: pa.RecordBatch, limits: Limits):
-        plain = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4, 5, 7, 8)]
-        self.label, self.slot, self.cell, self.resident, self.node, self.n, self.code = plain
-        self.resident = self.resident.astype(bool)
-        self.ball = batch.column(6).fill_null(-1).to_numpy(zero_copy_only=False)
-        self.dim = batch.column(1)[0].as_py()
-        tables, per = limits.tables(self.dim), limits.bits_per_table
-        self.weights = _matrix(batch.column(9), "u1").reshape(len(self.n), tables, per)
-        self.x = _packed_units(batch.column(10), self.dim)
+    """Columns of rows of vectors of one length, in the order of their cells, residents first."""
+
+    def __init__(self, columns: dict):
+        self.__dict__ = columns
 
     def take(self, at) -> "_Rows":
-        other = object.__new__(_Rows)
-        other.__dict__ = {k: v if k == "dim" else v[at] for k, v in self.__dict__.items()}
-        return other
+        return _Rows({k: v[at] for k, v in self.__dict__.items()})
 
     def joined(self, other: "_Rows") -> "_Rows":
-        out = object.__new__(_Rows)
-        out.__dict__ = {
-            k: v if k == "dim" else np.concatenate([v, other.__dict__[k]]) for k, v in self.__dict__.items()
-        }
-        return out
+        return _Rows({k: np.concatenate([v, other.__dict__[k]]) for k, v in self.__dict__.items()})
 
     def starts(self) -> np.ndarray:
         moved = (np.diff(self.label) != 0) | (np.diff(self.slot) != 0) | (np.diff(self.cell) != 0)
         return np.concatenate([[0], np.flatnonzero(moved) + 1])
 
-
-def _counts_here(rows: _Rows, i: np.ndarray, j: np.ndarray, per: int) -> np.ndarray:
-    """Whether the entry at hand is the first where each pair (resident i, other j) meets."""
-    differ = np.unpackbits((rows.code[i] ^ rows.code[j]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    tables = rows.weights.shape[1]
-    differ = np.pad(differ, ((0, 0), (0, max(0, tables * per - 64))))[:, : tables * per].reshape(len(i), tables, per)
-    by_i, by_j = (np.where(differ, rows.weights[k], 0).sum(axis=2, dtype=np.int32) <= _BUDGET for k in (i, j))
-    table = rows.slot[i] >> per
-    earlier = ((by_i | by_j) & (np.arange(tables) < table[:, None])).any(axis=1)
-    here = np.arange(len(i))
-    both = differ[here, table].any(axis=1) & by_i[here, table]  # i also probes j's own entry
-    return ~earlier & (~both | (rows.node[i] < rows.node[j]))
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (self.ball[i] != self.ball[j]) | (self.ball[i] < 0)
+
+
+def _plain(batch: pa.RecordBatch, names: list[str]) -> dict:
+    """Columns as arrays, a missing ball as -1."""
+    found = {}
+    for name in names:
+        values = batch.column(batch.schema.get_field_index(name))
+        found[name] = (values.fill_null(-1) if name == "ball" else values).to_numpy(zero_copy_only=False)
+    found["resident"] = found["resident"].astype(bool)
+    return found
+
+
+class _Possible:
+    """The first reading: members with a possible partner, by codes and masks alone."""
+
+    names = [*_ENTRY, "cell", "resident", *_POSTED[3:]]
+
+    def __init__(self, limits: Limits):
+        self.limits = limits
+
+    def rows(self, batch: pa.RecordBatch) -> _Rows:
+        found = _plain(batch, self.names)
+        return _Rows(found | {"told": np.zeros(batch.num_rows, bool)})
+
+    def _near(self, rows: _Rows, i, j) -> np.ndarray:
+        differ = rows.code[i] ^ rows.code[j]
+        near = rows.spent[i] + rows.spent[j] <= _BUDGET
+        for mask, level in zip((rows.mask0, rows.mask1, rows.mask2), _LEVELS):
+            for side in (i, j):
+                near &= np.bitwise_count(differ & mask[side]) <= level
+        return near
+
+    def pairs(self, rows: _Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self._near(rows, i, j)
+
+    def block(self, rows: _Rows, a: slice, b: slice) -> np.ndarray:
+        i, j = np.arange(a.start, a.stop)[:, None], np.arange(b.start, b.stop)[None, :]
+        return self._near(rows, i, j)
+
+    def told(self, rows: _Rows, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Each member once, however many partners it may have."""
+        new = np.zeros(len(rows.node), bool)
+        new[i] = new[j] = True
+        new &= ~rows.told
+        rows.told |= new
+        at = np.flatnonzero(new)
+        if len(at):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows.__dict__[c][at]) for c in _MEMBER], _MEMBER
+            )
+
+
+_MEMBER = ["slot", "cell", "resident", "node"]
+_MEMBER_KINDS = "slot int, cell long, resident boolean, node long"
+
+
+class _Links:
+    """The second reading: links by the cosine of the original vectors."""
+
+    names = [*_ENTRY, "cell", "resident", "node", "ball", "n", "code"]
+
+    def __init__(self, limits: Limits):
+        self.limits = limits
+
+    def rows(self, batch: pa.RecordBatch) -> _Rows:
+        found = _plain(batch, self.names)
+        dim = int(found["dim"][0])
+        tables, per = self.limits.tables(dim), self.limits.bits_per_table
+        weights, x = (batch.column(batch.schema.get_field_index(c)) for c in ("weights", "x"))
+        return _Rows(found | {
+            "weights": _matrix(weights, "u1").reshape(-1, tables, per), "x": _packed_units(x, dim),
+        })
+
+    def pairs(self, rows: _Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,ij->i", rows.x[i], rows.x[j]) >= self.limits.cosine
+
+    def block(self, rows: _Rows, a: slice, b: slice) -> np.ndarray:
+        return rows.x[a] @ rows.x[b].T >= self.limits.cosine
+
+    def counts_here(self, rows: _Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the entry at hand is the one where each pair counts."""
+        per, tables = self.limits.bits_per_table, rows.weights.shape[1]
+        differ = np.unpackbits((rows.code[i] ^ rows.code[j]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        differ = np.pad(differ, ((0, 0), (0, max(0, tables * per - 64))))[:, : tables * per].reshape(len(i), tables, per)
+        by_i, by_j = rows.weights[i], rows.weights[j]
+        meets = np.where(differ, np.minimum(by_i, by_j), 0).sum(axis=2, dtype=np.int32) <= _BUDGET
+        here, table = np.arange(len(i)), rows.slot[i] >> per
+        first = meets[here, table] & ~(meets & (np.arange(tables) < table[:, None])).any(axis=1)
+        by_i, by_j = by_i[here, table], by_j[here, table]
+        flipped = (differ[here, table] > 0) & ((by_i < by_j) | ((by_i == by_j) & (rows.node[i] < rows.node[j])[:, None]))
+        mask = flipped @ (1 << np.arange(per))
+        return first & (_part(rows.code[i], table, per) ^ mask == rows.slot[i] & ((1 << per) - 1))
+
+    def told(self, rows: _Rows, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Counts and a forest of the pairs that count here."""
+        for at in range(0, len(i), 1 << 16):
+            a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            keep = self.counts_here(rows, a, b)
+            a, b = a[keep], b[keep]
+            if not len(a):
+                continue
+            size = len(rows.n)
+            # whole numbers below 2^53 add exactly
+            links = np.bincount(a, rows.n[b], size) + np.bincount(b, rows.n[a], size)
+            point, root = _roots(a, b)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(rows.node[point]), pa.array(rows.node[root]), pa.array(links[point].astype(np.int64)),
+            ], schema=_LINKS)
 
 
 def _roots(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -413,27 +523,8 @@ def _roots(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())])
 
 
-def _scan(limits: Limits):
-    per = limits.bits_per_table
-
-    def told(rows: _Rows, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Counts and a forest of the pairs that link and count here."""
-        for at in range(0, len(i), 1 << 16):
-            a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-            keep = _counts_here(rows, a, b, per)
-            a, b = a[keep], b[keep]
-            if not len(a):
-                continue
-            size = len(rows.n)
-            # whole numbers below 2^53 add exactly
-            links = np.bincount(a, rows.n[b], size) + np.bincount(b, rows.n[a], size)
-            point, root = _roots(a, b)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(rows.node[point]), pa.array(rows.node[root]), pa.array(links[point].astype(np.int64)),
-            ], schema=_LINKS)
-
-    def apart(rows: _Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return (rows.ball[i] != rows.ball[j]) | (rows.ball[i] < 0)
+def _scan(limits: Limits, reading):
+    """Pairs of rows of one cell, one of them resident, given to ``reading`` where it holds them near."""
 
     def small(rows: _Rows, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Pairs at every distance inside short cells, many cells at a time. ``ends``: of each row's cell."""
@@ -444,27 +535,28 @@ def _scan(limits: Limits):
                 break
             for at in range(0, len(place), _PAIRS):
                 i = place[at : at + _PAIRS]
-                i = i[apart(rows, i, i + step)]
-                near = np.einsum("ij,ij->i", rows.x[i], rows.x[i + step]) >= limits.cosine
+                i = i[rows.apart(i, i + step)]
+                near = reading.pairs(rows, i, i + step)
                 found.append((i[near], i[near] + step))
             step += 1
         if found:
-            yield from told(rows, *(np.concatenate(side) for side in zip(*found)))
+            yield from reading.told(rows, *(np.concatenate(side) for side in zip(*found)))
 
     def large(rows: _Rows, met: bool = False) -> Iterator[pa.RecordBatch]:
         """Residents of one long cell against all rows after them, or only against those that pass by."""
         residents = int(rows.resident.sum())
         for a in range(0, residents, 512):
-            for b in range(residents if met else a, len(rows.n), 4096):
-                block = rows.x[a : min(a + 512, residents)] @ rows.x[b : b + 4096].T
-                i, j = np.nonzero(block >= limits.cosine)
+            some = slice(a, min(a + 512, residents))
+            for b in range(residents if met else a, len(rows.node), 2048):
+                near = reading.block(rows, some, slice(b, min(b + 2048, len(rows.node))))
+                i, j = np.nonzero(near)
                 i, j = i + a, j + b
-                ok = (i < j) & apart(rows, i, j)
-                yield from told(rows, i[ok], j[ok])
+                ok = (i < j) & rows.apart(i, j)
+                yield from reading.told(rows, i[ok], j[ok])
 
     def compared(rows: _Rows) -> Iterator[pa.RecordBatch]:
         starts = rows.starts()
-        sizes = np.diff(np.append(starts, len(rows.n)))
+        sizes = np.diff(np.append(starts, len(rows.node)))
         short = np.repeat(sizes <= 64, sizes)
         if short.any():
             own = rows.take(short)
@@ -481,8 +573,8 @@ def _scan(limits: Limits):
             for part in np.split(np.arange(len(dims)), np.flatnonzero(np.diff(dims)) + 1):
                 if not len(part):
                     continue
-                rows = _Rows(batch.slice(part[0], len(part)), limits)
-                if held is not None and held.dim == rows.dim:
+                rows = reading.rows(batch.slice(part[0], len(part)))
+                if held is not None and held.dim[0] == rows.dim[0]:
                     rows = held.joined(rows)
                 else:
                     if held is not None and not met:
@@ -500,24 +592,30 @@ def _scan(limits: Limits):
                 if starts[-1]:
                     yield from compared(rows.take(slice(0, starts[-1])))
                 held = rows.take(slice(starts[-1], None))
-                if len(held.n) > 4 * limits.cell and not held.resident[-1]:
+                if len(held.node) > 4 * limits.cell and not held.resident[-1]:
                     # all residents are here; what passes by need not be held
                     yield from large(held)
                     kept = held.take(held.resident)
-                    held, met = (kept, True) if len(kept.n) else (None, False)
+                    held, met = (kept, True) if len(kept.node) else (None, False)
         if held is not None and not met:
             yield from compared(held)
 
     return run
 
 
+def _by_cell(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_ENTRY, "cell").sortWithinPartitions(*_ENTRY, "cell", F.desc("resident"))
+
+
 def links(points: DataFrame, limits: Limits) -> DataFrame:
     """u, v and links: partial link counts of u, with links u-v that span all components; staged."""
-    dealt = _dealt(postings(points, limits), _cells(points, limits))
-    sorted_ = dealt.repartition(*_ENTRY, "cell").sortWithinPartitions(*_ENTRY, "cell", F.desc("resident"))
-    return stage(sorted_.select(
-        *_ENTRY, "cell", "resident", "node", "ball", "n", "code", "weights", "x"
-    ).mapInArrow(_scan(limits), "u long, v long, links long"))
+    first, second = _Possible(limits), _Links(limits)
+    dealt = _by_cell(_dealt(postings(points, limits), _cells(points, limits)))
+    members = stage(dealt.select(*first.names).mapInArrow(_scan(limits, first), _MEMBER_KINDS))
+    with_vectors = _by_cell(members.join(points, "node"))
+    return stage(with_vectors.select(*second.names, "weights", "x").mapInArrow(
+        _scan(limits, second), "u long, v long, links long"
+    ))
 
 
 def near_duplicates(

@@ -50,7 +50,8 @@ def run(spark, rows, limits=Limits()):
 
 
 @pytest.mark.parametrize("limits", [
-    Limits(), Limits(hot=4, hot_times=0, cell=3), Limits(bits_per_table=8, hot=2, hot_times=0, cell=1), Limits(hot=10**6, cell=2),
+    Limits(), Limits(hot=4, hot_times=0, cell=3, counted=1), Limits(bits_per_table=8, hot=2, hot_times=0, cell=1, counted=2),
+    Limits(hot=10**6, cell=2, counted=1),
 ])
 def test_equals_brute_force(spark, limits):
     rows = made(200, 64) + made(60, 9, 1, groups=3) + made(30, 2, 2, groups=0) + made(30, 100, 3, groups=3)
@@ -65,8 +66,8 @@ def test_equals_brute_force(spark, limits):
 def test_one_hot_group(spark):
     rows = made(50, 64, groups=1, copies=400, spread=0.06, labels=1) + [(1000, [1.0] * 64, 0)]
     want = plain(rows)
-    assert run(spark, rows, Limits(hot=16, cell=64)) == want
-    assert run(spark, rows, Limits(hot=10**9, cell=32)) == want
+    assert run(spark, rows, Limits(hot=16, cell=16, counted=1)) == want
+    assert run(spark, rows, Limits(hot=10**9, cell=32, counted=3)) == want
 
 
 def test_huge_and_tiny_components(spark):
@@ -97,28 +98,31 @@ def test_every_link_meets_in_a_table():
     y = y[(x * y).sum(axis=1) >= 0.98]
     x = x[: len(y)] if len(y) == len(x) else x[(x * unit(x + 0)).sum(axis=1) >= 0][: len(y)]
     coder = Coder(Limits(), {64: learn(x, 64, 20)})
-    (cx, wx), (cy, wy) = coder(x), coder(y)
+    (cx, wx, mx), (cy, wy, my) = coder(x), coder(y)
     linked = (x * y).sum(axis=1) >= 0.98
     met = np.zeros(len(x), bool)
-    for t in range(4):
-        differ = ((cx ^ cy)[:, None] >> (16 * t + np.arange(16))) & 1
-        for w in (wx, wy):
-            met |= (differ * w[:, t]).sum(axis=1) <= 250
+    differ = np.unpackbits((cx ^ cy).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    differ = np.pad(differ, ((0, 0), (0, 1))).reshape(-1, 5, 13)
+    met = (np.where(differ, np.minimum(wx, wy), 0).sum(axis=2, dtype=int) <= 250).any(axis=1)
     assert linked.any() and met[linked].all()
+    for k, level in enumerate((0, 3, 9)):
+        for m in (mx, my):
+            assert (np.bitwise_count((cx ^ cy) & m[:, k])[linked] <= level).all()
 
 
 def test_flips_are_all_small_sets():
     rng = random.Random(7)
     weights = np.array([[rng.choice([10, 90, 120, 255]) for _ in range(6)] for _ in range(20)], np.uint8)
-    row, mask = map(np.concatenate, zip(*flips(weights)))
+    row, mask, spent = map(np.concatenate, zip(*flips(weights)))
+    assert spent.max() <= 250
     want = {(r, m) for r in range(20) for m in range(64) if sum(int(weights[r, b]) for b in range(6) if m >> b & 1) <= 250}
     assert sorted(zip(row.tolist(), mask.tolist())) == sorted(want) and (mask[:20] == 0).all()
 
 
 def test_many_flips_are_made_in_pieces():
     found = list(flips(np.ones((40, 16), np.uint8)))
-    assert max(len(r) for r, _ in found) <= 1 << 14
-    assert len({(int(r), int(m)) for rows, masks in found for r, m in zip(rows, masks)}) == 40 << 16
+    assert max(len(f[0]) for f in found) <= 1 << 14
+    assert len({(int(r), int(m)) for rows, masks, _ in found for r, m in zip(rows, masks)}) == 40 << 16
 
 
 def test_entries_report_no_pairs(spark):
