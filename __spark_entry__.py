@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from riskloom.functions.cuts import iv_strength, woe_transform  # noqa: E402
 from riskloom.operators import (  # noqa: E402
-    binning, cohort, iv, metrics, outliers, profiles, profiling, sampling, segments, tree, woe,
+    binning, cohort, iv, metrics, outliers, profiles, profiling, sampling, segments, sketches, tree, woe,
 )
 from riskloom.operators.quantiles import quantiles  # noqa: E402
 from riskloom.plans.profiling_transform import transform  # noqa: E402
@@ -290,6 +290,49 @@ def woe_fitted(spark, folder):
     return _rounded(found.select(*IDS, *[f"{c}{end}" for c in MEASURED for end in ("_woe", "_bin")]))
 
 
+#: months that the rolling refit and its quantiles look at
+WINDOW = (199901, 200112)
+REFIT_PROBS = [0.02, 0.25, 0.5, 0.75, 0.98]
+
+
+def _sketched(spark, folder):
+    """The table of monthly sketches: all months but the last written first, the last one later."""
+    base = _narrow(spark, folder, ROLES.month, ROLES.label, *MEASURED)
+    path, last = fresh_path(spark, "sketches"), base.agg(F.max(ROLES.month)).first()[0]
+    for months in (F.col(ROLES.month) < last, F.col(ROLES.month) == last):
+        made = sketches.sketch_rows(base.filter(months), SEGMENT, ROLES.month, MEASURED, ROLES.label)
+        sketches.store(made, path)
+    return base, sketches.stored(spark, path, made)
+
+
+def _in_window():
+    return F.col(ROLES.month).between(*WINDOW)
+
+
+def optbin_refit(spark, folder):
+    """Bins of a window of months from their stored sketches."""
+    _, table = _sketched(spark, folder)
+    fitted = sketches.refit(table, MEASURED, _in_window())
+    return _rounded(binning.by_event_rate(fitted.table, ROLES.segment, "variable"))
+
+
+def sketch_quantiles(spark, folder):
+    """Whether the merged sketches' quantiles lie within the stated rank error, and exact counts."""
+    base, table = _sketched(spark, folder)
+    asked = sketches.quantiles(table, REFIT_PROBS, _in_window()).select(
+        *SEGMENT, "variable", "prob", F.col("value").alias("__found"), F.col("n").alias("__n")
+    )
+    rows = base.filter(_in_window()).unpivot(SEGMENT, MEASURED, "variable", "valor").filter("valor is not null")
+    ranked = rows.join(F.broadcast(asked), [*SEGMENT, "variable"]).groupBy(*SEGMENT, "variable", "prob").agg(
+        F.count(F.lit(1)).alias("n"), F.first("__n").alias("n_sketch"),
+        F.avg((F.col("valor") < F.col("__found")).cast("double")).alias("below"),
+        F.avg((F.col("valor") <= F.col("__found")).cast("double")).alias("upto"),
+    )
+    most = sketches.rank_error(table.accuracy)
+    within = (F.col("below") - most <= F.col("prob")) & (F.col("prob") <= F.col("upto") + most)
+    return ranked.select(*SEGMENT, "variable", "prob", "n", "n_sketch", within.alias("within"))
+
+
 # --- profiles -------------------------------------------------------------------------
 def _profile(name: str):
     def query(spark, folder):
@@ -481,6 +524,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         reshape_pivot,
         bin_label, woe_apply, woe_category, udf_woe, bin_table, calc_iv, calc_iv_bins,
         optbin_fit, optbin_splits, optbin_sketch, iv_ranking, discretize, woe_fitted,
+        optbin_refit, sketch_quantiles,
         profile_all, profile_rules_original, profile_rule_audit,
         train_matrix, min_leaf_5pct, tree_split_search, tree_fit, feature_importance, tree_rules,
         score_proba, model_compare, grid_search_depth, grid_importance,

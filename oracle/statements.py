@@ -731,6 +731,13 @@ def statements() -> dict[str, str]:
         f"""select *, cast(row_number() over (partition by experiencia, variable
           order by event_rate nulls last, bin_no) as int) as rank from ({measured_bins("filas", _MARCO)})""", *OPTBIN)
     found["optbin_sketch"] = found["optbin_fit"]   # below the sketch's accuracy both are exact
+    recent = f"largo as materialized ({stacked('reciente', MEASURED, 'v', 'row_id, experiencia, y')})"
+    window = "reciente as (select * from base where codigo_periodo between 199901 and 200112)"
+    found["optbin_refit"] = found["optbin_fit"].replace(OPTBIN[0], window + ",\n" + recent)
+    found["sketch_quantiles"] = with_steps(
+        """select experiencia, variable, prob, n, n as n_sketch, true as within from (
+          select experiencia, variable, count(v) as n from largo where v is not null group by all),
+          (select unnest([0.02, 0.25, 0.5, 0.75, 0.98])::double as prob)""", window, recent)
     found["optbin_splits"] = with_steps(
         f"""select experiencia, variable, n_splits, {r('search_iv')} as search_iv, feasible, orden, corte from (
           select experiencia, variable, cast(len(splits) as bigint) as n_splits, search_iv, feasible,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -233,6 +234,13 @@ def fit_bins(
     edges, edge_rows = _prebin_edges(df, keys, variables, limits, exact)
     small = fits_broadcast(edges, edge_rows)
     counts = stage(_prebin_counts(rows, edges, small, keys, limits.prebins))
+    return fit_from_counts(counts, edges, keys, variables, limits)
+
+
+def fit_from_counts(
+    counts: DataFrame, edges: DataFrame, keys: Sequence[str], variables: Sequence[str], limits: BinningLimits
+) -> FittedBins:
+    """The fit from staged prebin counts (keys, variable, prebin, n, events) and prebin edges."""
     splits = stage(_search(counts, edges, keys, limits))
     return FittedBins(tuple(keys), splits, _fitted_table(counts, splits, edges, keys), tuple(variables))
 
