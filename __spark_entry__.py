@@ -22,7 +22,7 @@ from riskloom.plans.profiling_transform import transform  # noqa: E402
 from riskloom.plans.scorecard import event_counts, with_woe  # noqa: E402
 from riskloom.plans.staging import fresh_path, stage  # noqa: E402
 from riskloom.settings import (  # noqa: E402
-    FIXTURE_LIMITS, FIXTURE_ROLES, GRID_RUNS, MODEL_RUNS, PROFILE_RUNS, RULES_FA_CE_ORIGINAL,
+    FIXTURE_LIMITS, FIXTURE_ROLES, GRID_RUNS, MODEL_RUNS, PROFILE_RUNS, RAW_RUNS, RULES_FA_CE_ORIGINAL,
     RULES_FA_SE_ORIGINAL, WOE_MAPS,
 )
 from riskloom.sources.mdt import modelling_table  # noqa: E402
@@ -97,7 +97,13 @@ def _woe_base(spark: SparkSession, folder: str) -> DataFrame:
 
 def _trees(spark: SparkSession, folder: str, *models: str) -> tree.GrownTrees:
     runs = [RUNS[m] for m in models] if models else MODEL_RUNS
-    return tree.fit_trees(_woe_base(spark, folder), runs, ROLES)
+    return tree.fit_trees(stage(_model_rows(spark, folder)), runs, ROLES)
+
+
+def _model_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """What the trees need of the base, WOE columns included."""
+    features = dict.fromkeys(c for run in MODEL_RUNS for c in run.feature_columns(ROLES))
+    return _woe_base(spark, folder).select(*IDS, ROLES.part, ROLES.label, ROLES.weight, *features)
 
 
 def _fit(spark: SparkSession, folder: str) -> binning.FittedBins:
@@ -382,9 +388,8 @@ def min_leaf_5pct(spark, folder):
 
 
 def tree_split_search(spark, folder):
-    cells = stage(tree.model_cells(_woe_base(spark, folder), MODEL_RUNS, ROLES))
-    roots = tree.root_cells(cells, tree.leaf_minimums(cells))
-    best = tree.best_splits(tree.split_candidates(roots), ("run", "feature"))
+    roots = tree.root_cells(tree.model_cells(stage(_model_rows(spark, folder)), MODEL_RUNS, ROLES), MODEL_RUNS)
+    best = tree.best_splits(tree.split_candidates(roots).filter("fits"), ("run", "feature"))
     return _rounded(best.select("run", "feature", "threshold", "gain", "n_left"))
 
 
@@ -396,6 +401,13 @@ def tree_fit(spark, folder):
     )
 
 
+def tree_raw_balance(spark, folder):
+    """Trees on the raw balance, exact up to so many distinct values and on quantile bins beyond."""
+    base = _narrow(spark, folder, ROLES.part, ROLES.label, ROLES.weight, ROLES.balance, ROLES.score)
+    trees = tree.fit_trees(base, RAW_RUNS, ROLES, max_bins=4096)
+    return _rounded(trees.nodes.select("run", "node", "depth", "variable", "threshold", "n", "bad", "p_bad", "is_leaf"))
+
+
 def feature_importance(spark, folder):
     return _rounded(tree.feature_importance(_trees(spark, folder)))
 
@@ -406,7 +418,7 @@ def tree_rules(spark, folder):
 
 def score_proba(spark, folder):
     """P(bad) of every row under each model of its segment."""
-    base = stage(_woe_base(spark, folder))
+    base = stage(_model_rows(spark, folder))
     trees, names = tree.fit_trees(base, MODEL_RUNS, ROLES), [run.model_id for run in MODEL_RUNS]
     scored = base.select("*", *[
         F.when(F.col(ROLES.segment) == run.segment, tree.score_column(trees, run)).alias(run.model_id)
@@ -430,7 +442,8 @@ def _grid(spark, folder):
         for s in sorted({run.segment for run in GRID_RUNS})
     ])
     folded = sampling.with_folds(sampled, [ROLES.segment, ROLES.part, ROLES.label], ROLES.row_id, 3)
-    return tree.grid_search_depth(folded, F.col("fold"), GRID_RUNS, ROLES)
+    edges = tree.raw_edges(base, GRID_RUNS, ROLES)
+    return tree.grid_search_depth(folded, F.col("fold"), GRID_RUNS, ROLES, edges=edges)
 
 
 def grid_search_depth(spark, folder):
@@ -526,7 +539,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         optbin_fit, optbin_splits, optbin_sketch, iv_ranking, discretize, woe_fitted,
         optbin_refit, sketch_quantiles,
         profile_all, profile_rules_original, profile_rule_audit,
-        train_matrix, min_leaf_5pct, tree_split_search, tree_fit, feature_importance, tree_rules,
+        train_matrix, min_leaf_5pct, tree_split_search, tree_fit, tree_raw_balance, feature_importance, tree_rules,
         score_proba, model_compare, grid_search_depth, grid_importance,
         metric_auc, metric_gini, metric_roc_curve, metric_youden_cut,
         leaf_segments, leaf_share_check, woe_cut_to_bins, risk_grid, risk_grid_cells,

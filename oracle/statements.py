@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from riskloom.functions.cuts import bins_of
 from riskloom.settings import (
-    BIN_LABELS, CLASS_WEIGHTS, GRID_RUNS, HARD_CAPS, MODEL_RUNS, NO_PROFILE, RATING_WOE,
+    BIN_LABELS, CLASS_WEIGHTS, GRID_RUNS, HARD_CAPS, MODEL_RUNS, NO_PROFILE, RATING_WOE, RAW_RUNS,
     RULES_FA_CE, RULES_FA_CE_ORIGINAL, RULES_FA_SE, RULES_FA_SE_ORIGINAL, RULES_U3M_CE,
     RULES_U3M_SE, RULES_U6M_CE, RULES_U6M_SE, WOE_MAPS,
 )
@@ -794,6 +794,10 @@ def statements() -> dict[str, str]:
         f"""select d.run, node, cast(depth as int) as depth, variable, {r('threshold')} as threshold, n, bad,
           {r('w')} as w, {r('wb')} as wb, {r('p_bad')} as p_bad, is_leaf
         from nodos d left join nombres m on m.run = d.run and m.feature = d.feature""", *tree_steps())
+    found["tree_raw_balance"] = with_steps(
+        f"""select d.run, node, cast(depth as int) as depth, variable, {r('threshold')} as threshold, n, bad,
+          {r('p_bad')} as p_bad, is_leaf
+        from nodos d left join nombres m on m.run = d.run and m.feature = d.feature""", *tree_steps(RAW_RUNS))
     found["feature_importance"] = with_steps(
         importance("m.run", """nombres m left join (
           select run, feature, sum(decrease) as dec from nodos where not is_leaf group by all) d

@@ -1,4 +1,7 @@
-"""Readable segment tables and risk grids from grown trees."""
+"""Readable segment tables and risk grids from grown trees.
+
+Nodes and configured bins are a few dozen rows in one partition, so all of this is one task without a
+shuffle; intervals come with the nodes."""
 
 from __future__ import annotations
 
@@ -38,7 +41,7 @@ def feature_bins(trees: GrownTrees, maps=WOE_MAPS) -> DataFrame:
                     (run.model_id, index, name, b["position"], left, right, b["text"],
                      float(b["value"]), b["is_missing"])
                 )
-    return local_rows(trees.nodes.sparkSession, rows, _BIN_SCHEMA)
+    return local_rows(trees.nodes.sparkSession, rows, _BIN_SCHEMA).coalesce(1)
 
 
 def ranked_leaves(trees: GrownTrees) -> DataFrame:
@@ -55,13 +58,11 @@ def ranked_leaves(trees: GrownTrees) -> DataFrame:
 
 def leaf_bins(trees: GrownTrees, maps=WOE_MAPS) -> DataFrame:
     """The bins that fall into each leaf, per WOE feature, decided by their WOE value."""
-    leaves = trees.nodes.filter("is_leaf").select("run", F.col("node").alias("leaf"))
-    bounds = leaf_conditions(trees).drop("variable")
-    low = F.coalesce("lo", F.lit(float("-inf")))
-    high = F.coalesce("hi", F.lit(float("inf")))
+    leaves = trees.nodes.filter("is_leaf").select("run", F.col("node").alias("leaf"), "lo", "hi")
+    low = F.coalesce(F.get("lo", F.col("feature")), F.lit(float("-inf")))
+    high = F.coalesce(F.get("hi", F.col("feature")), F.lit(float("inf")))
     return (
-        leaves.join(F.broadcast(feature_bins(trees, maps)), "run")
-        .join(bounds, ["run", "leaf", "feature"], "left")
+        leaves.join(feature_bins(trees, maps), "run")
         .filter((F.col("woe") > low) & (F.col("woe") <= high))
         .drop("lo", "hi")
     )
@@ -139,7 +140,6 @@ def leaf_segments(trees: GrownTrees, maps=WOE_MAPS) -> DataFrame:
             "run", "grupo", "node", "rango_score", "rango_saldo", "rango_antiguedad",
             "n", "muestra", "p_bad", "clase",
         )
-        .orderBy("run", "p_bad", "node")
     )
 
 
@@ -160,7 +160,7 @@ def woe_cut_to_bins(trees: GrownTrees, maps=WOE_MAPS) -> DataFrame:
     """
     cuts = trees.nodes.filter(~F.col("is_leaf")).select("run", "node", "feature", "threshold")
     side = F.when(F.col("woe") <= F.col("threshold"), "izquierda").otherwise("derecha")
-    return cuts.join(F.broadcast(feature_bins(trees, maps)), ["run", "feature"]).select(
+    return cuts.join(feature_bins(trees, maps), ["run", "feature"]).select(
         "run", "node", "variable", "threshold", "position", "bin", "woe", side.alias("lado")
     )
 
@@ -200,5 +200,4 @@ def risk_grid(trees: GrownTrees, runs: Sequence[ModelRun], maps=WOE_MAPS) -> Dat
         .groupBy("run", "fila_pos", "fila_bin")
         .pivot("columna_bin", columns)
         .agg(F.first(shown))
-        .orderBy("run", "fila_pos")
     )

@@ -1,42 +1,100 @@
 """Shallow weighted gini trees grown on contingency cells.
 
-The data is read once: rows collapse to cells (run, feature values) that hold row
-counts, bad counts and weights for the fitting and the held-out part.  All trees of
-all segments and folds then grow together, one level per step, on those cells.
-Nodes are numbered like a heap: the root is 1, the children of i are 2i and 2i + 1.
+The data is read once: rows collapse to cells (model, feature values) that hold counts and weights of the
+fitting rows, of those held out, and of each fold. All trees of all segments and folds then grow together, one
+level per step, on those cells; a fold's training sums are the total less its own, so neither rows nor cells
+are multiplied by folds. A raw feature of many values is held in at most ``MAX_BINS`` quantile bins, one of
+fewer keeps its values, and the tree is the exact one. So a level's histograms are bounded by runs, nodes and
+bins whatever the data, and one plan serves every size.
+
+Nodes are numbered like a heap: the root is 1, the children of i are 2i and 2i + 1. A level's best cuts, one
+row per run and node, come to the driver; nodes carry the interval of every feature as they are split.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+from decimal import ROUND_HALF_UP, Decimal
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from riskloom.operators.edges import bins_below
 from riskloom.operators.metrics import auc, summary
 from riskloom.operators.prefix import running_totals
-from riskloom.plans.staging import stage, stage_counted
+from riskloom.plans.staging import stage
 from riskloom.settings import (
     DEFAULT_ROLES, GRID_DEPTHS, GRID_RUNS, LEAF_SHARE, RAW_SCORE_MISSING, ModelRun, Roles,
 )
+from riskloom.sources.tables import local_rows
 
 _FIT = ("n", "bad", "w", "wb")
 _HELD = ("test_n", "test_bad")
-BOUNDED_CELLS = 200_000
-MAX_DEPTH = 10   # bounds the nodes of a level, which are broadcast
+#: most values of a raw feature before it is held in quantile bins
+MAX_BINS = 1024
+MAX_DEPTH = 10   # bounds the nodes of a level, which come to the driver
+ALL = "all"
 
 
-def feature_vector(run: ModelRun, roles: Roles, missing: float = RAW_SCORE_MISSING) -> Column:
-    """The run's features as an array of doubles; a raw feature's NULL gets ``missing``."""
-    columns = []
+def per_run(choices: Mapping[str, Column], run: Column | str = "run") -> Column:
+    """One of several columns by run."""
+    run, chain = F.col(run) if isinstance(run, str) else run, None
+    for name, made in choices.items():
+        chain = F.when(run == name, made) if chain is None else chain.when(run == name, made)
+    return F.lit(None) if chain is None else chain
+
+
+def _features(run: ModelRun, roles: Roles, missing: float) -> list[tuple[str, str, Column]]:
+    """(column name, kind, value) of the run's features; a raw feature's NULL gets ``missing``."""
+    found = []
     for (_, kind), name in zip(run.features, run.feature_columns(roles)):
         value = F.col(name).cast("double")
-        columns.append(value if kind == "woe" else F.coalesce(value, F.lit(missing)))
+        found.append((name, kind, value if kind == "woe" else F.coalesce(value, F.lit(missing))))
+    return found
+
+
+def raw_edges(
+    df: DataFrame, runs: Sequence[ModelRun], roles: Roles, max_bins: int = MAX_BINS, missing: float = RAW_SCORE_MISSING
+) -> dict[str, np.ndarray]:
+    """Upper edges of the quantile bins of raw features with more than ``max_bins`` values, from one
+    pass of sketches. WOE features have no more values than their map."""
+    raw = {name: value for run in runs for name, kind, value in _features(run, roles, missing) if kind == "raw"}
+    if not raw:
+        return {}
+    probs = F.lit(np.arange(1, max_bins) / max_bins)
+    sketched = df.agg(*[
+        F.struct(
+            F.approx_count_distinct(v).alias("values"),
+            F.percentile_approx(v, probs, F.lit(10 * max_bins)).alias("edges"),
+        ).alias(name)
+        for name, v in raw.items()
+    ]).first()
+    return {
+        name: np.array(sorted(set(sketched[name]["edges"])), np.float64)
+        for name in raw if sketched[name]["values"] > max_bins
+    }
+
+
+def feature_vector(
+    run: ModelRun, roles: Roles, missing: float = RAW_SCORE_MISSING, edges: Mapping[str, np.ndarray] | None = None
+) -> Column:
+    """The run's features as an array of doubles; a binned one is the upper edge of its bin."""
+    columns = []
+    for name, kind, value in _features(run, roles, missing):
+        if kind == "raw" and name in (edges or {}):
+            uppers = F.lit(edges[name])
+            value = F.coalesce(F.get(uppers, bins_below(value, uppers, F.lit(True))), F.lit(float("inf")))
+        columns.append(value)
     return F.array(*columns)
 
 
+def ways_of(n_folds: int) -> list[str]:
+    return [ALL, *map(str, range(n_folds))]
+
+
 def model_cells(
     df: DataFrame,
     runs: Sequence[ModelRun],
@@ -45,64 +103,67 @@ def model_cells(
     held_out: Column | None = None,
     folds: Column | None = None,
     n_folds: int = 0,
+    edges: Mapping[str, np.ndarray] | None = None,
 ) -> DataFrame:
-    """Contingency cells of all runs from one pass over the rows.
+    """Contingency cells (run, x, wide, ways) of all runs from one pass over the rows; ``edges`` are
+    those of ``raw_edges``, which takes a pass of its own if they are not given.
 
-    Without folds, ``fitting`` and ``held_out`` are row conditions (train and test part by
-    default).  With ``folds`` every run appears as ``<run>/all`` (fitted on all fitting
-    rows) and as ``<run>/<fold>`` (fitted on the other folds, held out on its own).
+    ``fitting`` and ``held_out`` are row conditions (train and test part by default). ``ways`` holds
+    the sums of each way to fit: all fitting rows, and with ``folds`` the other folds' rows with the own fold held
+    out. ``wide`` marks the features that are held in quantile bins.
     """
     fitting = F.col(roles.part) == "train" if fitting is None else fitting
     held_out = F.col(roles.part) == "test" if held_out is None else held_out
-    segment = F.col(roles.segment)
+    edges = raw_edges(df, runs, roles) if edges is None else edges
     by_segment: dict = {}
     for run in runs:
-        made = F.struct(F.lit(run.model_id).alias("run"), feature_vector(run, roles).alias("x"))
-        by_segment.setdefault(run.segment, []).append(made)
-    chosen = None
-    for name, made in by_segment.items():
-        test = segment == name
-        chosen = F.when(test, F.array(*made)) if chosen is None else chosen.when(test, F.array(*made))
+        vector = feature_vector(run, roles, edges=edges)
+        by_segment.setdefault(run.segment, []).append(F.struct(F.lit(run.model_id).alias("run"), vector.alias("x")))
+    chosen = per_run({s: F.array(*made) for s, made in by_segment.items()}, roles.segment)
 
     rows = df.select(
-        F.col(roles.label).cast("long").alias("__y"),
-        F.col(roles.weight).cast("double").alias("__w"),
-        fitting.alias("__fit"),
-        held_out.alias("__held"),
-        (F.lit(None).cast("int") if folds is None else folds).alias("__fold"),
-        F.explode(chosen).alias("__m"),
+        F.col(roles.label).cast("long").alias("__y"), F.col(roles.weight).cast("double").alias("__w"),
+        fitting.alias("__fit"), held_out.alias("__held"),
+        (F.lit(None).cast("int") if folds is None else folds).alias("__fold"), F.explode(chosen).alias("__m"),
+    )
+    y, w, one = F.col("__y"), F.col("__w"), F.lit(1).cast("long")
+    values = {"n": one, "bad": y, "w": w, "wb": w * y}
+
+    def sums(test: Column, names) -> dict[str, Column]:
+        zero = {k: F.lit(0).cast("double" if k in ("w", "wb") else "long") for k in names}
+        return {k: F.sum(F.when(test, values[k]).otherwise(zero[k])) for k in names}
+
+    found = {f"fit_{k}": c for k, c in sums(F.col("__fit"), _FIT).items()}
+    found |= {f"held_{k}": c for k, c in sums(F.col("__held"), ("n", "bad")).items()}
+    for f in range(n_folds):
+        found |= {f"fold{f}_{k}": c for k, c in sums(F.col("__fit") & (F.col("__fold") == f), _FIT).items()}
+    cells = rows.groupBy(F.col("__m.run").alias("run"), F.col("__m.x").alias("x")).agg(
+        *[c.alias(k) for k, c in found.items()]
     )
-    if folds is None:
-        rows = rows.withColumn("run", F.col("__m.run"))
-    else:
-        ways = F.array(F.lit(-1), *[F.lit(i) for i in range(n_folds)])
-        rows = rows.withColumn("__way", F.explode(ways))
-        mine = F.col("__way") == F.col("__fold")
-        rows = rows.withColumns(
-            {
-                "run": F.concat(
-                    F.col("__m.run"), F.lit("/"),
-                    F.when(F.col("__way") < 0, F.lit("all")).otherwise(F.col("__way").cast("string")),
-                ),
-                "__held": F.when(F.col("__way") < 0, F.col("__held")).otherwise(
-                    F.col("__fit") & mine
-                ),
-                "__fit": F.col("__fit") & ((F.col("__way") < 0) | ~mine),
-            }
+
+    def way(name: str) -> Column:
+        own = name if name == ALL else f"fold{name}"
+        less = lambda k: F.lit(0) if name == ALL else F.col(f"{own}_{k}")
+        held = "held" if name == ALL else own
+        return F.struct(
+            *[(F.col(f"fit_{k}") - less(k)).alias(k) for k in _FIT],
+            *[F.col(f"{held}_{k}").alias(f"test_{k}") for k in ("n", "bad")],
         )
-    y, w = F.col("__y"), F.col("__w")
-    one = F.lit(1).cast("long")
-    values = {
-        "n": ("__fit", one), "bad": ("__fit", y), "w": ("__fit", w), "wb": ("__fit", w * y),
-        "test_n": ("__held", one), "test_bad": ("__held", y),
+
+    wide = {
+        run.model_id: F.array(*[F.lit(kind == "raw" and name in edges) for name, kind, _ in _features(run, roles, 0.0)])
+        for run in runs
     }
-    return rows.groupBy("run", F.col("__m.x").alias("x")).agg(
-        *[
-            F.sum(F.when(F.col(flag), value).otherwise(F.lit(0).cast(
-                "double" if name in ("w", "wb") else "long"))).alias(name)
-            for name, (flag, value) in values.items()
-        ]
-    )
+    return cells.select("run", "x", per_run(wide).alias("wide"), F.array(*map(way, ways_of(n_folds))).alias("ways"))
+
+
+def way_cells(cells: DataFrame, n_folds: int = 0) -> DataFrame:
+    """Cells of every tree: ``run`` alone, or ``<run>/all`` and ``<run>/<fold>``."""
+    flat = cells.select("run", "x", "wide", F.posexplode("ways").alias("way", "sums"))
+    if n_folds:
+        names = F.lit(ways_of(n_folds))
+        flat = flat.withColumn("run", F.concat("run", F.lit("/"), F.get(names, F.col("way"))))
+    return flat.select("run", "x", "wide", *[F.col(f"sums.{k}").alias(k) for k in (*_FIT, *_HELD)])
 
 
 def _weighted_gini(w: Column, wb: Column) -> Column:
@@ -110,24 +171,22 @@ def _weighted_gini(w: Column, wb: Column) -> Column:
     return 2 * wb * F.coalesce(F.try_divide(w - wb, w), F.lit(0.0))
 
 
-def split_candidates(cells: DataFrame, bounded: bool = False) -> DataFrame:
-    """Every admissible cut of every feature in every node with its impurity decrease.
+def split_candidates(cells: DataFrame) -> DataFrame:
+    """Every cut of every feature in every node with its impurity decrease; ``fits`` marks those whose
+    sides both keep ``min_leaf`` rows, in nodes of both classes.
 
-    ``cells`` carry ``run, node, min_leaf, x`` and the fitting sums.  A cut lies midway
-    between neighbouring values seen in the node; both sides keep ``min_leaf`` rows.
-    """
+    ``cells`` carry ``run, node, min_leaf, x, wide`` and the fitting sums.  A cut lies midway between
+    neighbouring values seen in the node, or at the upper edge of a bin."""
     keys = ["run", "node", "feature"]
-    seen = cells.filter("n > 0")
-    if bounded:
-        # few cells: one shuffle by node serves the aggregations and the windows alike
-        seen = seen.repartition("run", "node")
     flat = (
-        seen
-        .select("run", "node", "min_leaf", *_FIT, F.posexplode("x").alias("feature", "value"))
+        cells.filter("n > 0")
+        .select("run", "node", "min_leaf", "wide", *_FIT, F.posexplode("x").alias("feature", "value"))
         .groupBy(*keys, "value")
-        .agg(F.max("min_leaf").alias("min_leaf"), *[F.sum(s).alias(s) for s in _FIT])
+        .agg(F.max("min_leaf").alias("min_leaf"), F.any_value(F.get("wide", F.col("feature"))).alias("binned"),
+             *[F.sum(s).alias(s) for s in _FIT])
     )
-    ranked = running_totals(flat, keys, "value", list(_FIT), bounded)
+    # a histogram is bounded; one partitioning by node serves the windows and the choice of the best
+    ranked = running_totals(flat.repartition("run", "node"), keys, "value", list(_FIT), bounded=True)
     left_w, left_wb = F.col("w_upto"), F.col("wb_upto")
     right_w, right_wb = F.col("w_total") - left_w, F.col("wb_total") - left_wb
     decrease = (
@@ -135,19 +194,22 @@ def split_candidates(cells: DataFrame, bounded: bool = False) -> DataFrame:
         - _weighted_gini(left_w, left_wb)
         - _weighted_gini(right_w, right_wb)
     )
-    return ranked.filter(
+    fits = (
         (F.col("n_upto") >= F.col("min_leaf"))
         & (F.col("n_total") - F.col("n_upto") >= F.col("min_leaf"))
         & (F.col("n_upto") < F.col("n_total"))
         & (F.col("bad_total") > 0)
         & (F.col("bad_total") < F.col("n_total"))
-    ).select(
+    )
+    middle = (F.col("value") + F.col("value_next")) / 2
+    return ranked.select(
         *keys,
-        ((F.col("value") + F.col("value_next")) / 2).alias("threshold"),
+        F.when(F.col("binned"), F.col("value")).otherwise(middle).alias("threshold"),
         decrease.alias("decrease"),
         (decrease / F.col("w_total")).alias("gain"),
         *[F.col(f"{s}_total").alias(s) for s in _FIT],
         F.col("n_upto").alias("n_left"),
+        fits.alias("fits"),
     )
 
 
@@ -157,23 +219,78 @@ def _preference() -> Column:
 
 
 def best_splits(candidates: DataFrame, per: Sequence[str] = ("run", "node")) -> DataFrame:
-    """The best cut per node (or per node and feature) of :func:`split_candidates`."""
-    carried = F.struct("decrease", "gain", *_FIT, "n_left")
-    best = candidates.groupBy(*per).agg(F.min_by(carried, _preference()).alias("c"),
-                                        F.min(_preference()).alias("p"))
+    """The totals and the best cut, if any fits, per node (or per node and feature)."""
+    fits = F.col("fits")
+    sums = F.min_by(F.struct(*_FIT), F.struct("feature", "threshold"))
+    best = candidates.groupBy(*per).agg(
+        sums.alias("t"),
+        F.min_by(F.struct("decrease", "gain", "n_left"), F.when(fits, _preference())).alias("c"),
+        F.min(F.when(fits, _preference())).alias("p"),
+    )
     chosen = ["p.threshold"] if "feature" in per else ["p.feature", "p.threshold"]
-    return best.select(*per, *chosen, "c.*")
+    return best.select(*per, *chosen, F.when(F.col("p").isNotNull(), F.col("c")).alias("c"), "t.*").select(
+        *per, *[c.split(".")[-1] for c in chosen], "c.*", *_FIT
+    )
+
+
+@dataclass
+class _Tree:
+    """One run's nodes while it grows: node -> a row of ``NODE``."""
+
+    min_leaf: int
+    width: int
+    nodes: dict = field(default_factory=dict)
+    bounds: dict = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.bounds[1] = ([None] * self.width, [None] * self.width)
+
+    def add(self, row, depth_left: bool) -> None:
+        node, cut = row["node"], row["feature"] is not None and depth_left
+        self.nodes[node] = (
+            *[row[s] for s in _FIT], row["feature"] if cut else None, row["threshold"] if cut else None,
+            row["decrease"] if cut else None, *self.bounds[node],
+        )
+        if cut:
+            for right in (0, 1):
+                ends = [list(side) for side in self.bounds[node]]
+                ends[1 - right][row["feature"]] = row["threshold"]
+                self.bounds[2 * node + right] = tuple(ends)
+
+    def arrays(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Feature (-1: none) and threshold by node number, down to ``depth`` levels."""
+        features, thresholds = np.full(1 << depth, -1, np.int32), np.zeros(1 << depth)
+        for node, row in self.nodes.items():
+            if row[4] is not None:
+                features[node], thresholds[node] = row[4], row[5]
+        return features, thresholds
+
+
+NODE = (
+    "run string, node int, n long, bad long, w double, wb double, feature int, threshold double, decrease double, "
+    "lo array<double>, hi array<double>, variable string, depth int, p_bad double, is_leaf boolean"
+)
 
 
 @dataclass(frozen=True)
 class GrownTrees:
-    """``nodes``: one small row per node; ``cells``: the cells with their leaf ``node``."""
+    """``nodes``: one small row per node, with the interval (lo, hi] of every feature; ``cells``: the
+    cells with their leaf ``node``; ``known``: the nodes by run and number, for compiling columns."""
 
     nodes: DataFrame
     cells: DataFrame
     runs: tuple
     roles: Roles
     max_depth: int
+    known: dict
+
+    def score_of(self, node: Column) -> Column:
+        """P(bad) of a node of the row's ``run``; no join, the scores are literals."""
+        scores = {name: np.full(2 << self.max_depth, np.nan) for name in self.known}
+        for name, nodes in self.known.items():
+            for number, found in nodes.items():
+                scores[name][number] = np.nan if found["p_bad"] is None else found["p_bad"]
+        return per_run({name: F.nullif(F.get(F.lit(v), node), F.lit(float("nan"))) for name, v in scores.items()})
 
 
 def depth_of(node: Column) -> Column:
@@ -184,17 +301,42 @@ def leaf_minimum(rows: Column, share: float = LEAF_SHARE) -> Column:
     return F.floor(F.lit(share) * rows).cast("long")
 
 
-def leaf_minimums(cells: DataFrame) -> dict:
-    """``{run: least leaf size}``, 5 % of the run's fitting rows; one number per run."""
-    sizes = cells.groupBy("run").agg(leaf_minimum(F.sum("n")).alias("min_leaf"))
-    return {r["run"]: r["min_leaf"] for r in sizes.collect()}
+def counted_cells(cells: DataFrame, runs: Sequence[ModelRun]) -> tuple[DataFrame, dict[str, int]]:
+    """The staged cells, and each run's fitting rows, observed while the cells are written."""
+    seen = Observation()
+    rows = F.get("ways", F.lit(0))["n"]
+    named = [F.sum(F.when(F.col("run") == r.model_id, rows)).alias(f"rows{i}") for i, r in enumerate(runs)]
+    staged = stage(cells.observe(seen, *named))
+    return staged, {r.model_id: seen.get[f"rows{i}"] or 0 for i, r in enumerate(runs)}
+
 
+def minimum_leaf(rows: int, share: float = LEAF_SHARE) -> int:
+    return int(np.floor(share * rows))
 
-def root_cells(cells: DataFrame, min_leaf: dict) -> DataFrame:
-    """Cells at the root, with the least leaf size of their run."""
-    pairs = [F.lit(item) for pair in min_leaf.items() for item in pair]
-    size = F.try_element_at(F.create_map(*pairs), F.col("run")) if pairs else F.lit(1)
-    return cells.withColumns({"node": F.lit(1), "min_leaf": size.cast("long")})
+
+def root_cells(cells: DataFrame, runs: Sequence[ModelRun]) -> DataFrame:
+    """Cells of every run at its root, with the least leaf size."""
+    staged, rows = counted_cells(cells, runs)
+    least = per_run({name: F.lit(minimum_leaf(n)) for name, n in rows.items()})
+    return way_cells(staged).withColumns({"node": F.lit(1), "min_leaf": least.cast("long")})
+
+
+def placed(cells: DataFrame, trees: Mapping[str, _Tree], depth: int) -> DataFrame:
+    """Cells with the node that holds them after ``depth`` levels and their tree's least leaf size."""
+    literal = {name: tree.arrays(depth) for name, tree in trees.items()}
+    with_tree = cells.withColumns({
+        "__f": per_run({name: F.lit(a) for name, (a, _) in literal.items()}),
+        "__t": per_run({name: F.lit(b) for name, (_, b) in literal.items()}),
+        "min_leaf": per_run({name: F.lit(t.min_leaf) for name, t in trees.items()}).cast("long"),
+    })
+
+    def down(node: Column, _: Column) -> Column:
+        feature = F.get("__f", node)
+        right = F.coalesce(F.get("x", feature) > F.get("__t", node), F.lit(False)).cast("int")
+        return F.when(feature >= 0, 2 * node + right).otherwise(node)
+
+    steps = F.sequence(F.lit(1), F.lit(depth)) if depth else F.array().cast("array<int>")
+    return with_tree.withColumn("node", F.aggregate(steps, F.lit(1), down)).drop("__f", "__t")
 
 
 def grow(
@@ -202,79 +344,66 @@ def grow(
     runs: Sequence[ModelRun],
     roles: Roles = DEFAULT_ROLES,
     max_depth: int = 4,
-    minimums: Callable[[DataFrame], dict] | None = None,
+    n_folds: int = 0,
 ) -> GrownTrees:
-    """Grow all trees level by level.  A node without an admissible cut stays a leaf.
-
-    ``minimums`` maps the cells to the least leaf size of each run (5 % by default).
-    """
+    """Grow all trees level by level.  A node without an admissible cut stays a leaf.  The least
+    leaf is 5 % of a run's fitting rows, of all of them in every fold."""
     if max_depth > MAX_DEPTH:
         raise ValueError(f"trees are at most {MAX_DEPTH} levels deep")
-    start, count = stage_counted(cells)
-    bounded = count <= BOUNDED_CELLS
-    current = root_cells(start, (minimums or leaf_minimums)(start))
-    levels = []
-    for depth in range(max_depth):
-        open_nodes = current.filter(F.col("node") >= 2**depth)
-        splits = stage(best_splits(split_candidates(open_nodes, bounded)))
-        levels.append(splits)
-        # at most one row per run and node of this level: runs * 2^depth
-        routes = F.broadcast(splits.select("run", "node", "feature", "threshold"))
-        goes_right = (F.get("x", F.col("feature")) > F.col("threshold")).cast("int")
-        current = (
-            current.join(routes, ["run", "node"], "left")
-            .withColumn(
-                "node",
-                F.when(F.col("feature").isNull(), F.col("node")).otherwise(
-                    2 * F.col("node") + goes_right
-                ),
+    staged, rows = counted_cells(cells, runs)
+    flat = way_cells(staged, n_folds)
+    trees: dict[str, _Tree] = {}
+    for run in runs:
+        for way in ways_of(n_folds):
+            name = f"{run.model_id}/{way}" if n_folds else run.model_id
+            trees[name] = _Tree(minimum_leaf(rows[run.model_id]), len(run.features))
+    for depth in range(max_depth + 1):
+        level = placed(flat, trees, depth).filter((F.col("node") >= 2**depth) & (F.col("n") > 0))
+        if depth < max_depth:
+            found = best_splits(split_candidates(level))
+        else:
+            found = level.groupBy("run", "node").agg(*[F.sum(s).alias(s) for s in _FIT]).withColumns(
+                {"feature": F.lit(None).cast("int"), "threshold": F.lit(None), "decrease": F.lit(None)}
             )
-            .drop("feature", "threshold")
-        )
-    inner = levels[0]
-    for more in levels[1:]:
-        inner = inner.unionByName(more)
-    columns = ["run", "node", *_FIT, "feature", "threshold", "decrease"]
-    leaves = current.groupBy("run", "node").agg(*[F.sum(s).alias(s) for s in _FIT]).filter("n > 0")
-    leaves = leaves.withColumns(
-        {
-            "feature": F.lit(None).cast("int"),
-            "threshold": F.lit(None).cast("double"),
-            "decrease": F.lit(None).cast("double"),
-        }
-    )
-    names = _feature_names(runs, roles)
-    nodes = (
-        inner.select(columns)
-        .unionByName(leaves.select(columns))
-        .withColumns(
-            {
-                "variable": F.get(names, F.col("feature")),
-                "depth": depth_of(F.col("node")),
-                # equal up to the order of summation means equal
-                "p_bad": F.round(F.try_divide(F.col("wb"), F.col("w")), 12),
-                "is_leaf": F.col("feature").isNull(),
-            }
-        )
-    )
-    return GrownTrees(stage(nodes), current, tuple(runs), roles, max_depth)
+        # at most one row per run and node of this level
+        level_rows = found.collect()
+        for row in level_rows:
+            trees[row["run"]].add(row, depth < max_depth)
+        if not any(r["feature"] is not None for r in level_rows):
+            break
+    return _grown(flat, trees, runs, roles, max_depth)
+
+
+def _share(bad: float, whole: float) -> float | None:
+    """P(bad) to 12 digits, halves up: equal up to the order of summation means equal."""
+    return float(Decimal(repr(bad / whole)).quantize(Decimal("1e-12"), ROUND_HALF_UP)) if whole else None
+
+
+def _grown(flat: DataFrame, trees: Mapping[str, _Tree], runs, roles: Roles, max_depth: int) -> GrownTrees:
+    named = {run.model_id: run.feature_columns(roles) for run in runs}
+    rows, known = [], {name: {} for name in trees}
+    for name, tree in trees.items():
+        for node, (n, bad, w, wb, feature, *rest) in sorted(tree.nodes.items()):
+            variable = None if feature is None else named[name.split("/")[0]][feature]
+            row = (name, node, n, bad, w, wb, feature, *rest, variable, node.bit_length() - 1, _share(wb, w), feature is None)
+            rows.append(row)
+            known[name][node] = {"feature": feature, "threshold": rest[0], "is_leaf": feature is None, "p_bad": row[-2]}
+    nodes = local_rows(flat.sparkSession, rows, NODE).coalesce(1)
+    return GrownTrees(nodes, placed(flat, trees, max_depth), tuple(runs), roles, max_depth, known)
 
 
 def _feature_names(runs: Sequence[ModelRun], roles: Roles) -> Column:
-    model = F.substring_index(F.col("run"), "/", 1)
-    chain = None
-    for run in runs:
-        names = F.array(*[F.lit(name) for name in run.feature_columns(roles)])
-        test = model == run.model_id
-        chain = F.when(test, names) if chain is None else chain.when(test, names)
-    return chain
+    names = {run.model_id: F.array(*[F.lit(name) for name in run.feature_columns(roles)]) for run in runs}
+    return per_run(names, F.substring_index(F.col("run"), "/", 1))
 
 
 def fit_trees(
-    df: DataFrame, runs: Sequence[ModelRun], roles: Roles = DEFAULT_ROLES, max_depth: int = 4
+    df: DataFrame, runs: Sequence[ModelRun], roles: Roles = DEFAULT_ROLES, max_depth: int = 4,
+    max_bins: int = MAX_BINS,
 ) -> GrownTrees:
-    """Fit every run on its segment's train part, with 5 % leaves."""
-    return grow(model_cells(df, runs, roles), runs, roles, max_depth)
+    """Fit every run on its segment's train part, with 5 % leaves. Raw features are looked at once
+    before, so an expensive ``df`` is better staged or persisted."""
+    return grow(model_cells(df, runs, roles, edges=raw_edges(df, runs, roles, max_bins)), runs, roles, max_depth)
 
 
 def _importances(splits: DataFrame, roots: DataFrame, trees: GrownTrees) -> DataFrame:
@@ -290,7 +419,6 @@ def _importances(splits: DataFrame, roots: DataFrame, trees: GrownTrees) -> Data
         .withColumn("rank", F.row_number().over(
             Window.partitionBy("run").orderBy(F.round("importancia", 12).desc(), "variable")
         ))
-        .orderBy("run", "rank")
     )
 
 
@@ -301,26 +429,12 @@ def feature_importance(trees: GrownTrees) -> DataFrame:
 
 def leaf_conditions(trees: GrownTrees) -> DataFrame:
     """Bounds per leaf and used feature: lo < value <= hi, an open end is NULL."""
-    leaves = trees.nodes.filter("is_leaf and depth > 0").select(
-        "run", F.col("node").alias("leaf"),
-        F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("up"),
-    )
-    steps = leaves.select(
-        "run", "leaf",
-        F.expr("shiftright(leaf, up)").alias("node"),
-        (F.expr("shiftright(leaf, up - 1)") % 2).alias("right"),
-    )
-    cuts = trees.nodes.filter(~F.col("is_leaf")).select(
-        "run", "node", "feature", "variable", "threshold"
-    )
-    return (
-        steps.join(cuts, ["run", "node"])
-        .groupBy("run", "leaf", "feature", "variable")
-        .agg(
-            F.max(F.when(F.col("right") == 1, F.col("threshold"))).alias("lo"),
-            F.min(F.when(F.col("right") == 0, F.col("threshold"))).alias("hi"),
-        )
-    )
+    return trees.nodes.filter("is_leaf").select(
+        "run", F.col("node").alias("leaf"), F.posexplode(F.arrays_zip("lo", "hi")).alias("feature", "ends")
+    ).select(
+        "run", "leaf", "feature", F.get(_feature_names(trees.runs, trees.roles), F.col("feature")).alias("variable"),
+        "ends.lo", "ends.hi",
+    ).filter("lo is not null or hi is not null")
 
 
 def tree_rules(trees: GrownTrees, decimals: int = 4) -> DataFrame:
@@ -349,17 +463,16 @@ def tree_rules(trees: GrownTrees, decimals: int = 4) -> DataFrame:
 
 
 def score_column(trees: GrownTrees, run: ModelRun, name: str | None = None) -> Column:
-    """P(bad) of one tree as a CASE column; at most 2^(depth + 1) node rows are fetched."""
-    rows = trees.nodes.filter(F.col("run") == (name or run.model_id)).collect()
-    nodes = {r["node"]: r for r in rows}
+    """P(bad) of one tree as a CASE column of at most 2^depth arms."""
+    nodes = trees.known[name or run.model_id]
     features = feature_vector(run, trees.roles)
 
     def branch(number: int) -> Column:
         node = nodes[number]
         if node["is_leaf"]:
             return F.lit(node["p_bad"])
-        goes_left = F.get(features, F.lit(node["feature"])) <= node["threshold"]
-        return F.when(goes_left, branch(2 * number)).otherwise(branch(2 * number + 1))
+        goes_right = F.get(features, F.lit(node["feature"])) > node["threshold"]
+        return F.when(goes_right, branch(2 * number + 1)).otherwise(branch(2 * number))
 
     return branch(1)
 
@@ -381,10 +494,7 @@ def leaf_scores(trees: GrownTrees, depth: int | None = None) -> DataFrame:
     if depth is not None:
         deeper = F.greatest(depth_of(node) - depth, F.lit(0))
         node = F.call_function("shiftright", node, deeper)
-    scored = trees.cells.withColumn("node", node).join(
-        F.broadcast(trees.nodes.select("run", "node", F.col("p_bad").alias("score"))),  # <= runs * 2^6
-        ["run", "node"],
-    )
+    scored = trees.cells.withColumn("node", node).withColumn("score", trees.score_of(F.col("node")))
     parts = F.explode(
         F.array(
             F.struct(F.lit("train").alias("particion"), F.col("n").alias("c"), F.col("bad").alias("b")),
@@ -420,6 +530,7 @@ def grid_search_depth(
     roles: Roles = DEFAULT_ROLES,
     depths: Sequence[int] = GRID_DEPTHS,
     n_folds: int = 3,
+    edges: Mapping[str, np.ndarray] | None = None,
 ) -> DepthSearch:
     """Cross-validated choice of the depth by mean held-out AUC, smallest depth on ties.
 
@@ -428,26 +539,17 @@ def grid_search_depth(
     rows in every fold.  All folds of all runs grow together.
     """
     model = F.substring_index("run", "/", 1)
-
-    def fold_minimums(cells: DataFrame) -> dict:
-        whole = leaf_minimums(cells.filter(F.col("run").endswith("/all")))
-        ways = ["all", *map(str, range(n_folds))]
-        return {
-            f"{name.split('/')[0]}/{way}": size for name, size in whole.items() for way in ways
-        }
-
-    cells = model_cells(df, runs, roles, folds=fold, n_folds=n_folds)
-    trees = grow(cells, runs, roles, max(depths), fold_minimums)
+    cells = model_cells(df, runs, roles, folds=fold, n_folds=n_folds, edges=edges)
+    trees = grow(cells, runs, roles, max(depths), n_folds)
 
     # cells collapse to leaves once; each leaf row then stands for itself at every depth
-    leaves = trees.cells.filter(~F.col("run").endswith("/all")).groupBy("run", "node").agg(
+    leaves = trees.cells.filter(~F.col("run").endswith(f"/{ALL}")).groupBy("run", "node").agg(
         F.sum("test_n").alias("n"), F.sum("test_bad").alias("bad")
     )
     deeper = F.greatest(depth_of(F.col("node")) - F.col("max_depth"), F.lit(0))
-    cut = leaves.filter("n > 0").withColumn("max_depth", F.explode(F.array(*map(F.lit, depths))))
-    scored = cut.withColumn("node", F.call_function("shiftright", F.col("node"), deeper)).join(
-        F.broadcast(trees.nodes.select("run", "node", F.col("p_bad").alias("score"))),  # <= runs * 2^6
-        ["run", "node"],
+    cut = leaves.filter("n > 0").withColumn("max_depth", F.explode(F.lit(list(depths))))
+    scored = cut.withColumn("node", F.call_function("shiftright", F.col("node"), deeper)).withColumn(
+        "score", trees.score_of(F.col("node"))
     )
     by_score = scored.groupBy("run", "max_depth", "score").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     folds = auc(by_score, ["run", "max_depth"], bounded=True)

@@ -337,6 +337,8 @@ GRID_RUNS = [
     ModelRun("grid-CE", CE, (("tenure", "woe"), ("balance", "woe"), _RAW_SCORE), 5),
     ModelRun("grid-SE", SE, (("tenure", "woe"), ("balance", "woe"), _RAW_SCORE), 5),
 ]
+# Both features as they are, nearly continuous ones included.
+RAW_RUNS = [ModelRun(f"raw-{s}", s, (("balance", "raw"), _RAW_SCORE)) for s in (CE, SE)]
 GRID_DEPTHS = (3, 4, 5)
 LEAF_SHARE = 0.05
 RAW_SCORE_MISSING = 0.0

@@ -91,14 +91,63 @@ def test_tree_equals_recursive_search(trees, rows, run, seg, raw):
     assert got == expected
 
 
-def test_sliced_search_grows_the_same_trees(frame, trees, monkeypatch):
-    """The path for very many cells: range-partitioned running totals."""
-    monkeypatch.setattr(tree, "BOUNDED_CELLS", 0)
-    again = tree.fit_trees(frame, RUNS, ROLES)
-    pick = lambda t: sorted(
-        (r["run"], r["node"], r["feature"] or -1, r["threshold"] or 0.0, r["n"], r["bad"])
-        for r in t.nodes.collect())
-    assert pick(again) == pick(trees)
+def test_intervals_come_with_the_nodes(trees, frame):
+    """Every leaf's interval holds exactly its rows."""
+    train = frame.filter("experiencia = 'SE' and particion = 'train'").withColumn("s", F.coalesce("scoreBuro", F.lit(0)))
+    for r in trees.nodes.filter("is_leaf and run = 'B'").collect():
+        inside = F.lit(True)
+        for column, lo, hi in zip(("saldoCuentas_woe", "s"), r["lo"], r["hi"]):
+            inside &= (F.lit(lo is None) if lo is None else F.col(column) > lo) & (F.lit(True) if hi is None else F.col(column) <= hi)
+        assert train.filter(inside).count() == r["n"]
+
+
+def continuous(spark, n=4000):
+    draw = random.Random(8)
+    made = []
+    for i in range(n):
+        score = draw.gauss(0, 100)
+        made.append((SE, "train" if i % 4 else "test", int(draw.random() < (0.3 if score > 20 else 0.1)), 0.1 * (i % 3), score))
+    df = spark.createDataFrame(made, "experiencia string, particion string, y int, saldoCuentas_woe double, scoreBuro double")
+    return made, df.repartition(4).withColumn("weight", F.when(F.col("y") == 1, 4.0).otherwise(0.5))
+
+
+def test_nearly_continuous_features_grow_on_bins(spark):
+    made, df = continuous(spark)
+    binned = tree.fit_trees(df, RUNS[1:], ROLES, max_bins=64)
+    data = [((r[3], r[4]), r[2], 4.0 if r[2] else 0.5) for r in made if r[1] == "train"]
+    exact = cart(data, int(0.05 * len(data)), 4)
+    nodes = {r["node"]: r for r in binned.nodes.collect()}
+    assert nodes[1]["feature"] == exact[1][0] == 1
+    near = sum(min(exact[1][1], nodes[1]["threshold"]) < x[1] <= max(exact[1][1], nodes[1]["threshold"]) for x, _, _ in data)
+    assert near <= 2 * len(data) / 64
+    assert binned.cells.select(F.get("x", F.lit(1))).distinct().count() <= 64
+    # thresholds are bin edges: rows that never were in a cell go the same way
+    scored = tree.score_proba(df, binned, RUNS[1:]).filter("particion = 'train'")
+    counts = {round(r["p_malo"], 12): r["count"] for r in scored.groupBy("p_malo").count().collect()}
+    leaves = {}
+    for r in nodes.values():
+        if r["is_leaf"]:
+            leaves[round(r["p_bad"], 12)] = leaves.get(round(r["p_bad"], 12), 0) + r["n"]
+    assert counts == leaves
+
+
+def test_bins_of_all_values_give_the_exact_tree(spark):
+    made, df = continuous(spark, 1500)
+    data = [((r[3], r[4]), r[2], 4.0 if r[2] else 0.5) for r in made if r[1] == "train"]
+    expected = cart(data, int(0.05 * len(data)), 4)
+    grown = tree.fit_trees(df, RUNS[1:], ROLES, max_bins=5000)
+    assert {r["node"]: (r["feature"], r["threshold"], r["n"], r["bad"]) for r in grown.nodes.collect()} == expected
+
+
+def test_folds_do_not_multiply_cells(frame):
+    runs = [replace(RUNS[0], model_id="g", max_depth=5)]
+    plain = model_cells(frame, runs, ROLES)
+    folded = model_cells(frame, runs, ROLES, folds=F.pmod(F.xxhash64("y", "scoreBuro"), F.lit(3)).cast("int"), n_folds=3)
+    assert folded.count() == plain.count()
+    for r in folded.collect():
+        whole, *parts = r["ways"]
+        assert all(whole["n"] - p["n"] == p["test_n"] for p in parts)
+        assert sum(p["test_n"] for p in parts) == whole["n"]
 
 
 def test_leaves_keep_the_minimum_and_cover_all_rows(trees, rows):
@@ -225,7 +274,7 @@ def test_segments_cover_every_bin_once(trees):
 
 def test_segment_table_is_ordered_and_sums_to_one(trees):
     table = segments.leaf_segments(trees)
-    mine = [r for r in table.collect() if r["run"] == "A"]
+    mine = table.filter("run = 'A'").orderBy("p_bad", "node").collect()
     assert [r["grupo"] for r in mine] == [f"G{i}" for i in range(1, len(mine) + 1)]
     assert [r["p_bad"] for r in mine] == sorted(r["p_bad"] for r in mine)
     assert all(r["clase"] == ("Malo" if r["p_bad"] > 0.5 else "Bueno") for r in mine)
@@ -258,6 +307,6 @@ def test_metrics_on_ties_one_class_and_no_separation(spark):
 
 
 def test_cells_merge_rows_before_the_shuffle(frame):
-    plan = model_cells(frame, RUNS, ROLES)._jdf.queryExecution().executedPlan().toString()
+    plan = model_cells(frame, RUNS, ROLES, edges={})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning") == 1 and "partial_sum" in plan
 
