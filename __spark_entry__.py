@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from riskloom.functions.cuts import iv_strength, woe_transform  # noqa: E402
+from riskloom.functions.rules import has_experience, rules_frame  # noqa: E402
 from riskloom.operators import (  # noqa: E402
-    binning, cohort, iv, metrics, outliers, profiles, profiling, sampling, segments, sketches, tree, woe,
+    binning, cohort, iv, metrics, outliers, profiles, profiling, rule_tables, sampling, segments, sketches, tree, woe,
 )
 from riskloom.operators.quantiles import quantiles  # noqa: E402
 from riskloom.plans.profiling_transform import transform  # noqa: E402
@@ -370,6 +371,41 @@ def profile_rule_audit(spark, folder):
     return on_rows.unionByName(profiles.limit_audit(rows, runs).withColumn("origen", F.lit("limites")))
 
 
+def _rule_frame(spark, *more):
+    """The rule tables of every profile and branch as data."""
+    runs = {**PROFILES, **{name: ORIGINAL for name in more}}
+    return rules_frame(spark, {f"{n}_{b}": rules for n, run in runs.items() for b, rules in (("CE", run.ce), ("SE", run.se))})
+
+
+def _by_own_table(spark, folder, runs):
+    """One row per data row and profile: the table that applies and its inputs."""
+    def one(name, run):
+        branch = F.when(has_experience(F.col(run.model_type)), "CE").otherwise("SE")
+        return F.struct(
+            F.lit(name).alias("perfil_de"), F.concat(F.lit(f"{name}_"), branch).alias("tabla"),
+            F.col(run.score).cast("double").alias("score"), F.col(run.balance).alias("saldo"),
+        )
+
+    stacked = F.explode(F.array(*[one(name, run) for name, run in runs.items()]))
+    return _table(spark, folder).select(ROLES.row_id, stacked.alias("p")).select(ROLES.row_id, "p.*")
+
+
+def profile_tables(spark, folder):
+    """Every profile of every row from rules held as data, all tables in one join."""
+    done = rule_tables.profile_by_table(
+        _by_own_table(spark, folder, PROFILES), _rule_frame(spark), F.col("tabla"), F.col("score"), F.col("saldo"), "perfil"
+    )
+    return done.select(ROLES.row_id, "perfil_de", "perfil")
+
+
+def rule_rectangles(spark, folder):
+    """Gaps and overlaps of all tables as rectangles, with the data rows that lie in each."""
+    rules = _rule_frame(spark, "original")
+    rows = _by_own_table(spark, folder, {**PROFILES, "original": ORIGINAL})
+    counts = rule_tables.rows_by_slot(rows, rules, F.col("tabla"), F.col("score"), F.col("saldo"))
+    return rule_tables.rule_rectangles(rules, counts)
+
+
 # --- trees ------------------------------------------------------------------------------
 def train_matrix(spark, folder):
     """Every model's features, label and weight, for both parts."""
@@ -538,7 +574,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         bin_label, woe_apply, woe_category, udf_woe, bin_table, calc_iv, calc_iv_bins,
         optbin_fit, optbin_splits, optbin_sketch, iv_ranking, discretize, woe_fitted,
         optbin_refit, sketch_quantiles,
-        profile_all, profile_rules_original, profile_rule_audit,
+        profile_all, profile_rules_original, profile_rule_audit, profile_tables, rule_rectangles,
         train_matrix, min_leaf_5pct, tree_split_search, tree_fit, tree_raw_balance, feature_importance, tree_rules,
         score_proba, model_compare, grid_search_depth, grid_importance,
         metric_auc, metric_gini, metric_roc_curve, metric_youden_cut,

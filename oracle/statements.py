@@ -207,6 +207,81 @@ def audit() -> str:
     )
 
 
+def profile_tables() -> str:
+    parts = [f"select row_id, '{n}' as perfil_de, {profile_case(n)} as perfil from mdt" for n in ("fa", "12d", "u3m", "u6m")]
+    return f"with mdt as ({MDT}) " + " union all ".join(parts)
+
+
+def rectangles() -> str:
+    """Cells between all limits of a table, rules that hold at a point of each, and runs of equal cells."""
+    rules, points = [], []
+
+    def ends(limit, plain):
+        value, closed = limit if isinstance(limit, tuple) else (limit, plain)
+        return (num(None if value is None else float(value)), "true" if closed else "false")
+
+    for name, (kind, score, balance, _, ce, se) in PROFILE_TABLES.items():
+        for branch, table in (("CE", ce), ("SE", se)):
+            test = f"{kind} like '%CE'" if branch == "CE" else f"coalesce({kind} not like '%CE', true)"
+            points.append(f"select '{name}_{branch}' as tabla, cast({score} as double) as s, {balance} as b from mdt where {test}")
+            for order, (s0, s1, b0, b1, missing, label) in enumerate(table):
+                shown = [x for v, plain in ((s0, True), (s1, False), (b0, True), (b1, False)) for x in ends(v, plain)]
+                rules.append(f"('{name}_{branch}', {order}, {', '.join(shown)}, {'true' if missing else 'false'}, '{label}')")
+
+    def axis(a):
+        return f"""paso_{a} as (select tabla, lim, estricto, row_number() over (partition by tabla order by lim, estricto) as k
+            from (select tabla, {a}0 as lim, not {a}0_in as estricto from reglas where {a}0 is not null
+              union select tabla, {a}1, {a}1_in from reglas where {a}1 is not null)),
+          tramo_{a} as (select t.tabla, t.k, lo.lim as lo, not lo.estricto as lo_in, hi.lim as hi, hi.estricto as hi_in, false as nulo,
+              case when lo.lim is null then coalesce(hi.lim - 1, 0.0) when not lo.estricto then lo.lim
+                else coalesce((lo.lim + hi.lim) / 2, lo.lim + 1) end as punto
+            from (select tabla, k from paso_{a} union select tabla, 0 from reglas) t
+            left join paso_{a} lo on lo.tabla = t.tabla and lo.k = t.k left join paso_{a} hi on hi.tabla = t.tabla and hi.k = t.k + 1
+            union all select distinct tabla, -2, null::double, null, null::double, null, true, null::double from reglas)"""
+
+    def holds(a, v):
+        return (f"({a}0 is null or ({v} >= {a}0 and ({v} > {a}0 or {a}0_in))) and "
+                f"({a}1 is null or ({v} <= {a}1 and ({v} < {a}1 or {a}1_in)))")
+
+    def inside(a, v):
+        return (f"case when z.{a}_nulo then {v} is null else {v} is not null and "
+                f"(z.{a}_lo is null or {v} > z.{a}_lo or ({v} = z.{a}_lo and z.{a}_lo_in)) and "
+                f"(z.{a}_hi is null or {v} < z.{a}_hi or ({v} = z.{a}_hi and z.{a}_hi_in)) end")
+
+    return f"""with mdt as ({MDT}),
+      reglas(tabla, orden, s0, s0_in, s1, s1_in, b0, b0_in, b1, b1_in, missing, label) as (values {', '.join(rules)}),
+      {axis('s')}, {axis('b')},
+      celda as (select x.tabla, x.k as i, y.k as j, coalesce(string_agg(r.label, ',' order by r.orden), '') as reglas,
+          count(r.label) as n, arg_min(r.label, r.orden) as gana
+        from tramo_s x join tramo_b y on x.tabla = y.tabla left join reglas r on r.tabla = x.tabla
+          and coalesce({holds('s', 'x.punto')}, false) and (coalesce({holds('b', 'y.punto')}, false) or (r.missing and y.nulo))
+        group by all),
+      tira as (select tabla, i, reglas, any_value(n) as n, any_value(gana) as gana, min(j) as j0, max(j) as j1
+        from (select *, j - row_number() over (partition by tabla, i, reglas order by j) as isla from celda)
+        where n <> 1 group by tabla, i, reglas, isla),
+      caja as (select tabla, reglas, any_value(n) as n, any_value(gana) as gana, j0, j1, min(i) as i0, max(i) as i1
+        from (select *, i - row_number() over (partition by tabla, reglas, j0, j1 order by i) as isla from tira)
+        group by tabla, reglas, j0, j1, isla),
+      zona as (select c.tabla, c.reglas, c.n, c.gana, a.lo as s_lo, a.lo_in as s_lo_in, z.hi as s_hi, z.hi_in as s_hi_in,
+          a.nulo as s_nulo, b.lo as b_lo, b.lo_in as b_lo_in, y.hi as b_hi, y.hi_in as b_hi_in, b.nulo as b_nulo
+        from caja c join tramo_s a on a.tabla = c.tabla and a.k = i0 join tramo_s z on z.tabla = c.tabla and z.k = i1
+        join tramo_b b on b.tabla = c.tabla and b.k = j0 join tramo_b y on y.tabla = c.tabla and y.k = j1),
+      punto as (select tabla, s, b, count(*) as n from ({' union all '.join(points)}) group by all)
+      select z.tabla, case when z.n = 0 then 'hueco' else 'traslape' end as tipo, z.reglas, z.gana,
+        s_lo as score_min, s_lo_in as score_min_incl, s_hi as score_max, s_hi_in as score_max_incl, s_nulo as score_nulo,
+        {witness('s')} as testigo_score,
+        b_lo as saldo_min, b_lo_in as saldo_min_incl, b_hi as saldo_max, b_hi_in as saldo_max_incl, b_nulo as saldo_nulo,
+        {witness('b')} as testigo_saldo,
+        cast(coalesce(sum(p.n), 0) as bigint) as filas
+      from zona z left join punto p on p.tabla = z.tabla and ({inside('s', 'p.s')}) and ({inside('b', 'p.b')})
+      group by all"""
+
+
+def witness(a: str) -> str:
+    return (f"case when {a}_nulo then null when {a}_lo is null then coalesce({a}_hi - 1, 0.0) when {a}_lo_in then {a}_lo "
+            f"else coalesce(({a}_lo + {a}_hi) / 2, {a}_lo + 1) end")
+
+
 # --- profiling --------------------------------------------------------------------
 MARKS = ["1%", "5%", "10%", "25%", "50%", "75%", "90%", "95%", "99%"]
 _MOMENTS = (
@@ -777,6 +852,8 @@ def statements() -> dict[str, str]:
     found["profile_all"] = profile_select("fa", "12d", "u3m", "u6m")
     found["profile_rules_original"] = profile_select("fa", "original")
     found["profile_rule_audit"] = audit()
+    found["profile_tables"] = profile_tables()
+    found["rule_rectangles"] = rectangles()
 
     # trees
     found["train_matrix"] = with_steps(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 from riskloom.functions.rules import (
     first_match_by_type, has_experience, limit_points, match_count_by_type,
 )
-from riskloom.plans.staging import stage
 from riskloom.settings import NO_PROFILE, PROFILE_RUNS, ProfileRun
 
 
@@ -77,14 +75,25 @@ def limit_audit(df: DataFrame, runs: Mapping[str, ProfileRun] = PROFILE_RUNS) ->
     are exploded, so no row is multiplied.
     """
     kinds = list(dict.fromkeys(run.model_type for run in runs.values()))
-    types = stage(df.select(*kinds).distinct())
-    audits = []
+    tables = []
     for name, run in runs.items():
-        scores, balances = limit_points([*run.ce, *run.se])
-        points = types.select(run.model_type).distinct().select(
-            run.model_type, F.explode(F.lit(scores).cast("array<double>")).alias(run.score)
-        ).select(
-            run.model_type, run.score, F.explode(F.lit(balances).cast("array<double>")).alias(run.balance)
-        )
-        audits.append(rule_audit(points, {name: run}))
-    return reduce(DataFrame.unionByName, audits)
+        scores, balances = (F.lit(axis).cast("array<double>") for axis in limit_points([*run.ce, *run.se]))
+        tables.append(F.struct(
+            F.lit(name).alias("tabla"), F.col(run.model_type).alias("kind"), scores.alias("scores"), balances.alias("balances"),
+        ))
+    # types are few; a type that two inputs share is audited once a table
+    types = df.select(*kinds).distinct().select(F.explode(F.array(*tables)).alias("t")).select("t.*").dropDuplicates(["tabla", "kind"])
+    points = types.select("tabla", "kind", "balances", F.explode("scores").alias("score")).select(
+        "tabla", "kind", "score", F.explode("balances").alias("balance")
+    )
+    kind, score, balance, of = F.col("kind"), F.col("score"), F.col("balance"), F.col("tabla")
+    matches = F.coalesce(*[
+        F.when(of == name, match_count_by_type(kind, score, balance, run.ce, run.se)) for name, run in runs.items()
+    ])
+    profile = F.coalesce(*[
+        F.when(of == name, first_match_by_type(kind, score, balance, run.ce, run.se, NO_PROFILE)) for name, run in runs.items()
+    ])
+    return points.select(
+        "tabla", F.when(has_experience(kind), "CE").otherwise("SE").alias("rama"),
+        (score.isNull() | balance.isNull()).alias("con_nulos"), matches.alias("coincidencias"), profile.alias("perfil"),
+    ).groupBy("tabla", "rama", "con_nulos", "coincidencias", "perfil").agg(F.count(F.lit(1)).alias("filas"))
