@@ -19,6 +19,7 @@ are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -33,7 +34,9 @@ _TAG = re.compile(
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in (
     "script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp",
 )}
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?(?=[\s/"']|$)""", re.I)
+#: one attribute after the other; a value is taken whole, so nothing inside it is read as a name
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+_READ = frozenset(("class", "id", "role", "hidden", "aria-hidden", "style", "itemprop"))
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,7 +52,7 @@ ENDS = {
     "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
 }
 DROPPED = frozenset(
-    "head script style noscript template nav footer aside form button select option textarea input iframe svg math "
+    "head script style noscript template nav footer aside button select option textarea input iframe svg math "
     "canvas audio video object embed dialog menu search datalist title noembed noframes xmp".split()
 )
 #: words of a class, id or role that mark an element to drop, unless it holds the article
@@ -60,6 +63,12 @@ MARKED = frozenset(
     "recommended recommendations share sharing social masthead topbar footer complementary contentinfo "
     "login signup search toolbar skip".split()
 )
+#: those of them that also name parts of articles, as in share-price: inside one only as a whole name, or over links
+VAGUE = frozenset(
+    "share sharing social notice notices related recommended recommendations banner menu search skip widget widgets "
+    "rail promotion overlay sponsor header topbar".split()
+)
+HEADERS = frozenset("header site-header page-header main-header masthead".split())
 COMMENTS = frozenset("comment comments commentlist respond replies reply disqus discussion".split())
 START = {"article": 30.0, "main": 20.0, "section": 5.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0,
          "ul": -3.0, "ol": -3.0, "dl": -3.0, "address": -3.0, "li": -3.0, "th": -5.0}
@@ -74,20 +83,20 @@ class _Page:
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters inside links
 
     def add(self, tag: str, parent: int, attributes: str, inside: bool) -> int:
-        drop, soft = tag in DROPPED or tag == "header" and not inside, 0
+        drop = tag in DROPPED or tag == "header" and not inside
+        soft = FORM if tag == "form" else KEPT
         if attributes and not attributes.isspace():
             for name, value in _ATTRIBUTE.findall(attributes):
-                name, value = name.lower(), value.strip("\"'")
+                name = name.lower()
+                if name not in _READ:
+                    continue
+                value = value.strip("\"'")
                 if name == "hidden" or name == "aria-hidden" and value == "true":
                     drop = True
                 elif name == "style":
                     drop |= "display:none" in value.replace(" ", "").lower()
                 elif tag not in ("html", "body", "main"):
-                    words = {w.lower() for w in _WORD.findall(value)}
-                    if words & COMMENTS and (inside or tag != "article"):
-                        soft = 2
-                    elif tag != "article" and (words & MARKED or not inside and "header" in words):
-                        soft = max(soft, 1)
+                    soft = max(soft, self._named(tag, value, inside))
         self.tags.append(tag)
         self.parents.append(parent)
         self.drop.append(drop)
@@ -95,6 +104,28 @@ class _Page:
         return len(self.tags) - 1
 
 
+    @staticmethod
+    def _named(tag: str, value: str, inside: bool) -> int:
+        """What a class, id or role says of its element."""
+        words = {w.lower() for w in _WORD.findall(value)}
+        if words & COMMENTS and (inside or tag != "article"):
+            return OTHERS
+        if tag == "article":
+            return KEPT
+        names = {n.lower() for n in value.split()}
+        if not inside:
+            return MARK if words & MARKED or names & HEADERS else KEPT
+        if words & MARKED - VAGUE or names & MARKED:
+            return MARK
+        return LINKS if words & VAGUE else KEPT
+
+
+#: what becomes of an element: kept; dropped if most of its text is links; dropped unless it holds the article
+#: or most of the page; the same for a form, which must also hold a paragraph; dropped unless it holds the article
+KEPT, LINKS, FORM, MARK, OTHERS = range(5)
+PARAGRAPH = 80
+
+
 def _read(html: str) -> _Page:
     page = _Page()
     stack, open_ = [0], {"#": 1}  # open elements, and how many there are of each tag
@@ -111,15 +142,19 @@ def _read(html: str) -> _Page:
             run.clear()
         linked = 0
 
+    places: list[int] = []  # of the open elements of these kinds in ``stack``
+
     def holder() -> int:
         """The innermost open element that is a block."""
-        for e in reversed(stack):
-            if page.tags[e] in BLOCK or e == 0:
-                return e
-        return 0
+        return next((stack[k] for k in reversed(places) if page.tags[stack[k]] in BLOCK), 0)
+
+    def innermost(tags) -> int | None:
+        return next((k for k in reversed(places) if page.tags[stack[k]] in tags), None)
 
     def pop() -> None:
         open_[page.tags[stack.pop()]] -= 1
+        if places and places[-1] == len(stack):
+            places.pop()
 
     block = at = 0  # block: the element to which text now belongs
     dropped = 0  # open elements that drop their text
@@ -163,14 +198,14 @@ def _read(html: str) -> _Page:
         if tag in BLOCK:
             flush(block)
             if open_.get("p") and not dropped:
-                cut = next((k for k in range(len(stack) - 1, 0, -1) if page.tags[stack[k]] in BLOCK), 0)
+                cut = innermost(BLOCK)
                 if cut and page.tags[stack[cut]] == "p":
                     while len(stack) > cut:
                         pop()
             closes, within = ENDS.get(tag, ((), ()))
             if any(open_.get(c) for c in closes):
-                cut = next((k for k in range(len(stack) - 1, 0, -1) if page.tags[stack[k]] in within), 0)
-                cut = next((k for k in range(cut + 1, len(stack)) if page.tags[stack[k]] in closes), None)
+                above = bisect_right(places, innermost(within) or 0)
+                cut = next((k for k in places[above:] if page.tags[stack[k]] in closes), None)
                 while cut is not None and len(stack) > cut:
                     dropped -= page.drop[stack[-1]]
                     pop()
@@ -184,6 +219,8 @@ def _read(html: str) -> _Page:
             end = _RAW[tag].search(html, at)
             at = end.end() if end else size
             continue
+        if tag in BLOCK or tag == "select":
+            places.append(len(stack))
         stack.append(e)
         open_[tag] = open_.get(tag, 0) + 1
         if page.drop[e]:
@@ -199,21 +236,25 @@ def _read(html: str) -> _Page:
 def _text(page: _Page) -> str:
     n = len(page.tags)
     parents, tags = page.parents, page.tags
-    chars, links, points, holds = [0] * n, [0] * n, [0.0] * n, [False] * n
+    chars, links, points, holds, long = [0] * n, [0] * n, [0.0] * n, [False] * n, [False] * n
     for e, text, linked in page.blocks:
         chars[e] += len(text)
         links[e] += linked
+        long[e] |= len(text) - linked >= PARAGRAPH
     for e in range(n - 1, 0, -1):
         up = parents[e]
         chars[up] += chars[e]
         links[up] += links[e]
         holds[up] |= holds[e] or tags[e] in ("article", "main")
+        long[up] |= long[e]
     # words in a class name may lie: an element that holds the article stays, as does one that holds
     # most of the page, unless it is named for comments, which may be longer than the article
     gone = [False] * n
     for e in range(1, n):
-        soft = page.soft[e] and not holds[e] and (page.soft[e] == 2 or 2 * chars[e] <= chars[0])
-        gone[e] = gone[parents[e]] or page.drop[e] or soft
+        kind, most = page.soft[e], 2 * chars[e] > chars[0]
+        stays = kind == KEPT or holds[e] or kind == LINKS and 2 * links[e] < max(1, chars[e])
+        stays |= kind == MARK and most or kind == FORM and most and long[e]
+        gone[e] = gone[parents[e]] or page.drop[e] or not stays
     blocks = [b for b in page.blocks if not gone[b[0]]]
     if not blocks:
         return ""

@@ -23,7 +23,7 @@ def article_blocks(html):
 
 
 def test_given_pages(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumnRenamed("missing", "text")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     source = {r.page_id: r for r in pages.collect()}
     got = extract(pages).collect()
     assert len(got) == len(source)
@@ -46,6 +46,13 @@ def test_page_without_article_element():
     ("<article><header><h1>T</h1></header><p>a</p><section class='comments'><p>long, long, long</p></section></article>", "T\n\na"),
     ("<div hidden>x</div><p style='display: none'>y</p><p>z</p>", "z"),
     ("<p title='a > b'>q</p></div></span>", "q"),
+    ('<p title="a hidden gem">x</p><p data-hidden="false">y</p><div data-grid="widget"><p>z</p></div>', "x\n\ny\n\nz"),
+    ("<p hidden=hidden>a</p><p HIDDEN>b</p><p aria-hidden = 'true'>c</p><p>d</p>", "d"),
+    ('<article><p class="share-price">1</p><p class="notice-of-death">2</p><p id="social-studies">3</p></article>', "1\n\n2\n\n3"),
+    ('<article><p>1</p><div class="share"><p>no</p></div><div class="ad-slot">no</div><div class="social-links"><a>no</a></div></article>', "1"),
+    ('<div><div class="section-header"><h2>H</h2></div><p>text of some length, with commas, to be kept</p></div><div class="site-header">no</div>',
+     "H\n\ntext of some length, with commas, to be kept"),
+    ("<select><option>a<option>b</select><p>c</p>", "c"),
 ])
 def test_markup(html, text):
     assert main_text(html) == text
@@ -58,7 +65,7 @@ def test_article_in_sections_is_kept_whole():
 
 
 @pytest.mark.parametrize("html", [
-    "<p>x</b>" * 50_000, '<a href="' * 50_000, "<div>" * 50_000 + "x", "<!--" * 50_000, "<" * 200_000, "<li>y" * 30_000,
+    "<span>" * 30_000 + "<p>x" * 30_000, "<li>" + "<span>" * 30_000 + "<p>x<hr>" * 30_000, "<p>x</b>" * 50_000, '<a href="' * 50_000, "<div>" * 50_000 + "x", "<!--" * 50_000, "<" * 200_000, "<li>y" * 30_000,
 ])
 def test_hostile_markup_takes_linear_time(html):
     began = time.process_time()
@@ -80,3 +87,18 @@ def test_unequal_sections_and_trailing_lists_without_article():
     assert got.startswith("First") and "Second" in got and got.endswith("short") and got.count("short") == 20
     got = main_text(f"<body><div class=story>{long}</div><ul><li>one</li><li>two</li></ul><ul><li><a href=x>linked</a></li></ul></body>")
     assert got.endswith("one\n\ntwo")
+
+
+def test_a_form_round_the_whole_page_is_no_form_to_drop():
+    body = "".join(f"<p>Paragraph {k} of the story, with commas, and enough words to be one that people read.</p>" for k in range(5))
+    page = f"<body><form action=x><div class=menu>Home</div><div class=story>{body}</div><input value=v><button>Go</button></form></body>"
+    assert main_text(page).count("Paragraph") == 5 and "Go" not in main_text(page) and "Home" not in main_text(page)
+    assert main_text("<form><p>Name</p><input><p>Password</p><input></form>") == ""
+    assert main_text(f"<form><article>{body}</article></form>").count("Paragraph") == 5
+    assert "sign" not in main_text(f"<div>{body}</div><form>sign up, now, for a very long newsletter that nobody wants to read, really, at all</form>")
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(1, "u", "<p>a</p>", "t", 5, "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, HTML2 string")
+    assert [tuple(r) for r in extract(df).collect()] == [(1, "u", "a", 1)]
