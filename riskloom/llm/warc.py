@@ -43,11 +43,13 @@ _BREAKS = re.compile(
     r"pre|figure|figcaption|address|option|head|body|html|td|th)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z!][^>]*>")
 _SPACES = re.compile(r"[^\S\n]+")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
-_LANG = re.compile(r"<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+# a tag ends at the next bracket of either kind, so no start is followed to the end of the page again and again
+_TITLE = re.compile(r"<title[^<>]*>", re.I)
+_TITLE_END = re.compile(r"</title", re.I)
+_LANG = re.compile(r"<html[^<>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 _META_CHARSET = re.compile(rb"<meta[^>]{0,200}?charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
-_HREF = re.compile(r"<a\s[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HREF = re.compile(r"<a\s[^<>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _LINE_ENDS = re.compile(r"[\r\n]+")
 
 
@@ -135,9 +137,24 @@ def _decoded(body: bytes, content_type: str) -> tuple[str, str]:
         return body.decode("utf-8", "replace"), "utf-8"
 
 
+def _open_at_end(html: str) -> bool:
+    """Whether a hidden element or comment is still open at the end."""
+    last = None
+    for last in _HIDDEN.finditer(html):
+        pass
+    if last is None or last.end() < len(html):
+        return False
+    end = rf"</{last[1]}\s*>\Z" if last[1] else r"-->\Z"
+    return re.search(end, last[0][-4096:], re.I) is None
+
+
 def visible_text(html: str) -> str:
     """Text outside scripts and the like, one line per block, white space inside lines joined."""
-    text = _TAG.sub("", _BREAKS.sub("\n", _LINE_ENDS.sub(" ", _HIDDEN.sub(" ", html))))
+    # no tag ends after the last bracket: what follows is text, up to an open comment, and is not searched for tags
+    at = html.rfind(">") + 1
+    shown = _HIDDEN.sub(" ", html[:at])
+    rest = "" if _open_at_end(html[:at]) else html[at:].split("<!--")[0]
+    text = _TAG.sub("", _BREAKS.sub("\n", _LINE_ENDS.sub(" ", shown))) + _LINE_ENDS.sub(" ", rest)
     lines = (" ".join(x.split()) for x in unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -149,6 +166,13 @@ def _one_line(text: str) -> str:
 Derived = dict[str, object]
 
 
+def _title(html: str) -> str | None:
+    """What stands between the first title's tags."""
+    start = _TITLE.search(html)
+    end = _TITLE_END.search(html, start.end()) if start else None
+    return html[start.end() : end.start()] if start and end else None
+
+
 def derive(data: bytes | None) -> Iterator[Derived]:
     """The derivative records of one record."""
     fields: list[tuple[str, str]] = []
@@ -175,9 +199,10 @@ def derive(data: bytes | None) -> Iterator[Derived]:
         if given.lower().startswith("sha1:"):
             lines.append((f"{name}-Digest-Holds", str(digest(of) == f"sha1:{given[5:].upper()}").lower()))
     if is_html and html:
-        for name, found in (("Title", _TITLE.search(html)), ("Language", _LANG.search(html))):
-            if found:
-                lines.append((name, _one_line(unescape(found[1]))))
+        language = _LANG.search(html)
+        for name, found in (("Title", _title(html)), ("Language", language and language[1])):
+            if found is not None:
+                lines.append((name, _one_line(unescape(found))))
         lines.append(("Charset", charset))
         lines += [("Outlink", _one_line(unescape(next(filter(None, x), "")))) for x in _HREF.findall(html)]
     if fault:

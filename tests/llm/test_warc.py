@@ -2,6 +2,8 @@ import base64
 import gzip
 import hashlib
 
+import pytest
+
 from riskloom.llm import warc
 
 
@@ -10,7 +12,7 @@ def sha1(x):
 
 
 def test_derivatives_of_pages(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").withColumnRenamed("nothing", "record")
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     made = warc.responses(pages)
     sources = {r.page_id: warc.parse(bytes(r.record)) for r in made.collect()}
     html = {r.page_id: r for r in pages.collect()}
@@ -79,3 +81,14 @@ def test_nulls_repeats_and_empty_tables(spark):
     got = warc.derivatives(warc.responses(spark.createDataFrame(rows, kinds)), ("page_id",)).collect()
     assert len(got) == 8 and len({r.record_id for r in got}) == 6
     assert warc.derivatives(warc.responses(spark.createDataFrame([], kinds)), ("page_id",)).count() == 0
+
+
+@pytest.mark.parametrize("html", ["<title>" * 40_000, "<a " * 80_000, '<a href="' * 30_000, "<html " * 40_000])
+def test_hostile_pages_take_linear_time(html):
+    import time
+
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + html.encode()
+    whole = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>")], block)
+    began = time.process_time()
+    assert len(list(warc.derive(whole))) == 2
+    assert time.process_time() - began < 5
