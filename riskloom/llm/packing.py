@@ -3,7 +3,7 @@
 Each source is a queue of tokens. In every round a queue is credited its target share of one
 window's tokens and hands out whole quanta (``quantum`` tokens) as long as its credit lasts; what
 is left over is its deficit, carried into the next round. The credit of a queue after r rounds
-is the integer part of r times its share, so the round in which a quantum is served, and how
+is the integer part of r times its share and a first part of a quantum, so the round in which a quantum is served, and how
 much every other queue has handed out before it, follow from the queues' totals alone. Any task
 can therefore place any document's tokens without knowing the other documents: deficits carry
 across windows and partitions by arithmetic, no task sees a whole queue, and a source with a
@@ -16,8 +16,11 @@ Documents are tokenised once, into a staged table; positions inside a queue come
 totals per scan partition plus offsets from the table of (partition, source) totals.
 
 Null texts count as empty; every document ends with one end token, so each has a piece. A null
-source is a queue of its own. Sources beyond ``queues - tails`` largest share ``tails`` queues by
-hash, which bounds what the driver reads; no document is dropped. Repeated rows and null ids
+source is a queue of its own. Every source with a target has a queue, and so have the largest others, ``queues -
+tails`` in all if targets are fewer; smaller ones share ``tails`` queues by hash, which bounds what the driver reads: together
+they keep to their share, among themselves they come in order. No document is dropped. A source of share s gets s x
+``window`` tokens in each window, up to one quantum carried to the next; shares below quantum / window
+take turns. Repeated rows and null ids
 are packed like any other; an empty table gives no pieces; other columns are not read.
 """
 
@@ -44,7 +47,8 @@ _FRACTION = 16  # bits after the point of a credit per round
 @dataclass(frozen=True)
 class Packing:
     sequence: int = 2048
-    quantum: int = 512
+    #: tokens handed out at a time: below the share of a window that a twentieth of all tokens has
+    quantum: int = 96
     #: tokens credited to all queues together in one round
     window: int = 2048
     end_token: int = 1
@@ -122,7 +126,12 @@ def queued(tokens: DataFrame, packing: Packing, targets: dict[str, float] | None
     spark = tokens.sparkSession
     parts = stage(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")))
     totals = parts.groupBy("source").agg(F.sum("n").alias("n"))
-    own = totals.orderBy(F.desc("n"), "source").limit(packing.queues - packing.tails).collect()
+    # every source with a target has a queue of its own, then the largest of the others
+    targeted = F.coalesce(F.col("source").isin(list(targets or {})), F.lit(False))
+    if None in (targets or {}):
+        targeted |= F.col("source").isNull()
+    most = max(packing.queues - packing.tails, len(targets or {}))
+    own = totals.orderBy(F.desc(targeted), F.desc("n"), "source").limit(most).collect()
     named = spark.createDataFrame(
         [(k, r.source) for k, r in enumerate(sorted(own, key=lambda r: (r.source is not None, r.source or "")))],
         "queue int, named string",
@@ -156,16 +165,20 @@ class Rounds:
         self.credit = np.array(
             [max(1, int(packing.window * w / whole * (1 << _FRACTION))) for w in weight], np.int64
         )
+        # queues start with a part of a quantum each, so that small shares take turns and do not all wait
+        turns = (np.arange(len(self.total)) * 0.6180339887498949) % 1
+        self.start = (turns * packing.quantum * (1 << _FRACTION)).astype(np.int64)
 
     def served(self, rounds: np.ndarray) -> np.ndarray:
         """Tokens that each queue (column) has handed out by the end of each of ``rounds``."""
-        credit = (rounds[:, None] * self.credit[None, :]) >> _FRACTION
-        return np.where(credit >= self.total, self.total, credit // self.quantum * self.quantum)
+        credit = (rounds[:, None] * self.credit[None, :] + self.start[None, :]) >> _FRACTION
+        handed = np.where(credit >= self.total, self.total, credit // self.quantum * self.quantum)
+        return np.where(rounds[:, None] > 0, handed, 0)
 
     def position(self, queue: np.ndarray, k: np.ndarray) -> np.ndarray:
         """The number of tokens served before quantum ``k`` of ``queue``."""
         need = np.minimum((k + 1) * self.quantum, self.total[queue])
-        rounds = -((-need << _FRACTION) // self.credit[queue])
+        rounds = np.maximum(1, -((self.start[queue] - (need << _FRACTION)) // self.credit[queue]))
         at = np.arange(len(self.total))
         before = np.where(at[None, :] < queue[:, None], self.served(rounds), self.served(rounds - 1))
         before[np.arange(len(queue)), queue] = k * self.quantum

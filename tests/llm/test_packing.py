@@ -88,7 +88,7 @@ def test_positions_equal_round_robin_with_deficits():
         while any(left):
             r += 1
             for q in range(6):
-                credit = int(rounds.credit[q]) * r >> 16
+                credit = int(rounds.credit[q]) * r + int(rounds.start[q]) >> 16
                 while left[q] and handed[q] + min(SMALL.quantum, left[q]) <= credit:
                     seen[q, handed[q] // SMALL.quantum] = at
                     n = min(SMALL.quantum, left[q])
@@ -99,3 +99,29 @@ def test_positions_equal_round_robin_with_deficits():
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_a_target_on_the_smallest_of_many_sources_holds(spark):
+    rows = [(k, "word " * (20 + k % 7), f"s{k % 2000:04d}") for k in range(4000)] + [(5000 + k, "tiny " * 30, "small") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    packing = Packing(sequence=256, quantum=16, window=256, queues=40, tails=8)
+    got = pack(docs, packing, {"small": 0.25}, with_ids=False).collect()
+    total = sum(r.length for r in got if r.source == "small")
+    full = int(total / (0.25 * 256)) - 1
+    assert full > 5
+    for window in range(full):
+        mine = sum(r.length for r in got if r.source == "small" and r.sequence_id == window)
+        assert abs(mine - 64) <= 2 * packing.quantum
+    assert sum(r.length for r in got) == sum(r.doc_tokens for r in {r.doc_id: r for r in got}.values())
+
+
+def test_every_window_holds_all_of_twenty_sources(spark):
+    rows = [(k, "word and more of it " * 60, f"s{k % 20}") for k in range(1200)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4), with_ids=False).collect()
+    windows = max(r.sequence_id for r in got) - 2
+    for window in range(windows):
+        counts = {}
+        for r in got:
+            if r.sequence_id == window:
+                counts[r.source] = counts.get(r.source, 0) + r.length
+        assert len(counts) == 20 and max(counts.values()) <= 2048 / 20 + 2 * Packing().quantum
