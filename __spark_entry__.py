@@ -64,9 +64,9 @@ RUNS = {run.model_id: run for run in MODEL_RUNS}
 try:
     import corpus_pipeline
     from riskloom.llm import queries as text_queries
-except ImportError as missing:
-    if not (missing.name or "").startswith(("corpus_pipeline", "riskloom.llm")) and "riskloom.llm" not in str(missing):
-        raise
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "riskloom.llm"):
+        raise  # a fault inside them is no absence
     corpus_pipeline = text_queries = None
 
 
@@ -512,6 +512,12 @@ def metric_roc_curve(spark, folder):
     return _rounded(metrics.roc_curve(_score_cells(spark, folder), _BY))
 
 
+def metric_roc_thinned(spark, folder):
+    """The curve of all scores and balances together, where steps are small, without inner points."""
+    base = _base(spark, folder).withColumn("riesgo", (1000 - F.col(ROLES.score)) - F.col(ROLES.balance))
+    return _rounded(metrics.thinned_curve(metrics.score_cells(base, _BY, "riesgo", ROLES.label), _BY))
+
+
 def metric_youden_cut(spark, folder):
     return _rounded(metrics.youden_cut(metrics.roc_curve(_score_cells(spark, folder), _BY), _BY))
 
@@ -577,7 +583,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         profile_all, profile_rules_original, profile_rule_audit, profile_tables, rule_rectangles,
         train_matrix, min_leaf_5pct, tree_split_search, tree_fit, tree_raw_balance, feature_importance, tree_rules,
         score_proba, model_compare, grid_search_depth, grid_importance,
-        metric_auc, metric_gini, metric_roc_curve, metric_youden_cut,
+        metric_auc, metric_gini, metric_roc_curve, metric_roc_thinned, metric_youden_cut,
         leaf_segments, leaf_share_check, woe_cut_to_bins, risk_grid, risk_grid_cells,
         sample_fraction, snk_csv, snk_show,
     ]

@@ -904,6 +904,15 @@ def statements() -> dict[str, str]:
     found["metric_roc_curve"] = with_steps(
         f"select {_SP}, {r('threshold')} as threshold, {r('tpr')} as tpr, {r('fpr')} as fpr "
         f"from ({roc_select('puntajes', _SP)})", SCORED)
+    fine = """puntajes as (select experiencia, particion, (1000 - score_buro) - saldo_cuentas as score,
+      count(*) as n, sum(y) as bad from base where score_buro is not null and saldo_cuentas is not null group by all)"""
+    steps = """pasos as (select *, lag(n) over o as n0, lag(bad) over o as bad0, lead(score) over o as mas from puntajes
+      window o as (partition by experiencia, particion order by score))"""
+    found["metric_roc_thinned"] = with_steps(
+        f"""select c.experiencia, c.particion, {r('threshold')} as threshold, {r('tpr')} as tpr, {r('fpr')} as fpr
+        from ({roc_select('puntajes', _SP)}) c join pasos p on p.experiencia = c.experiencia
+          and p.particion = c.particion and p.score = c.threshold
+        where not coalesce(n = n0 and bad = bad0 and mas is not null, false)""", fine, steps)
     found["metric_youden_cut"] = with_steps(
         f"select {_SP}, {r('ks')} as ks, {r('cut')} as cut from ({youden_select('curva', _SP)})",
         SCORED, f"curva as ({roc_select('puntajes', _SP)})")

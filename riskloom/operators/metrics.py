@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +79,24 @@ def roc_curve(cells: DataFrame, keys: list[str], bounded: bool = False) -> DataF
     )
 
 
+def thinned_curve(cells: DataFrame, keys: list[str], bounded: bool = False) -> DataFrame:
+    """``roc_curve`` without the points inside a straight run of equal steps: a point goes if the next
+    lower score adds as many goods and as many bads as it does itself. Ends stay, and so do area and KS.
+
+    A score meets its lower neighbour's counts in a join by the neighbour's next score, so a curve of any length is
+    thinned without a window over it."""
+    ranked = _ranked(cells, keys, bounded)
+    below = ranked.filter("score_next is not null").select(
+        *[F.col(k).alias(f"__{k}") for k in keys], F.col("score_next").alias("__score"),
+        F.col("bad").alias("__bad"), F.col("good").alias("__good"),
+    )
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.col("score") == F.col("__score"))
+    inside = (F.col("__bad") == F.col("bad")) & (F.col("__good") == F.col("good")) & F.col("score_next").isNotNull()
+    return ranked.join(below, same, "left").filter(~F.coalesce(inside, F.lit(False))).select(
+        *keys, F.col("score").alias("threshold"), _rate("bad").alias("tpr"), _rate("good").alias("fpr")
+    )
+
+
 def youden_cut(curve: DataFrame, keys: list[str]) -> DataFrame:
     """Threshold with the largest TPR - FPR, the highest one on ties; NULL when none separates."""
     best = _best_distance(F.col("tpr"), F.col("fpr"), F.col("threshold"))

@@ -1,14 +1,15 @@
 """Staging of intermediate results and size-checked broadcasts.
 
 Staged data lie in the folder named by ``spark.checkpoint.dir``, which every executor can reach.
-Where that is unset, a folder of the session's own below ``spark.sql.warehouse.dir`` takes its place
-and is deleted when the session's JVM ends. With
+Where that is unset on one machine, a folder of the session's own below ``spark.sql.warehouse.dir`` takes its
+place and is deleted when the session's JVM ends; on a cluster that is an error. With
 ``spark.cleaner.referenceTracking.cleanCheckpoints=true`` Spark removes each staged result as soon
 as nothing refers to it any more.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -25,13 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged-{uuid.uuid4().hex}"
     spark.sparkContext.setCheckpointDir(own)
-    place = spark._jvm.org.apache.hadoop.fs.Path(own)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    _delete_at_end(spark, own)
     return own
 
 
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the file system remove ``path`` when the session's JVM ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once, so that later uses neither recompute it
     nor see another row order, and lost executors can read it back."""
@@ -71,4 +79,9 @@ def broadcast_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, removed with all it holds when the session's JVM ends."""
+    parent = f"{shared_dir(spark).rstrip('/')}/fresh-{spark.sparkContext.applicationId}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(parent)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
+    _delete_at_end(spark, parent)  # of what is there already
+    return f"{parent}/{name}-{uuid.uuid4().hex}"

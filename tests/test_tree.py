@@ -310,3 +310,25 @@ def test_cells_merge_rows_before_the_shuffle(frame):
     plan = model_cells(frame, RUNS, ROLES, edges={})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning") == 1 and "partial_sum" in plan
 
+
+
+@pytest.mark.parametrize("bounded", [True, False])
+def test_thinned_curve_keeps_corners_area_and_cut(spark, bounded):
+    draw = random.Random(9)
+    rows = [(k, draw.random() if k != "flat" else 0.1 * (i % 5), int(draw.random() < 0.3)) for k in ("a", "b", "flat") for i in range(300)]
+    cells = metrics.score_cells(spark.createDataFrame(rows, "k string, s double, y int"), ["k"], "s")
+    full, thin = metrics.roc_curve(cells, ["k"], bounded), metrics.thinned_curve(cells, ["k"], bounded)
+    for k in ("a", "b", "flat"):
+        whole, kept = ([(r["threshold"], r["tpr"], r["fpr"]) for r in c.filter(F.col("k") == k).orderBy(F.desc("threshold")).collect()]
+                       for c in (full, thin))
+        seen = sorted({s for name, s, _ in rows if name == k}, reverse=True)
+        steps = [(sum(1 for n, s, y in rows if n == k and s == t and y), sum(1 for n, s, y in rows if n == k and s == t and not y)) for t in seen]
+        want = [t for i, t in enumerate(seen) if i in (0, len(seen) - 1) or steps[i] != steps[i + 1]]
+        assert [t for t, _, _ in kept] == want and set(kept) <= set(whole)
+
+        def area(curve):
+            points = [(0.0, 0.0)] + [(f, t) for _, t, f in curve]
+            return sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(points, points[1:]))
+
+        assert area(kept) == pytest.approx(area(whole), abs=1e-12)
+        assert max(round(t - f, 12) for _, t, f in kept) == max(round(t - f, 12) for _, t, f in whole)
