@@ -1,8 +1,9 @@
 """Exact top-k search by inner product with distributed histogram selection.
 
-Vectors are packed into blocks of a few thousand rows. Every block of queries meets every block
-of candidates through an equi-join on the query block's number, and each pair of blocks is
-scored by one matrix product. The first passes score everything and count the scores of each query
+Vectors are packed into blocks of a few thousand rows, some neighbouring blocks being a slice. Every
+block of queries meets every block of candidates through an equi-join on the slice: queries, a hundredth
+of the rows, are repeated for each slice, candidates are not repeated, and no key holds more than
+a slice of them. Each pair of blocks is scored by one matrix product. The first passes score everything and count the scores of each query
 in a histogram over the whole possible range; the bin that holds the k-th best score becomes the
 next range, until bins are one wide and the k-th score is known exactly. The last pass keeps the
 scores above it, and of those equal to it the smallest ids. A block reports a histogram only from
@@ -26,12 +27,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from riskloom.llm.frames import column
-from riskloom.plans.staging import stage
+from riskloom.plans.staging import broadcast_side, stage
 
 _EXACT = 2.0**53
 _LOW, _HIGH = -(2**63), 2**63 - 1  # the ends of a score
@@ -43,6 +45,7 @@ class Search:
     scale: float = 1024.0
     every: int = 100
     candidates_per_block: int = 4096
+    blocks_per_slice: int = 16
     queries_per_block: int = 1024
     bins: int = 4096
 
@@ -52,6 +55,7 @@ _BLOCK = pa.schema([
     ("rows", pa.binary()), ("ids", pa.binary()), ("vectors", pa.binary()),
 ])
 _BLOCK_KINDS = "dim int, n int, most double, rows binary, ids binary, vectors binary"
+_SLICED = _BLOCK.insert(0, pa.field("slice", pa.int64()))
 
 
 def _packed(rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
@@ -65,9 +69,10 @@ def _packed(rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, size: int) -
 
 
 def blocks(vectors: DataFrame, search: Search, id_column: str, vector: str) -> DataFrame:
-    """Packed rows: row numbers, ids and scaled components."""
+    """Packed rows: row numbers, ids and scaled components, numbered by slices of neighbouring blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, first = 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             lists, ids = batch.column(2), batch.column(1).to_numpy(zero_copy_only=False)
             rows = batch.column(0).to_numpy(zero_copy_only=False)
@@ -78,7 +83,10 @@ def blocks(vectors: DataFrame, search: Search, id_column: str, vector: str) -> D
             for dim in np.unique(lengths):
                 own = lengths == dim
                 of = flat[(starts[own][:, None] + np.arange(dim)[None, :])]
-                yield from _packed(rows[own], ids[own], of, search.candidates_per_block)
+                for block in _packed(rows[own], ids[own], of, search.candidates_per_block):
+                    number = pa.array([first + made // search.blocks_per_slice], pa.int64())
+                    yield pa.RecordBatch.from_arrays([number, *block.columns], schema=_SLICED)
+                    made += 1
 
     x = column(vector)
     # NaN compares above and equal to itself in Spark, so one test covers it and infinities
@@ -86,7 +94,7 @@ def blocks(vectors: DataFrame, search: Search, id_column: str, vector: str) -> D
     usable = vectors.select(
         F.monotonically_increasing_id().alias("row"), column(id_column).cast("long").alias("id"), x.alias("x")
     ).filter(F.col("id").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", odd))
-    return usable.mapInArrow(run, _BLOCK_KINDS)
+    return usable.mapInArrow(run, f"slice long, {_BLOCK_KINDS}")
 
 
 def _unpacked(b: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,14 +137,14 @@ def _scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
 
 
 def _met(candidates: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each candidate block beside each query block: candidates are repeated per query block and
-    joined on its number and the vectors' length."""
-    numbers = queries.select("block", F.col("dim")).groupBy("dim").agg(F.collect_list("block").alias("blocks"))
-    repeated = candidates.join(F.broadcast(numbers), "dim").select(
-        "dim", F.explode("blocks").alias("block"), F.col("n").alias("c_n"), F.col("rows").alias("c_rows"),
-        F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"),
-    )
-    return repeated.join(queries, ["block", "dim"])
+    """Each candidate block beside each query block of its slice."""
+    own = candidates.select("slice", "dim", *(F.col(c).alias(f"c_{c}") for c in ("n", "rows", "ids", "vectors")))
+    return own.join(queries, ["slice", "dim"])
+
+
+def _repeated(queries: DataFrame, slices: DataFrame) -> DataFrame:
+    """Query blocks, each once for every slice with vectors of its length."""
+    return queries.join(slices, "dim")
 
 
 def _both(b: dict):
@@ -236,14 +244,16 @@ def top_k(
     least, span = _LOW, 2**64
     if widest * most < 2.0**61:
         least, span = -int(widest * most) - 1, 2 * int(widest * most) + 3
+    # two numbers for some 65,536 vectors; broadcast only if that is small
+    slices = broadcast_side(packed.select("dim", "slice").distinct())
     low = F.udf(lambda n: np.full(n, least, "<i8").tobytes(), BinaryType())("n")
     queries = queries.withColumn("low", low)
     while span > 1:
         width = -(-span // search.bins)
         ranged = queries.withColumn("width", F.lit(width).cast("long"))
-        counts = _met(packed, ranged).mapInArrow(_histogram(search), "block long, query int, bin int, n long")
+        counts = _met(packed, _repeated(ranged, slices)).mapInArrow(_histogram(search), "block long, query int, bin int, n long")
         queries, span = stage(_narrowed(ranged, counts, search).drop("width")), width
-    kept = _met(packed, queries).mapInArrow(_best(search), "row long, query_id long, vec_id long, score long")
+    kept = _met(packed, _repeated(queries, slices)).mapInArrow(_best(search), "row long, query_id long, vec_id long, score long")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= search.k)
     return ranked.select("query_id", "rank", "vec_id", "score")

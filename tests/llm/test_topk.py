@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from riskloom.llm import topk
 from riskloom.llm.topk import Search, top_k
 
 
@@ -53,3 +54,15 @@ def test_fewer_than_k_and_none(spark):
     assert list(map(tuple, got)) == [(0, 1, 1, 1024 * 2048)]
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert top_k(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_no_key_holds_more_than_a_slice(spark):
+    search = Search(every=5, candidates_per_block=8, blocks_per_slice=2, queries_per_block=16)
+    df = spark.createDataFrame(made(400), "vec_id long, embedding array<float>").repartition(3)
+    packed = topk.stage(topk.blocks(df, search, "vec_id", "embedding"))
+    queries = topk.query_blocks(packed, search)
+    met = topk._met(packed, topk._repeated(queries, packed.select("dim", "slice").distinct()))
+    keys = [r["count"] for r in met.groupBy("slice").count().collect()]
+    blocks, n = packed.count(), queries.count()
+    assert met.count() == blocks * n and max(keys) <= search.blocks_per_slice * n
+    assert len(keys) >= blocks / search.blocks_per_slice
