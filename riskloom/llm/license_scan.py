@@ -6,9 +6,14 @@ anchors, the longest run of anchors that rise on both sides is kept, and the gap
 are aligned in the same way. The share of the notice's words that found a partner is its coverage.
 A notice of up to ``Scan.short`` words has to be there in full, a longer one to ``Scan.coverage``.
 
+Notices of a family differ by what they add (a third clause, *Lesser*, *Affero*, *SA*), so several may cover
+one stretch. Where findings overlap, the one with the best contrast stays: its aligned words less the notice's
+words that are missing and less the words inside the stretch that it does not explain, where ``MARKS`` weigh more. ``detail`` is the version that the
+text states, or the expression of an SPDX line; null if there is none.
+
 An automaton passes over each text first. It looks for words of which every text that covers some
-notice far enough must hold one, so that it skips no finding. Where findings overlap, the one with
-more aligned words stays. Positions are code points of the whole text.
+notice far enough must hold one, so that it skips no finding. Equal contrast goes to the earlier start, then to the
+first name. Positions are code points of the whole text.
 
 Null and empty texts have no findings. Texts of any length are read whole, in time in proportion
 to their length; several notices, or one several times, give a row each. Repeated rows are
@@ -18,9 +23,9 @@ scanned each on its own; an empty table gives no rows; other columns are not rea
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -38,8 +43,15 @@ NOTICES = {
     "mit-line": "Released under the MIT License",
     "apache-line": "Licensed under the Apache License, Version",
     "gpl-line": "licensed under the GNU General Public License, version",
+    "lgpl-line": "licensed under the GNU Lesser General Public License, version",
+    "agpl-line": "licensed under the GNU Affero General Public License, version",
     "cc-by-nc-line": "Licensed under CC BY-NC",
     "cc-by-line": "Licensed under CC BY",
+    "cc-by-sa-line": "Licensed under CC BY-SA",
+    "cc-by-nd-line": "Licensed under CC BY-ND",
+    "cc-by-nc-sa-line": "Licensed under CC BY-NC-SA",
+    "cc-by-nc-nd-line": "Licensed under CC BY-NC-ND",
+    "spdx-line": "SPDX-License-Identifier",
     "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
 associated documentation files (the "Software"), to deal in the Software without restriction, including without
 limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
@@ -68,6 +80,19 @@ FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAG
 PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
 AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
 ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the
+above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from this software without specific prior written
+permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except
 in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on
@@ -78,6 +103,21 @@ General Public License as published by the Free Software Foundation, either vers
 option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
 without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public
 License for more details.""",
+    "lgpl-notice": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
+Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at
+your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY
+WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser
+General Public License for more details.""",
+    "agpl-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at
+your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero
+General Public License for more details.""",
+    "epl-2.0": """This program and the accompanying materials are made available under the terms of the Eclipse Public
+License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+purpose, commercial or non-commercial, and by any means.""",
     "mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
 MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors
@@ -89,6 +129,12 @@ would be appreciated but is not required. 2. Altered source versions must be pla
 misrepresented as being the original software. 3. This notice may not be removed or altered from any source
 distribution.""",
 }
+#: words that tell members of a family apart, and how many others one of them weighs
+MARKS, MARK_WEIGHT = frozenset({"affero", "lesser", "neither", "endorse"}), 8
+#: a version inside a notice, and what may follow its last word
+_VERSION = re.compile(r"\b(?:version|v\.?) {0,3}([0-9]+(?:\.[0-9]+){0,3})", re.I)
+_VERSION_NEXT = re.compile(r"[ ,:]{0,4}(?:(?:version|v\.?) {0,3})?([0-9]+(?:\.[0-9]+){0,3})", re.I)
+_EXPRESSION = re.compile(r": {0,9}([A-Za-z0-9.+()-]+(?: (?:AND|OR|WITH) [A-Za-z0-9.+()-]+)*)")
 
 
 @dataclass(frozen=True)
@@ -161,8 +207,8 @@ class _Notices:
                     break
         self.needed.make_automaton()
 
-    def find(self, text: str) -> list[tuple[str, float, int, int, int]]:
-        """(notice, coverage, start, end, aligned words), by start."""
+    def find(self, text: str) -> list[tuple[str, float, int, int, int, str | None]]:
+        """(notice, coverage, start, end, aligned words, detail), by start."""
         if next(self.needed.iter(text.lower()), None) is None:
             return []
         spans = [m.span() for m in _WORD.finditer(text)]
@@ -182,13 +228,37 @@ class _Notices:
                 pairs = align(words[low:high], notice)
                 if len(pairs) >= self.scan.wanted(size):
                     first, last = low + pairs[0][0], low + pairs[-1][0]
-                    found.append((name, len(pairs) / size, spans[first][0], spans[last][1], len(pairs)))
+                    shared = weight(notice[j] for _, j in pairs)
+                    contrast = 3 * shared - weight(notice) - weight(words[first : last + 1])
+                    found.append((contrast, spans[first][0], spans[last][1], name, len(pairs)))
                     done = last + 1
-        kept: list = []
-        for f in sorted(found, key=lambda f: (-f[4], f[2], f[0])):
-            if all(f[3] <= k[2] or f[2] >= k[3] for k in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda f: f[2])
+        return [(name, n / len(self.words[name]), start, end, n, detail(name, text, start, end))
+                for start, end, name, n in apart(found)]
+
+
+def weight(words: Iterable[str]) -> int:
+    return sum(MARK_WEIGHT if w in MARKS else 1 for w in words)
+
+
+def apart(found: Sequence[tuple[int, int, int, str, int]]) -> list[tuple[int, int, str, int]]:
+    """(start, end, name, words) of those (contrast, start, end, name, words) that overlap no better one, by start."""
+    kept: list[tuple[int, int, str, int]] = []
+    for _, start, end, name, n in sorted(found, key=lambda f: (-f[0], f[1], f[3])):
+        at = bisect_left(kept, (start,))
+        # kept ones do not overlap each other: only the neighbours can reach in
+        if (at and kept[at - 1][1] > start) or (at < len(kept) and kept[at][0] < end):
+            continue
+        insort(kept, (start, end, name, n))
+    return kept
+
+
+def detail(name: str, text: str, start: int, end: int) -> str | None:
+    """The version stated in or after a finding; of an SPDX line the expression."""
+    if name == "spdx-line":
+        found = _EXPRESSION.match(text, end)
+    else:
+        found = _VERSION.search(text, start, end) or _VERSION_NEXT.match(text, end)
+    return found[1] if found else None
 
 
 @lru_cache(maxsize=4)
@@ -199,11 +269,12 @@ def notices(scan: Scan = Scan()) -> _Notices:
 _SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()),
     ("start", pa.int64()), ("end", pa.int64()), ("aligned_words", pa.int64()),
+    ("detail", pa.string()),
 ])
 
 
 def find_licenses(docs: DataFrame, scan: Scan = Scan(), text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """One row per finding: doc_id, license, coverage, start, end and aligned_words."""
+    """One row per finding: doc_id, license, coverage, start, end, aligned_words and detail."""
 
     def make():
         known = notices(scan)
@@ -216,5 +287,5 @@ def find_licenses(docs: DataFrame, scan: Scan = Scan(), text: str = "text", id_c
         return columns
 
     rows = docs.select(column(id_column).cast("long").alias("doc_id"), column(text).alias("text"))
-    kinds = "doc_id long, license string, coverage double, start long, end long, aligned_words long"
+    kinds = "doc_id long, license string, coverage double, start long, end long, aligned_words long, detail string"
     return rows.mapInArrow(per_batch(make, _SCHEMA), kinds)

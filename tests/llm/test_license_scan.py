@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from itertools import combinations
 
 from riskloom.llm import license_scan as ls
@@ -66,5 +67,55 @@ def test_prefilter_skips_no_finding():
             assert next(known.needed.iter(" ".join(kept)), None) is not None, name
 
 
+def without(text, *words):
+    return " ".join(w for w in text.split() if w.lower() not in words)
+
+
+def test_members_of_a_family_are_told_apart():
+    known, notice = ls.notices(), ls.NOTICES
+    one = lambda text: [(f[0], f[5]) for f in known.find(text)]
+    clause = notice["bsd-3-clause"].replace("the copyright holder nor", "Example Ltd. nor")
+    assert one(f"x {clause} y")[0][0] == "bsd-3-clause" and one(notice["bsd-2-clause"])[0][0] == "bsd-2-clause"
+    gpl = notice["gpl-notice"]
+    assert one(gpl) == [("gpl-notice", "3")] and one(gpl.replace("version 3", "version 2")) == [("gpl-notice", "2")]
+    assert one(gpl.replace("General", "Affero General")) == [("agpl-notice", "3")]
+    assert one(gpl.replace("General", "Lesser General")) == [("lgpl-notice", "3")]
+    assert one(without(notice["lgpl-notice"], "lesser")) == [("gpl-notice", "2.1")]
+    for kind in ("", "-SA", "-ND", "-NC", "-NC-SA", "-NC-ND"):
+        assert one(f"a. Licensed under CC BY{kind} 4.0.") == [(f"cc-by{kind.lower()}-line", "4.0")]
+        assert one(f"a. Licensed under CC BY{kind} by us.") == [(f"cc-by{kind.lower()}-line", None)]
+    for kind in ("", "Lesser ", "Affero "):
+        name = {"": "gpl", "Lesser ": "lgpl", "Affero ": "agpl"}[kind] + "-line"
+        assert one(f"It is licensed under the GNU {kind}General Public License, version 2.1 or later") == [(name, "2.1")]
+    assert one("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\nint x;") == [
+        ("spdx-line", "(MIT OR Apache-2.0) AND BSD-3-Clause")]
+    assert one("Licensed under the Apache License, Version 2.0")[0] == ("apache-line", "2.0")
+
+
+def test_findings_that_stay_equal_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        found = []
+        for _ in range(rng.randrange(12)):
+            start = rng.randrange(40)
+            found.append((rng.randrange(6), start, start + rng.randrange(1, 15), rng.choice("ab"), 3))
+        kept = []
+        for f in sorted(found, key=lambda f: (-f[0], f[1], f[3])):
+            if all(f[2] <= k[1] or f[1] >= k[2] for k in kept):
+                kept.append(f)
+        assert ls.apart(found) == sorted(k[1:] for k in kept)
+
+
+def test_many_findings_take_time_in_proportion():
+    began = time.perf_counter()
+    assert len(ls.notices().find("All rights reserved. " * 100_000)) == 100_000
+    assert time.perf_counter() - began < 20
+
+
+def test_a_column_of_a_clashing_name_is_not_read(spark):
+    df = spark.createDataFrame([(1, "all rights reserved", "x", "mit")], "doc_id long, text string, start string, license string")
+    assert [(r.license, r.start) for r in ls.find_licenses(df).collect()] == [("rights-reserved", 0)]
+
+
 def test_empty_table(spark):
     assert ls.find_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
