@@ -4,7 +4,7 @@ import pytest
 
 import corpus_pipeline
 from riskloom.llm import packing, pu_classifier, quality_rules, secrets
-from tests.llm.test_simhash_similar import plain_links, roots_of
+from .test_simhash_similar import plain_links, roots_of
 
 FOLDER = "/root/testdata/sf0.001"
 
