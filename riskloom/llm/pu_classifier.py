@@ -23,17 +23,16 @@ no inputs of a score.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from riskloom.llm.frames import column, per_batch, rows_of, spare_name, texts_of
+from riskloom.llm.frames import column, rows_of, spare_name, texts_of
 from riskloom.plans.staging import stage
 
 MEASURES = (
@@ -59,14 +58,15 @@ def measures(text: str) -> list[float]:
         return [0.0] * (len(MEASURES) - 1) + [1.0]
     lengths = np.fromiter(map(len, words), np.int64, n)
     chars = int(lengths.sum())
-    ids = pd.factorize(np.array(words, object))[0]
+    index: dict[str, int] = {}
+    ids = np.fromiter(map(index.setdefault, words, range(n)), np.int64, n)  # each word's first place
     counts = np.bincount(ids)
-    pairs = np.unique(ids[1:] * len(counts) + ids[:-1])
+    pairs = np.unique(ids[1:] * n + ids[:-1])
     lines = [x for x in text.split("\n") if x.strip()]
     letters = _covered(_LETTERS, text)
     return [
         float(np.log(n)), float(np.log(chars)), chars / n, float(lengths.std()), float((lengths > 15).mean()),
-        float((lengths == 1).mean()), len(counts) / n ** 0.8,
+        float((lengths == 1).mean()), len(index) / n ** 0.8,
         letters / chars, _covered(_CAPITALS, text) / max(1, letters),
         _covered(_DIGITS, text) / chars, _covered(_MARKS, text) / chars, _covered(_SYMBOLS, text) / chars,
         len(_LETTERLESS.findall(text)) / n, (text.count(".") + text.count("?") + text.count("!")) / n,
@@ -238,18 +238,25 @@ def held_out(id_, folds: int):
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+#: texts that a task holds as Python strings at once
+_TEXTS = 256
 _MEASURED = pa.schema([("id", pa.int64()), ("x", pa.list_(pa.float64()))])
 
 
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids and measures of rows (id, text), so many at a time that a task never holds a whole batch as strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _TEXTS):
+            part = batch.slice(at, _TEXTS)
+            yield pa.RecordBatch.from_pydict({
+                "id": rows_of(part, "id"), "x": [measures(t) for t in texts_of(part, "text")],
+            }, schema=_MEASURED)
+
+
 def measured(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Staged: id and x, the measures, of every row."""
-    def make():
-        return lambda batch: {
-            "id": rows_of(batch, "id"), "x": [measures(t) for t in texts_of(batch, "text")],
-        }
-
     texts = docs.select(column(id_column).cast("long").alias("id"), column(text).alias("text"))
-    return stage(texts.mapInArrow(per_batch(make, _MEASURED), "id long, x array<double>"))
+    return stage(texts.mapInArrow(_measured, "id long, x array<double>"))
 
 
 def fit(
@@ -284,11 +291,14 @@ def fit(
 def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with the column ``score``."""
 
-    def of(texts: pd.Series) -> pd.Series:
-        x = [measures(t or "") for t in texts]
-        return pd.Series(model.score(np.array(x, float).reshape(-1, len(MEASURES))))
+    def of(texts: pa.Array) -> pa.Array:
+        done = [np.empty(0)]
+        for at in range(0, len(texts), _TEXTS):
+            x = [measures(t or "") for t in texts.slice(at, _TEXTS).to_pylist()]
+            done.append(model.score(np.array(x, float)))
+        return pa.array(np.concatenate(done))
 
-    return docs.withColumn(score, F.pandas_udf(of, DoubleType())(column(text)))
+    return docs.withColumn(score, F.arrow_udf(of, "double")(column(text)))
 
 
 def classify(
@@ -299,10 +309,10 @@ def classify(
     rows = measured(docs, text, id_column)
     model = fit(rows, labels, training, id_column, label)
 
-    def of(x: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array(list(x), float).reshape(-1, len(MEASURES))))
+    def of(x: pa.Array) -> pa.Array:
+        return pa.array(model.score(x.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(MEASURES))))
 
-    return rows.select(F.col("id").alias("doc_id"), F.pandas_udf(of, DoubleType())("x").alias("score")).select(
+    return rows.select(F.col("id").alias("doc_id"), F.arrow_udf(of, "double")("x").alias("score")).select(
         "doc_id", held_out(F.col("doc_id"), training.folds).alias("held_out"), "score",
         (F.col("score") >= training.threshold).cast("int").alias("predicted"),
     )

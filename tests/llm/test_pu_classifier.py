@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -79,3 +80,21 @@ def test_unlabelled_text_counts(spark, prose):
     model = pu.fit(pu.measured(docs), labels)
     good, bad = (model.score(np.array([pu.measures(t)]))[0] for t in (rows[301][1], rows[302][1]))
     assert good >= 0.3 > bad and model.prior < 0.85
+
+
+def test_a_task_holds_few_texts_at_once(prose):
+    """A batch of any size is measured in parts, each handed on before the next one is read."""
+    texts = [None, "", *(prose(5 + k % 40) for k in range(3 * pu._TEXTS))]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    parts = pu._measured(iter([batch]))
+    first = next(parts)
+    assert first.num_rows == pu._TEXTS and first.column("id").to_pylist() == list(range(pu._TEXTS))
+    rows = [r for part in [first, *parts] for r in part.to_pylist()]
+    assert [r["id"] for r in rows] == list(range(len(texts)))
+    assert [r["x"] for r in rows] == [pu.measures(t or "") for t in texts]
+
+
+def test_measures_of_repeated_words():
+    got = dict(zip(pu.MEASURES, pu.measures("b a a b c a a b")))
+    assert (got["top_word"], got["adjacent_repeats"], got["distinct_pairs"]) == (0.5, 2 / 7, 5 / 7)
+    assert got["distinct_words"] == 3 / 8 ** 0.8
