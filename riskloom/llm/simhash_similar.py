@@ -4,14 +4,19 @@ Three bits of 64, the limit of ``simhash``, reach copies of some 0.97 similarity
 256 bits, taken over a text's distinct shingles, so 32 positional bytes; texts of similarity 0.8 differ in some 39
 bits and share some nine bytes. The index posts each fingerprint under ``LISTS`` fixed choices of three positional
 bytes: a pair stands together in a list if its tally of shared bytes reaches three, on one of the choices. It is retained if
-sizes and bits allow the similarity (``MOST_BITS``), and verified on the whole sets of shingles. So nothing
-below the limit is linked; of links from 0.8 to 0.85 one in six shares no list, to 0.9 one in fifteen, above hardly any.
+sizes and bits allow the similarity (``MOST_BITS``), and verified on the whole sets of shingles. In a list, up to
+``SMALL`` texts are compared pair by pair; of more, each is paired with the list's smallest node. So this index ties
+nearly all near copies, a group of any size at a cost in proportion to it, but it may miss links.
 
-Texts of equal shingle sets collapse before the index. In a list, up to ``SMALL`` texts are compared pair by
-pair; more are read in windows of ``WINDOW`` that all hold the list's first text, each text being paired with the
-nearest before it: a tree, not all pairs, so that a group of any size costs work in proportion to it. What a tree leaves
-out is met again in other lists. A list takes one in 2^24 of unlike texts; tables of far more than 10^8 distinct texts
-want a fourth byte (``BYTES``) and more lists.
+What it misses is found exactly, by common prefixes. All shingles have one order, in which those found often in a sample
+come last (``common``; the sample decides on the cost alone, any order gives the same links). Two sets of
+similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each, so every link stands together in the list of such a
+shingle. Of a list, all pairs are verified that sizes, places in the two sets and parities of their shingles allow and that
+are not yet tied by verified links. So nothing below the limit is linked, and every component is whole.
+
+Texts of equal shingle sets collapse before both. A byte list takes one in 2^24 of unlike texts; tables of far more than
+10^8 distinct texts want a fourth byte (``BYTES``) and more lists. Pairs in one prefix list that are not tied are compared
+one by one: that is few, unless very many texts are alike at just below the limit.
 
 Words are those of ``simhash``. Texts of fewer than five words are one shingle; empty and null texts have none and are
 copies of each other. Repeated rows are copies; of equal ones the smallest doc_id stays, null ids first. An
@@ -27,20 +32,27 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from riskloom.llm.frames import column, per_batch, rows_of, spare_name, texts_of
 from riskloom.llm.simhash import components
-from riskloom.plans.staging import stage
+from riskloom.plans.staging import fresh_path, stage
 
 WORDS, SEED = 5, 42
 #: least similarity as a fraction
 NUMERATOR, DENOMINATOR = 4, 5
-PARTS = 4
+PARTS, EVEN_PARTS = 4, 8
 BYTES, LISTS = 3, 128
 MOST_BITS = 60
 #: bits of the first 64 that may differ inside a list
 MOST_SHORT_BITS = 20
-SMALL, WINDOW = 8, 2048
+SMALL, WINDOW = 8, 512
+#: one text in so many is sampled for common shingles, of which so many are known at most
+SAMPLED, COMMON = 32, 1 << 18
+#: bits of the map that tells most rows that a join need not see
+MAP_BITS, CHUNK_BITS = 25, 16
+#: bits of a prefix posting
+KEY_BITS, PLACE_BITS = 44, 16
 
 _PLACES = np.array([np.sort(np.random.default_rng(k).choice(8 * PARTS, BYTES, replace=False)) for k in range(LISTS)])
 _BIT_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -58,6 +70,10 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(np.frombuffer(joined, ">u8").astype(np.uint64))
 
 
+def _same(hashes: np.ndarray) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(hashes.tobytes(), SEED), "big", signed=True)
+
+
 def _mixed(x: np.ndarray, part: int) -> np.ndarray:
     """64 fresh bits of each hash for each part, by shifts and odd factors."""
     x = x + np.uint64(0x9E3779B97F4A7C15 * (part + 1) & (2**64 - 1))
@@ -82,13 +98,21 @@ def fingerprint(hashes: np.ndarray) -> list[int]:
     return out
 
 
+def parities(hashes: np.ndarray) -> list[int]:
+    """Whether each of 64 * ``EVEN_PARTS`` classes of hashes has an odd number of the set's, as signed integers. Sets
+    that differ in d shingles differ in d classes at most."""
+    odd = np.bincount((hashes % np.uint64(64 * EVEN_PARTS)).astype(np.int64), minlength=64 * EVEN_PARTS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8").tolist()
+
+
 _FPS = [f"f{k}" for k in range(PARTS)]
+_ODD = [f"odd{k}" for k in range(EVEN_PARTS)]
 _PRINT = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("same", pa.int64()), ("n", pa.int64())]
-                   + [(f, pa.int64()) for f in _FPS])
+                   + [(f, pa.int64()) for f in _FPS + _ODD])
 
 
 def prints(rows: DataFrame) -> DataFrame:
-    """doc_id, node, same (a hash of the whole set of shingles), n (its size) and the fingerprint of rows
+    """doc_id, node, same (a hash of the whole set of shingles), n (its size), fingerprint and parities of rows
     (doc_id, node, text), staged."""
 
     def make():
@@ -98,8 +122,8 @@ def prints(rows: DataFrame) -> DataFrame:
             for text in texts_of(batch, "text"):
                 hashes = shingles(text)
                 out["n"].append(len(hashes))
-                out["same"].append(int.from_bytes(xxhash.xxh64_digest(hashes.tobytes(), SEED), "big", signed=True))
-                for name, x in zip(_FPS, fingerprint(hashes)):
+                out["same"].append(_same(hashes))
+                for name, x in zip(_FPS + _ODD, fingerprint(hashes) + parities(hashes)):
                     out[name].append(x)
             return out
         return columns
@@ -138,76 +162,239 @@ def _paired(keys: np.ndarray, short: np.ndarray, nodes: np.ndarray) -> pa.Record
         first = np.flatnonzero(small[:-step] & (keys[:-step] == keys[step:]))
         near(first, first + step)
     for s, m in zip(starts[size > SMALL], size[size > SMALL]):
-        for at in range(1, m, WINDOW):
-            of = s + np.concatenate([[0], np.arange(at, min(at + WINDOW, m))])
-            apart = np.bitwise_count((short[of][:, None] ^ short[of][None, :]).view(np.uint64))
-            apart[np.triu_indices(len(of))] = 255
-            near(of[1:], of[apart[1:].argmin(axis=1)])
+        of = np.arange(s, s + m)
+        near(of, np.full(m, s + nodes[of].argmin()))
     a, b = np.concatenate(left), np.concatenate(right)
+    a, b = a[a != b], b[a != b]
     return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["u", "v"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs; the last list of a batch may go on in the next one."""
-    held: list[np.ndarray] = [np.empty(0, np.int64)] * 3
-    for batch in batches:
-        held = [np.concatenate([h, batch.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held)]
+def _by_list(of_lists, width: int):
+    """A function for ``mapInArrow`` that hands whole lists, sorted by their key in the first of ``width``
+    columns of longs, to ``of_lists``; the last list of a batch may go on in the next one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.empty(0, np.int64)] * width
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held)]
+            if len(held[0]):
+                cut = int(np.searchsorted(held[0], held[0][-1]))
+                if cut:
+                    yield from of_lists(*(h[:cut] for h in held))
+                    held = [h[cut:] for h in held]
         if len(held[0]):
-            cut = int(np.searchsorted(held[0], held[0][-1]))
-            if cut:
-                yield _paired(*(h[:cut] for h in held))
-                held = [h[cut:] for h in held]
-    if len(held[0]):
-        yield _paired(*held)
+            yield from of_lists(*held)
+    return run
+
+
+def _pairs(keys: np.ndarray, short: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    yield _paired(keys, short, nodes)
 
 
 def candidates(texts: DataFrame) -> DataFrame:
-    """Distinct pairs u > v of ``texts`` (node, n, fingerprint) whose sizes and bits allow the similarity."""
+    """Distinct pairs u > v of ``texts`` (node, n, fingerprint) that the byte index retains: sizes and bits allow the
+    similarity. Links that these leave out are found by ``prefix_lists`` and ``untied``."""
     posted = texts.select("node", *_FPS).mapInArrow(_postings, "key long, short long, node long")
     dealt = posted.repartition("key").sortWithinPartitions("key", "short")
-    pairs = dealt.mapInArrow(_pairs, "u long, v long").distinct()
-    side = lambda name: texts.select(
-        F.col("node").alias(name), F.col("n").alias(f"n_{name}"), *(F.col(f).alias(f"{f}_{name}") for f in _FPS))
-    both = pairs.join(side("u"), "u").join(side("v"), "v")
-    differing = sum((F.bit_count(F.col(f"{f}_u").bitwiseXOR(F.col(f"{f}_v"))) for f in _FPS), F.lit(0))
-    return both.filter(
-        (DENOMINATOR * F.least("n_u", "n_v") >= NUMERATOR * F.greatest("n_u", "n_v")) & (differing <= MOST_BITS)
+    pairs = dealt.mapInArrow(_by_list(_pairs, 3), "u long, v long").distinct()
+    return _beside(pairs, texts, _FPS + _ODD).filter(
+        (DENOMINATOR * F.least("n_u", "n_v") >= NUMERATOR * F.greatest("n_u", "n_v"))
+        & (_differing(_FPS) <= MOST_BITS) & _even_enough()
     ).select("u", "v")
 
 
-def _sets(rows: DataFrame) -> DataFrame:
-    schema = pa.schema([("node", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+def _beside(pairs: DataFrame, texts: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs u, v with n and ``columns`` of both, named after their side."""
+    side = lambda name: texts.select(
+        F.col("node").alias(name), *(F.col(f).alias(f"{f}_{name}") for f in ["n", *columns]))
+    return pairs.join(side("u"), "u").join(side("v"), "v")
+
+
+def _differing(columns: list[str]):
+    return sum((F.bit_count(F.col(f"{f}_u").bitwiseXOR(F.col(f"{f}_v"))) for f in columns), F.lit(0))
+
+
+def common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found in two or more of a sample of the texts, sorted, and in how many; the commonest ``COMMON``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t) for t in texts_of(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64))], ["h"])
+
+    sample = rows.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).distinct()
+    found = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    top = found.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    hashes, counts = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def prefix(hashes: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the common order, as many as any set of the similarity must meet."""
+    n = len(hashes)
+    first = n - -(-NUMERATOR * n // DENOMINATOR) + 1 if n else 0
+    if not len(known):
+        return hashes[:first]
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    often = known[at] == hashes
+    rare = hashes[~often][:first]
+    if len(rare) == first:
+        return rare
+    return np.concatenate([rare, hashes[often][np.argsort(counts[at[often]], kind="stable")][: first - len(rare)]])
+
+
+def _met(keys: np.ndarray, places: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Lists of two or more rows."""
+    joined = np.diff(keys) == 0
+    met = np.r_[joined, False] | np.r_[False, joined]
+    yield pa.RecordBatch.from_arrays([pa.array(c[met]) for c in (keys, places, nodes)], ["key", "place", "node"])
+
+
+def prefix_lists(rows: DataFrame) -> DataFrame:
+    """key, place and node of the ``rows`` that share a shingle of their prefixes with another one. Keys are
+    ``KEY_BITS`` of the shingle's hash, places from ``2 ** PLACE_BITS`` on count as the last one below: both add pairs only."""
+    known = rows.sparkSession.sparkContext.broadcast(common(rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                keys = [prefix(shingles(t), *known.value) for t in texts_of(part, "text")]
+                sizes = list(map(len, keys))
+                places = np.minimum(np.concatenate([np.arange(k) for k in sizes]), (1 << PLACE_BITS) - 1)
+                packed = (np.concatenate(keys) & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64) << PLACE_BITS | places
+                nodes = np.repeat(np.array(rows_of(part, "node")), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(packed), pa.array(nodes)], ["packed", "node"])
+
+    key = F.shiftright("packed", PLACE_BITS)
+    posted = rows.select("node", "text").mapInArrow(run, "packed long, node long")
+    dealt = posted.repartition(key).sortWithinPartitions("packed")
+    lists = dealt.select(key.alias("key"), F.expr(f"packed & {(1 << PLACE_BITS) - 1}").alias("place"), "node")
+    return lists.mapInArrow(_by_list(_met, 3), "key long, place long, node long")
+
+
+def _crossed(keys: np.ndarray, n: np.ndarray, place: np.ndarray, nodes: np.ndarray, roots: np.ndarray):
+    """Pairs u > v of whole lists, sorted by key and n, of different roots whose sizes and places allow the similarity."""
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+    def allowed(a, b):
+        most = np.minimum(n[a] - place[a], n[b] - place[b])
+        return (roots[a] != roots[b]) & ((NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (n[a] + n[b]))
 
-    def make():
-        return lambda batch: {
-            "node": rows_of(batch, "node"), "hashes": [shingles(t).view(np.int64) for t in texts_of(batch, "text")]}
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
+    size = np.diff(np.append(starts, len(keys)))
+    small = np.repeat(size <= SMALL, size)
+    for step in range(1, SMALL):
+        a = np.flatnonzero(small[:-step] & (keys[:-step] == keys[step:]))
+        a = a[allowed(a, a + step)]
+        left.append(a)
+        right.append(a + step)
+    for s, m in zip(starts[size > SMALL], size[size > SMALL]):
+        e = s + m
+        if (roots[s:e] == roots[s]).all():
+            continue
+        for at in range(s, e, WINDOW):
+            rows_ = np.arange(at, min(at + WINDOW, e))
+            upto = s + int(np.searchsorted(n[s:e], n[rows_[-1]] * DENOMINATOR // NUMERATOR, "right"))
+            for to in range(at, upto, 16 * WINDOW):
+                others = np.arange(to, min(to + 16 * WINDOW, upto))
+                a, b = np.nonzero(allowed(rows_[:, None], others[None, :]) & (rows_[:, None] < others[None, :]))
+                yield _batch(nodes[rows_[a]], nodes[others[b]])
+    a, b = np.concatenate(left), np.concatenate(right)
+    yield _batch(nodes[a], nodes[b])
 
-    return rows.select("node", "text").mapInArrow(per_batch(make, schema), "node long, hashes array<long>")
 
+def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["u", "v"])
 
-def links(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs u > v of ``candidates`` that reach the similarity on their whole sets of shingles."""
-    pairs = stage(candidates(texts))
+
+def untied(lists: DataFrame, tied: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct pairs u > v of ``prefix_lists`` that sizes, places and parities allow and that ``tied`` (node, root)
+    leaves apart."""
+    roots = texts.join(tied, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    rooted = lists.join(roots, "node").select("key", "n", "place", "node", "root")
+    dealt = rooted.repartition("key").sortWithinPartitions("key", "n")
+    pairs = dealt.mapInArrow(_by_list(_crossed, 5), "u long, v long").distinct()
+    return _beside(pairs, texts, _ODD).filter(_even_enough()).select("u", "v")
+
+
+def _even_enough():
+    """Sets of the similarity differ in (denominator - numerator) / (denominator + numerator) of their sizes' sum at
+    most, so in no more parities."""
+    return (DENOMINATOR + NUMERATOR) * _differing(_ODD) <= (DENOMINATOR - NUMERATOR) * (F.col("n_u") + F.col("n_v"))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ``pairs`` that reach the similarity on their whole sets of shingles, staged. Texts travel, which are compressed
+    where hashes are not; texts that are in no pair do not, but for the few that the map lets pass."""
+    pairs = stage(pairs)
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    sets = stage(_sets(rows.join(nodes, "node", "left_semi")))
-    side = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"of_{name}"))
-    shared = F.size(F.array_intersect("of_u", "of_v"))
-    total = F.size("of_u") + F.size("of_v")
-    # shared / (total - shared) >= numerator / denominator
-    return pairs.join(side("u"), "u").join(side("v"), "v").filter(
-        (NUMERATOR + DENOMINATOR) * shared >= NUMERATOR * total
-    ).select("u", "v")
+    paired = rows.select("node", "text").filter(_in_map(nodes)(F.col("node")))
+    side = lambda name: paired.select(F.col("node").alias(name), F.col("text").alias(f"of_{name}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                of = {name: [shingles(t) for t in texts_of(part, f"of_{name}")] for name in "uv"}
+                shared = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(of["u"], of["v"])]
+                # shared / (total - shared) >= numerator / denominator
+                near = [(NUMERATOR + DENOMINATOR) * k >= NUMERATOR * (len(a) + len(b))
+                        for k, a, b in zip(shared, of["u"], of["v"])]
+                yield part.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "of_u", "of_v")
+    return stage(both.mapInArrow(run, "u long, v long"))
+
+
+def links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links u > v that connect all ``texts`` of the similarity: those of ``candidates``, and every one between
+    texts that these leave in different components."""
+    found = _verified(candidates(texts), rows)
+    return found.union(_verified(untied(prefix_lists(rows), components(found), texts), rows))
+
+
+def _in_map(nodes: DataFrame):
+    """A condition on a column of nodes that all ``nodes`` meet, and few others: one bit of a map of fixed size."""
+    spark, size = nodes.sparkSession, 1 << CHUNK_BITS
+    bit = lambda node: F.pmod(F.xxhash64(node), F.lit(1 << MAP_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            bits = batch.column(0).to_numpy(zero_copy_only=False)
+            for chunk in np.unique(bits >> CHUNK_BITS).tolist():
+                set_ = chunks.setdefault(chunk, np.zeros(size, bool))
+                set_[bits[bits >> CHUNK_BITS == chunk] & (size - 1)] = True
+        if chunks:
+            yield pa.RecordBatch.from_pydict({
+                "chunk": pa.array(list(chunks), pa.int64()), "bits": [np.packbits(x).tobytes() for x in chunks.values()]})
+
+    bits = nodes.select(bit(F.col("node")).alias("bit"))
+    dealt = bits.repartition(F.shiftright("bit", CHUNK_BITS))
+    whole = np.zeros((1 << (MAP_BITS - CHUNK_BITS), size // 8), np.uint8)
+    for r in dealt.mapInArrow(run, "chunk long, bits binary").collect():
+        whole[r.chunk] = np.frombuffer(bytes(r.bits), np.uint8)
+    shared = spark.sparkContext.broadcast(whole.ravel())
+
+    @F.arrow_udf("boolean")
+    def inside(bits: pa.Array) -> pa.Array:
+        at = bits.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
+
+    return lambda node: inside(bit(node))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` without all but the first of each component of links, all columns."""
     row = spare_name(docs, "row_id")
-    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()))
+    path = fresh_path(docs.sparkSession, "numbered")  # Parquet, as whole texts are compressed there
+    docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
+    numbered = docs.sparkSession.read.schema(StructType([*docs.schema.fields, StructField(row, LongType())])).parquet(path)
     rows = numbered.select(
         column(id_column).cast("long").alias("doc_id"), F.col(row).alias("node"), column(text).alias("text"))
     every = prints(rows)
     texts = stage(every.groupBy("same", "n").agg(
-        F.min(F.struct("doc_id", "node")).alias("first"), *(F.first(f).alias(f) for f in _FPS)
+        F.min(F.struct("doc_id", "node")).alias("first"), *(F.first(f).alias(f) for f in _FPS + _ODD)
     ).withColumn("node", F.col("first.node")))
     tied = stage(components(links(rows, texts)))
     # texts tied to others, and the first of each component
@@ -215,6 +402,6 @@ def one_of_each(docs: DataFrame, text: str = "text", id_column: str = "doc_id")
     heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
     beaten = rooted.join(heads, "root").filter(F.col("node") != F.col("head.node")).select("node")
     copies = every.join(texts.select("same", "n", F.col("node").alias("kept")), ["same", "n"]).filter("node != kept")
-    return numbered.join(
-        beaten.union(copies.select("node")).withColumnRenamed("node", row), row, "left_anti"
-    ).drop(row)
+    gone = stage(beaten.union(copies.select("node")).withColumnRenamed("node", row))
+    in_map = _in_map(gone.withColumnRenamed(row, "node"))(F.col(row))
+    return numbered.filter(~in_map).unionByName(numbered.filter(in_map).join(gone, row, "left_anti")).drop(row)

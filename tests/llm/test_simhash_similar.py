@@ -105,3 +105,35 @@ def test_null_ids_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert sorted(map(str, (r.doc_id for r in sim.one_of_each(df).collect()))) == ["None", "None"]
     assert sim.one_of_each(df.filter(F.lit(False))).count() == 0
+
+
+def test_every_component_is_whole(spark):
+    """Links just above the limit, among them those of a large list, which a byte list's tree leaves out."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(150):  # pairs from 0.75 to 0.85
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        other = list(base)
+        for k in rng.sample(range(200), rng.randrange(4, 8)):
+            other[k] = f"e{rng.randrange(10**6)}"
+        texts += [" ".join(base), " ".join(other)]
+    base = [f"v{rng.randrange(3000)}" for _ in range(150)]
+    texts += [" ".join(edited(rng, base, 0.02)) for _ in range(300)]
+    passage = [f"p{k}" for k in range(60)]
+    texts += [" ".join([*passage, *(f"q{rng.randrange(10**6)}" for _ in range(90))]) for _ in range(200)]
+    wanted = {k for k, r in enumerate(roots_of(len(texts), plain_links(texts))) if r == k}
+    assert kept(spark, texts) == wanted
+
+
+def test_prefixes_of_similar_sets_meet_in_any_order():
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        both = np.unique(rng.integers(0, 2**63, rng.integers(1, 60)).astype(np.uint64))
+        more = np.unique(rng.integers(0, 2**63, rng.integers(0, 16)).astype(np.uint64))
+        cut = rng.integers(0, len(more) + 1)
+        a, b = np.union1d(both, more[:cut]), np.union1d(both, more[cut:])
+        known = np.sort(rng.permutation(np.union1d(a, b))[: rng.integers(0, 40)])
+        counts = rng.integers(2, 6, len(known))
+        shared = len(np.intersect1d(a, b))
+        if 5 * shared >= 4 * (len(a) + len(b) - shared):
+            assert len(np.intersect1d(sim.prefix(a, known, counts), sim.prefix(b, known, counts)))
