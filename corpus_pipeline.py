@@ -29,7 +29,7 @@ def simhash_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """The first document of each group of near-duplicates, and those of no group.
 
     Near are texts of which 0.8 of the shingles of five words, or more, are shared. Every link is verified on
-    whole texts; of links from 0.8 to 0.85 some one in six is not found, above 0.9 hardly any."""
+    whole texts, and no group is cut."""
     return simhash_similar.one_of_each(docs)
 
 

@@ -41,7 +41,7 @@ from riskloom.plans.staging import fresh_path, stage
 WORDS, SEED = 5, 42
 #: least similarity as a fraction
 NUMERATOR, DENOMINATOR = 4, 5
-PARTS, EVEN_PARTS = 4, 8
+PARTS, EVEN_PARTS = 4, 16
 BYTES, LISTS = 3, 128
 MOST_BITS = 60
 #: bits of the first 64 that may differ inside a list
@@ -388,7 +388,7 @@ def one_of_each(docs: DataFrame, text: str = "text", id_column: str = "doc_id")
     """The rows of ``docs`` without all but the first of each component of links, all columns."""
     row = spare_name(docs, "row_id")
     path = fresh_path(docs.sparkSession, "numbered")  # Parquet, as whole texts are compressed there
-    docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
+    docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(path, compression="zstd")
     numbered = docs.sparkSession.read.schema(StructType([*docs.schema.fields, StructField(row, LongType())])).parquet(path)
     rows = numbered.select(
         column(id_column).cast("long").alias("doc_id"), F.col(row).alias("node"), column(text).alias("text"))
