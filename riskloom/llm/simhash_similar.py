@@ -3,20 +3,22 @@
 Three bits of 64, the limit of ``simhash``, reach copies of some 0.97 similarity. Here a fingerprint has
 256 bits, taken over a text's distinct shingles, so 32 positional bytes; texts of similarity 0.8 differ in some 39
 bits and share some nine bytes. The index posts each fingerprint under ``LISTS`` fixed choices of three positional
-bytes: a pair stands together in a list if its tally of shared bytes reaches three, on one of the choices. It is retained if
-sizes and bits allow the similarity (``MOST_BITS``), and verified on the whole sets of shingles. In a list, up to
-``SMALL`` texts are compared pair by pair; of more, each is paired with the list's smallest node. So this index ties
-nearly all near copies, a group of any size at a cost in proportion to it, but it may miss links.
+bytes: a pair stands together in a list if its tally of shared bytes reaches three, on one of the choices. In a list, up to
+``SMALL`` texts are compared pair by pair; of more, each is paired with the list's smallest node. Of all its pairs with
+smaller nodes a text keeps the ``NEAREST`` by their first 64 bits. They are retained if sizes and bits allow the
+similarity (``MOST_BITS``), and verified on the whole sets of shingles. So this index ties nearly all near copies, a group
+of any size by so many pairs a text, but it may miss links.
 
 What it misses is found exactly, by common prefixes. All shingles have one order, in which those found often in a sample
 come last (``common``; the sample decides on the cost alone, any order gives the same links). Two sets of
 similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each, so every link stands together in the list of such a
 shingle. Of a list, all pairs are verified that sizes, places in the two sets and parities of their shingles allow and that
-are not yet tied by verified links. So nothing below the limit is linked, and every component is whole.
+are not yet tied by verified links. Most are ruled out inside the list, by ``LIST_PARTS`` words of parities that travel with
+the row, before they become rows. So nothing below the limit is linked, and every component is whole.
 
 Texts of equal shingle sets collapse before both. A byte list takes one in 2^24 of unlike texts; tables of far more than
 10^8 distinct texts want a fourth byte (``BYTES``) and more lists. Pairs in one prefix list that are not tied are compared
-one by one: that is few, unless very many texts are alike at just below the limit.
+one by one inside the list: that is few, unless very many texts are alike at about the limit. Those near it also become rows.
 
 Words are those of ``simhash``. Texts of fewer than five words are one shingle; empty and null texts have none and are
 copies of each other. Repeated rows are copies; of equal ones the smallest doc_id stays, null ids first. An
@@ -26,11 +28,12 @@ empty table gives no rows. Other columns are carried along and may have any name
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -41,12 +44,14 @@ from riskloom.plans.staging import fresh_path, stage
 WORDS, SEED = 5, 42
 #: least similarity as a fraction
 NUMERATOR, DENOMINATOR = 4, 5
-PARTS, EVEN_PARTS = 4, 16
+PARTS, EVEN_PARTS, LIST_PARTS = 4, 16, 4
 BYTES, LISTS = 3, 128
 MOST_BITS = 60
 #: bits of the first 64 that may differ inside a list
 MOST_SHORT_BITS = 20
 SMALL, WINDOW = 8, 512
+#: pairs of a text that the byte index keeps; what ties they leave out, the prefix lists find
+NEAREST = 16
 #: one text in so many is sampled for common shingles, of which so many are known at most
 SAMPLED, COMMON = 32, 1 << 18
 #: bits of the map that tells most rows that a join need not see
@@ -147,16 +152,18 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _paired(keys: np.ndarray, short: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-    """Candidate pairs u > v of whole lists, sorted by key."""
+    """Candidate pairs u > v of whole lists, sorted by key, and in how many of the first 64 bits they differ."""
     starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
     size = np.diff(np.append(starts, len(keys)))
     small = np.repeat(size <= SMALL, size)
-    left, right = [], []
+    left, right, apart = [], [], []
 
     def near(a: np.ndarray, b: np.ndarray) -> None:
-        own = np.bitwise_count((short[a] ^ short[b]).view(np.uint64)) <= MOST_SHORT_BITS
+        bits = np.bitwise_count((short[a] ^ short[b]).view(np.uint64))
+        own = (bits <= MOST_SHORT_BITS) & (nodes[a] != nodes[b])
         left.append(nodes[a[own]])
         right.append(nodes[b[own]])
+        apart.append(bits[own].astype(np.int64))
 
     for step in range(1, SMALL):
         first = np.flatnonzero(small[:-step] & (keys[:-step] == keys[step:]))
@@ -165,8 +172,8 @@ def _paired(keys: np.ndarray, short: np.ndarray, nodes: np.ndarray) -> pa.Record
         of = np.arange(s, s + m)
         near(of, np.full(m, s + nodes[of].argmin()))
     a, b = np.concatenate(left), np.concatenate(right)
-    a, b = a[a != b], b[a != b]
-    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["u", "v"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(np.concatenate(apart))], ["u", "v", "bits"])
 
 
 def _by_list(of_lists, width: int):
@@ -191,12 +198,15 @@ def _pairs(keys: np.ndarray, short: np.ndarray, nodes: np.ndarray) -> Iterator[p
 
 
 def candidates(texts: DataFrame) -> DataFrame:
-    """Distinct pairs u > v of ``texts`` (node, n, fingerprint) that the byte index retains: sizes and bits allow the
-    similarity. Links that these leave out are found by ``prefix_lists`` and ``untied``."""
+    """Distinct pairs u > v of ``texts`` (node, n, fingerprint) that the byte index retains: of the ``NEAREST`` v of each
+    u, those of which sizes and bits allow the similarity. Links that these leave out are found by ``prefix_lists`` and
+    ``untied``."""
     posted = texts.select("node", *_FPS).mapInArrow(_postings, "key long, short long, node long")
     dealt = posted.repartition("key").sortWithinPartitions("key", "short")
-    pairs = dealt.mapInArrow(_by_list(_pairs, 3), "u long, v long").distinct()
-    return _beside(pairs, texts, _FPS + _ODD).filter(
+    pairs = dealt.mapInArrow(_by_list(_pairs, 3), "u long, v long, bits long").repartition("u").distinct()
+    rank = F.row_number().over(Window.partitionBy("u").orderBy("bits", "v"))
+    nearest = pairs.withColumn("rank", rank).filter(F.col("rank") <= NEAREST).select("u", "v")
+    return _beside(nearest, texts, _FPS + _ODD).filter(
         (DENOMINATOR * F.least("n_u", "n_v") >= NUMERATOR * F.greatest("n_u", "n_v"))
         & (_differing(_FPS) <= MOST_BITS) & _even_enough()
     ).select("u", "v")
@@ -272,22 +282,32 @@ def prefix_lists(rows: DataFrame) -> DataFrame:
     return lists.mapInArrow(_by_list(_met, 3), "key long, place long, node long")
 
 
-def _crossed(keys: np.ndarray, n: np.ndarray, place: np.ndarray, nodes: np.ndarray, roots: np.ndarray):
-    """Pairs u > v of whole lists, sorted by key and n, of different roots whose sizes and places allow the similarity."""
+def _crossed(keys: np.ndarray, n: np.ndarray, place: np.ndarray, nodes: np.ndarray, roots: np.ndarray, *odd: np.ndarray):
+    """Pairs u > v of whole lists, sorted by key and n, of different roots whose sizes, places and folded parities allow
+    the similarity."""
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
 
     def allowed(a, b):
         most = np.minimum(n[a] - place[a], n[b] - place[b])
         return (roots[a] != roots[b]) & ((NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (n[a] + n[b]))
 
+    def even(a, b):
+        """The pairs that ``_even_enough`` would let pass on these parities."""
+        differing = np.zeros(len(a), np.int64)
+        for x in odd:
+            differing += np.bitwise_count((x[a] ^ x[b]).view(np.uint64))
+        own = (DENOMINATOR + NUMERATOR) * differing <= (DENOMINATOR - NUMERATOR) * (n[a] + n[b])
+        return a[own], b[own]
+
     starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
     size = np.diff(np.append(starts, len(keys)))
     small = np.repeat(size <= SMALL, size)
     for step in range(1, SMALL):
         a = np.flatnonzero(small[:-step] & (keys[:-step] == keys[step:]))
         a = a[allowed(a, a + step)]
+        a, b = even(a, a + step)
         left.append(a)
-        right.append(a + step)
+        right.append(b)
     for s, m in zip(starts[size > SMALL], size[size > SMALL]):
         e = s + m
         if (roots[s:e] == roots[s]).all():
@@ -295,10 +315,11 @@ def _crossed(keys: np.ndarray, n: np.ndarray, place: np.ndarray, nodes: np.ndarr
         for at in range(s, e, WINDOW):
             rows_ = np.arange(at, min(at + WINDOW, e))
             upto = s + int(np.searchsorted(n[s:e], n[rows_[-1]] * DENOMINATOR // NUMERATOR, "right"))
-            for to in range(at, upto, 16 * WINDOW):
-                others = np.arange(to, min(to + 16 * WINDOW, upto))
+            for to in range(at, upto, 4 * WINDOW):
+                others = np.arange(to, min(to + 4 * WINDOW, upto))
                 a, b = np.nonzero(allowed(rows_[:, None], others[None, :]) & (rows_[:, None] < others[None, :]))
-                yield _batch(nodes[rows_[a]], nodes[others[b]])
+                a, b = even(rows_[a], others[b])
+                yield _batch(nodes[a], nodes[b])
     a, b = np.concatenate(left), np.concatenate(right)
     yield _batch(nodes[a], nodes[b])
 
@@ -310,10 +331,13 @@ def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 def untied(lists: DataFrame, tied: DataFrame, texts: DataFrame) -> DataFrame:
     """Distinct pairs u > v of ``prefix_lists`` that sizes, places and parities allow and that ``tied`` (node, root)
     leaves apart."""
-    roots = texts.join(tied, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
-    rooted = lists.join(roots, "node").select("key", "n", "place", "node", "root")
+    # hashes' classes modulo 64 * LIST_PARTS: parities of classes that fall together add up
+    folded = [reduce(Column.bitwiseXOR, map(F.col, _ODD[k::LIST_PARTS])).alias(f"part{k}") for k in range(LIST_PARTS)]
+    names = [f"part{k}" for k in range(LIST_PARTS)]
+    roots = texts.join(tied, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), *folded)
+    rooted = lists.join(roots, "node").select("key", "n", "place", "node", "root", *names)
     dealt = rooted.repartition("key").sortWithinPartitions("key", "n")
-    pairs = dealt.mapInArrow(_by_list(_crossed, 5), "u long, v long").distinct()
+    pairs = dealt.mapInArrow(_by_list(_crossed, 5 + LIST_PARTS), "u long, v long").distinct()
     return _beside(pairs, texts, _ODD).filter(_even_enough()).select("u", "v")
 
 

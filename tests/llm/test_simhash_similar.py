@@ -137,3 +137,39 @@ def test_prefixes_of_similar_sets_meet_in_any_order():
         shared = len(np.intersect1d(a, b))
         if 5 * shared >= 4 * (len(a) + len(b) - shared):
             assert len(np.intersect1d(sim.prefix(a, known, counts), sim.prefix(b, known, counts)))
+
+
+def test_pairs_of_a_large_group_grow_with_its_size(spark, monkeypatch):
+    """Near copies about the limit: few pairs a text become rows, and no component is split."""
+    made, beside = [], sim._beside
+
+    def counted(pairs, texts, columns):
+        made.append((pairs.count(), pairs.groupBy("u").count().agg(F.max("count")).first()[0]))
+        return beside(pairs, texts, columns)
+
+    monkeypatch.setattr(sim, "_beside", counted)
+    rng = random.Random(7)
+    base = [f"v{rng.randrange(3000)}" for _ in range(150)]
+    texts = [" ".join(edited(rng, base, rng.choice([0.01, 0.015, 0.02]))) for _ in range(700)]
+    wanted = {k for k, r in enumerate(roots_of(len(texts), plain_links(texts))) if r == k}
+    assert kept(spark, texts) == wanted
+    (byte_index, most), (prefix_lists, _) = made
+    assert most <= sim.NEAREST and byte_index <= sim.NEAREST * len(texts)
+    assert byte_index + prefix_lists <= 2 * sim.NEAREST * len(texts), made
+
+
+def test_folded_parities_leave_out_no_link():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        both = rng.integers(0, 2**63, rng.integers(20, 400)).astype(np.uint64)
+        more = rng.integers(0, 2**63, len(both) // 4).astype(np.uint64)
+        cut = rng.integers(0, len(more) + 1)
+        sets = [np.unique(np.concatenate(x)) for x in ((both, more[:cut]), (both, more[cut:]))]
+        shared = len(np.intersect1d(*sets))
+        n = np.array([len(x) for x in sets])
+        order = np.argsort(n, kind="stable")
+        odd = np.bitwise_xor.reduce(np.array([sim.parities(sets[k]) for k in order]).reshape(2, -1, sim.LIST_PARTS), axis=1)
+        zero = np.zeros(2, np.int64)
+        found = list(sim._crossed(zero, n[order], zero, np.arange(2), np.arange(2), *odd.T.copy()))
+        if 5 * shared >= 4 * (n.sum() - shared):
+            assert sum(b.num_rows for b in found) == 1
